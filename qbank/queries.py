@@ -1,6 +1,265 @@
-def queries():
-    return {}
+"""One query for each operator of the inventory, over whole tables, and SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from qbank.functions import answers as A
+from qbank.functions import text as X
+from qbank.operators import bank as B
+from qbank.operators import layout as L
+from qbank.operators import papers as P
+from qbank.operators import search as S
+from qbank.plans.fixtures import view, with_views
+from qbank.schemas import LEGACY_QTYPES, QTYPE_LABELS, QTYPES
+from qbank.sources import tables as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = with_views(f"SELECT * FROM ({sql})")
+        return f
+
+    return keep
+
+
+_NORMAL = "CASE lower(trim({0})) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ({q: q for q in QTYPES} | LEGACY_QTYPES).items()) + " ELSE 'blank' END"
+_LABEL = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in QTYPE_LABELS.items()) + " ELSE {0} END"
+_HASH = r"md5(regexp_replace(concat(regexp_replace({0}, '【图:[^】]+】', '', 'g'), coalesce({1}, '')), '[\s\\{{}}()【】\[\]（）.,，。、;；:：]+', '', 'g'))"
+_OWN = f"(SELECT *, {_NORMAL.format('qtype_raw')} AS qtype, {_HASH.format('question', 'answer')} AS content_hash FROM bank)"
+_BATCH = f"(SELECT *, {_NORMAL.format('qtype_raw')} AS qtype, {_HASH.format('question', 'answer')} AS content_hash FROM incoming)"
+
+
+def _defaults() -> dict:
+    return {"answer": F.lit(""), "formula": F.lit(""), "reviewed": F.lit(False)}
+
+
+def _bank(spark, sf) -> DataFrame:
+    return B.prepare(view(spark, sf, "bank"))
+
+
+def _batch(spark, sf) -> DataFrame:
+    return B.prepare(view(spark, sf, "incoming"))
+
+
+_COLUMNS = ("id", "subject", "qtype", "question", "answer", "pending_review")
+_LIST = ", ".join(_COLUMNS)
+
+_add("A1_scan_bank", f"SELECT {_LIST}, 0 AS n_options FROM {_OWN}")(
+    lambda s, d: T.decode_lists(_bank(s, d).withColumn("options", F.lit(None).cast("string")), ["options"]).select(*_COLUMNS, F.size("options").alias("n_options"))
+)
+_add("A3_cells_to_line", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' | ') AS line FROM documents")(
+    lambda s, d: view(s, d, "documents").select("doc_id", T.cells_to_line(F.split("text", "\n")).alias("line"))
+)
+_add("A4_export_record", "SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY event_id) AS n, question_id, user_answer FROM submissions")(
+    lambda s, d: T.export_items(view(s, d, "submissions").groupBy("paper_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("event_id", "question_id", "user_answer"))), lambda x: F.struct(x.question_id.alias("question_id"), x.user_answer.alias("user_answer"))).alias("answers")
+    ))
+)
+_add("A7_schema_backfill", "SELECT id, coalesce(nullif(answer, ''), '') AS answer, '' AS formula, false AS reviewed FROM bank")(
+    lambda s, d: T.backfill(T.backfill(view(s, d, "bank").select("id", "answer"), _defaults()), _defaults())
+)
+_add("A8_index_snapshot", f"SELECT id, substring(question, 1, 200) AS head, subject, qtype FROM {_OWN}")(lambda s, d: T.index_snapshot(_bank(s, d)))
+
+_add("B1_get_by_id", f"SELECT {_LIST} FROM {_OWN} WHERE id IN (SELECT question_id FROM submissions)")(
+    lambda s, d: B.by_ids(_bank(s, d), view(s, d, "submissions").select(F.col("question_id").alias("id"))).select(*_COLUMNS)
+)
+_add("B2_find_by_text", "SELECT question, min(id) AS id FROM bank WHERE question IN (SELECT question FROM incoming) GROUP BY question")(
+    lambda s, d: B.first_by_text(_bank(s, d), _batch(s, d))
+)
+_add("B3_find_by_hash", f"SELECT content_hash, min(id) AS id FROM {_OWN} WHERE content_hash IN (SELECT content_hash FROM {_BATCH}) GROUP BY content_hash")(
+    lambda s, d: B.first_by_hash(_bank(s, d), _batch(s, d))
+)
+_add("B4_list_questions", f"SELECT {_LIST} FROM {_OWN} WHERE subject = 'src0' AND qtype = 'multiple_choice' AND (question ILIKE '%the%' OR subject ILIKE '%the%')")(
+    lambda s, d: B.matching(_bank(s, d), "src0", "multi", "the").select(*_COLUMNS)
+)
+_add("B6_list_pending", f"SELECT {_LIST} FROM {_OWN} WHERE pending_review ORDER BY id DESC LIMIT 50")(lambda s, d: B.page(B.pending(_bank(s, d)), 1, 50).select(*_COLUMNS))
+_add("B7_qtype_label", f"SELECT id, {_LABEL.format('qtype_raw')} AS raw_label, {_LABEL.format('qtype')} AS label FROM {_OWN}")(
+    lambda s, d: _bank(s, d).select("id", X.qtype_label(F.col("qtype_raw")).alias("raw_label"), X.qtype_label(F.col("qtype")).alias("label"))
+)
+_add("B8_normalize_qtype", f"SELECT id, {_NORMAL.format('qtype_raw')} AS qtype FROM bank")(lambda s, d: _bank(s, d).select("id", "qtype"))
+_add("B9_has_answer", "SELECT id, trim(answer) <> '' AND answer NOT LIKE '%（待补充答案）%' AS has_answer FROM bank")(lambda s, d: B.answered(_bank(s, d)).select("id", "has_answer"))
+_add("B10_delete_by_ids", f"SELECT {_LIST} FROM {_OWN} WHERE id NOT IN (SELECT question_id FROM submissions WHERE event_id % 3 = 0)")(
+    lambda s, d: B.without_ids(_bank(s, d), view(s, d, "submissions").where("event_id % 3 = 0").select(F.col("question_id").alias("id"))).select(*_COLUMNS)
+)
+_add("B11_basename", "SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE source_file END AS name FROM bank")(
+    lambda s, d: view(s, d, "bank").select("id", X.basename(F.concat(F.when(F.col("id") % 3 == 0, F.lit("a/..")).when(F.col("id") % 3 == 1, F.lit("a\\b/")).otherwise(F.lit("")), "source_file")).alias("name"))
+)
+_add("B12_clear_pending", "SELECT id, pending_review AND id % 2 = 1 AS pending_review FROM bank")(
+    lambda s, d: B.clear_pending(_bank(s, d), _batch(s, d).select(F.col("seq").alias("id"))).select("id", "pending_review")
+)
+_PATCHED = """SELECT b.id, coalesce(i.question, b.question) AS question, {0} AS answer, CASE WHEN i.seq IS NULL THEN b.pending_review ELSE false END AS pending_review
+ FROM bank b LEFT JOIN incoming i ON i.seq = b.id"""
+_add("B13_resolve_pending", f"SELECT *, {_HASH.format('question', 'answer')} AS content_hash FROM ({_PATCHED.format('b.answer')})")(
+    lambda s, d: B.patch(_bank(s, d), _batch(s, d).select(F.col("seq").alias("id"), "question", F.lit(None).cast("string").alias("answer")), ("question", "answer"), resolve=True).select(
+        "id", "question", "answer", "pending_review", "content_hash"
+    )
+)
+_add("B14_fill_answer", f"SELECT id, answer, {_HASH.format('question', 'answer')} AS content_hash FROM (SELECT b.id, b.question, CASE WHEN i.seq IS NULL THEN b.answer ELSE i.source_file END AS answer FROM bank b LEFT JOIN incoming i ON i.seq = b.id)")(
+    lambda s, d: B.patch(_bank(s, d), _batch(s, d).select(F.col("seq").alias("id"), F.concat(F.lit("  "), "source_file", F.lit(" \t")).alias("answer")), ("answer",), trim=True).select("id", "answer", "content_hash")
+)
+_add("B16_insert_question", f"SELECT id, qtype, question FROM {_OWN} UNION ALL SELECT (SELECT max(id) FROM bank) + row_number() OVER (ORDER BY seq), qtype, question FROM {_BATCH}")(
+    lambda s, d: B.insert(_bank(s, d).select("id", "qtype", "question"), _batch(s, d).select("seq", "qtype", "question"))
+)
+
+_add("C1_answers_to_paper", "SELECT paper_id, question_id, arg_max(user_answer, event_id) AS user_answer FROM submissions GROUP BY 1, 2")(lambda s, d: P.last_answers(view(s, d, "submissions")))
+_add("C6_image_asof", "SELECT doc, event_id, fname, question FROM (SELECT *, last_value(key IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page, y, kind, event_id ROWS UNBOUNDED PRECEDING) AS question FROM marks) WHERE kind = 1")(
+    lambda s, d: L.attribute(view(s, d, "marks"))
+)
+_REFS = "(SELECT unnest(regexp_extract_all(question, '【图:([^】]+)】', 1)) AS name FROM anchored UNION SELECT image FROM anchored WHERE image IS NOT NULL)"
+_add("C8_missing_files", f"SELECT name FROM {_REFS} WHERE name NOT IN (SELECT name FROM files)")(lambda s, d: L.missing_files(view(s, d, "anchored"), view(s, d, "files")))
+_add("C9_orphan_files", f"SELECT name FROM files WHERE name NOT IN (SELECT name FROM {_REFS})")(lambda s, d: L.orphan_files(view(s, d, "anchored"), view(s, d, "files")))
+_add("C10_similar_topk", """WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM u),
+ p AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e) / (q.n * x.n) AS score FROM n q JOIN n x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0)
+ SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5 AND score >= 0.3""")(
+    lambda s, d: (lambda ix: S.similar(ix, ix.where("vec_id % 50 = 0"), threshold=0.3).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score")))(S.index(view(s, d, "embeddings")))
+)
+_add("C11_match_existing", f"SELECT seq, CASE WHEN content_hash IN (SELECT content_hash FROM {_OWN}) OR row_number() OVER (PARTITION BY content_hash ORDER BY seq) > 1 THEN 'merged' ELSE 'inserted' END AS outcome FROM {_BATCH}")(
+    lambda s, d: B.outcomes(_bank(s, d), _batch(s, d)).select("seq", "outcome")
+)
+_add("C12_cache_hit_miss", "SELECT DISTINCT image AS name FROM anchored WHERE image IS NOT NULL AND image NOT IN (SELECT name FROM files)")(
+    lambda s, d: S.missing(view(s, d, "anchored").where("image IS NOT NULL").select(F.col("image").alias("name")).distinct(), view(s, d, "files"), "name")
+)
+
+_add("D1_count_questions", "SELECT count(*) AS n FROM bank")(lambda s, d: _bank(s, d).agg(F.count("*").alias("n")))
+_add("D2_list_subjects", "SELECT subject, count(*) AS n FROM bank GROUP BY subject")(lambda s, d: B.subjects(_bank(s, d)))
+_DIM = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(QTYPES)) + ") dim(pos, qtype)"
+_add("D3_list_qtypes", f"SELECT pos, dim.qtype, {_LABEL.format('dim.qtype')} AS label, coalesce(n, 0) AS n FROM {_DIM} LEFT JOIN (SELECT qtype, count(*) AS n FROM {_OWN} WHERE subject = 'src0' GROUP BY qtype) c ON c.qtype = dim.qtype")(
+    lambda s, d: B.qtype_counts(B.matching(_bank(s, d), "src0"))
+)
+_add("D4_stats", f"SELECT subject, qtype, count(*) AS n, count(*) FILTER (pending_review) AS n_pending FROM {_OWN} GROUP BY GROUPING SETS ((), (subject), (qtype))")(lambda s, d: B.stats(_bank(s, d)))
+_OUTCOME = f"(SELECT *, CASE WHEN content_hash IN (SELECT content_hash FROM {_OWN}) OR row_number() OVER (PARTITION BY content_hash ORDER BY seq) > 1 THEN 'merged' ELSE 'inserted' END AS outcome FROM {_BATCH})"
+_add("D5_import_summary", f"SELECT qtype, count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'merged') AS merged, count(*) FILTER (pending_review) AS pending, count(*) AS total FROM {_OUTCOME} GROUP BY qtype")(
+    lambda s, d: B.import_summary(B.outcomes(_bank(s, d), _batch(s, d)))
+)
+_add("D8_image_stats", f"""SELECT (SELECT count(*) FROM anchored) AS total, (SELECT count(image) FROM anchored) AS with_field, (SELECT count(*) FROM anchored WHERE question LIKE '%【图:%】%') AS with_anchor,
+ (SELECT count(*) FROM {_REFS} WHERE name NOT IN (SELECT name FROM files)) AS missing, (SELECT count(*) FROM files WHERE name NOT IN (SELECT name FROM {_REFS})) AS orphans""")(
+    lambda s, d: L.image_stats(view(s, d, "anchored"), view(s, d, "files"))
+)
+_add("D9_kind_error_freq", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type")(lambda s, d: view(s, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n")))
+_add("D10_decorative_by_freq", "SELECT doc, fname AS image, count(DISTINCT page) AS n FROM marks WHERE fname IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT page) >= 2")(
+    lambda s, d: L.decorative(view(s, d, "marks").where("fname IS NOT NULL").select("doc", F.col("fname").alias("image"), F.col("page").alias("para")), 2)
+)
+
+_add("E4_first_per_key", "SELECT question, min(id) AS id FROM bank GROUP BY question")(lambda s, d: B.first_per_key(_bank(s, d).select("id", "question"), "question", "id"))
+_add("E5_gap_clusters", """WITH n AS (SELECT *, CASE WHEN y0 - lag(y0) OVER w >= 25 THEN 1 ELSE 0 END AS new FROM boxes WINDOW w AS (PARTITION BY doc ORDER BY y0, x0, event_id)),
+ c AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY y0, x0, event_id ROWS UNBOUNDED PRECEDING) AS cluster FROM n)
+ SELECT doc, cluster::BIGINT AS cluster, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM c GROUP BY doc, cluster
+ HAVING max(x1) - min(x0) >= 8 AND max(y1) - min(y0) >= 8 AND (max(x1) - min(x0)) * (max(y1) - min(y0)) >= 400""")(lambda s, d: L.clusters(view(s, d, "boxes")))
+
+_add("F1_page", f"SELECT {_LIST} FROM {_OWN} ORDER BY id DESC LIMIT 20 OFFSET 20")(lambda s, d: B.page(_bank(s, d), 2, 20).select(*_COLUMNS))
+_RANK = "row_number() OVER (PARTITION BY {0} ORDER BY md5(concat('42:', cast(id AS VARCHAR))), id)"
+_add("F2_random_sample", f"SELECT subject, id, rank FROM (SELECT subject, id, {_RANK.format('subject')} AS rank FROM bank) WHERE rank <= 5")(
+    lambda s, d: B.sampled(_bank(s, d), ["subject"], 5).select("subject", "id", "rank")
+)
+_add("F3_reading_order", "SELECT doc, event_id, row_number() OVER (PARTITION BY doc ORDER BY y0, x0, event_id) AS pos FROM boxes")(
+    lambda s, d: view(s, d, "boxes").selectExpr("doc", "event_id", "row_number() OVER (PARTITION BY doc ORDER BY bround(y0, 1), x0, event_id) AS pos")
+)
+_add("F4_caps", "SELECT id, len(string_split(question, ' ')[1:8]) AS n FROM bank")(lambda s, d: view(s, d, "bank").select("id", F.size(F.slice(F.split("question", " "), 1, 8)).cast("long").alias("n")))
+
+_add("G1_dedup_exact", "SELECT min(id) AS id, question FROM bank GROUP BY question")(lambda s, d: B.first_per_key(_bank(s, d).select("id", "question"), "question", "id"))
+_UPSERT = f"""WITH r AS (SELECT content_hash, 0 AS part, id AS seq, question, answer, source_file, pending_review FROM {_OWN} UNION ALL
+ SELECT content_hash, 1, seq, question, answer, source_file, pending_review FROM {_BATCH}),
+l AS (SELECT *, lag(question) OVER w AS q, lag(answer) OVER w AS a FROM r WINDOW w AS (PARTITION BY content_hash ORDER BY part, seq)),
+k AS (SELECT *, sum(CASE WHEN q IS NULL OR q <> question OR a <> answer THEN 1 ELSE 0 END) OVER (PARTITION BY content_hash ORDER BY part, seq ROWS UNBOUNDED PRECEDING) AS run FROM l),
+m AS (SELECT content_hash, max(run) AS top, arg_max(question, [part, seq]) AS question, arg_max(answer, [part, seq]) AS answer FROM k GROUP BY content_hash)
+SELECT m.content_hash, m.question, m.answer, (SELECT bool_or(pending_review) FROM k WHERE k.content_hash = m.content_hash AND run = top) AS pending_review,
+ (SELECT string_agg(source_file, ',' ORDER BY p, q2) FROM (SELECT source_file, min(part) AS p, min(part * 10000000000 + seq) AS q2 FROM k WHERE k.content_hash = m.content_hash GROUP BY source_file)) AS files FROM m"""
+_upsert = lambda s, d: B.upsert(_bank(s, d), _batch(s, d)).withColumn("files", F.array_join("files", ","))
+_add("G2_upsert_dedup", _UPSERT)(_upsert)
+_add("G4_image_union", "SELECT id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(question, '【图:([^】]+)】', 1), CASE WHEN image IS NULL THEN [] ELSE [image] END))), ',') AS images FROM anchored")(
+    lambda s, d: view(s, d, "anchored").select("id", F.array_join(F.array_sort(F.array_union(X.anchors(F.col("question")), F.filter(F.array("image"), lambda x: x.isNotNull()))), ",").alias("images"))
+)
+_add("G6_union_all", "SELECT question FROM bank UNION ALL SELECT question FROM incoming")(lambda s, d: view(s, d, "bank").select("question").unionByName(view(s, d, "incoming").select("question")))
+_add("G7_distinct_ids", "SELECT DISTINCT question_id AS id FROM submissions WHERE question_id > 0")(lambda s, d: view(s, d, "submissions").where("question_id > 0").select(F.col("question_id").alias("id")).distinct())
+
+_add("H1_content_hash", f"SELECT id, content_hash FROM {_OWN}")(lambda s, d: _bank(s, d).select("id", "content_hash"))
+_UNESCAPE = "html"
+for _name, _char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", "\u00a0"), ("amp", "&")):
+    _UNESCAPE = f"replace({_UNESCAPE}, '&{_name};', '{_char}')"
+_add("H2_html_unescape", f"SELECT page_id, md5({_UNESCAPE}) AS text_md5 FROM pages")(lambda s, d: view(s, d, "pages").select("page_id", F.md5(X.html_unescape(F.col("html"))).alias("text_md5")))
+_add("H3_fix_private_use", "SELECT doc_id, md5(replace(text, '', 'α')) AS text_md5 FROM noisy")(lambda s, d: view(s, d, "noisy").select("doc_id", F.md5(X.fix_private_use(F.col("text"))).alias("text_md5")))
+_add("H7_rule_clean", r"""SELECT doc_id, md5(replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^第\s*\d+\s*页\s*[/／]\s*共\s*\d+\s*页$')
+ AND NOT regexp_matches(x, '^[-=—*_~]{5,}$')), chr(10)), '""" + "" + r"""', 'α')) AS text_md5 FROM noisy""")(lambda s, d: view(s, d, "noisy").select("doc_id", F.md5(X.rule_clean(F.col("text"))).alias("text_md5")))
+_TOKENS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')"
+_SINGLE = rf"(len(list_filter({_TOKENS}, lambda t: length(t) <= 1 AND NOT regexp_matches(t, '^[一-鿿$]'))) / len({_TOKENS}))"
+_PUA = "len(regexp_extract_all(text, '[-]'))"
+_LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
+_CJK = f"(len(list_filter({_LINES}, lambda x: regexp_matches(x, '[一-鿿]{{4,}}'))) / len({_LINES}))"
+_add("H8_single_char_ratio", f"SELECT doc_id, round({_SINGLE}, 9) AS ratio FROM noisy")(lambda s, d: view(s, d, "noisy").select("doc_id", F.round(X.single_char_ratio(F.col("text")), 9).alias("ratio")))
+_add("H10_pua_count", f"SELECT doc_id, {_PUA} AS n FROM noisy")(lambda s, d: view(s, d, "noisy").select("doc_id", X.private_use_count(F.col("text")).alias("n")))
+_add("H11_cjk_line_ratio", f"SELECT doc_id, round({_CJK}, 9) AS ratio FROM noisy")(lambda s, d: view(s, d, "noisy").select("doc_id", F.round(X.cjk_line_ratio(F.col("text")), 9).alias("ratio")))
+_SCORE = f"(CASE WHEN {_SINGLE} > 0.3 THEN 45 ELSE 0 END + CASE WHEN {_PUA} >= 1 THEN 30 ELSE 0 END + CASE WHEN len({_LINES}) > 5 AND {_CJK} < 0.25 THEN 25 ELSE 0 END)"
+_add("H12_quality_score", f"SELECT doc_id, round(s / 100.0, 3)::DOUBLE AS score, s >= 30 AS fragmented FROM (SELECT doc_id, least({_SCORE}, 100) AS s FROM noisy)")(
+    lambda s, d: view(s, d, "noisy").select("doc_id", X.quality_score(F.col("text")).alias("q")).select("doc_id", "q.score", "q.fragmented")
+)
+_add("H15_anchors", "SELECT id, array_to_string(regexp_extract_all(question, '【图:([^】]+)】', 1), ',') AS names FROM anchored")(lambda s, d: view(s, d, "anchored").select("id", F.array_join(X.anchors(F.col("question")), ",").alias("names")))
+_add("H34_image_kind", "SELECT event_id, CASE WHEN y1 - y0 <= 40 AND x1 - x0 <= 80 THEN 'symbol' WHEN y1 - y0 <= 120 AND y1 > y0 AND (x1 - x0) / (y1 - y0) >= 3 THEN 'formula' ELSE 'diagram' END AS kind FROM boxes")(
+    lambda s, d: view(s, d, "boxes").select("event_id", L.image_kind(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit("")).alias("kind"))
+)
+_add("H35_image_status", "SELECT event_id, CASE WHEN value < 5 AND event_id % 16 < 8 THEN 'black' WHEN value >= 128 THEN 'kept' ELSE 'normalized' END AS status FROM events")(
+    lambda s, d: view(s, d, "events").select("event_id", L.image_status(F.col("value"), F.col("event_id") % 16).alias("status"))
+)
+_add("H36_page_image_filter", "SELECT event_id FROM boxes WHERE NOT (x1 - x0 >= 0.85 * 40 AND y1 - y0 >= 0.85 * 30)")(
+    lambda s, d: view(s, d, "boxes").where(~L.covers_page(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(40.0), F.lit(30.0))).select("event_id")
+)
+
+_UPPER = "list_filter(regexp_extract_all(upper(u), '[A-Z]'), lambda x: x <> '')"
+_NORMALISED = f"""CASE qtype WHEN 'judge' THEN CASE WHEN u IN {A.RIGHT} THEN '对' WHEN u IN {A.WRONG} THEN '错' ELSE u END
+ WHEN 'multiple_choice' THEN array_to_string(list_sort(list_distinct({_UPPER})), '') WHEN 'single_choice' THEN CASE WHEN regexp_matches(upper(u), '^[A-Z]') THEN substring(upper(u), 1, 1) ELSE u END ELSE u END"""
+_SUBMITTED = f"(SELECT s.*, b.qtype, trim(b.answer) AS r, trim(s.user_answer) AS u FROM (SELECT paper_id, question_id, arg_max(user_answer, event_id) AS user_answer FROM submissions GROUP BY 1, 2) s JOIN {_OWN} b ON b.id = s.question_id)"
+_add("H17_normalize_answer", f"SELECT event_id, {_NORMALISED} AS answer FROM (SELECT s.event_id, b.qtype, trim(s.user_answer) AS u FROM submissions s JOIN {_OWN} b ON b.id = s.question_id)")(
+    lambda s, d: view(s, d, "submissions").join(_bank(s, d).select(F.col("id").alias("question_id"), "qtype"), "question_id").select("event_id", A.normalize_answer(F.col("user_answer"), F.col("qtype")).alias("answer"))
+)
+_NORMAL_R = _NORMALISED.replace("upper(u)", "upper(r)").replace("u IN", "r IN").replace("ELSE u", "ELSE r")
+_NUMBER = "CASE WHEN {0} LIKE '%/%' THEN try_cast(split_part({0}, '/', 1) AS DOUBLE) / try_cast(split_part({0}, '/', 2) AS DOUBLE) ELSE try_cast({0} AS DOUBLE) END"
+_PARTS = "array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array({0}, '[,，、;；]'), lambda x: lower(trim(x))), lambda x: x <> '')), '|')"
+_STATUS = f"""CASE WHEN r = '' OR r LIKE '%（待补充答案）%' OR qtype IN ('essay', 'thinking') THEN 'pending' WHEN ({_NORMALISED}) = '' THEN 'wrong'
+ WHEN qtype = 'calc' THEN CASE WHEN abs(({_NUMBER.format('u')}) - ({_NUMBER.format('r')})) <= greatest(5e-4 * greatest(abs({_NUMBER.format('u')}), abs({_NUMBER.format('r')})), 1e-6) THEN 'correct' ELSE 'wrong' END
+ WHEN qtype = 'blank' THEN CASE WHEN {_PARTS.format('u')} = {_PARTS.format('r')} THEN 'correct' ELSE 'wrong' END
+ WHEN ({_NORMALISED}) = ({_NORMAL_R}) THEN 'correct' ELSE 'wrong' END"""
+_add("H22_check_answer", f"SELECT paper_id, question_id, {_STATUS} AS status FROM {_SUBMITTED}")(
+    lambda s, d: P.grade(_bank(s, d), view(s, d, "submissions")).select("paper_id", "question_id", "status")
+)
+_add("I10_grade", f"""SELECT *, CASE WHEN n_pending > 0 THEN 'pending' ELSE 'graded' END AS status FROM (SELECT paper_id, 10 * count(*) FILTER (st = 'correct') AS score, count(*) FILTER (st = 'correct') AS n_correct,
+ count(*) FILTER (st = 'wrong') AS n_wrong, count(*) FILTER (st = 'pending') AS n_pending FROM (SELECT paper_id, {_STATUS} AS st FROM {_SUBMITTED}) GROUP BY paper_id)""")(
+    lambda s, d: P.rollup(P.grade(_bank(s, d), view(s, d, "submissions")))
+)
+_add("I8_practice", f"SELECT subject, rank, id, 10 AS points FROM (SELECT subject, id, {_RANK.format('subject')} AS rank FROM {_OWN} WHERE qtype = 'single_choice') WHERE rank <= 5")(
+    lambda s, d: P.practice(_bank(s, d), 5, "single_choice")
+)
+
+
+def _sections(spark, sf) -> DataFrame:
+    """A paper for each subject (and one for all), with a section of each of three types."""
+    papers = _bank(spark, sf).select("subject").distinct().union(spark.sql("SELECT ''"))
+    return papers.select(F.col("subject").alias("paper"), "subject", F.expr("stack(3, 0, 'single_choice', 4, 5.0D, 1, 'blank', 2, 10.0D, 2, 'calc', 0, 20.0D) AS (pos, qtype, count, score)"))
+
+
+_SECTIONS = "(SELECT s.subject AS paper, s.subject, t.* FROM (SELECT DISTINCT subject FROM bank UNION ALL SELECT '') s, (VALUES (0, 'single_choice', 4, 5.0::DOUBLE), (1, 'blank', 2, 10.0::DOUBLE), (2, 'calc', 0, 20.0::DOUBLE)) t(pos, qtype, count, score))"
+_PICKED = f"(SELECT * FROM (SELECT s.paper, s.pos, s.qtype, s.count, s.score, b.id, {_RANK.format('s.paper, s.pos').replace('(id', '(b.id').replace(', id', ', b.id').replace('cast(id', 'cast(b.id')} AS rank FROM {_SECTIONS} s JOIN {_OWN} b ON b.qtype = s.qtype AND (s.subject = '' OR s.subject = b.subject) WHERE s.count > 0) WHERE rank <= count)"
+_add("I9_build_paper", f"SELECT paper, pos, qtype, rank, id, score FROM {_PICKED}")(lambda s, d: P.build(_bank(s, d), _sections(s, d)))
+_add("D7_paper_totals", f"SELECT paper, count(*) AS question_count, sum(score) AS total_score FROM {_PICKED} GROUP BY paper")(lambda s, d: P.totals(P.build(_bank(s, d), _sections(s, d))))
+_add("I13_similar_index", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS norm, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS first FROM embeddings")(
+    lambda s, d: S.index(view(s, d, "embeddings")).select("vec_id", F.round("norm", 9).alias("norm"), F.round(F.col("unit")[0], 9).alias("first"))
+)
+_add("entry_type_distribution", f"SELECT pos, dim.qtype, {_LABEL.format('dim.qtype')} AS label, coalesce(n, 0) AS n FROM {_DIM} LEFT JOIN (SELECT qtype, count(*) AS n FROM (SELECT content_hash, arg_min(qtype, id) AS qtype FROM {_OWN} GROUP BY content_hash) GROUP BY qtype) c ON c.qtype = dim.qtype")(
+    lambda s, d: B.qtype_counts(B.first_per_key(_bank(s, d).select("id", "qtype", "content_hash"), "content_hash", "id"))
+)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
