@@ -159,6 +159,6 @@ def latex_ok(c: Column) -> Column:
     """Balanced braces by count, no dollar sign, no begin, and no unknown command glued to a letter."""
     known = F.array(*[F.lit(x) for x in KNOWN_COMMANDS])
     # A command takes all ASCII letters, so what follows it as a letter is one beyond ASCII.
-    glued = F.regexp_extract_all(c, F.lit(r"(?U)\\([a-zA-Z]+)(?=[^\W\d_])"), F.lit(1))
+    glued = F.regexp_extract_all(c, F.lit(r"(?U)\\([a-zA-Z]++)(?=[^\W\d_])"), F.lit(1))
     ok = (F.regexp_count(c, F.lit(r"\{")) == F.regexp_count(c, F.lit(r"\}"))) & ~F.contains(c, F.lit("$")) & ~F.contains(c, F.lit(r"\begin{"))
     return F.coalesce((strip(c) != "") & ok & ~F.exists(glued, lambda x: ~F.array_contains(known, x)), F.lit(False))
