@@ -17,6 +17,8 @@ from .near_dup_vectors import usable
 TABLES, CELLS, PER_BUCKET, FUNCTIONS = 2, 3, 600, 7
 #: Queries on which the number of probes is calibrated, and the share of their true neighbours that it must reach.
 CALIBRATION, RECALL = 128, 0.97
+#: Buckets of each table that a query visits first; the score of its k-th best there bounds what later visits return.
+FIRST = 3
 #: Rows of a bucket, or queries that visit it, that meet in one block at most.
 BLOCK = 2048
 
@@ -114,7 +116,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     Every row is hashed into TABLES tables. A query visits the filled buckets in the order of their estimated success, as many
     as a calibration needs: CALIBRATION of the queries are answered by brute force over all rows, and the number of probes is
     raised until `recall` of their true neighbours lie in a visited bucket. Rows and visits of a bucket meet in blocks of
-    bounded size, each block returns its k best for each query with exact scores, and the best k of all stay.
+    bounded size, each block returns its k best for each query with exact scores, and the best k of all stay. The first
+    visits of each query give a score that its k-th best reaches at least, and later blocks return nothing below it.
     """
     ok = F.expr(f"vec_id IS NOT NULL AND {usable('embedding')}")
     base = vectors.select("vec_id", "embedding").where(ok)
@@ -183,24 +186,34 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                 part = b.iloc[s : s + 64]
                 for t, own in enumerate(hashes.order(matrix(part["embedding"]), filled, reach)):
                     own = own[:, :probes]
-                    yield pd.DataFrame({"tbl": t, "bucket": own.ravel()}).assign(
+                    yield pd.DataFrame({"tbl": t, "bucket": own.ravel(), "place": np.tile(np.arange(own.shape[1]), len(own))}).assign(
                         vec_id=np.repeat(part["vec_id"].to_numpy(), own.shape[1]), embedding=np.repeat(part["embedding"].to_numpy(), own.shape[1])
                     )
 
-    visits = asked.mapInPandas(visit, "tbl int, bucket long, vec_id long, embedding array<float>")
-    counts = cut(visits.groupBy("tbl", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs"))).join(
-        placed.groupBy("tbl", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ms")), ["tbl", "bucket"]
-    )
+    visits = asked.mapInPandas(visit, "tbl int, bucket long, place int, vec_id long, embedding array<float>")
     key = ["tbl", "bucket"]
-    rows = placed.join(counts, key).select(
-        *key, F.pmod(F.xxhash64("vec_id"), F.col("ms")).cast("int").alias("i"), F.explode(F.expr("sequence(0, qs - 1)")).alias("j"), "vec_id", "embedding", F.lit(False).alias("asks")
-    )
-    asks = visits.join(counts, key).select(
-        *key, F.explode(F.expr("sequence(0, ms - 1)")).alias("i"), F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("qs")).cast("int").alias("j"), "vec_id", "embedding", F.lit(True).alias("asks")
-    )
+    held = placed.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ms"))
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         q, x = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        return _best(q["vec_id"].to_numpy(), matrix(q["embedding"]), x["vec_id"].to_numpy(), matrix(x["embedding"]), k)
-
-    return _top(rows.union(asks).groupBy(*key, "i", "j").applyInPandas(block, _FOUND), k)
+        found = _best(q["vec_id"].to_numpy(), matrix(q["embedding"]), x["vec_id"].to_numpy(), matrix(x["embedding"]), k)
+        least = dict(zip(q["vec_id"].tolist(), q["least"].tolist(), strict=True))
+        return found[found["score"] >= found["query_id"].map(least)]
+
+    def answer(some: DataFrame) -> DataFrame:
+        """What the visits of `some` find, at least as good as their column least."""
+        counts = cut(some.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs"))).join(held, key)
+        rows = placed.join(counts, key).select(
+            *key, F.pmod(F.xxhash64("vec_id"), F.col("ms")).cast("int").alias("i"), F.explode(F.expr("sequence(0, qs - 1)")).alias("j"), "vec_id", "embedding",
+            F.lit(None).cast("double").alias("least"), F.lit(False).alias("asks"),
+        )
+        asks = some.join(counts, key).select(
+            *key, F.explode(F.expr("sequence(0, ms - 1)")).alias("i"), F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("qs")).cast("int").alias("j"), "vec_id", "embedding",
+            "least", F.lit(True).alias("asks"),
+        )
+        return rows.union(asks).groupBy(*key, "i", "j").applyInPandas(block, _FOUND)
+
+    early = cut(_top(answer(visits.where(F.col("place") < FIRST).withColumn("least", F.lit(float("-inf")))), k))
+    least = early.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    late = answer(visits.where(F.col("place") >= FIRST).join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))))
+    return _top(early.select("query_id", "vec_id", "score").union(late), k)
