@@ -17,6 +17,8 @@ from ._common import add_columns
 DROPOUT, SEED, VARIANTS = 0.1, 20240601, 4
 #: Chunks whose ids a worker remembers; it forgets all when there are more.
 REMEMBERED = 400_000
+#: Longest chunk, in characters, whose agenda is a flat list.
+SHORT = 48
 SPACE = "▁"
 #: What one run of merges can reach: no piece crosses from a word to the mark before the next, nor a line end.
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n\0]+|{SPACE}+|\n|\0")
@@ -36,6 +38,7 @@ class Pieces:
         #: Merges happen in the order of scores, best first.
         order = sorted(plain, key=lambda i: (-model.get_score(i), i))
         self.rank = {names[i]: r for r, i in enumerate(order)}
+        self.names = [names[i] for i in order]
         self.byte_id = {int(names[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.bytes_of = [b""] * size
         for i in plain:
@@ -48,14 +51,35 @@ class Pieces:
         """The symbols of a chunk after the agenda is empty, and the number of candidates skipped.
 
         The agenda holds adjacent pairs that form a piece, best rank first, leftmost first of equals. A popped candidate is
-        skipped if the keyed hash of its place and piece falls below the dropout; key None skips nothing.
+        skipped if the keyed hash of its place and piece falls below the dropout; key None skips nothing. A word's agenda is a
+        flat list, whose least entry is quick to find; that of a long run of characters is a heap. Both give the same.
         """
+        return (self._merge_short if len(chunk) <= SHORT else self._merge_long)(chunk, key, int(dropout * 2**32))
+
+    def _merge_short(self, chunk: str, key: int | None, floor: int) -> tuple[list[str], int]:
+        symbols, get, none, hashed = list(chunk), self.rank.get, len(self.names), xxhash.xxh32_intdigest
+        agenda = [get(a + b, none) for a, b in zip(chunk, chunk[1:])]
+        place, skipped = list(range(len(symbols))), 0
+        while agenda and (r := min(agenda)) < none:
+            i, piece = agenda.index(r), self.names[r]
+            if key is not None and hashed(piece, (key + place[i] * 0x9E3779B1) & 0xFFFFFFFF) < floor:
+                skipped += 1
+                agenda[i] = none
+                continue
+            symbols[i] = piece
+            del symbols[i + 1], place[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(piece + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + piece, none)
+        return symbols, skipped
+
+    def _merge_long(self, chunk: str, key: int | None, floor: int) -> tuple[list[str], int]:
         symbols: list[str | None] = list(chunk)
         n, rank, skipped = len(symbols), self.rank, 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(r, i, p) for i in range(n - 1) if (r := rank.get(p := symbols[i] + symbols[i + 1])) is not None]
         heapq.heapify(agenda)
-        floor = int(dropout * 2**32)
         while agenda:
             r, i, piece = heapq.heappop(agenda)
             j = after[i] if symbols[i] is not None else n
