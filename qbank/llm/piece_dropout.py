@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 import xxhash
@@ -15,13 +16,24 @@ from ._common import add_columns
 
 #: Share of candidate merges that are skipped, the seed, and the number of segmentations among which documents are dealt.
 DROPOUT, SEED, VARIANTS = 0.1, 20240601, 4
-#: Chunks whose ids a worker remembers; it forgets all when there are more.
-REMEMBERED = 400_000
+#: Chunks whose ids a worker remembers (about 300 bytes each); it forgets all when there are more.
+REMEMBERED = 1_200_000
 #: Longest chunk, in characters, whose agenda is a flat list.
 SHORT = 48
 SPACE = "▁"
-#: What one run of merges can reach: no piece crosses from a word to the mark before the next, nor a line end.
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n\0]+|{SPACE}+|\n|\0")
+#: Marks that may end a word; a chunk ends between a letter or digit and those that no piece of the vocabulary joins to one.
+MARKS = ".,;:!?&()\"«»…"
+
+
+class _Known(dict):
+    """What a worker remembers of one segmentation: ids and skips of each chunk, made when first asked for."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, chunk: str) -> tuple[bytes, int]:
+        got = self[chunk] = self.make(chunk)
+        return got
 
 
 class Pieces:
@@ -45,7 +57,12 @@ class Pieces:
             self.bytes_of[i] = names[i].replace(SPACE, " ").encode()
         for b, i in self.byte_id.items():
             self.bytes_of[i] = bytes([b])
-        self.known: dict[tuple[int, str], tuple[bytes, int]] = {}
+        self.known: dict[tuple, _Known] = {}
+        #: What one run of merges can reach: no piece crosses from a word to the space before the next, a line end, or a mark of that kind.
+        joined = {y for p in self.rank for x, y in zip(p, p[1:]) if x.isalnum()}
+        marks = re.escape("".join(c for c in MARKS if c not in joined) or "\n")
+        other = rf"[^ \n\0{marks}]*+"
+        self.chunks = re.compile(rf"\n|\0| *[{marks}]*(?:{other}(?<![^\W_])[{marks}]+)*{other}" if marks != "\\\n" else rf"\n|\0| *{other}").findall
 
     def merge(self, chunk: str, key: int | None, dropout: float) -> tuple[list[str], int]:
         """The symbols of a chunk after the agenda is empty, and the number of candidates skipped.
@@ -98,24 +115,23 @@ class Pieces:
                 heapq.heappush(agenda, (r, h, p))
         return [s for s in symbols if s is not None], skipped
 
-    def spell(self, symbols: list[str], marks_are_spaces: bool = True) -> list[int]:
-        out = []
+    def spell(self, symbols: list[str]) -> list[int]:
+        get, out = self.id_of.get, []
         for s in symbols:
-            i = self.id_of.get(s)
-            out += [i] if i is not None and marks_are_spaces else [self.byte_id[b] for b in s.encode()]
+            i = get(s)
+            if i is None:
+                out += [self.byte_id[b] for b in s.encode()]
+            else:
+                out.append(i)
         return out
 
     def _chunk(self, raw: str, seed: int | None, dropout: float) -> tuple[bytes, int]:
-        """Ids of one word with the marks before it; line ends, and marks that the text itself holds, are spelt in bytes."""
-        ids, skipped = [], 0
-        for c in _CHUNK.findall(raw):
-            if c == "\0":
-                ids += self.spell([SPACE], marks_are_spaces=False)
-                continue
-            symbols, dropped = self.merge(c, None if seed is None else xxhash.xxh32_intdigest(c, seed & 0xFFFFFFFF), dropout)
-            ids += self.spell(symbols)
-            skipped += dropped
-        return np.array(ids, dtype="<u4").tobytes(), skipped
+        """Ids of a chunk with the spaces before it, and skipped merges; marks that the text itself holds are spelt in bytes."""
+        if raw == "\0":
+            return np.array([self.byte_id[b] for b in SPACE.encode()], dtype="<u4").tobytes(), 0
+        c = raw.replace(" ", SPACE)
+        symbols, skipped = self.merge(c, None if seed is None else xxhash.xxh32_intdigest(c, seed & 0xFFFFFFFF), dropout)
+        return array("I", self.spell(symbols)).tobytes(), skipped
 
     def encode(self, text: str, seed: int | None = SEED, dropout: float = DROPOUT) -> tuple[np.ndarray, int]:
         """Ids of a text and the number of skipped merges; seed None gives the model's own segmentation."""
@@ -134,22 +150,13 @@ class Pieces:
     def _rest(self, text: str, seed: int | None, dropout: float) -> tuple[np.ndarray, int]:
         if not text:
             return np.zeros(0, dtype="<u4"), 0
-        text = text.replace(SPACE, "\0")
-        if "  " in text or text[0] != " " or text[-1] == " " or "\n " in text:
-            chunks = [m.group() for m in re.finditer(r" *[^ ]+| +", text)]
-        else:
-            chunks = text[1:].split(" ")
-            chunks = [" " + c for c in chunks]
-        if len(self.known) > REMEMBERED:
+        if sum(map(len, self.known.values())) > REMEMBERED:
             self.known.clear()
-        known, out, skipped = self.known, [], 0
-        for c in chunks:
-            got = known.get((seed, c))
-            if got is None:
-                got = known[seed, c] = self._chunk(c.replace(" ", SPACE), seed, dropout)
-            out.append(got[0])
-            skipped += got[1]
-        return np.frombuffer(b"".join(out), dtype="<u4"), skipped
+        known = self.known.get((seed, dropout))
+        if known is None:
+            known = self.known[seed, dropout] = _Known(lambda c: self._chunk(c, seed, dropout))
+        got = [known[c] for c in self.chunks(text.replace(SPACE, "\0"))]
+        return np.frombuffer(b"".join([g[0] for g in got]), dtype="<u4"), sum([g[1] for g in got])
 
     def decode(self, ids) -> str:
         """The text: pieces joined, marks as spaces, without the first mark. The inverse of encode for every seed."""
