@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qbank.schemas import ANSWER_PLACEHOLDER, LEGACY_QTYPES, QTYPE_LABELS, QTYPES
@@ -137,6 +137,10 @@ def line_count(c: Column) -> Column:
     return F.size(F.filter(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: strip(x) != "")).cast("long")
 
 
+def token_count(c: Column) -> Column:
+    return F.size(F.filter(F.split(strip(c), r"(?U)\s+"), lambda t: t != "")).cast("long")
+
+
 def quality_score(c: Column, threshold: float = 0.30) -> Column:
     """Struct of score, fragmented and the number of reasons; a blank text scores 1."""
     t = strip(F.coalesce(c, F.lit("")))
@@ -150,6 +154,16 @@ def quality_score(c: Column, threshold: float = 0.30) -> Column:
     return F.struct(score.alias("score"), (score >= threshold).alias("fragmented"), reasons.alias("n_reasons"))
 
 
+def choose_text(rows: DataFrame, text: str, other: str) -> DataFrame:
+    """Rows with outcome and chosen: a fragmented or blank text is replaced by one that is not blank and scores less, else rejected."""
+    mine, theirs = F.col("_mine"), F.col("_theirs")
+    better = (strip(F.coalesce(other, F.lit(""))) != "") & (theirs["score"] < mine["score"])
+    out = rows.withColumn("_mine", quality_score(F.col(text))).withColumn("_theirs", quality_score(F.col(other)))
+    out = out.withColumn("outcome", F.when(~mine["fragmented"], "kept").when(better, "replaced").otherwise("rejected"))
+    chosen = F.when(F.col("outcome") == "kept", F.col(text)).when(F.col("outcome") == "replaced", F.col(other))
+    return out.withColumn("chosen", chosen).drop("_mine", "_theirs")
+
+
 def anchors(c: Column) -> Column:
     """Names in image anchors, in order."""
     return F.regexp_extract_all(c, F.lit(ANCHOR), F.lit(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qbank.functions.text import content_hash, has_answer, normalize_qtype, qtype_label, strip
+from qbank.functions.text import basename, content_hash, has_answer, normalize_qtype, qtype_label, strip
 from qbank.schemas import QTYPES
 
 
@@ -160,3 +160,16 @@ def upsert(bank: DataFrame, batch: DataFrame) -> DataFrame:
     )
     folded = grouped.select("content_hash", F.expr(f"aggregate(slice(rows, 2, size(rows)), rows[0], {step})").alias("s"))
     return folded.select("content_hash", "s.question", "s.answer", "s.pending_review", "s.files")
+
+
+def set_images(rows: DataFrame, patch: DataFrame) -> DataFrame:
+    """Rows whose id the patch names get its images, as file names; names that are no file name go."""
+    names = F.filter(F.transform("images", basename), lambda x: x.isNotNull())
+    return rows.join(patch.select("id", names.alias("_images")), "id", "left").withColumn("images", F.coalesce("_images", "images")).drop("_images")
+
+
+def variants(rows: DataFrame, subject: str = "默认", source: str = "变式生成") -> DataFrame:
+    """Reviewed variants as a batch to import; a blank subject and a missing source get their defaults."""
+    given = F.when(strip(F.coalesce("subject", F.lit(""))) != "", F.col("subject")).otherwise(F.lit(subject))
+    out = rows.withColumn("subject", given)
+    return out if "source_file" in rows.columns else out.withColumn("source_file", F.lit(source))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qbank.functions.text import anchors
+from qbank.functions.text import anchors, latex_ok
 
 
 def attribute(marks: DataFrame) -> DataFrame:
@@ -70,3 +70,42 @@ def image_status(mean: Column, deviation: Column) -> Column:
 def covers_page(width: Column, height: Column, page_width: Column, page_height: Column, share: float = 0.85) -> Column:
     """At least 85 % of both dimensions."""
     return (width >= share * page_width) & (height >= share * page_height)
+
+
+def attach_by_number(questions: DataFrame, images: DataFrame) -> DataFrame:
+    """Each question (doc, key) with the names of the images that carry its number, in order; an empty list without any."""
+    lists = images.where("question IS NOT NULL").groupBy("doc", F.col("question").alias("key")).agg(
+        F.array_sort(F.collect_list(F.struct("event_id", "fname"))).getField("fname").alias("images")
+    )
+    return questions.join(lists, ["doc", "key"], "left").withColumn("images", F.coalesce("images", F.array().cast("array<string>")))
+
+
+def pair_in_order(images: DataFrame, questions: DataFrame) -> DataFrame:
+    """The i-th image of a document with its i-th question; what has no partner is left out."""
+    nth = lambda order: F.row_number().over(Window.partitionBy("doc").orderBy(order))
+    return images.withColumn("nth", nth("event_id")).join(questions.withColumn("nth", nth("key")), ["doc", "nth"]).select("doc", "key", "fname")
+
+
+def rewrite_by_class(anchored: DataFrame, classes: DataFrame) -> DataFrame:
+    """Anchors of formulas as their LaTeX where that is valid, of decoration as nothing; other anchors stay."""
+    new = F.when((F.col("kind") == "formula") & latex_ok(F.col("latex")), F.concat(F.lit("$"), "latex", F.lit("$"))).when(F.col("kind") == "decorative", "")
+    swaps = (
+        anchored.select("id", F.explode(F.array_distinct(anchors(F.col("question")))).alias("name")).join(classes, "name")
+        .select("id", F.concat(F.lit("【图:"), "name", F.lit("】")).alias("old"), new.alias("new")).where("new IS NOT NULL")
+        .groupBy("id").agg(F.collect_list(F.struct("old", "new")).alias("swaps"))
+    )
+    swapped = F.aggregate("swaps", F.col("question"), lambda text, swap: F.replace(text, swap.old, swap.new))
+    return anchored.join(swaps, "id", "left").withColumn("question", F.coalesce(swapped, "question")).drop("swaps")
+
+
+def image_context(texts: DataFrame, width: int = 80) -> DataFrame:
+    """For each image the start of the first line, by id and place, that holds its anchor."""
+    lines = texts.select("id", F.posexplode(F.split("question", "\n")).alias("pos", "line"))
+    named = lines.select("id", "pos", F.substring("line", 1, width).alias("head"), F.explode(anchors(F.col("line"))).alias("name"))
+    return named.groupBy("name").agg(F.min_by("head", F.struct("id", "pos")).alias("context"))
+
+
+def image_lists(images: DataFrame) -> DataFrame:
+    """The images of each document that stay, are skipped and are normalised, in order."""
+    chosen = lambda status: F.array_sort(F.collect_list(F.when(F.col("status") == status, F.col("name"))))
+    return images.groupBy("doc").agg(chosen("kept").alias("usable"), chosen("black").alias("skipped"), chosen("normalized").alias("normalized"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qbank.functions.answers import check_answers
@@ -56,3 +56,8 @@ def rollup(graded: DataFrame, points: int = 10) -> DataFrame:
     return graded.groupBy("paper_id").agg(
         (is_("correct") * points).alias("score"), is_("correct").alias("n_correct"), is_("wrong").alias("n_wrong"), is_("pending").alias("n_pending")
     ).withColumn("status", F.when(F.col("n_pending") > 0, "pending").otherwise("graded"))
+
+
+def paper_id(time: Column, key: Column) -> Column:
+    """P, the time to the second and four digits of the key's hash, so that a rerun gives the same id."""
+    return F.concat(F.lit("P"), F.date_format(time, "yyyyMMddHHmmss"), F.substring(F.md5(key.cast("string")), 1, 4))

@@ -46,6 +46,10 @@ from events where event_type in ('signup', 'view')""",
  when 3 then concat('下列说法正确的是', chr(10), '电磁波是横波', chr(10), text) else text end as text from documents""",
     "exam": f"""select doc_id, concat('一、单选题', chr(10), '1. ', {_w(3)}, ' ', {_w(5)}, ' 正确的是（ ）', chr(10), 'A. ', {_w(7)}, chr(10), 'B. ', {_w(11)}, chr(10), '答案：B', chr(10),
  '二、填空题', chr(10), '2. ', {_w(13)}, ' = ____', chr(10), '答案：', {_w(7)}, chr(10), '三、判断题', chr(10), '3. ', {_w(17)}, ' ', {_w(19)}, chr(10), '答案：正确') as text from documents""",
+    "latexed": """select doc_id, case doc_id % 3 when 0 then replace(text, ' t', concat(' ', chr(92), 'zq t'))
+ when 1 then replace(text, ' t', concat(' ', chr(92), 'alpha t')) else text end as text from documents""",
+    "replies": """select event_id, concat(chr(10), ' ', case event_id % 6 when 0 then '不正确' when 1 then '正确' when 2 then '不完全对' when 3 then '回答错误'
+ when 4 then '对，但不全' else coalesce(props, '') end) as reply from events""",
     "incoming": """select id as seq, subject, course, qtype_raw, case when id % 3 = 0 then concat(question, '；') when id % 3 = 1 then question
  else concat(question, ' #', cast(id as string)) end as question, answer, 'batch2.txt' as source_file, id % 11 = 0 as pending_review
 from bank where id % 2 = 0""",

@@ -11,6 +11,7 @@ from qbank.functions import answers as A
 from qbank.functions import text as X
 from qbank.operators import bank as B
 from qbank.operators import layout as L
+from qbank.operators import lines as N
 from qbank.operators import papers as P
 from qbank.operators import search as S
 from qbank.plans.fixtures import view, with_views
@@ -256,6 +257,97 @@ _add("entry_type_distribution", f"SELECT pos, dim.qtype, {_LABEL.format('dim.qty
     lambda s, d: B.qtype_counts(B.first_per_key(_bank(s, d).select("id", "qtype", "content_hash"), "content_hash", "id"))
 )
 
+# Records, images and their classes.
+_RECORDS = f"""(SELECT *, CASE WHEN n_pending > 0 THEN 'pending' ELSE 'graded' END AS status FROM (SELECT paper_id AS id, count(*) FILTER (st = 'correct') AS n_correct,
+ count(*) FILTER (st = 'pending') AS n_pending FROM (SELECT paper_id, {_STATUS} AS st FROM {_SUBMITTED}) GROUP BY paper_id))"""
+_add("B5_list_records", f"SELECT id, n_correct, n_pending FROM {_RECORDS} WHERE status = 'pending' ORDER BY id DESC LIMIT 50")(
+    lambda s, d: B.page(P.rollup(P.grade(_bank(s, d), view(s, d, "submissions"))).where("status = 'pending'").withColumnRenamed("paper_id", "id"), 1, 50).select("id", "n_correct", "n_pending")
+)
+_add("B15_set_images", "SELECT a.id, CASE WHEN i.seq IS NULL THEN coalesce(a.image, '') ELSE concat(i.source_file, ',img1.png') END AS images FROM anchored a LEFT JOIN incoming i ON i.seq = a.id")(
+    lambda s, d: B.set_images(
+        view(s, d, "anchored").select("id", F.array_compact(F.array("image")).alias("images")),
+        _batch(s, d).select(F.col("seq").alias("id"), F.array(F.concat(F.lit("dir/"), "source_file"), F.lit("a\\b/img1.png"), F.lit("x/..")).alias("images")),
+    ).select("id", F.array_join("images", ",").alias("images"))
+)
+_NUMBERED = "(SELECT doc, event_id, fname, question FROM (SELECT *, last_value(key IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page, y, kind, event_id ROWS UNBOUNDED PRECEDING) AS question FROM marks) WHERE kind = 1)"
+_KEYS = "(SELECT DISTINCT doc, key FROM marks WHERE kind = 0)"
+_LISTS = f"(SELECT doc, question AS key, string_agg(fname, ',' ORDER BY event_id) AS images, count(*) AS n FROM {_NUMBERED} WHERE question IS NOT NULL GROUP BY 1, 2)"
+
+
+def _keys(spark, sf) -> DataFrame:
+    return view(spark, sf, "marks").where("kind = 0").select("doc", "key").distinct()
+
+
+_add("C3_image_by_qnum", f"SELECT k.doc, k.key, coalesce(l.images, '') AS images, coalesce(l.n, 0) AS n FROM {_KEYS} k LEFT JOIN {_LISTS} l ON l.doc = k.doc AND l.key = k.key")(
+    lambda s, d: L.attach_by_number(_keys(s, d), L.attribute(view(s, d, "marks"))).select("doc", "key", F.array_join("images", ",").alias("images"), F.size("images").cast("long").alias("n"))
+)
+_PAIRED = "SELECT i.doc, q.key, i.fname FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY event_id) AS nth FROM {0}) i JOIN (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY key) AS nth FROM {1}) q ON q.doc = i.doc AND q.nth = i.nth"
+_add("C4_image_sequential", _PAIRED.format(f"(SELECT * FROM {_NUMBERED} WHERE question IS NULL)", f"(SELECT k.* FROM {_KEYS} k ANTI JOIN {_LISTS} l ON l.doc = k.doc AND l.key = k.key)"))(
+    lambda s, d: (lambda images: L.pair_in_order(images.where("question IS NULL"), L.attach_by_number(_keys(s, d), images).where("size(images) = 0")))(L.attribute(view(s, d, "marks")))
+)
+_add("C5_image_zip", _PAIRED.format(_NUMBERED, _KEYS))(lambda s, d: L.pair_in_order(L.attribute(view(s, d, "marks")), _keys(s, d)))
+_CLASSES = "(SELECT name, n, CASE n % 3 WHEN 0 THEN 'formula' WHEN 1 THEN 'decorative' ELSE 'diagram' END AS kind FROM (SELECT name, cast(regexp_extract(name, '[0-9]+', 0) AS BIGINT) AS n FROM files))"
+_NAMED = "(SELECT *, regexp_extract(question, '【图:([^】]+)】', 1) AS name FROM anchored)"
+_add("C7_image_class_rewrite", f"SELECT a.id, CASE c.kind WHEN 'formula' THEN replace(question, concat('【图:', a.name, '】'), concat('$x_{{', c.n, '}}$')) WHEN 'decorative' THEN replace(question, concat('【图:', a.name, '】'), '') ELSE question END AS question FROM {_NAMED} a LEFT JOIN {_CLASSES} c ON c.name = a.name")(
+    lambda s, d: L.rewrite_by_class(
+        view(s, d, "anchored"),
+        view(s, d, "files").withColumn("n", F.regexp_extract("name", "[0-9]+", 0).cast("long")).select(
+            "name", F.when(F.col("n") % 3 == 0, "formula").when(F.col("n") % 3 == 1, "decorative").otherwise("diagram").alias("kind"), F.concat(F.lit("x_{"), "n", F.lit("}")).alias("latex")
+        ),
+    ).select("id", "question")
+)
+_add("H16_image_context", f"SELECT name, arg_min(substring(question, 1, 80), id) AS context FROM {_NAMED} WHERE name <> '' GROUP BY name")(lambda s, d: L.image_context(view(s, d, "anchored")))
+_listed = lambda status: f"coalesce(string_agg(cast(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER ({status}), '')"
+_BLACK = "value < 5 AND event_id % 16 < 8"
+_add("I14_image_prep", f"SELECT user_id AS doc, {_listed('value >= 128')} AS usable, {_listed(_BLACK)} AS skipped, {_listed(f'value < 128 AND NOT ({_BLACK})')} AS normalized FROM events GROUP BY user_id")(
+    lambda s, d: L.image_lists(view(s, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("name"), L.image_status(F.col("value"), F.col("event_id") % 16).alias("status"))).select(
+        "doc", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("usable", "skipped", "normalized")]
+    )
+)
+
+# Lines, texts and replies.
+_EXAM_LINES = "(SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM exam))"
+_add("E2_carry_forward", f"SELECT doc_id, pos, last_value(CASE WHEN regexp_matches(line, '^[一二三]、') THEN substring(line, 3) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM {_EXAM_LINES}")(
+    lambda s, d: N.carry_forward(N.numbered(view(s, d, "exam")), F.when(F.col("line").rlike("^[一二三]、"), F.expr("substring(line, 3)")), "section").select("doc_id", "pos", "section")
+)
+_add("E3_block_id", rf"SELECT doc_id, pos, cast(sum(CASE WHEN regexp_matches(line, '^[0-9]+\. ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM {_EXAM_LINES}")(
+    lambda s, d: N.block_ids(N.numbered(view(s, d, "exam")), F.col("line").rlike(r"^[0-9]+\. ")).select("doc_id", "pos", "block")
+)
+_add("D11_quality_profile", f"SELECT doc_id, len({_LINES}) AS n_lines, len({_TOKENS}) AS n_tokens FROM noisy")(
+    lambda s, d: view(s, d, "noisy").select("doc_id", X.line_count(F.col("text")).alias("n_lines"), X.token_count(F.col("text")).alias("n_tokens"))
+)
+_KNOWN = ", ".join(f"'{x}'" for x in sorted({k.lower() for k in X.KNOWN_COMMANDS}))
+_add("H9_broken_latex_count", rf"SELECT doc_id, len(list_filter(regexp_extract_all(text, '\\([a-zA-Z]{{2,}})\s+[a-zA-Z]', 1), lambda x: lower(x) NOT IN ({_KNOWN}))) AS n FROM latexed")(
+    lambda s, d: view(s, d, "latexed").select("doc_id", X.broken_commands(F.col("text")).alias("n"))
+)
+_add("H23_verdict_parse", """SELECT event_id, CASE WHEN regexp_matches(line, '不正确|不完全对|不完全|错误|错|否|×') THEN 'false' WHEN regexp_matches(line, '正确|对|√|是') THEN 'true' END AS verdict
+ FROM (SELECT event_id, list_filter(list_transform(string_split(reply, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1] AS line FROM replies)""")(
+    lambda s, d: view(s, d, "replies").select("event_id", A.verdict(F.col("reply")).cast("string").alias("verdict"))
+)
+_add("H38_paper_id_time", "SELECT event_id, concat('P', strftime(ts, '%Y%m%d%H%M%S'), substring(md5(cast(event_id AS VARCHAR)), 1, 4)) AS paper_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at FROM events")(
+    lambda s, d: view(s, d, "events").select("event_id", P.paper_id(F.col("ts"), F.col("event_id")).alias("paper_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+)
+_WORSE = f"CASE WHEN trim(text) = '' THEN 100 ELSE least({_SCORE}, 100) END"
+_add("I12_ocr_choice", f"""SELECT n.doc_id, CASE WHEN n.s < 30 THEN 'kept' WHEN trim(d.text) <> '' AND d.s < n.s THEN 'replaced' ELSE 'rejected' END AS outcome
+ FROM (SELECT doc_id, {_WORSE} AS s FROM noisy) n JOIN (SELECT doc_id, text, {_WORSE} AS s FROM documents) d ON d.doc_id = n.doc_id""")(
+    lambda s, d: X.choose_text(view(s, d, "noisy").join(view(s, d, "documents").select("doc_id", F.col("text").alias("other")), "doc_id"), "text", "other").select("doc_id", "outcome")
+)
+_add("I15_import_variants", f"SELECT seq, coalesce(nullif(trim(subject), ''), '默认') AS subject, '变式生成' AS source_file, outcome FROM {_OUTCOME}")(
+    lambda s, d: B.outcomes(_bank(s, d), B.variants(_batch(s, d).drop("source_file"))).select("seq", "subject", "source_file", "outcome")
+)
+
+
+def _answered(spark, sf, *kinds: str) -> DataFrame:
+    own = _bank(spark, sf).where(F.col("qtype").isin(*kinds)).select(F.col("id").alias("question_id"), "qtype", "answer")
+    return A.check_answers(P.last_answers(view(spark, sf, "submissions")).join(own, "question_id"), "user_answer", "answer").select("paper_id", "question_id", "ok")
+
+
+_ok = lambda test, types: f"SELECT paper_id, question_id, r <> '' AND ({_NORMALISED}) <> '' AND coalesce({test}, false) AS ok FROM {_SUBMITTED} WHERE qtype IN {types}"
+_add("H18_check_choice", _ok(f"({_NORMALISED}) = ({_NORMAL_R})", "('single_choice', 'multiple_choice')"))(lambda s, d: _answered(s, d, "single_choice", "multiple_choice"))
+_U, _R = _NUMBER.format("u"), _NUMBER.format("r")
+_add("H20_check_calc", _ok(f"abs(({_U}) - ({_R})) <= greatest(5e-4 * greatest(abs({_U}), abs({_R})), 1e-6)", "('calc')"))(lambda s, d: _answered(s, d, "calc"))
+_add("H21_check_blank", _ok(f"{_PARTS.format('u')} = {_PARTS.format('r')}", "('blank')"))(lambda s, d: _answered(s, d, "blank"))
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
