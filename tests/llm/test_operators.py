@@ -262,6 +262,20 @@ def test_token_counts(spark):
 HARD = ["a  b   c", " lead", "trail ", "two\n\nlines \n x", "mark ▁ and ▁▁x", "nul \0 in", "\0", "\0a", "東京🙂", "▁", " ", "\n", "a\r\n\tb"]
 
 
+def test_piece_dropout_cuts_and_agendas():
+    """Chunks end only where no merge can cross, and both kinds of agenda give the same."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, own = piece_dropout.pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    marked = ['f(x);}, {"a": [1,2]}...', "e.g. 3.14, no.", "«mot», l'été?!", "a&&b || !c", "x='y';", "--(a)-- (b).c", ",", "a,b,,c , d", "http://a.b/c?d=e&f=g", "word,\nnext.\n\n(end)", "ab12,34;5:6", "“q”…"]
+    for t in marked + [t for t in corpus(11, 40) if t and "▁" not in t and "\0" not in t]:
+        assert model.encode(t, None)[0].tolist() == own.encode(t), t
+        for chunk in {c.replace(" ", "▁") for c in t.split("\n")}:
+            for key in (None, 5):
+                assert model._merge_short(chunk, key, 2**30) == model._merge_long(chunk, key, 2**30)
+
+
 def test_piece_dropout(spark):
     import sentencepiece
 
