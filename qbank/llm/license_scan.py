@@ -14,7 +14,8 @@ from ._common import IS_WORD, WORD_BYTES, add_columns, expand_rows, words
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Templates by label. A block that holds THRESHOLD of a template's distinct words carries its label.
+#: Templates by label. A block that holds THRESHOLD of a template's distinct words carries its label. Blocks are the lines and,
+#: line ends ignored, all runs of as many words as the template has, divided by THRESHOLD: room for as many strange words.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2.0",
     "mit": "released under the mit license",
@@ -63,6 +64,7 @@ class Index:
             for at, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.postings.setdefault(w, []).append((len(self.templates), at))
             self.templates.append((label, ordered, need))
+        self.spans = {label: math.ceil(len(words(t.encode())) / threshold - 1e-9) for label, t in TEMPLATES.items()}
 
     def matches(self, block: set[bytes]) -> dict[str, float]:
         """Templates that the block contains to the threshold, with their containment."""
@@ -83,6 +85,27 @@ class Index:
                     out[label] = common / len(ordered)
         return out
 
+    def passages(self, text: list[bytes], among: dict[str, float]) -> dict[str, float]:
+        """Those of the templates among that some run of the text's words contains to the threshold, with the greatest containment."""
+        out = {}
+        for label, ordered, need in self.templates:
+            if label not in among:
+                continue
+            held, span, inside, first, best = frozenset(ordered), self.spans[label], Counter(), 0, 0
+            places = [i for i, w in enumerate(text) if w in held]
+            for i in places:
+                inside[text[i]] += 1
+                while places[first] <= i - span:
+                    gone = text[places[first]]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    first += 1
+                best = max(best, len(inside))
+            if best >= need:
+                out[label] = best / len(ordered)
+        return out
+
 
 def scan_text(text: str | None, index: Index) -> tuple:
     """(words, base places, first word, last word, base labels, labels, score) of one text."""
@@ -98,11 +121,13 @@ def scan_text(text: str | None, index: Index) -> tuple:
                 base.add(label)
     labels, score = set(base), 1.0 if base else 0.0
     if any(w in low for w in index.postings):
-        for line in low.split(b"\n"):
-            if any(w in line for w in index.postings):
-                for label, x in index.matches(set(words(line))).items():
-                    labels.add(label)
-                    score = max(score, x)
+        text = words(low)
+        # What the whole text does not hold, no block of it does.
+        if among := index.matches(set(text)):
+            blocks = [index.matches(set(words(line))) for line in low.split(b"\n") if any(w in line for w in index.postings)]
+            for found in [*blocks, index.passages(text, among)]:
+                labels.update(found)
+                score = max(score, *found.values(), 0.0)
     return (
         len(starts), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
     )
@@ -114,7 +139,9 @@ def scan(docs: DataFrame) -> DataFrame:
     docs needs text; every other column stays (those named as results are replaced). Words are runs of ASCII letters, digits and
     non-ASCII characters, A-Z lower-cased; a null text is empty: no words, no labels, score 0. n_base counts the places where
     the words of a base phrase stand one after another; first_word and last_word are their least and greatest first word.
-    labels adds to the base labels each template of which some block (line of text) holds at least 0.8 of the distinct words.
+    labels adds to the base labels each template of which some block holds at least 0.8 of the distinct words. Blocks are the
+    lines, and all runs of words of 1.25 times the template's length whatever line ends they cross, so that a notice counts
+    however it is wrapped.
     score is 1 for a text with a base phrase, else the greatest containment that reached 0.8, else 0.
 
     The templates are a fixed, short list, so their prefix index goes to every task and texts are joined to it without a shuffle.

@@ -362,6 +362,19 @@ def test_license_scan(spark):
     assert license_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    rng = random.Random(4)
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy */"
+    grant = "\n".join(license_scan.TEMPLATES["mit-grant"].split())
+    long = prose(rng, 20000) + " " + bsd.replace("\n", " ") + " " + prose(rng, 20000)
+    apart = ("\n" + prose(rng, 5) + "\n").join(license_scan.TEMPLATES["mit-grant"].split())
+    texts = [bsd, prose(rng, 50) + "\n" + mpl + "\n" + prose(rng, 50), grant, long, apart]
+    got = {r["doc_id"]: r for r in license_scan.scan(frame(spark, texts)).collect()}
+    assert [got[i]["labels"] for i in range(5)] == ["bsd-3-clause", "mpl-2.0", "mit-grant", "bsd-3-clause", ""]
+    assert [got[i]["score"] for i in range(5)] == [1, 1, 1, 1, 0]
+
+
 def test_pii(spark, tmp_path):
     texts = [
         None, "", "a@b.c x@y z@@q.de mail: j.doe+1@ex-a.co.uk.", "1.2.3.4.5.6.7.8 and 256.1.1.1 v1.2.3.4", "card 4273 7339 4472 9324 and 4111-1111-1111-1111, 4111111111111112",
