@@ -6,18 +6,21 @@ import heapq
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import add_columns
+from ._common import add_columns, mix
 
-#: Share of candidate merges that are skipped, the seed, and the number of segmentations among which documents are dealt.
-DROPOUT, SEED, VARIANTS = 0.1, 20240601, 4
-#: Chunks whose ids a worker remembers (about 300 bytes each); it forgets all when there are more.
+#: Share of candidate merges that are skipped, and the seed.
+DROPOUT, SEED = 0.1, 20240601
+#: Segmentations of chunks that a worker remembers (about 300 bytes each); it forgets all when there are more.
 REMEMBERED = 1_200_000
+#: Most skips of a segmentation that is remembered; those with more seldom come again.
+DEEP = 2
 #: Longest chunk, in characters, whose agenda is a flat list.
 SHORT = 48
 SPACE = "▁"
@@ -25,15 +28,16 @@ SPACE = "▁"
 MARKS = ".,;:!?&()\"«»…"
 
 
-class _Known(dict):
-    """What a worker remembers of one segmentation: ids and skips of each chunk, made when first asked for."""
+def _waits(floor: int) -> list[int]:
+    """Bounds among 64-bit draws: as many as a draw reaches are the candidates that pass before one is skipped (a geometric law).
 
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, chunk: str) -> tuple[bytes, int]:
-        got = self[chunk] = self.make(chunk)
-        return got
+    What is left beyond the last bound is less than 2**-53, or begins after a million candidates.
+    """
+    left, out = 1.0, []
+    while floor and left > 2**-53 and len(out) < 1 << 20:
+        left *= 1 - floor / 2**32
+        out.append(int((1 - left) * 2**64))
+    return out
 
 
 class Pieces:
@@ -57,54 +61,73 @@ class Pieces:
             self.bytes_of[i] = names[i].replace(SPACE, " ").encode()
         for b, i in self.byte_id.items():
             self.bytes_of[i] = bytes([b])
-        self.known: dict[tuple, _Known] = {}
+        #: (ids, candidates after the last skip) of chunks, without skips and by the skips made; no key or seed is part of it.
+        self.whole: dict[str, tuple[bytes, int]] = {}
+        self.skipping: dict[tuple[str, tuple], tuple[bytes, int]] = {}
+        self.waits: dict[int, tuple[list[int], np.ndarray]] = {}
         #: What one run of merges can reach: no piece crosses from a word to the space before the next, a line end, or a mark of that kind.
         joined = {y for p in self.rank for x, y in zip(p, p[1:]) if x.isalnum()}
         marks = re.escape("".join(c for c in MARKS if c not in joined) or "\n")
         other = rf"[^ \n\0{marks}]*+"
         self.chunks = re.compile(rf"\n|\0| *[{marks}]*(?:{other}(?<![^\W_])[{marks}]+)*{other}" if marks != "\\\n" else rf"\n|\0| *{other}").findall
 
-    def merge(self, chunk: str, key: int | None, dropout: float) -> tuple[list[str], int]:
-        """The symbols of a chunk after the agenda is empty, and the number of candidates skipped.
+    def merge(self, chunk: str, key: int | None, floor: int) -> tuple[list[str], tuple[int, ...], int]:
+        """The symbols of a chunk after the agenda is empty, the skips, and the number of candidates after the last skip.
 
         The agenda holds adjacent pairs that form a piece, best rank first, leftmost first of equals. A popped candidate is
-        skipped if the keyed hash of its place and piece falls below the dropout; key None skips nothing. A word's agenda is a
-        flat list, whose least entry is quick to find; that of a long run of characters is a heap. Both give the same.
+        skipped with the chance floor / 2**32. The draws follow from the key: each tells how many candidates pass before the
+        next skip, and the skips are named by these numbers; key None skips nothing. A word's agenda is a flat list, whose
+        least entry is quick to find; that of a long run of characters is a heap. Both give the same.
         """
-        return (self._merge_short if len(chunk) <= SHORT else self._merge_long)(chunk, key, int(dropout * 2**32))
+        return (self._merge_short if len(chunk) <= SHORT else self._merge_long)(chunk, key, floor)
+
+    def _bounds(self, floor: int) -> tuple[list[int], np.ndarray]:
+        if floor not in self.waits:
+            bounds = _waits(floor)
+            self.waits[floor] = bounds, np.array([min(b, 2**64 - 1) for b in bounds], dtype=np.uint64)
+        return self.waits[floor]
 
-    def _merge_short(self, chunk: str, key: int | None, floor: int) -> tuple[list[str], int]:
-        symbols, get, none, hashed = list(chunk), self.rank.get, len(self.names), xxhash.xxh32_intdigest
+    def _merge_short(self, chunk: str, key: int | None, floor: int) -> tuple[list[str], tuple[int, ...], int]:
+        symbols, get, none = list(chunk), self.rank.get, len(self.names)
         agenda = [get(a + b, none) for a, b in zip(chunk, chunk[1:])]
-        place, skipped = list(range(len(symbols))), 0
+        bounds = self._bounds(floor)[0] if key is not None and floor else None
+        due, passed, skips = bisect_right(bounds, key) if bounds else -1, 0, []
         while agenda and (r := min(agenda)) < none:
-            i, piece = agenda.index(r), self.names[r]
-            if key is not None and hashed(piece, (key + place[i] * 0x9E3779B1) & 0xFFFFFFFF) < floor:
-                skipped += 1
+            i = agenda.index(r)
+            if passed == due:
+                skips.append(due)
+                key = _next(key)
+                due, passed = bisect_right(bounds, key), 0
                 agenda[i] = none
                 continue
-            symbols[i] = piece
-            del symbols[i + 1], place[i + 1], agenda[i]
+            passed += 1
+            symbols[i] = piece = self.names[r]
+            del symbols[i + 1], agenda[i]
             if i < len(agenda):
                 agenda[i] = get(piece + symbols[i + 1], none)
             if i:
                 agenda[i - 1] = get(symbols[i - 1] + piece, none)
-        return symbols, skipped
+        return symbols, tuple(skips), passed
 
-    def _merge_long(self, chunk: str, key: int | None, floor: int) -> tuple[list[str], int]:
+    def _merge_long(self, chunk: str, key: int | None, floor: int) -> tuple[list[str], tuple[int, ...], int]:
         symbols: list[str | None] = list(chunk)
-        n, rank, skipped = len(symbols), self.rank, 0
+        n, rank = len(symbols), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(r, i, p) for i in range(n - 1) if (r := rank.get(p := symbols[i] + symbols[i + 1])) is not None]
         heapq.heapify(agenda)
+        bounds = self._bounds(floor)[0] if key is not None and floor else None
+        due, passed, skips = bisect_right(bounds, key) if bounds else -1, 0, []
         while agenda:
             r, i, piece = heapq.heappop(agenda)
             j = after[i] if symbols[i] is not None else n
             if j >= n or symbols[i] + symbols[j] != piece:
                 continue
-            if key is not None and xxhash.xxh32_intdigest(piece, (key + i * 0x9E3779B1) & 0xFFFFFFFF) < floor:
-                skipped += 1
+            if passed == due:
+                skips.append(due)
+                key = _next(key)
+                due, passed = bisect_right(bounds, key), 0
                 continue
+            passed += 1
             symbols[i], symbols[j] = piece, None
             after[i] = k = after[j]
             if k < n:
@@ -113,7 +136,7 @@ class Pieces:
                     heapq.heappush(agenda, (r, i, p))
             if (h := before[i]) >= 0 and (r := rank.get(p := symbols[h] + piece)) is not None:
                 heapq.heappush(agenda, (r, h, p))
-        return [s for s in symbols if s is not None], skipped
+        return [s for s in symbols if s is not None], tuple(skips), passed
 
     def spell(self, symbols: list[str]) -> list[int]:
         get, out = self.id_of.get, []
@@ -125,38 +148,68 @@ class Pieces:
                 out.append(i)
         return out
 
-    def _chunk(self, raw: str, seed: int | None, dropout: float) -> tuple[bytes, int]:
-        """Ids of a chunk with the spaces before it, and skipped merges; marks that the text itself holds are spelt in bytes."""
+    def _chunk(self, raw: str, key: int | None, floor: int) -> tuple[bytes, int]:
+        """Ids of a chunk with the spaces before it, and the number of skips; marks that the text itself holds are spelt in bytes.
+
+        What is remembered is looked up by the skips that the key makes, so it gives what a new run would.
+        """
         if raw == "\0":
-            return np.array([self.byte_id[b] for b in SPACE.encode()], dtype="<u4").tobytes(), 0
-        c = raw.replace(" ", SPACE)
-        symbols, skipped = self.merge(c, None if seed is None else xxhash.xxh32_intdigest(c, seed & 0xFFFFFFFF), dropout)
-        return array("I", self.spell(symbols)).tobytes(), skipped
+            self.whole[raw] = got = np.array([self.byte_id[b] for b in SPACE.encode()], dtype="<u4").tobytes(), 0
+            return got
+        if key is not None and floor and (got := self.whole.get(raw)) is not None:
+            bounds, draw, skips = self._bounds(floor)[0], key, ()
+            while got is not None:
+                if (wait := bisect_right(bounds, draw)) >= got[1]:
+                    return got[0], len(skips)
+                skips += (wait,)
+                got, draw = self.skipping.get((raw, skips)), _next(draw)
+        symbols, skips, passed = self.merge(raw.replace(" ", SPACE), key, floor)
+        ids = array("I", self.spell(symbols)).tobytes()
+        if not skips:
+            self.whole[raw] = ids, passed
+        elif len(skips) <= DEEP and len(raw) <= SHORT:
+            self.skipping[raw, skips] = ids, passed
+        return ids, len(skips)
 
     def encode(self, text: str, seed: int | None = SEED, dropout: float = DROPOUT) -> tuple[np.ndarray, int]:
-        """Ids of a text and the number of skipped merges; seed None gives the model's own segmentation."""
+        """Ids of a text and the number of skipped merges; seed None gives the model's own segmentation.
+
+        Every chunk has a draw of its own, made of the seed and its place in the text, so a word is cut anew each time.
+        """
         if not text:
             return np.zeros(0, dtype="<u4"), 0
         # \0 stands for a mark that the text holds (a text that holds \0 is rare and is spelt in bytes there).
         if "\0" in text:
             parts = text.split("\0")
-            got = [self.encode(p, seed, dropout) if i == 0 else self._rest(p, seed, dropout) for i, p in enumerate(parts)]
+            got = [self.encode(p, seed, dropout) if i == 0 else self._rest(p, seed, dropout, i << 40) for i, p in enumerate(parts)]
             zero = np.array([self.byte_id[0]], dtype="<u4")
             first = got[0][0] if parts[0] else np.array([self.id_of[SPACE]], dtype="<u4")
             ids = [first] + [x for g in got[1:] for x in (zero, g[0])]
             return np.concatenate(ids), sum(g[1] for g in got)
         return self._rest(" " + text, seed, dropout)
 
-    def _rest(self, text: str, seed: int | None, dropout: float) -> tuple[np.ndarray, int]:
+    def _rest(self, text: str, seed: int | None, dropout: float, place: int = 0) -> tuple[np.ndarray, int]:
         if not text:
             return np.zeros(0, dtype="<u4"), 0
-        if sum(map(len, self.known.values())) > REMEMBERED:
-            self.known.clear()
-        known = self.known.get((seed, dropout))
-        if known is None:
-            known = self.known[seed, dropout] = _Known(lambda c: self._chunk(c, seed, dropout))
-        got = [known[c] for c in self.chunks(text.replace(SPACE, "\0"))]
-        return np.frombuffer(b"".join([g[0] for g in got]), dtype="<u4"), sum([g[1] for g in got])
+        if len(self.whole) + len(self.skipping) > REMEMBERED:
+            self.whole.clear()
+            self.skipping.clear()
+        chunks, get, floor = self.chunks(text.replace(SPACE, "\0")), self.whole.get, int(dropout * 2**32)
+        if seed is None or not floor:
+            ids = [got[0] if (got := get(c)) is not None else self._chunk(c, None, 0)[0] for c in chunks]
+            return np.frombuffer(b"".join(ids), dtype="<u4"), 0
+        start = np.uint64(xxhash.xxh64_intdigest(b"", seed & 0xFFFFFFFFFFFFFFFF))
+        draws = mix(start + np.arange(place, place + len(chunks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        waits = np.searchsorted(self._bounds(floor)[1], draws, side="right").tolist()
+        ids, skipped = [], 0
+        for i, (c, wait) in enumerate(zip(chunks, waits)):
+            if (got := get(c)) is not None and got[1] <= wait:
+                ids.append(got[0])
+            else:
+                made, k = self._chunk(c, int(draws[i]), floor)
+                ids.append(made)
+                skipped += k
+        return np.frombuffer(b"".join(ids), dtype="<u4"), skipped
 
     def decode(self, ids) -> str:
         """The text: pieces joined, marks as spaces, without the first mark. The inverse of encode for every seed."""
@@ -164,6 +217,10 @@ class Pieces:
         return b"".join([table[i] for i in ids])[1:].decode()
 
 
+def _next(draw: int) -> int:
+    return xxhash.xxh64_intdigest(b"", draw)
+
+
 _MODELS: dict[str, Pieces] = {}
 
 
@@ -173,21 +230,22 @@ def pieces(path: str) -> Pieces:
     return _MODELS[path]
 
 
-def encode(docs: DataFrame, model_path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """docs with ids (array<int>) and n_skipped.
 
     docs needs doc_id and text; every other column stays (those named as results are replaced). A null or empty text has no ids.
-    Each document is dealt one of `variants` segmentations by a hash of its doc_id and the seed; in one segmentation a word is
-    always cut alike, so a worker can remember words. Other seeds give other segmentations. dropout 0 gives the model's own.
+    Every occurrence of a word is cut by draws of its own, keyed by the seed, the doc_id and the place in the text. Workers
+    remember a word's ids by the skips made, which depends on no key. Other seeds give other segmentations. dropout 0 gives the
+    model's own.
     """
 
-    def run(variant: list, texts: list) -> list[list]:
+    def run(keys: list, texts: list) -> list[list]:
         model = pieces(model_path)
-        got = [model.encode(t or "", seed * 31 + v if dropout > 0 else None, dropout) for v, t in zip(variant, texts, strict=True)]
+        got = [model.encode(t or "", k if dropout > 0 else None, dropout) for k, t in zip(keys, texts, strict=True)]
         return [[g[0].astype(np.int32) for g in got], [g[1] for g in got]]
 
-    dealt = docs.withColumn("_variant", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(variants)))
-    return add_columns(dealt, ["_variant", "text"], run, "ids array<int>, n_skipped long", drop=("_variant",))
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.lit(seed)))
+    return add_columns(keyed, ["_key", "text"], run, "ids array<int>, n_skipped long", drop=("_key",))
 
 
 def decode(coded: DataFrame, model_path: str) -> DataFrame:
@@ -195,15 +253,15 @@ def decode(coded: DataFrame, model_path: str) -> DataFrame:
     return add_columns(coded, ["ids"], lambda ids: [[pieces(model_path).decode(i or []) for i in ids]], "decoded string")
 
 
-def round_trip(docs: DataFrame, model_path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """doc_id, n_pieces, n_skipped, ids_crc32 and lossless of each document: encode, decode and compare in one pass."""
 
-    def run(variant: list, texts: list) -> list[list]:
+    def run(keys: list, texts: list) -> list[list]:
         model, out = pieces(model_path), []
-        for v, t in zip(variant, texts, strict=True):
-            ids, skipped = model.encode(t or "", seed * 31 + v if dropout > 0 else None, dropout)
+        for k, t in zip(keys, texts, strict=True):
+            ids, skipped = model.encode(t or "", k if dropout > 0 else None, dropout)
             out.append((len(ids), skipped, zlib.crc32(ids.tobytes()), model.decode(ids.tolist()) == (t or "")))
         return [list(c) for c in zip(*out, strict=True)] or [[]] * 4
 
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(variants)).alias("_variant"))
-    return add_columns(dealt, ["_variant", "text"], run, "n_pieces long, n_skipped long, ids_crc32 long, lossless boolean", drop=("_variant", "text"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", F.lit(seed)).alias("_key"))
+    return add_columns(keyed, ["_key", "text"], run, "n_pieces long, n_skipped long, ids_crc32 long, lossless boolean", drop=("_key", "text"))

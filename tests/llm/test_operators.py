@@ -300,6 +300,24 @@ def test_piece_dropout(spark):
     assert piece_dropout.round_trip(frame(spark, []), path).count() == 0
 
 
+def test_piece_dropout_cuts_a_word_anew_each_time(spark):
+    """Many segmentations of one word, in one document and over documents; skips at the rate asked for; memory changes nothing."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, n = piece_dropout.pieces(path), 3000
+    coded = piece_dropout.encode(frame(spark, ["international\n" * n] + ["international"] * 400), path).collect()
+    one = next(r for r in coded if r["doc_id"] == 0)
+    line = model.encode("\n", None)[0].tolist()[-1]
+    inside = {tuple(g) for end, g in itertools.groupby(one["ids"], lambda i: i == line) if not end}
+    assert len(inside) > 10 and len({tuple(r["ids"]) for r in coded if r["doc_id"]}) > 10
+    merges = model.merge("international", None, 0)[2]
+    first = [model.merge("international", int(k), int(0.1 * 2**32))[1][:1] for k in np.random.default_rng(1).integers(0, 2**64, n, dtype=np.uint64)]
+    for g in range(merges):
+        assert sum(s == (g,) for s in first) / n == pytest.approx(0.1 * 0.9**g, abs=0.02)
+    texts = [t for t in corpus(12, 20) if t] + HARD
+    warm = [model.encode(t, 9, 0.3)[0].tolist() for t in texts]
+    assert warm == [model.encode(t, 9, 0.3)[0].tolist() for t in texts] == [piece_dropout.Pieces(path).encode(t, 9, 0.3)[0].tolist() for t in texts]
+
+
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = packing.WordTokenizer(path)
