@@ -52,15 +52,15 @@ class Unigram:
                         best = (s + x, t - 1, f)
             path.append(best)
 
-    def learn(self, words: list[str]) -> None:
-        """Walks the trie of the words in order: the path holds one forward score for each prefix, and is only taken back to
-        the prefix shared with the next word. At a terminal the counts are stored."""
+    def learn(self, words: set[str]) -> None:
+        """Walks the trie of the words, each with its mark, in order: the path holds one forward score for each prefix, and is
+        only taken back to the prefix shared with the next word. At a terminal the counts are stored under the word itself."""
         path, last = [(0.0, 0, 0)], ""
-        for word in sorted(words):
+        for word in sorted(SPACE + w for w in words):
             if not word.startswith(last):
                 del path[len(commonprefix((last, word))) + 1 :]
             self.extend(word, path)
-            self.known[word] = (-path[-1][1], -path[-1][2])
+            self.known[word[len(SPACE) :]] = (-path[-1][1], -path[-1][2])
             last = word
 
     def counts(self, texts: list[str]) -> list[tuple[int, int, int]]:
@@ -70,9 +70,7 @@ class Unigram:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = set().union(*bags)
-        self.learn([SPACE + w for w in new])
-        for w in new:
-            self.known[w] = self.known.pop(SPACE + w)
+        self.learn(new)
         out = []
         for bag in bags:
             tokens = spelt = 0

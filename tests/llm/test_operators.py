@@ -262,6 +262,16 @@ def test_token_counts(spark):
 HARD = ["a  b   c", " lead", "trail ", "two\n\nlines \n x", "mark ▁ and ▁▁x", "nul \0 in", "\0", "\0a", "東京🙂", "▁", " ", "\n", "a\r\n\tb"]
 
 
+def test_token_counts_of_marked_words():
+    """A word that begins with the mark, met before or together with the same word without it."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, other = token_counts.Unigram(path), token_counts.Unigram(path)
+    (marked,), ((plain,), (twice,)) = other.counts(["▁foo"]), (token_counts.Unigram(path).counts([t]) for t in ("foo", "▁▁foo"))
+    assert model.counts(["▁foo"]) == [marked]
+    assert model.counts(["▁foo foo"]) == [tuple(a + b for a, b in zip(marked, plain))]
+    assert model.counts(["▁▁foo", "▁foo", "foo"]) == [twice, marked, plain]
+
+
 def test_piece_dropout_cuts_and_agendas():
     """Chunks end only where no merge can cross, and both kinds of agenda give the same."""
     import sentencepiece
