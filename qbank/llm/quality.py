@@ -12,20 +12,23 @@ from pyspark.sql import functions as F
 
 from ._common import add_columns, expand_rows
 
-#: A statistic of a text, the value from which its labeller votes "low" and the value up to which it votes "high" (None:
-#: never; between them it abstains). A statistic that is low in bad text has its bounds the other way round.
+#: A statistic of a text, the value from which its labeller votes "low", the range in which it votes "high" (None: never;
+#: elsewhere it abstains), and the accuracy it is credited with before any text is seen. Kinds of bad text that are common on the
+#: web have two labellers each, which overlap; a text that only differs from prose (verse, code, lists, other scripts) gets no
+#: vote for that.
 LABELLERS = (
-    ("symbols", 0.30, None),  # of # $ % & * ~ ^ for each word
-    ("capitals", 0.50, None),  # share of ASCII letters
-    ("echoes", 0.30, None),  # share of words equal to the word before
-    ("variety", 0.10, None),  # distinct words / words
-    ("bars", 0.10, None),  # of | < > { } for each word
-    ("shouts", 0.50, None),  # of ! ? for each word
-    ("same_lines", 0.60, None),  # share of lines that occur before
-    ("sentences", 0.002, None),  # of full stops before white space, for each word
-    ("unlike_prose", 0.30, 0.12),  # echoes, plus bytes for each word that are no letters, digits or plain punctuation
+    ("runs", 0.20, None, 0.9),  # of a doubled # $ % & * ~ ^, for each word
+    ("symbols", 0.60, None, 0.9),  # of # $ % & * ~ ^ for each word
+    ("capitals", 0.60, None, 0.9),  # share of ASCII letters
+    ("shouts", 0.20, None, 0.9),  # of a doubled ! or ?, for each word
+    ("echoes", 0.30, None, 0.9),  # share of words equal to the word before
+    ("same_triples", 0.60, None, 0.9),  # share of three successive words that occur before
+    ("bars", 0.20, None, 0.9),  # share of words that are a lone |
+    ("wordless", 0.40, None, 0.9),  # share of words without a letter or digit
+    ("same_lines", 0.60, None, 0.9),  # share of lines of two words and more that occur before
+    ("odd", None, (0.0, 0.12), 0.8),  # echoes, plus bytes for each word that are no letters, digits or plain punctuation
+    ("sentences", None, (0.5, 1.0), 0.7),  # share of bytes in sentences of plain words that end with a full stop, less echoes
 )
-_FALLING = {"variety", "sentences"}
 #: Dimensions of the hashed scorer, the documents it is fitted on at most, and the score from which a document is kept.
 DIMENSIONS, SAMPLE, KEEP_FROM = 1024, 4000, 0.5
 #: Texts of fewer words give no vote: ratios of a handful of words say little.
@@ -38,23 +41,38 @@ for _b in range(256):
 
 
 _ODD = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'-()\"")
+_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: Bytes that a plain sentence does not hold become NUL; a sentence has this many bytes at the least.
+_IN_SENTENCE = bytes(0 if b in _ODD or b < 9 else b for b in range(256))
+_SENTENCE = 15
+#: Full stops of other scripts.
+_STOPS = ("。".encode(), "।".encode(), "۔".encode())
+#: Bytes that make a word where a script puts no spaces; ASCII words are shorter on average.
+_BYTES_A_WORD = 12
 
 
 def statistics(data: bytes) -> tuple[float, ...] | None:
-    """The statistics in the order of LABELLERS; None for a text of too few words."""
+    """The statistics in the order of LABELLERS; None for a text of too few words. Shares of fewer than ten things are 0."""
     words = data.split()
-    n = len(words)
+    n = max(len(words), len(data) // _BYTES_A_WORD)
     if n < FEWEST_WORDS:
         return None
     of = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
     count = lambda chars: int(of[list(chars)].sum())
+    doubled = lambda chars: sum(data.count(bytes([c, c])) for c in chars if of[c] > 1)
     upper, lower = int(of[65:91].sum()), int(of[97:123].sum())
-    lines = data.split(b"\n")
+    lines = [line for line in data.split(b"\n") if len(line.split(None, 2)) > 1]
+    triples = max(0, len(words) - 2)
     echoes = sum(map(eq, words, words[1:])) / n
-    stops = (data.count(b". ") + data.count(b".\n") + data.endswith(b".")) / n
+    plain = data.translate(_IN_SENTENCE)
+    for stop in _STOPS:
+        plain = plain.replace(stop, b".") if of[stop[0]] else plain
+    sentences = sum(len(x) + 1 for x in plain.split(b".")[:-1] if len(x) >= _SENTENCE and 0 not in x)
     return (
-        count(b"#$%&*~^") / n, upper / max(1, upper + lower), echoes, len(set(words)) / n, count(b"|<>{}") / n, count(b"!?") / n,
-        1 - len(set(lines)) / len(lines), stops if n >= 40 else 1.0, echoes + count(_ODD) / n + (stops == 0) * 0.15,
+        doubled(b"#$%&*~^") / n, count(b"#$%&*~^") / n, upper / (upper + lower) if upper + lower >= 10 else 0.0, doubled(b"!?") / n, echoes,
+        1 - len(set(zip(words, words[1:], words[2:]))) / triples if triples >= 10 else 0.0, words.count(b"|") / n,
+        1 - len(data.translate(None, _PUNCTUATION).split()) / len(words) if len(words) >= 10 else 0.0,
+        1 - len(set(lines)) / len(lines) if len(lines) >= 10 else 0.0, echoes + count(_ODD) / n, sentences / len(plain) - echoes,
     )
 
 
@@ -62,26 +80,28 @@ def votes(stats: tuple[float, ...] | None) -> tuple[int, ...]:
     """-1 (low), 1 (high) or 0 of each labeller."""
     if stats is None:
         return (0,) * len(LABELLERS)
-    out = []
-    for x, (name, low, high) in zip(stats, LABELLERS, strict=True):
-        sign = -1 if name in _FALLING else 1
-        out.append(-1 if sign * x >= sign * low else 1 if high is not None and sign * x <= sign * high else 0)
-    return tuple(out)
+    return tuple(
+        -1 if low is not None and x >= low else 1 if high and high[0] <= x <= high[1] else 0
+        for x, (_, low, high, _) in zip(stats, LABELLERS, strict=True)
+    )
 
 
 def estimate(counts: dict[tuple[int, ...], int], rounds: int = 200) -> dict[tuple[int, ...], float]:
     """Expectation-maximisation over vote patterns: the probability that a text with each pattern is high.
 
     Each labeller has one accuracy, the chance that a vote of its is right; whether it votes says nothing, because bad text comes
-    in kinds and most labellers know one kind. The share of high texts is estimated too. Begins with accuracies of 0.8, which
-    fixes which class is which; accuracies are smoothed by ten votes at 0.8 and held within 0.55 and 0.999.
+    in kinds and most labellers know one kind. The share of high texts is estimated too. Begins with the accuracies credited,
+    which fixes which class is which. Accuracies are smoothed by two votes at 0.6, so that a labeller that hardly ever votes in this
+    corpus carries little weight, and held within 0.55 and 0.999; the share is held at 0.8 at the most, or else a few bad texts
+    among many good ones would be taken for slips of the labellers. 
     """
     if not counts:
         return {}
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], dtype=float)
     cast = np.array(patterns, dtype=float)
-    accuracy, share, high = np.full(cast.shape[1], 0.8), 0.8, None
+    start = [a for *_, a in LABELLERS] if cast.shape[1] == len(LABELLERS) else [0.8] * cast.shape[1]
+    accuracy, share, high = np.array(start), 0.8, None
     for _ in range(rounds):
         odds = np.log(share / (1 - share)) + cast @ np.log(accuracy / (1 - accuracy))
         new = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
@@ -89,8 +109,8 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 200) -> dict[tupl
             break
         high = new
         right = n @ ((cast > 0) * high[:, None] + (cast < 0) * (1 - high)[:, None])
-        accuracy = np.clip((right + 8) / (n @ (cast != 0) + 10), 0.55, 0.999)
-        share = np.clip((n @ high + 8) / (n.sum() + 10), 0.05, 0.95)
+        accuracy = np.clip((right + 1.2) / (n @ (cast != 0) + 2), 0.55, 0.999)
+        share = np.clip((n @ high + 8) / (n.sum() + 10), 0.2, 0.8)
     return dict(zip(patterns, high.tolist(), strict=True))
 
 
@@ -124,7 +144,7 @@ def _count_patterns(texts: list) -> tuple[list, list]:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
     """The probability of each vote pattern, from all documents, and the scorer's weights, from `sample` of them at most.
 
-    The pattern counts are bounded by 2**8 * 3 whatever the corpus. The sample is the rows of least hash of doc_id and text.
+    The pattern counts are bounded by 2**11 whatever the corpus. The sample is the rows of least hash of doc_id and text.
     """
     body = docs.select("doc_id", "text")
     counted = expand_rows(body, [], ["text"], _count_patterns, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
