@@ -32,7 +32,7 @@ def words(data: bytes) -> list[bytes]:
 
 
 def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Bounds what one Arrow batch of whole texts can hold."""
+    """Bounds what one Arrow batch of whole texts can hold. Spark has this as a setting of the session only; README names it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
@@ -41,11 +41,13 @@ def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
 def add_columns(df: DataFrame, inputs: list[str], fn: Callable, ddl: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """df with columns that fn makes of the input columns, batch by batch: fn(list, ...) -> list of columns, in the order of ddl.
 
-    All other columns pass through Arrow untouched, whatever their type and nulls. drop names columns that do not pass.
+    All other columns pass through Arrow untouched, whatever their type and nulls. drop names columns that do not pass; a column
+    that has the name of a new one, in whatever case, is replaced.
     """
     small_batches(df.sparkSession)
     new = T._parse_datatype_string(ddl)
-    kept = [f for f in df.schema.fields if f.name not in drop and f.name not in new.names]
+    replaced = {n.lower() for n in (*drop, *new.names)}
+    kept = [f for f in df.schema.fields if f.name.lower() not in replaced]
     names, kinds = [f.name for f in kept], [f.type for f in to_arrow_schema(new)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,22 +80,82 @@ def expand_rows(df: DataFrame, keep: list[str], inputs: list[str], fn: Callable,
     return df.mapInArrow(run, T.StructType([*kept, *new.fields]))
 
 
+def over_runs(df: DataFrame, keys: list[str], order: list[str], fn: Callable, ddl: str, parts: int, rows: int = 4096) -> DataFrame:
+    """Applies fn to the rows of df dealt by keys and sorted by keys and order: fn(pa.Table of whole runs) -> list of columns.
+
+    A run holds all rows of equal keys (longs); many runs come in one call, so short ones cost no call of their own. What a task
+    holds at once is `rows` rows and one run.
+    """
+    new = T._parse_datatype_string(ddl)
+    kinds = [f.type for f in to_arrow_schema(new)]
+
+    def made(table: pa.Table) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [c if isinstance(c, pa.Array) else pa.array(c, type=k) for c, k in zip(fn(table), kinds, strict=True)], names=list(new.names)
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, limit = [], 0, rows
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= limit:
+                table = pa.Table.from_batches(held)
+                if last := int(run_bounds(table, keys)[-2]):
+                    yield made(table.slice(0, last))
+                held, n = table.slice(last).to_batches(), n - last
+                limit = max(rows, 2 * n)
+        if n:
+            yield made(pa.Table.from_batches(held))
+
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, new)
+
+
+def run_bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where the runs of equal keys begin, and the end of the table."""
+    change = np.zeros(max(0, table.num_rows - 1), dtype=bool)
+    for k in keys:
+        v = table.column(k).to_numpy()
+        change |= v[1:] != v[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one is set only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, local mode gets one of its own (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    return f"{named.rstrip('/')}/qbank-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: the lineage ends there and any executor can reread it."""
+    """Writes df to the shared folder and reads it again: the lineage ends there and any executor can reread it.
+
+    The tables of an application stay in a folder of its own until drop_tables, or until whoever looks after the shared folder
+    removes it: results that are not yet written may read them.
+    """
+    return _cut(df)[0]
+
+
+def _cut(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Removes what cut has written in this application; call it once all results are written."""
+    _remove(spark, shared_folder(spark))
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -107,7 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
     depends on more than the one before it. Nodes without an edge do not appear. Nothing is collected but a checksum.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, seen = cut(e), None
+    (e, path), seen = _cut(e), None
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen or not state[0]:
@@ -118,7 +180,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).union(low).distinct())
+        before = path
+        e, path = _cut(rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).union(low).distinct())
+        _remove(e.sparkSession, before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

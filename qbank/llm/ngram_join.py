@@ -5,17 +5,17 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Forest, add_columns, components, cut, prefix_values, window_values, words
+from ._common import Forest, add_columns, components, cut, over_runs, prefix_values, run_bounds, shuffle_parts, window_values, words
 
 WORDS, THRESHOLD = 5, 0.8
-#: Trees of the forest, hash values on a full path, and the recall at the threshold that ends the shortening of paths.
+#: Trees of the forest, hash values on a full path, and the recall that ends the shortening of matched prefixes.
 TREES, PATH, RECALL = 24, 6, 0.99999
-#: Documents compared at once; larger buckets and groups are cut into blocks of this size.
-BLOCK = 1024
+#: Documents and shingles compared at once; larger buckets and groups are cut into blocks of this size.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 _RNG = np.random.default_rng(77)
 _A = (_RNG.integers(0, 2**31, TREES * PATH, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -28,11 +28,8 @@ def recall_at(depth: int, similarity: float = THRESHOLD, trees: int = TREES) ->
 
 
 def depth_for(recall: float = RECALL, similarity: float = THRESHOLD) -> int:
-    """Shortens the full path until the expected recall at the threshold reaches the target (1 value at the least)."""
-    depth = PATH
-    while depth > 1 and recall_at(depth, similarity) < recall:
-        depth -= 1
-    return depth
+    """The longest prefix that reaches this recall even if every similar pair is only just at the threshold (1 at the least)."""
+    return next((d for d in range(PATH, 1, -1) if recall_at(d, similarity) >= recall), 1)
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
@@ -57,106 +54,175 @@ def signature(values: np.ndarray) -> np.ndarray:
     return out.reshape(TREES, PATH)
 
 
-def _sign(depth: int):
-    place = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    odd = (np.arange(PATH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-
-    def run(texts: list) -> list[list]:
-        kinds, sigs, keys = [], [], []
-        for text in texts:
-            s = shingles(text)
-            if not len(s):
-                kinds.append(None), sigs.append(None), keys.append(None)
-                continue
-            sig = signature(s)
-            path = sig.astype(np.uint64) + np.uint64(1)
-            key = place + ((path ^ (path << np.uint64(29))) * odd)[:, :depth].sum(axis=1, dtype=np.uint64)
-            key = (key ^ (key >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-            kinds.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            sigs.append(sig.astype(np.uint8).tobytes())
-            keys.append(key.view(np.int64))
-        return [kinds, sigs, keys]
-
-    return run
+def _sign(texts: list) -> list[list]:
+    """For each text: a digest of its set of shingles, its paths (16 bits a value, one tree after another) and how many there are."""
+    kinds, sigs, sizes = [], [], []
+    for text in texts:
+        s = shingles(text)
+        sizes.append(len(s))
+        kinds.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+        sigs.append(signature(s).astype(">u2").tobytes() if len(s) else None)
+    return [kinds, sigs, sizes]
 
 
 #: Estimates from TREES * PATH values are off by less than MARGIN, six standard deviations, for pairs at the threshold.
 MARGIN = 6 * (THRESHOLD * (1 - THRESHOLD) / (TREES * PATH)) ** 0.5
+#: Estimates from which a pair is a candidate, and from which a document may be similar to one that is near a leader.
+NEAR = THRESHOLD - MARGIN
+REACH = max(0.0, NEAR + THRESHOLD - 1 - MARGIN)
+#: Buckets of up to this many documents are compared pair by pair, larger ones through leaders; both find every candidate.
+FEW = 32
+
+_LINKED = "key long, part long, a long, b long, alike float, lead boolean, sig binary"
+
+
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint16).reshape(table.num_rows, -1)
 
 
-def _link_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chains the documents of one trie prefix: all pairs by their estimates, or in a large bucket through leaders.
+def _link_buckets(table: pa.Table) -> list:
+    """Links each document of a trie node to the candidates in it: one edge a document, from it to the root of its chain.
 
-    There, members are taken in the order of their paths, as in the sorted trie. A document opens a leader unless an earlier leader is
-    so near that whatever is similar to the document is near the leader too; it is chained to every leader within that wider
-    reach. Two documents at the threshold thus always meet in one chain, with as many comparisons as documents times leaders.
+    In a large node, documents are taken in the order of their paths, as in the sorted trie. A document opens a leader unless an
+    earlier leader is so near that whatever is similar to the document is near the leader too; it is chained to every leader within
+    that wider reach. Two documents at the threshold thus always meet in one chain, with as many comparisons as documents times
+    leaders. Rows of leaders keep their signatures, for the other parts of a node that is dealt out in parts.
     """
-    pdf = pdf.sort_values(["sig", "node"])
-    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), -1)
-    node, forest = pdf["node"].to_numpy(), Forest(len(pdf))
-    near = THRESHOLD - MARGIN
-    reach = max(0.0, near + THRESHOLD - 1 - MARGIN)
-    todo, leaders = np.arange(len(pdf)), []
-    if len(pdf) <= BLOCK:
-        for i in range(0, len(pdf), 32):
-            a, b = np.nonzero((sig[i : i + 32, None, :] == sig[None, i:, :]).mean(axis=2) >= near)
-            forest.join_all(a + i, b + i)
-        todo = todo[:0]
+    sig, node = _signatures(table), table.column("node").to_numpy()
+    bounds = run_bounds(table, ["key", "part"])
+    size = np.diff(bounds)
+    root = np.arange(len(node))
+    lead = np.zeros(len(node), dtype=bool)
+    split = table.column("split").to_numpy(zero_copy_only=False)
+    two = bounds[:-1][size == 2]
+    close = (sig[two] == sig[two + 1]).mean(axis=1) >= NEAR
+    root[two[close] + 1] = two[close]
+    for i, n in zip(bounds[:-1].tolist(), size.tolist(), strict=True):
+        if split[i]:
+            lead[i : i + n], forest = _lead(sig[i : i + n])
+        elif n <= 2:
+            continue
+        elif n <= FEW:
+            a, b = np.nonzero(np.triu((sig[i : i + n, None] == sig[None, i : i + n]).mean(axis=2) >= NEAR, 1))
+            forest = Forest(n)
+            forest.join_all(a, b)
+        else:
+            _, forest = _lead(sig[i : i + n])
+        root[i : i + n] = forest.up + i
+    keep = np.flatnonzero((root != np.arange(len(node))) | lead)
+    kept = [x if led else None for x, led in zip(table.column("sig").take(pa.array(keep)).to_pylist(), lead[keep].tolist(), strict=True)]
+    return [
+        table.column("key").to_numpy()[keep], table.column("part").to_numpy()[keep], node[keep], node[root[keep]],
+        (sig[keep] == sig[root[keep]]).mean(axis=1).astype(np.float32), lead[keep], kept,
+    ]
+
+
+def _lead(sig: np.ndarray) -> tuple[np.ndarray, Forest]:
+    forest, lead, todo = Forest(len(sig)), np.zeros(len(sig), dtype=bool), np.arange(len(sig))
     while len(todo):
         alike = (sig == sig[todo[0]]).mean(axis=1)
-        within = np.flatnonzero(alike >= reach)
+        within = np.flatnonzero(alike >= REACH)
         forest.join_all(np.full(len(within), todo[0]), within)
-        leaders.append(todo[0])
-        todo = todo[1:][alike[todo[1:]] < near]
-    lead = np.zeros(len(pdf), dtype=bool)
-    lead[leaders] = True
-    return pd.DataFrame({"a": node, "b": node[forest.up], "key": pdf["key"].to_numpy(), "lead": lead, "sig": pdf["sig"].to_numpy()})
+        lead[todo[0]] = True
+        todo = todo[1:][alike[todo[1:]] < NEAR]
+    return lead, forest
+
 
+def _link_to_leaders(table: pa.Table) -> list:
+    """Chains the members of one part of a large node to the leaders of its other parts, within the same reach."""
+    sig, node, lead = _signatures(table), table.column("node").to_numpy(), table.column("lead").to_numpy(zero_copy_only=False)
+    bounds = run_bounds(table, ["key", "part"])
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        forest = Forest(j - i)
+        for x in np.flatnonzero(lead[i:j]):
+            within = np.flatnonzero((sig[i:j] == sig[i + x]).mean(axis=1) >= REACH)
+            forest.join_all(np.full(len(within), x), within)
+        a.append(node[i:j]), b.append(node[i + forest.up])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return [a[a != b], b[a != b]]
 
-def _link_to_leaders(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chains the members of one part of a large bucket to the leaders of its other parts, within the same reach."""
-    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), -1)
-    node, lead = pdf["node"].to_numpy(), pdf["lead"].to_numpy()
-    reach, forest = max(0.0, 2 * THRESHOLD - 1 - 2 * MARGIN), Forest(len(pdf))
-    for i in np.flatnonzero(lead):
-        within = np.flatnonzero((sig == sig[i]).mean(axis=1) >= reach)
-        forest.join_all(np.full(len(within), i), within)
-    return pd.DataFrame({"a": node, "b": node[forest.up]}).query("a != b")
 
+def _common(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """How many shingles each of the first `left` sets shares with each of all sets."""
+    n = len(sets)
+    if n == 2:
+        both = np.searchsorted(sets[1], sets[0])
+        both[both == len(sets[1])] = 0
+        shared = np.count_nonzero(sets[1][both] == sets[0])
+        return np.array([[len(sets[0]), shared], [shared, len(sets[1])]], dtype=np.float32)[:left]
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    first = np.concatenate([[True], every[1:] != every[:-1]])
+    held = np.diff(np.append(np.flatnonzero(first), len(every)))
+    column = np.cumsum(first) - 1
+    shared = held[column] > 1
+    owner, column = owner[shared], (np.cumsum(held > 1) - 1)[column[shared]]
+    common, width = np.zeros((left, n), dtype=np.float32), max(1, 4_000_000 // n)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, [low, low + width])
+        part = np.zeros((n, min(width, int(column[-1]) + 1 - low)), dtype=np.float32)
+        part[owner[i:j], column[i:j] - low] = 1
+        common += part[:left] @ part.T
+    return common
 
-def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _verify(table: pa.Table) -> list:
     """Exact Jaccard similarity of the documents of block i with those of block j of one group (i = j: with each other)."""
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    own = len(right) == 0
-    both = left if own else pd.concat([left, right])
-    sets = [shingles(t) for t in both["text"]]
-    size = np.array([len(s) for s in sets], dtype=np.float64)
-    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
-    shared = np.bincount(inverse, minlength=len(values))[inverse] > 1
-    inverse, owner = np.unique(inverse[shared], return_inverse=True)[1], owner[shared]
-    order = np.argsort(inverse, kind="stable")
-    inverse, owner = inverse[order], owner[order]
-    n, m = len(both), len(left)
-    common = np.zeros((m, n), dtype=np.float32)
-    width = max(1, 8_000_000 // n)
-    for low in range(0, int(inverse[-1]) + 1 if len(inverse) else 0, width):
-        i, j = np.searchsorted(inverse, [low, low + width])
-        part = np.zeros((n, width), dtype=np.float32)
-        part[owner[i:j], inverse[i:j] - low] = 1
-        common += part[:m] @ part.T
-    linked = common >= THRESHOLD * (size[:m, None] + size[None, :] - common) - 1e-9
-    linked &= common > 0
-    weight, node, forest = both["n"].to_numpy(), both["node"].to_numpy(), Forest(n)
-    if own:
-        np.fill_diagonal(linked, False)
-        links = linked @ weight
-    else:
-        linked = linked[:, m:]
-        links = np.concatenate([linked @ weight[m:], linked.T @ weight[:m]])
-    a, b = np.nonzero(linked)
-    forest.join_all(a, b + (0 if own else m))
-    return pd.DataFrame({"node": node, "links": links.astype(np.int64), "root": node[forest.up]})
+    bounds = run_bounds(table, ["grp", "i", "j"])
+    node, weight, side = (table.column(c).to_numpy() for c in ("node", "n", "side"))
+    texts = table.column("text").to_pylist()
+    links, root = np.zeros(len(node), dtype=np.int64), node.copy()
+    for f, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        n, m = e - f, int(np.count_nonzero(side[f:e] == 0))
+        own = m == n
+        if m == 0 or n < 2:
+            continue
+        sets = [shingles(t) for t in texts[f:e]]
+        size = np.array([len(s) for s in sets], dtype=np.float64)
+        common = _common(sets, m)
+        linked = common >= THRESHOLD * (size[:m, None] + size[None, :] - common) - 1e-9
+        linked &= common > 0
+        if own:
+            np.fill_diagonal(linked, False)
+            links[f:e] = linked @ weight[f:e]
+        else:
+            linked = linked[:, m:]
+            links[f : f + m], links[f + m : e] = linked @ weight[f + m : e], linked.T @ weight[f : f + m]
+        forest, (a, b) = Forest(n), np.nonzero(linked)
+        forest.join_all(a, b + (0 if own else m))
+        root[f:e] = node[f:e][forest.up]
+    return [node, links, root]
+
+
+def _candidates(nodes: DataFrame, depth: int, parts: int, block: int) -> tuple[DataFrame, float]:
+    """Edges (a, b) that chain the candidates at one depth of the trie, and the estimated recall of what lies over the threshold.
+
+    Each edge carries the estimated similarity s of its ends. Pairs of similarity s share a prefix of this depth in some tree with
+    the chance P(s); so those found stand for the sum of 1 / P(s), and the recall is their number over that sum.
+    """
+    paths = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
+        "node", F.xxhash64("tree", F.expr(f"substring(sig, tree * {2 * PATH} + 1, {2 * depth})")).alias("key"),
+        F.expr(f"substring(sig, tree * {2 * PATH} + {2 * depth + 1}, {2 * (PATH - depth)})").alias("rest"),
+    )
+    busy = paths.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    met = paths.join(busy, "key").withColumn("split", F.col("m") > 4 * block).withColumn(
+        "part", F.when(F.col("split"), F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / (2 * block)).cast("long"))).otherwise(0)
+    ).join(nodes.select("node", "sig"), "node")
+    met = cut(met.select("key", "part", "split", "rest", "node", "sig"))
+    parts = max(parts, met.count() // 20_000)
+    first = cut(over_runs(met, ["key", "part"], ["rest", "node"], _link_buckets, _LINKED, parts))
+    heads = first.where("lead").join(met.where("split").select("key", F.col("part").alias("other")).distinct(), "key").where("part <> other")
+    second = over_runs(
+        met.where("split").select("key", "part", "node", "sig", F.lit(False).alias("lead"))
+        .union(heads.select("key", "other", "a", "sig", F.lit(True))), ["key", "part"], ["lead", "node"], _link_to_leaders, "a long, b long", parts,
+    )
+    found = first.where(F.col("alike") >= THRESHOLD).groupBy("a", "b").agg(F.first("alike").alias("s"))
+    chance = 1 - F.pow(1 - F.pow(F.col("s").cast("double"), F.lit(float(depth))), F.lit(float(TREES)))
+    seen = found.agg(F.count("*").alias("n"), F.sum(1 / chance).alias("total")).first()
+    return first.select("a", "b").union(second), (seen["n"] / seen["total"] if seen["n"] else recall_at(depth))
 
 
 def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -168,34 +234,28 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     null doc_id links with nothing and is kept (component_id is then doc_id). Rows that share a doc_id count as copies of one
     document if their texts do, else their links are joined under that id.
 
-    Documents with equal shingle sets become one node with a weight. Each node puts a prefix of its path into each tree; prefixes
-    held by one node alone are dropped by a count before anything wide is shuffled. A chain of likely neighbours through leaders
-    gives candidate groups, and every pair inside a group is checked exactly, block against block, which counts links without
-    emitting them.
+    Documents with equal shingle sets become one node with a weight. Each node puts its path into every tree of the forest, and
+    each tree is sorted. Matching begins at whole paths; while the recall estimated from what has been matched is below the
+    target, prefixes are shortened by one value and matched again. What shares a prefix and has like signatures is chained into
+    candidate groups, and every pair inside a group is checked exactly, block against block, which counts links without emitting
+    them. Blocks are bounded by documents and by shingles, so very long texts do not meet in one task.
     """
-    signed = cut(add_columns(docs.select("doc_id", "text"), ["text"], _sign(depth_for(recall)), "class binary, sig binary, keys array<long>", drop=("text",)))
+    signed = cut(add_columns(docs.select("doc_id", "text"), ["text"], _sign, "class binary, sig binary, size long", drop=("text",)))
     held = signed.where("class is not null and doc_id is not null")
-    nodes = cut(
-        held.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    )
-    paths = nodes.select("node", F.explode("keys").alias("key"))
-    busy = paths.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    met = paths.join(busy, "key").join(nodes.select("node", "sig"), "node").withColumn(
-        "part", F.when(F.col("m") > 4 * BLOCK, F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / (2 * BLOCK)).cast("long"))).otherwise(0)
-    )
-    met = cut(met)
-    first = cut(met.groupBy("key", "part").applyInPandas(_link_bucket, "a long, b long, key long, lead boolean, sig binary"))
-    large = met.where(F.col("m") > 4 * BLOCK)
-    heads = first.where("lead").join(large.select("key", "part").distinct(), "key").select("key", "part", F.col("a").alias("node"), "sig", F.lit(True).alias("lead"))
-    second = (
-        large.select("key", "part", "node", "sig", F.lit(False).alias("lead")).union(heads)
-        .groupBy("key", "part").applyInPandas(_link_to_leaders, "a long, b long")
-    )
-    group = components(first.select("a", "b").union(second)).withColumnRenamed("component", "grp")
-    sizes = group.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
-    members = cut(group.join(sizes, "grp").join(nodes.groupBy("node").agg(F.sum("n").alias("n")), "node")).withColumn(
-        "block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts"))
+    nodes = cut(held.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("size").alias("size")))
+    parts = shuffle_parts(docs.sparkSession)
+    for depth in range(PATH, 0, -1):
+        edges, estimate = _candidates(nodes, depth, parts, BLOCK)
+        if estimate >= recall or depth <= depth_for(recall):
+            break
+    group = components(edges).withColumnRenamed("component", "grp")
+    # A doc_id that stands for several texts is one node with all of them.
+    weight = nodes.groupBy("node").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    joined = cut(group.join(weight, "node"))
+    sizes = joined.groupBy("grp").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("parts")
     )
+    members = joined.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")))
     texts = docs.select("doc_id", "text").where("doc_id is not null").join(
         members.withColumnRenamed("node", "doc_id").hint("shuffle_hash"), "doc_id"
     ).select(F.col("doc_id").alias("node"), "text", "grp", "parts", "block", "n").dropDuplicates(["node", "text"])
@@ -205,7 +265,10 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         "node", "text", "grp", "n", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
     )
-    checked = cut(grid.groupBy("grp", "i", "j").applyInPandas(_verify, "node long, links long, root long"))
+    whole = joined.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    checked = cut(over_runs(
+        grid, ["grp", "i", "j"], ["side", "node"], _verify, "node long, links long, root long", max(parts, int(whole // (2 * BLOCK_SHINGLES))), 512
+    ))
     comp = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     by_class = (
