@@ -5,47 +5,47 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import add_columns, cut, expand_rows, prefix_values, window_values
+from ._common import add_columns, cut, expand_rows, over_runs, prefix_values, run_bounds, shuffle_parts, window_values, words
 
 #: Bytes of a repeated string.
 LENGTH = 400
 #: Bytes by which suffixes are put into buckets, at the sample positions of the cover.
 HEAD = 64
-#: Successive starts of which the cover holds at least one: two equal strings of LENGTH bytes have it at the same offset.
-GAP = LENGTH - HEAD + 1
-#: Spans of one bucket that one task sorts; beyond it the windows themselves are counted by a shuffle.
-BUCKET = 4096
+#: Spans of a bucket; larger buckets are dealt out again by SPLIT windows at a time, those of over 64 times as many by single ones.
+BUCKET, SPLIT = 4096, 32
+#: A passage, for which shorter strings count: bytes of a repeated string, and words of what such strings cover together.
+PASSAGE, PASSAGE_WORDS = 200, 50
 
 
-def cover(prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def cover(prefix: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The cover samples of a text: for each, its place, its bucket (value of its HEAD bytes), first and last window start.
 
-    The sample is content-synchronised: of each GAP successive HEAD-byte strings the one of least value is taken, the
-    leftmost if several are least. So it is a difference cover for equal strings of LENGTH bytes, which is what matters here,
-    with about 2 / GAP of all positions. Every window of LENGTH bytes belongs to the one sample that is chosen for it.
+    The sample is content-synchronised: of each `gap` successive HEAD-byte strings the one of least value is taken, the
+    leftmost if several are least. It does for equal strings of `length` bytes what a difference cover does for all pairs of
+    suffixes (both have a sample at the same offset), with about 2 / gap of all positions where an arithmetic difference cover
+    takes ten times as many. Every window of `length` bytes belongs to the one sample that is chosen for it.
     """
-    n = len(prefix) - 1 - LENGTH + 1
+    n, gap = len(prefix) - 1 - length + 1, length - HEAD + 1
     if n <= 0:
         return (np.zeros(0, dtype=np.int64),) * 4
-    at = np.arange(n + GAP - 1)
+    at = np.arange(n + gap - 1)
     value = window_values(prefix, at, at + HEAD)
-    # Sliding minimum over GAP values, from running minima of blocks of that size in both directions.
-    pad = -len(value) % GAP
-    blocks = np.concatenate([value, np.full(pad, 2**64 - 1, dtype=np.uint64)]).reshape(-1, GAP)
+    # Sliding minimum over gap values, from running minima of blocks of that size in both directions.
+    pad = -len(value) % gap
+    blocks = np.concatenate([value, np.full(pad, 2**64 - 1, dtype=np.uint64)]).reshape(-1, gap)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[:n], ahead[GAP - 1 : GAP - 1 + n])
+    least = np.minimum(back[:n], ahead[gap - 1 : gap - 1 + n])
     # The leftmost place of the least value in each window: occurrences of the value, searched from the window's start.
     change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     first, last, place = [], [], []
     for i, j in zip(change, np.append(change[1:], n), strict=True):
-        where = np.flatnonzero(value[i : j + GAP - 1] == least[i]) + i
+        where = np.flatnonzero(value[i : j + gap - 1] == least[i]) + i
         s = i
         for w in where:
             if s >= j:
@@ -58,27 +58,33 @@ def cover(prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return place, value[place], np.array(first), np.array(last)
 
 
-def _samples(texts: list) -> tuple[np.ndarray, list]:
-    """For each text its distinct spans (the bytes of all windows of one sample): bucket, value, windows, starts."""
-    rows, heads, values, widths, leads, starts, ends = [[np.zeros(0, dtype=np.int64)] for _ in range(7)]
-    total = 0
-    for i, text in enumerate(texts):
-        data = np.frombuffer((text or "").encode(), dtype=np.uint8)
-        if len(data) < LENGTH:
-            continue
-        prefix = prefix_values(data)
-        place, head, first, last = cover(prefix)
-        span = window_values(prefix, first, last + LENGTH)
-        order = np.lexsort((span, head))
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(span[order]) != 0) | (np.diff(head[order]) != 0)]))
-        pick = order[new]
-        rows.append(np.full(len(pick), i)), heads.append(head[pick].view(np.int64)), values.append(span[pick].view(np.int64))
-        widths.append((last - first + 1)[pick]), leads.append((place - first)[pick]), starts.append(first[order])
-        ends.append(np.append(new[1:], len(order)) + total)
-        total += len(order)
-    join = lambda parts, kind: np.concatenate(parts).astype(kind)
-    lists = pa.ListArray.from_arrays(pa.array(join([[0], *ends], np.int32)), pa.array(join(starts, np.int32)))
-    return join(rows, np.int64), [join(heads, np.int64), join(values, np.int64), join(widths, np.int32), join(leads, np.int32), lists]
+def _samples(lengths: tuple[int, ...]):
+    """For each text its distinct spans, each the bytes of all windows of one sample: bucket, value, windows, lead, bytes, starts."""
+    least, most = min(lengths), max(lengths)
+
+    def run(texts: list) -> tuple[np.ndarray, list]:
+        rows, heads, values, windows, leads, widths, starts, ends = [[np.zeros(0, dtype=np.int64)] for _ in range(8)]
+        total = 0
+        for i, text in enumerate(texts):
+            data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+            if len(data) < least:
+                continue
+            prefix = prefix_values(data)
+            place, head, first, last = cover(prefix, least)
+            end = np.minimum(last + most, len(data))
+            span = window_values(prefix, first, end) + (place - first).astype(np.uint64)
+            order = np.lexsort((span, head))
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(span[order]) != 0) | (np.diff(head[order]) != 0)]))
+            pick = order[new]
+            rows.append(np.full(len(pick), i)), heads.append(head[pick].view(np.int64)), values.append(span[pick].view(np.int64))
+            windows.append((last - first + 1)[pick]), leads.append((place - first)[pick]), widths.append((end - first)[pick])
+            starts.append(first[order]), ends.append(np.append(new[1:], len(order)) + total)
+            total += len(order)
+        join = lambda parts, kind: np.concatenate(parts).astype(kind)
+        lists = pa.ListArray.from_arrays(pa.array(join([[0], *ends], np.int32)), pa.array(join(starts, np.int32)))
+        return join(rows, np.int64), [join(heads, np.int64), join(values, np.int64), *(join(x, np.int32) for x in (windows, leads, widths)), lists]
+
+    return run
 
 
 def _pack(texts: list) -> list[list]:
@@ -91,130 +97,240 @@ def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _cut_spans(texts: list, spans: list) -> tuple[list, list]:
-    out = []
-    for text, own in zip(texts, spans, strict=True):
-        data = _unpack(text)
-        out += [(x["head"], x["span"], x["windows"], x["kinds"], data[x["start"] : x["start"] + x["windows"] + LENGTH - 1]) for x in own]
-    return [0] * len(out), [list(c) for c in zip(*out, strict=True)] or [[]] * 5
+def _cut_spans(lengths: tuple[int, ...]):
+    """The bytes of the wanted spans of each text, in pieces where their bucket is dealt out again (step > 0).
 
-
-def _windows(data: bytes, windows: int) -> np.ndarray:
-    at = np.arange(windows)
-    return window_values(prefix_values(np.frombuffer(data, dtype=np.uint8)), at, at + LENGTH)
-
-
-def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
-    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
-
-
-def _sort_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sorts the suffixes of one bucket by their next LENGTH bytes; ties are the repeated strings.
-
-    All suffixes of a bucket hold the bucket's HEAD bytes at the sample, so only suffixes at the same offset before it can tie.
-    Equal values are confirmed on the bytes themselves.
+    A piece has the windows that begin k * step to (k + 1) * step - 1 bytes before the sample. Its bucket is the value of the bytes
+    that all these windows hold, so what can be equal meets, and its sample is where these bytes begin.
+    """
+    least, most = min(lengths), max(lengths)
+
+    def run(texts: list, spans: list) -> tuple[list, list]:
+        buckets, heads, values, pieces, begins, windows, leads, single, data, steps = [], [], [], [], [], [], [], [], [], []
+        for text, own in zip(texts, spans, strict=True):
+            whole = _unpack(text)
+            for x in own:
+                got, step = whole[x["start"] : x["start"] + x["width"]], max(0, x["step"])
+                edges = [0, x["windows"]]
+                if step:
+                    edges = [0, *range((x["lead"] + 1) % step or step, x["windows"], step), x["windows"]]
+                    prefix = prefix_values(np.frombuffer(got, dtype=np.uint8))
+                    value = lambda i, j: int(window_values(prefix, np.array([i]), np.array([j])).view(np.int64)[0])  # noqa: B023, E731
+                for f, e in zip(edges, edges[1:]):
+                    at, end = x["lead"], len(got)
+                    bucket, piece = x["head"], x["span"]
+                    if step:
+                        k = (at - f) // step
+                        at, end = at - k * step, min(e - 1 + most, end)
+                        bucket = hash((bucket, k, value(at, at - step + 1 + least)))
+                        piece = value(f, end)
+                    buckets.append(bucket), heads.append(x["head"]), values.append(x["span"]), pieces.append(piece), begins.append(f)
+                    windows.append(e - f), leads.append(at - f), single.append(x["single"]), data.append(got[f:end]), steps.append(x["step"])
+        return [0] * len(heads), [steps, buckets, heads, values, pieces, begins, windows, leads, single, data]
+
+    return run
+
+
+_CUT = "bucket long, head long, span long, piece long, begin int, windows int, lead int, single boolean, bytes binary"
+
+
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of tuples of small whole numbers, the first the most significant."""
+    key = keys[0].astype(np.int64)
+    for k in keys[1:]:
+        key = key * (int(k.max(initial=0)) + 1) + k
+    return np.unique(key, return_inverse=True)[1]
+
+
+def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first column and end column of each run of True in the rows of a matrix."""
+    edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1]
+
+
+def _sort_buckets(lengths: tuple[int, ...]):
+    """Sorts the suffixes of whole buckets and gives the runs of suffixes that tie with another over each length.
+
+    First the suffixes at the samples are ranked by their bytes, at every depth. Each suffix before its sample is then ranked by
+    the bytes up to the sample, taken byte by byte backwards, and ties by the sample's rank at the depth that is left. Equal
+    ranks are equal bytes: no hash is compared here.
+    """
+    most = max(lengths)
+
+    def run(table: pa.Table) -> list:
+        span = table.column("bytes").to_pylist()
+        lead, begin, windows = (table.column(c).to_numpy().astype(np.int64) for c in ("lead", "begin", "windows"))
+        size = np.array([len(s) for s in span], dtype=np.int64)
+        n, back = len(span), int(lead.max())
+        # Spans side by side with their samples in one column; 256 where a span has no byte.
+        wide = max(back + int((size - lead).max()), back + 1)
+        column = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(back - lead, size)
+        grid = np.full((wide, n), 256, dtype=np.int16)
+        grid[column, np.repeat(np.arange(n), size)] = np.frombuffer(b"".join(span), dtype=np.uint8)
+        bounds = run_bounds(table, ["bucket"])
+        after = [np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))]  # after[q]: ranks of the q bytes from the sample on
+        for q in range(min(most, wide - back)):
+            after.append(_ranks(after[-1], grid[back + q]))
+        before, flags = np.zeros(n, dtype=np.int64), {x: np.zeros((n, back + 1), dtype=bool) for x in lengths}
+        for p in range(back + 1):
+            if p:
+                before = _ranks(grid[back - p], before)
+            for x in lengths:
+                if 0 <= x - p < len(after):
+                    fits = np.flatnonzero((p <= lead) & (lead - p < windows) & (size - lead + p >= x))
+                    which = _ranks(before[fits], after[x - p][fits])
+                    flags[x][fits, back - p] = np.bincount(which)[which] > 1
+        single, out = table.column("single").to_numpy(zero_copy_only=False), [[] for _ in range(4)]
+        for x in lengths:
+            row, first, end = _runs(flags[x] & single[:, None])
+            shift = lead[row] - back + begin[row]
+            out[0].append(row), out[1].append(np.full(len(row), x)), out[2].append(first + shift), out[3].append(end + shift)
+        row, length, first, end = (np.concatenate(o) for o in out)
+        return [table.column("head").to_numpy()[row], table.column("span").to_numpy()[row], length, first, end]
+
+    return run
+
+
+_HIT = "head long, span long, length int, first int, end int"
+
+
+def _list_windows(lengths: tuple[int, ...]):
+    """Every window of a span, with its value."""
+
+    def run(windows: list, spans: list) -> tuple[np.ndarray, list]:
+        rows, size, at, values = [], [], [], []
+        for i, (n, data) in enumerate(zip(windows, spans, strict=True)):
+            prefix = prefix_values(np.frombuffer(data, dtype=np.uint8))
+            for x in lengths:
+                start = np.arange(min(n, len(data) - x + 1))
+                rows.append(np.full(len(start), i)), size.append(np.full(len(start), x)), at.append(start)
+                values.append(window_values(prefix, start, start + x).view(np.int64))
+        join = lambda parts, kind: np.concatenate([np.zeros(0, dtype=kind), *parts]).astype(kind)
+        return join(rows, np.int64), [join(size, np.int32), join(at, np.int32), join(values, np.int64)]
+
+    return run
+
+
+def _covered(data: bytes, ranges: list) -> np.ndarray:
+    flags = np.zeros(len(data) + 1, dtype=np.int32)
+    np.add.at(flags, [r["start"] for r in ranges], 1)
+    np.add.at(flags, [r["end"] for r in ranges], -1)
+    return np.cumsum(flags[:-1]) > 0
+
+
+def _strip(length: int, fewest_words: int):
+    """Texts without what the ranges of this length cover, if a covered run has that many words at the least."""
+
+    def run(texts: list, ranges: list) -> list[list]:
+        rest, total, gone, runs = [], [], [], []
+        for text, own in zip(texts, ranges, strict=True):
+            data = (text or "").encode()
+            total.append(len(data))
+            covered = _covered(data, [r for r in own or () if r["length"] == length])
+            _, first, end = _runs(covered[None, :])
+            if fewest_words:
+                held = [(f, e) for f, e in zip(first.tolist(), end.tolist(), strict=True) if len(words(data[f:e])) >= fewest_words]
+                first, end = np.array(held, dtype=np.int64).reshape(-1, 2).T
+                covered = _covered(data, [{"start": f, "end": e} for f, e in held])
+            rest.append(np.frombuffer(data, dtype=np.uint8)[~covered].tobytes() if len(first) else data)
+            gone.append(int((end - first).sum())), runs.append(len(first))
+        return [rest, total, gone, runs]
+
+    return run
+
+
+def repeated_ranges(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
+    """Rows (doc_id, body, ranges of start, end, length) for the texts that hold strings of these lengths that also start elsewhere.
+
+    body tells texts of one doc_id apart. Ranges may overlap; their union is what such strings cover.
     """
-    spans = list(pdf["bytes"])
-    count = pdf["windows"].to_numpy()
-    value = np.concatenate([_windows(d, w) for d, w in zip(spans, count, strict=True)])
-    owner = np.repeat(np.arange(len(spans)), count)
-    begin = np.cumsum(count) - count
-    offset = np.arange(len(value)) - begin[owner]
-    order = np.argsort(value, kind="stable")
-    tie = value[order[1:]] == value[order[:-1]]
-    repeated = np.zeros(len(value), dtype=bool)
-    for i in np.flatnonzero(tie):
-        a, b = order[i], order[i + 1]
-        x, y = int(offset[a]), int(offset[b])
-        if not (repeated[a] and repeated[b]) and spans[owner[a]][x : x + LENGTH] == spans[owner[b]][y : y + LENGTH]:
-            repeated[a] = repeated[b] = True
-    out = [(h, s, *_runs(repeated[f : f + c])) for h, s, f, c in zip(pdf["head"], pdf["span"], begin, count, strict=True)]
-    return pd.DataFrame(out, columns=["head", "span", "first", "end"])
-
-
-def _list_windows(counts: list, spans: list) -> tuple[np.ndarray, list]:
-    values = [_windows(d, w).view(np.int64) for d, w in zip(spans, counts, strict=True)] or [np.zeros(0, dtype=np.int64)]
-    return np.repeat(np.arange(len(counts)), counts), [np.concatenate([np.arange(len(v), dtype=np.int32) for v in values]), np.concatenate(values)]
-
-
-def _strip(texts: list, ranges: list) -> list[list]:
-    rest, total, gone, runs = [], [], [], []
-    for text, own in zip(texts, ranges, strict=True):
-        data = (text or "").encode()
-        total.append(len(data))
-        if not own:
-            rest.append(data), gone.append(0), runs.append(0)
-            continue
-        flags = np.zeros(len(data) + 1, dtype=np.int32)
-        np.add.at(flags, [r["start"] for r in own], 1)
-        np.add.at(flags, [r["end"] for r in own], -1)
-        covered = np.cumsum(flags[:-1]) > 0
-        rest.append(np.frombuffer(data, dtype=np.uint8)[~covered].tobytes())
-        gone.append(int(covered.sum())), runs.append(len(_runs(covered)[0]))
-    return [rest, total, gone, runs]
-
-
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, body, ranges) for the texts that hold repeated strings; body tells texts of one doc_id apart."""
+    spark, least = docs.sparkSession, min(lengths)
+    parts = shuffle_parts(spark)
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), "text")
-    samples = cut(expand_rows(keyed, ["doc_id", "body"], ["text"], _samples, "head long, span long, windows int, lead int, starts array<int>"))
-    # A bucket with a single place holds nothing repeated. Its rows go before anything wide is shuffled.
-    busy = samples.groupBy("head").agg(F.sum(F.size("starts")).alias("m")).where("m > 1").select("head")
-    met = cut(samples.join(busy, "head"))
-    spans = met.groupBy("head", "span").agg(
-        F.sum(F.size("starts")).alias("places"), F.min(F.struct("doc_id", "body", "windows", "lead", F.col("starts")[0].alias("start"))).alias("one")
+    samples = cut(expand_rows(
+        keyed, ["doc_id", "body"], ["text"], _samples(lengths), "head long, span long, windows int, lead int, width int, starts array<int>"
+    ))
+    # Distinct spans, counted before anything else moves. A bucket with a single place holds nothing repeated.
+    spans = samples.groupBy("head", "span").agg(
+        F.sum(F.size("starts")).alias("places"), F.min(F.struct("doc_id", "body", "windows", "lead", "width", F.col("starts")[0].alias("start"))).alias("one")
     )
-    spans = cut(spans)
+    heads = spans.groupBy("head").agg(F.count("*").alias("kinds"), F.min("places").alias("fewest"), F.sum("places").alias("m")).where("m > 1")
+    spans = cut(spans.join(heads, "head"))
     # Spans that occur twice are repeated as a whole; the others need a look at the suffixes they share in part.
-    mixed = spans.groupBy("head").agg(F.count("*").alias("kinds"), F.min("places").alias("fewest")).where("kinds > 1 and fewest = 1")
-    wanted = spans.join(mixed, "head").select("one.*", "head", "span", "kinds")
-    per_text = wanted.groupBy("doc_id", "body").agg(F.collect_list(F.struct("head", "span", "windows", "kinds", "start")).alias("spans"))
+    step = F.when(F.col("kinds") <= BUCKET, 0).when(F.col("kinds") <= 64 * BUCKET, SPLIT).otherwise(-1)
+    wanted = spans.where("kinds > 1 and fewest = 1").select(
+        "one.*", F.struct("head", "span", "one.windows", "one.lead", "one.width", "one.start", (F.col("places") == 1).alias("single"), step.alias("step")).alias("x")
+    )
+    per_text = wanted.groupBy("doc_id", "body").agg(F.collect_list("x").alias("spans"))
     found = add_columns(keyed, ["text"], _pack, "text binary").join(
         per_text.select(F.col("doc_id").alias("d"), F.col("body").alias("b"), "spans").hint("shuffle_hash"),
         F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b")),
     )
-    cutout = cut(expand_rows(found.select("text", "spans"), [], ["text", "spans"], _cut_spans, "head long, span long, windows int, kinds long, bytes binary"))
-    small = cutout.where(F.col("kinds") <= BUCKET).drop("kinds").groupBy("head").applyInPandas(
-        lambda pdf: _sort_bucket(pdf.drop_duplicates("span")), "head long, span long, first array<int>, end array<int>"
-    )
-    listed = expand_rows(
-        cutout.where(F.col("kinds") > BUCKET).dropDuplicates(["head", "span"]), ["head", "span"], ["windows", "bytes"], _list_windows, "at int, value long"
+    cutout = cut(expand_rows(found.select("text", "spans"), [], ["text", "spans"], _cut_spans(lengths), f"step int, {_CUT}"))
+    sort = lambda df, n: over_runs(df, ["bucket"], ["span", "begin"], _sort_buckets(lengths), _HIT, max(parts, n // 20_000))
+    hit = sort(cutout.where("step = 0"), cutout.count())
+    # Pieces of big buckets: those that occur more than once are repeated as a whole and stand in the bucket once.
+    split = cutout.where("step > 0")
+    if split.limit(1).count():
+        counted = split.groupBy("bucket", "piece").agg(F.count("*").alias("m"), F.min(F.struct("head", "span", "begin")).alias("one"))
+        split = cut(split.join(counted, ["bucket", "piece"]))
+        stand = split.where("m = 1 OR struct(head, span, begin) = one")
+        fitting = F.least("windows", F.length("bytes") - F.col("length") + 1).cast("int")
+        whole = split.where("single AND m > 1").withColumn("length", F.explode(F.array(*[F.lit(x) for x in lengths]))).where(fitting > 0)
+        hit = hit.union(sort(stand.withColumn("single", F.expr("single AND m = 1")).drop("m", "one"), stand.count()))
+        hit = hit.union(whole.select("head", "span", "length", F.col("begin").alias("first"), (F.col("begin") + fitting).alias("end")))
+    # Buckets too big even for that: their windows are counted by their values.
+    listed = expand_rows(cutout.where("step < 0"), ["head", "span", "single"], ["windows", "bytes"], _list_windows(lengths), "length int, first int, value long")
+    ties = listed.groupBy("head", "length", "value").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+    hit = hit.union(listed.where("single").join(ties, ["head", "length", "value"]).select("head", "span", "length", "first", F.col("first") + 1))
+    fits = lambda c, x: F.least(c["windows"], c["width"] - x + 1).cast("int")
+    whole = spans.where("places > 1").withColumn("length", F.explode(F.array(*[F.lit(x) for x in lengths])))
+    whole = whole.select("head", "span", "length", F.lit(0).alias("first"), fits(F.col("one"), F.col("length")).alias("end")).where("end > 0")
+    ranges = samples.select("doc_id", "body", "head", "span", "starts").join(whole.union(hit), ["head", "span"]).select(
+        "doc_id", "body", F.expr("transform(starts, s -> struct(s + first AS start, s + end + length - 1 AS end, length AS length))").alias("ranges")
     )
-    ties = listed.groupBy("head", "value").agg(F.count("*").alias("m")).where("m > 1")
-    large = listed.join(ties, ["head", "value"]).groupBy("head", "span").agg(F.collect_list("at").alias("first")).select(
-        "head", "span", "first", F.transform("first", lambda x: x + 1).alias("end")
-    )
-    partly = small.union(large).where(F.size("first") > 0)
-    whole = spans.where("places > 1").select("head", "span", F.array(F.lit(0)).alias("first"), F.array(F.col("one.windows")).alias("end"))
-    single = spans.where("places = 1").select("head", "span")
-    hit = whole.union(partly.join(single, ["head", "span"]))
-    ranges = met.join(hit, ["head", "span"]).select(
-        "doc_id", "body", F.explode("starts").alias("s"), F.arrays_zip("first", "end").alias("runs")
-    ).select("doc_id", "body", F.expr(f"transform(runs, r -> struct(s + r.first AS start, s + r.end + {LENGTH - 1} AS end))").alias("ranges"))
     return ranges.groupBy("doc_id", "body").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Documents without the byte strings of 400 bytes that also start elsewhere in the corpus, the same text included.
+def _with_ranges(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    ranges = cut(repeated_ranges(docs, lengths))
+    body = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    ranges = ranges.select(F.col("doc_id").alias(_D), F.col("body").alias(_B), F.col("ranges").alias(_RANGES))
+    return docs.join(ranges.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ranges[_D]) & (body == ranges[_B]), "left").drop(_D, _B)
+
+
+_D, _B, _RANGES = "__repeats_doc_id", "__repeats_body", "__repeats_ranges"
+_STRIPPED = "kept binary, n_bytes long, n_removed long, n_spans long"
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, passages: bool = False) -> DataFrame:
+    """Documents without the byte strings of `length` bytes that also start elsewhere in the corpus, the same text included.
 
     docs needs doc_id and text. Every column is kept; added are kept (the remaining bytes), n_bytes, n_removed and n_spans
-    (maximal removed runs). Texts are UTF-8 bytes, null is empty, matches do not cross texts, and strings are judged on the
-    input. Rows are told apart by doc_id and text, so repeated rows remove each other's text and a null doc_id is no special
-    case. Texts of fewer than 400 bytes stay as they are.
+    (maximal removed runs). With passages, n_passages counts the runs of 50 words and more that repeated strings of 200 bytes
+    cover; these stay in the text. Texts are UTF-8 bytes, null is empty, matches do not cross texts, and strings are judged on
+    the input. Rows are told apart by doc_id and text, so repeated rows remove each other's text and a null doc_id is no special
+    case. Texts shorter than a string stay as they are. A column of docs that has the name of a new one is replaced.
 
     Blockwise suffix sorting with a cover: each text gives its cover samples, the suffixes are dealt into buckets by their
-    first 64 bytes, buckets with one place are dropped, and ties longer than a span are settled by the sample's rank (the value
-    of its whole span) before any bytes are fetched. Only spans that agree in part bring their bytes, once for each distinct
-    span, to the task that sorts their bucket.
+    first 64 bytes at the sample, buckets with one place are dropped, and the others are sorted, some whole buckets at a time; long
+    ties are settled by the samples' ranks. Spans that agree as a whole are sorted once. A bucket of many spans is dealt out again
+    by what shorter stretches of its suffixes have in common.
     """
-    ranges = cut(repeated_ranges(docs))
-    keyed = docs.withColumn("_body", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(
-        ranges.select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"), "ranges").withColumnRenamed("ranges", "_ranges").hint("shuffle_hash"),
-        F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_body") == F.col("_b")), "left",
-    ).drop("_body", "_d", "_b")
-    return add_columns(joined, ["text", "_ranges"], _strip, "kept binary, n_bytes long, n_removed long, n_spans long", drop=("_ranges",))
+    lengths = (length, PASSAGE) if passages else (length,)
+    found = _with_ranges(docs, lengths)
+    strip, count = _strip(length, 0), _strip(PASSAGE, PASSAGE_WORDS)
+
+    def both(texts: list, ranges: list) -> list[list]:
+        return strip(texts, ranges) + ([count(texts, ranges)[3]] if passages else [])
+
+    return add_columns(found, ["text", _RANGES], both, _STRIPPED + (", n_passages long" if passages else ""), drop=(_RANGES,))
+
+
+def remove_passages(docs: DataFrame) -> DataFrame:
+    """As remove_repeats, but takes out passages: runs of 50 words and more, covered by strings of 200 bytes that start elsewhere."""
+    return add_columns(_with_ranges(docs, (PASSAGE,)), ["text", _RANGES], _strip(PASSAGE, PASSAGE_WORDS), _STRIPPED, drop=(_RANGES,))
 
 
 def sha256_hex(kept) -> str:
