@@ -242,6 +242,9 @@ def window_values(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit values (splitmix64, public domain)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x

@@ -137,5 +137,32 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN agg USING (doc_id)
 """
 
 
+#: Bytes as two hex digits and a space each; those of a word are letters, digits and what is not ASCII.
+_WORD_HEX = "(?:(?:3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|[89A-F][0-9A-F]) )+"
+
+
+def _repeats_sql(length: int, n: str) -> str:
+    """Tables w, r, i of windows, of those that are repeated, and of the islands (first, last byte + 1) that these cover."""
+    return f"""
+w{n} AS (SELECT doc_id, pos, md5(substr(h, 2 * pos + 1, {2 * length})) AS v FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {length - 1})) AS pos FROM d)),
+r{n} AS (SELECT doc_id, pos FROM w{n} JOIN (SELECT v FROM w{n} GROUP BY v HAVING count(*) > 1) USING (v)),
+i{n} AS (SELECT doc_id, min(pos) AS f, max(pos) + {length} AS e FROM (
+  SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (
+    SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= {length} THEN 0 ELSE 1 END AS new FROM r{n})) GROUP BY doc_id, island)"""
+
+
+_OP7 = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),{_repeats_sql(suffix_dedup.LENGTH, "")},{_repeats_sql(suffix_dedup.PASSAGE, "p")},
+s AS (SELECT doc_id, count(*) AS n_spans, sum(e - f) AS n_removed, list(f ORDER BY f) AS fs, list(e ORDER BY f) AS es FROM i GROUP BY doc_id),
+p AS (SELECT doc_id, count(*) AS n FROM ip JOIN d USING (doc_id)
+  WHERE len(regexp_extract_all(regexp_replace(substr(h, 2 * f + 1, 2 * (e - f)), '(..)', '\1 ', 'g'), '{_WORD_HEX}')) >= {suffix_dedup.PASSAGE_WORDS} GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, n_spans + 1), lambda k:
+    substr(h, 2 * (CASE WHEN k = 0 THEN 0 ELSE es[k] END) + 1, 2 * (coalesce(fs[k + 1], len(h) // 2) - CASE WHEN k = 0 THEN 0 ELSE es[k] END))), '') END)) AS kept_sha256,
+  coalesce(n, 0)::BIGINT AS n_passages
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN p USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vector_near_dups": _OP1, "op3_ngram_join": _OP3, "op4_license_scan": _license_sql()}
+    return {"op1_vector_near_dups": _OP1, "op3_ngram_join": _OP3, "op4_license_scan": _license_sql(), "op7_suffix_dedup": _OP7}

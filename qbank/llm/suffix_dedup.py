@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import add_columns, cut, expand_rows, over_runs, prefix_values, run_bounds, shuffle_parts, window_values, words
@@ -35,27 +35,19 @@ def cover(prefix: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
         return (np.zeros(0, dtype=np.int64),) * 4
     at = np.arange(n + gap - 1)
     value = window_values(prefix, at, at + HEAD)
-    # Sliding minimum over gap values, from running minima of blocks of that size in both directions.
-    pad = -len(value) % gap
-    blocks = np.concatenate([value, np.full(pad, 2**64 - 1, dtype=np.uint64)]).reshape(-1, gap)
+    # The place in the low bits, so that the least key names its place, and of equal values the leftmost is least.
+    key = (value & ~_PLACE) | at.astype(np.uint64)
+    # Sliding minimum over gap keys, from running minima of blocks of that size in both directions.
+    blocks = np.concatenate([key, np.full(-len(key) % gap, 2**64 - 1, dtype=np.uint64)]).reshape(-1, gap)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[:n], ahead[gap - 1 : gap - 1 + n])
-    # The leftmost place of the least value in each window: occurrences of the value, searched from the window's start.
-    change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    first, last, place = [], [], []
-    for i, j in zip(change, np.append(change[1:], n), strict=True):
-        where = np.flatnonzero(value[i : j + gap - 1] == least[i]) + i
-        s = i
-        for w in where:
-            if s >= j:
-                break
-            e = min(j - 1, w)
-            if e >= s:
-                first.append(s), last.append(e), place.append(w)
-                s = e + 1
-    place = np.array(place)
-    return place, value[place], np.array(first), np.array(last)
+    chosen = (np.minimum(back[:n], ahead[gap - 1 : gap - 1 + n]) & _PLACE).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+    place = chosen[first]
+    return place, value[place], first, np.append(first[1:], n) - 1
+
+
+_PLACE = np.uint64(2**31 - 1)
 
 
 def _samples(lengths: tuple[int, ...]):
@@ -212,10 +204,10 @@ def _list_windows(lengths: tuple[int, ...]):
     return run
 
 
-def _covered(data: bytes, ranges: list) -> np.ndarray:
-    flags = np.zeros(len(data) + 1, dtype=np.int32)
-    np.add.at(flags, [r["start"] for r in ranges], 1)
-    np.add.at(flags, [r["end"] for r in ranges], -1)
+def _covered(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    flags = np.zeros(n + 1, dtype=np.int32)
+    np.add.at(flags, first, 1)
+    np.add.at(flags, end, -1)
     return np.cumsum(flags[:-1]) > 0
 
 
@@ -227,40 +219,48 @@ def _strip(length: int, fewest_words: int):
         for text, own in zip(texts, ranges, strict=True):
             data = (text or "").encode()
             total.append(len(data))
-            covered = _covered(data, [r for r in own or () if r["length"] == length])
-            _, first, end = _runs(covered[None, :])
+            if own:
+                size, first, end = np.array(own, dtype=np.int64).reshape(-1, 3).T
+                first, end = first[size == length], end[size == length]
+            if not own or not len(first):
+                rest.append(data), gone.append(0), runs.append(0)
+                continue
+            edge = np.diff(_covered(len(data), first, end).astype(np.int8), prepend=0, append=0)
+            held = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
             if fewest_words:
-                held = [(f, e) for f, e in zip(first.tolist(), end.tolist(), strict=True) if len(words(data[f:e])) >= fewest_words]
-                first, end = np.array(held, dtype=np.int64).reshape(-1, 2).T
-                covered = _covered(data, [{"start": f, "end": e} for f, e in held])
-            rest.append(np.frombuffer(data, dtype=np.uint8)[~covered].tobytes() if len(first) else data)
-            gone.append(int((end - first).sum())), runs.append(len(first))
+                held = [(f, e) for f, e in held if len(words(data[f:e])) >= fewest_words]
+            outside = [0, *(x for pair in held for x in pair), len(data)]
+            rest.append(b"".join(data[f:e] for f, e in zip(outside[::2], outside[1::2], strict=True)))
+            gone.append(sum(e - f for f, e in held)), runs.append(len(held))
         return [rest, total, gone, runs]
 
     return run
 
 
 def repeated_ranges(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
-    """Rows (doc_id, body, ranges of start, end, length) for the texts that hold strings of these lengths that also start elsewhere.
+    """Rows (doc_id, body, ranges) for the texts that hold strings of these lengths that also start elsewhere.
 
-    body tells texts of one doc_id apart. Ranges may overlap; their union is what such strings cover.
+    ranges are numbers, three for each range: length, start and end. body tells texts of one doc_id apart. Ranges may overlap;
+    their union is what such strings cover.
     """
     spark, least = docs.sparkSession, min(lengths)
     parts = shuffle_parts(spark)
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), "text")
-    samples = cut(expand_rows(
+    samples = expand_rows(
         keyed, ["doc_id", "body"], ["text"], _samples(lengths), "head long, span long, windows int, lead int, width int, starts array<int>"
-    ))
-    # Distinct spans, counted before anything else moves. A bucket with a single place holds nothing repeated.
-    spans = samples.groupBy("head", "span").agg(
-        F.sum(F.size("starts")).alias("places"), F.min(F.struct("doc_id", "body", "windows", "lead", "width", F.col("starts")[0].alias("start"))).alias("one")
     )
-    heads = spans.groupBy("head").agg(F.count("*").alias("kinds"), F.min("places").alias("fewest"), F.sum("places").alias("m")).where("m > 1")
-    spans = cut(spans.join(heads, "head"))
+    samples = cut(samples.withColumn("ref", F.monotonically_increasing_id()))
+    # Distinct spans, counted before anything else moves. A bucket with a single place holds nothing repeated.
+    bucket = Window.partitionBy("head")
+    spans = samples.groupBy("head", "span").agg(F.sum(F.size("starts")).alias("places"), F.min("ref").alias("one")).select(
+        "*", F.count("*").over(bucket).alias("kinds"), F.min("places").over(bucket).alias("fewest"), F.sum("places").over(bucket).alias("m")
+    ).where("m > 1")
     # Spans that occur twice are repeated as a whole; the others need a look at the suffixes they share in part.
     step = F.when(F.col("kinds") <= BUCKET, 0).when(F.col("kinds") <= 64 * BUCKET, SPLIT).otherwise(-1)
-    wanted = spans.where("kinds > 1 and fewest = 1").select(
-        "one.*", F.struct("head", "span", "one.windows", "one.lead", "one.width", "one.start", (F.col("places") == 1).alias("single"), step.alias("step")).alias("x")
+    spans = spans.select("head", "span", "one", (F.col("places") == 1).alias("single"), F.when(F.expr("kinds > 1 and fewest = 1"), step).alias("step"))
+    met = cut(samples.join(spans, ["head", "span"]).select("*", (F.col("ref") == F.col("one")).alias("stands")).drop("ref", "one"))
+    wanted = met.where("stands and step is not null").select(
+        "doc_id", "body", F.struct("head", "span", "windows", "lead", "width", F.col("starts")[0].alias("start"), "single", "step").alias("x")
     )
     per_text = wanted.groupBy("doc_id", "body").agg(F.collect_list("x").alias("spans"))
     found = add_columns(keyed, ["text"], _pack, "text binary").join(
@@ -284,11 +284,13 @@ def repeated_ranges(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,)) -> Da
     listed = expand_rows(cutout.where("step < 0"), ["head", "span", "single"], ["windows", "bytes"], _list_windows(lengths), "length int, first int, value long")
     ties = listed.groupBy("head", "length", "value").agg(F.count("*").alias("m")).where("m > 1").drop("m")
     hit = hit.union(listed.where("single").join(ties, ["head", "length", "value"]).select("head", "span", "length", "first", F.col("first") + 1))
-    fits = lambda c, x: F.least(c["windows"], c["width"] - x + 1).cast("int")
-    whole = spans.where("places > 1").withColumn("length", F.explode(F.array(*[F.lit(x) for x in lengths])))
-    whole = whole.select("head", "span", "length", F.lit(0).alias("first"), fits(F.col("one"), F.col("length")).alias("end")).where("end > 0")
-    ranges = samples.select("doc_id", "body", "head", "span", "starts").join(whole.union(hit), ["head", "span"]).select(
-        "doc_id", "body", F.expr("transform(starts, s -> struct(s + first AS start, s + end + length - 1 AS end, length AS length))").alias("ranges")
+    # A span that is repeated as a whole needs no join: its windows are all hit, as far as the length fits into it.
+    fits = lambda x: F.least("windows", F.col("width") - x + 1)
+    whole = met.where("not single").withColumn("length", F.explode(F.array(*[F.lit(x) for x in lengths])))
+    whole = whole.select("doc_id", "body", "starts", "length", F.lit(0).alias("first"), fits(F.col("length")).alias("end")).where("end > 0")
+    partly = met.where("single").select("doc_id", "body", "head", "span", "starts").join(hit, ["head", "span"])
+    ranges = whole.union(partly.select(*whole.columns)).select(
+        "doc_id", "body", F.expr("flatten(transform(starts, s -> array(length, s + first, s + end + length - 1)))").alias("ranges")
     )
     return ranges.groupBy("doc_id", "body").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
 
