@@ -155,7 +155,7 @@ _OP7 = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),{_repeats_sql(suffix_dedup.LENGTH, "")},{_repeats_sql(suffix_dedup.PASSAGE, "p")},
 s AS (SELECT doc_id, count(*) AS n_spans, sum(e - f) AS n_removed, list(f ORDER BY f) AS fs, list(e ORDER BY f) AS es FROM i GROUP BY doc_id),
 p AS (SELECT doc_id, count(*) AS n FROM ip JOIN d USING (doc_id)
-  WHERE len(regexp_extract_all(regexp_replace(substr(h, 2 * f + 1, 2 * (e - f)), '(..)', '\1 ', 'g'), '{_WORD_HEX}')) >= {suffix_dedup.PASSAGE_WORDS} GROUP BY doc_id)
+  WHERE len(regexp_extract_all(regexp_replace(substr(h, 2 * f + 1, 2 * (e - f)), '(..)', '\\1 ', 'g'), '{_WORD_HEX}')) >= {suffix_dedup.PASSAGE_WORDS} GROUP BY doc_id)
 SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
   sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, n_spans + 1), lambda k:
     substr(h, 2 * (CASE WHEN k = 0 THEN 0 ELSE es[k] END) + 1, 2 * (coalesce(fs[k + 1], len(h) // 2) - CASE WHEN k = 0 THEN 0 ELSE es[k] END))), '') END)) AS kept_sha256,

@@ -211,24 +211,22 @@ def _covered(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(flags[:-1]) > 0
 
 
-def _strip(length: int, fewest_words: int):
-    """Texts without what the ranges of this length cover, if a covered run has that many words at the least."""
+def _strip(*rules: tuple[int, int]):
+    """Texts without the runs that ranges of a length cover, if a run has so many words at the least; rules are (length, words)."""
 
     def run(texts: list, ranges: list) -> list[list]:
         rest, total, gone, runs = [], [], [], []
         for text, own in zip(texts, ranges, strict=True):
             data = (text or "").encode()
             total.append(len(data))
-            if own:
-                size, first, end = np.array(own, dtype=np.int64).reshape(-1, 3).T
-                first, end = first[size == length], end[size == length]
-            if not own or not len(first):
-                rest.append(data), gone.append(0), runs.append(0)
-                continue
-            edge = np.diff(_covered(len(data), first, end).astype(np.int8), prepend=0, append=0)
-            held = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
-            if fewest_words:
-                held = [(f, e) for f, e in held if len(words(data[f:e])) >= fewest_words]
+            held = []
+            size, first, end = np.array(own or [], dtype=np.int64).reshape(-1, 3).T
+            for length, fewest in rules:
+                if (mine := size == length).any():
+                    found = _islands(_covered(len(data), first[mine], end[mine]))
+                    held += [(f, e) for f, e in found if not fewest or len(words(data[f:e])) >= fewest]
+            if len(rules) > 1 and held:
+                held = _islands(_covered(len(data), *np.array(held).T))
             outside = [0, *(x for pair in held for x in pair), len(data)]
             rest.append(b"".join(data[f:e] for f, e in zip(outside[::2], outside[1::2], strict=True)))
             gone.append(sum(e - f for f, e in held)), runs.append(len(held))
@@ -237,6 +235,11 @@ def _strip(length: int, fewest_words: int):
     return run
 
 
+def _islands(flags: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.diff(flags.astype(np.int8), prepend=0, append=0)
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+
+
 def repeated_ranges(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
     """Rows (doc_id, body, ranges) for the texts that hold strings of these lengths that also start elsewhere.
 
@@ -322,7 +325,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passages: bool = False
     """
     lengths = (length, PASSAGE) if passages else (length,)
     found = _with_ranges(docs, lengths)
-    strip, count = _strip(length, 0), _strip(PASSAGE, PASSAGE_WORDS)
+    strip, count = _strip((length, 0)), _strip((PASSAGE, PASSAGE_WORDS))
 
     def both(texts: list, ranges: list) -> list[list]:
         return strip(texts, ranges) + ([count(texts, ranges)[3]] if passages else [])
@@ -331,8 +334,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passages: bool = False
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
-    """As remove_repeats, but takes out passages: runs of 50 words and more, covered by strings of 200 bytes that start elsewhere."""
-    return add_columns(_with_ranges(docs, (PASSAGE,)), ["text", _RANGES], _strip(PASSAGE, PASSAGE_WORDS), _STRIPPED, drop=(_RANGES,))
+    """As remove_repeats, but takes out passages too: runs of 50 words and more, covered by strings of 200 bytes that start elsewhere."""
+    both = _strip((LENGTH, 0), (PASSAGE, PASSAGE_WORDS))
+    return add_columns(_with_ranges(docs, (LENGTH, PASSAGE)), ["text", _RANGES], both, _STRIPPED, drop=(_RANGES,))
 
 
 def sha256_hex(kept) -> str:
