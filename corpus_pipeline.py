@@ -26,7 +26,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes the passages of 50 words and more that documents share or repeat; a character cut in two goes as a whole."""
+    """Removes strings of 400 bytes and passages of 50 words that start elsewhere too; a character cut in two goes as a whole."""
     stripped = suffix_dedup.remove_passages(docs)
     out = add_columns(stripped, ["kept", "text"], lambda kept, text: [[None if t is None else k.decode("utf-8", "ignore") for k, t in zip(kept, text, strict=True)]], "text string")
     return _recounted(out.select(*docs.columns))
