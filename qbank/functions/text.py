@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -108,11 +109,31 @@ def rule_clean(c: Column) -> Column:
     return fix_private_use(F.array_join(F.filter(lines, keep), "\n"))
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+# Counts are single regular expressions over the whole text; those for lines begin at a line's start, so that they stay linear.
+LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+_LINE_START = rf"(?:^|(?<=[{LINE_ENDS}]))"
+
+
+def _count(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(pattern)).cast("long")
+
+
+def token_count(c: Column) -> Column:
+    return _count(c, r"(?U)\S+")
+
+
+def single_char_count(c: Column) -> Column:
+    return _count(c, r"(?U)(?<!\S)[^\s\u4e00-\u9fff$](?!\S)")
+
+
 def single_char_ratio(c: Column) -> Column:
     """H8: share of tokens of one character that is neither a CJK ideograph nor a dollar sign."""
-    tokens = F.filter(F.split(strip(c), r"(?U)\s+"), lambda t: t != "")
-    single = F.filter(tokens, lambda t: (F.length(t) <= 1) & ~t.rlike(r"^[一-鿿$]"))
-    return F.coalesce(F.try_divide(F.size(single), F.size(tokens)), F.lit(0.0))
+    return F.coalesce(F.try_divide(single_char_count(c), token_count(c)), F.lit(0.0))
 
 
 def broken_commands(c: Column) -> Column:
@@ -123,35 +144,49 @@ def broken_commands(c: Column) -> Column:
 
 
 def private_use_count(c: Column) -> Column:
-    """H10."""
-    return F.regexp_count(c, F.lit("[-]")).cast("long")
+    """Characters of the private-use area from U+F000 on."""
+    return _count(c, r"[\uf000-\uf8ff]")
+
+
+def line_count(c: Column) -> Column:
+    """Lines that are not blank."""
+    return _count(c, rf"(?U){_LINE_START}[\s&&[^{LINE_ENDS}]]*+\S")
+
+
+def cjk_line_count(c: Column) -> Column:
+    """Lines with four CJK ideographs in a row."""
+    return _count(c, rf"{_LINE_START}[^{LINE_ENDS}]*?[\u4e00-\u9fff]{{4}}")
 
 
 def cjk_line_ratio(c: Column) -> Column:
     """Share of lines that are not blank with four CJK ideographs in a row."""
-    lines = F.filter(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: strip(x) != "")
-    return F.coalesce(F.try_divide(F.size(F.filter(lines, lambda x: x.rlike("[一-鿿]{4,}"))), F.size(lines)), F.lit(0.0))
+    return F.coalesce(F.try_divide(cjk_line_count(c), line_count(c)), F.lit(0.0))
 
 
-def line_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: strip(x) != "")).cast("long")
+def quality_profile(c: Column) -> Column:
+    """Struct of the counts that the score is made of."""
+    return F.struct(
+        token_count(c).alias("n_tokens"), single_char_count(c).alias("n_single"), broken_commands(c).alias("n_broken"),
+        private_use_count(c).alias("n_private"), line_count(c).alias("n_lines"), cjk_line_count(c).alias("n_cjk_lines"),
+    )
 
 
-def token_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(strip(c), r"(?U)\s+"), lambda t: t != "")).cast("long")
+def quality_score(c: Column, threshold: float = 0.30) -> Column:
+    """Struct of score, fragmented and the number of reasons; a blank text scores 1. Each count is made once."""
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
+    def judge(m: Column) -> Column:
+        rules = (
+            (share(m["n_single"], m["n_tokens"]) > 0.30, 45), (m["n_broken"] >= 2, 35), (m["n_private"] >= 1, 30),
+            ((m["n_lines"] > 5) & (share(m["n_cjk_lines"], m["n_lines"]) < 0.25), 25),
+        )
+        points = F.least(sum((F.when(hit, n).otherwise(0) for hit, n in rules), F.lit(0)), F.lit(100))
+        reasons = sum((hit.cast("long") for hit, _ in rules), F.lit(0).cast("long"))
+        blank = m["n_tokens"] == 0
+        score = F.when(blank, 1.0).otherwise(points / F.lit(100.0))
+        return F.struct(score.alias("score"), (score >= threshold).alias("fragmented"), F.when(blank, F.lit(1).cast("long")).otherwise(reasons).alias("n_reasons"))
 
-def quality_score(c: Column, threshold: float = 0.30) -> Column:
-    """Struct of score, fragmented and the number of reasons; a blank text scores 1."""
-    t = strip(F.coalesce(c, F.lit("")))
-    rules = [
-        F.when(single_char_ratio(t) > 0.30, 0.45), F.when(broken_commands(t) >= 2, 0.35), F.when(private_use_count(t) >= 1, 0.30),
-        F.when((line_count(t) > 5) & (cjk_line_ratio(t) < 0.25), 0.25),
-    ]
-    total = F.round(F.least(sum((F.coalesce(r, F.lit(0.0)) for r in rules), F.lit(0.0)), F.lit(1.0)), 3)
-    score = F.when(t == "", 1.0).otherwise(total)
-    reasons = F.when(t == "", 1).otherwise(sum((r.isNotNull().cast("int") for r in rules), F.lit(0))).cast("long")
-    return F.struct(score.alias("score"), (score >= threshold).alias("fragmented"), reasons.alias("n_reasons"))
+    return let(let(strip(F.coalesce(c, F.lit(""))), quality_profile), judge)
 
 
 def choose_text(rows: DataFrame, text: str, other: str) -> DataFrame:
