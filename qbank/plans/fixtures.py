@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from qbank.plans import papers
+
 TABLES = ("documents", "labels", "pages", "events", "embeddings", "conversations", "benchmark")
 
 
@@ -56,6 +58,9 @@ from bank where id % 2 = 0""",
 }
 
 
+VIEWS |= papers.VIEWS
+
+
 def with_views(sql: str) -> str:
     """sql after the views it may name."""
     return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in VIEWS.items()) + "\n" + sql

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qbank import exam_queries
 from qbank.functions import answers as A
 from qbank.functions import text as X
 from qbank.operators import bank as B
@@ -350,8 +351,8 @@ _add("H21_check_blank", _ok(f"{_PARTS.format('u')} = {_PARTS.format('r')}", "('b
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **exam_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {**_SQL, **exam_queries.SQL}
