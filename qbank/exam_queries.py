@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qbank.functions import items as I
+from qbank.functions import latex as X
+from qbank.functions import replies as R
+from qbank.operators import bank as B
 from qbank.operators import exams as E
+from qbank.operators import imports as M
+from qbank.operators import notes as N
 from qbank.plans import papers as P
 from qbank.plans.fixtures import view, with_views
 
@@ -117,3 +122,57 @@ _cases("H28_answer_key_line", lambda x: F.concat(I.is_answer_key(x).cast("string
 _cases("H29_qnum", lambda x: F.coalesce(I.item_number(x), F.lit(-1)).cast("int"), [
     ("12. {1}", 12), ("第 5 题 {1}", 5), ("【4-7】{1}", 4), ("问：{1}", -1), ("问3：{1}", 3), ("{1} 1.", -1), ("  7）{1}", 7), ("1234. {1}", -1),
 ])
+
+_cases("H4_unicode_to_latex", X.unicode_to_latex, [
+    ("{1} ≤ {5}", "{1} \\leq {5}"), ("(a+b)/(c)", "\\frac{a+b}{c}"), ("1/2", "\\frac{{1}}{{2}}"), ("x^2", "x^{{2}}"), ("x_10", "x_{{10}}"), ("√2", "\\sqrt2"), ("½ α", "\\frac{{1}}{{2}} \\alpha "),
+    ("lim(x→0)", "\\lim_{x\\rightarrow0}"), ("limit lim", "limit \\lim"), ("sum(i=1,n)", "\\sum_{i=1}^{n}"), ("int(0,1)", "\\int_{0,1}"), ("[1 2]", "\\begin{pmatrix}1 2\\end{pmatrix}"), ("x²", "x^{{2}}"),
+])
+_cases("H5_latexize_segments", X.latexize, [
+    ("已知 |z|>3 且 A & B", "已知 $|z|>3$ 且 A & B"), ("计算 ∫x dx 的值", "计算 $\\int x dx$ 的值"), ("已知 $F(z)=\\frac{z}{z-3}$，求 |z|>3", "已知 $F(z)=\\frac{z}{z-3}$，求 $|z|>3$"),
+    ("【图:img.png】如图，v=√2", "【图:img.png】如图，$v=\\sqrt 2$"), ("{1} {5}", "{1} {5}"), ("【1-2】{1}", "【1-2】{1}"), ("设{1}=3，求", "设${1}=3$，求"), ("", ""), ("∞", "$\\infty$"),
+])
+_cases("H6_smart_formula", X.smart_formula, [
+    ("{1} &lt; {5}", "{1} < {5}"), ("{1} &le; π", "${1} \\leq \\pi $"), ("{1}", "{1}"), ("x_1 &amp;gt; 2", "x_{{1}} > 2"), ("√{1}", "$\\sqrt{1}$"),
+])
+_cases("H33_merge_scripts", lambda x: F.array_join(X.merge_scripts(F.split(x, "[|]")), "|"), [
+    ("{1}|$^{-}$|$^{{11}}$|{5}", "{1}|$^{-11}$|{5}"), ("$_{a}$|$_{b}$|$_{c}$", "$_{abc}$"), ("$^{a}$|$_{b}$", "$^{a}$|$_{b}$"), ("{1}", "{1}"), ("$^{a}$|{1}|$^{b}$", "$^{a}$|{1}|$^{b}$"),
+])
+_cases("H30_note_title", lambda x: (lambda t: F.concat_ws("|", t["title"], t["mark"], N.essay_question(t["title"])))(N.note_title(x)), [
+    ("{1}【名词解释】", "{1}|名词解释|简述{1}。"), ("如何{1}（简答）", "如何{1}|简答|如何{1}"), ("{1}（{5}）", "{1}（{5}）||简述{1}（{5}）。"), ("【论述】{1}(单选)", "{1}|论述|简述{1}。"), ("什么是 {1} ", "什么是 {1}||什么是 {1}"),
+])
+_cases("H31_variants_parse", lambda x: F.coalesce(F.array_join(F.transform(R.variants(x), lambda v: F.concat_ws("|", v["question"], F.array_join(v["options"], ","), v["correct_answer"])), ";"), F.lit("-")), [
+    ('[{"question": " {1} ", "options": ["A. {5}", " "], "correct_answer": "A"}]', "{1}|A. {5}|A"),
+    ('```json\n[{"question": "{1}"}, {"question": ""}, {"question": "{5}", "correct_answer": "{9}"}]\n```', "{1}||;{5}||{9}"), ("{1}", "-"), ("[{1}", "-"), ("[{1}]", "-"), ("x [] y", ""),
+    ("[" + ", ".join('{"question": "{1}"}' for _ in range(12)) + "]", ";".join(["{1}||"] * 10)),
+])
+_cases("H32_vision_parse", lambda x: F.coalesce((lambda c: F.concat_ws("|", c["kind"], c["latex"], c["description"]))(R.image_class(x)), F.lit("-")), [
+    ('ok {"kind": "formula", "latex": "{1}", "description": "{5}"}', "formula|{1}|{5}"), ('{"kind": "{1}"}', "other||"), ('{"latex": "{1}"} end', "other|{1}|"),
+])
+_cases("H37_prompt_rows", lambda q, o, a: R.variant_prompt(F.lit("calc"), q, F.split(o, "[|]"), a, F.lit(""), F.lit(3)), [
+    ("{1} 【图:a.png】", 'A. {5}|B. "{9}"', "A", '题型：calc\n题目：{1} （原题含图片，变式保留图片占位）\n选项：["A. {5}", "B. \\"{9}\\""]\n答案：A\n解析：\n请生成 3 道变式题。'),
+    ("{1}", "{5}", "{9}", '题型：calc\n题目：{1}\n选项：["{5}"]\n答案：{9}\n解析：\n请生成 3 道变式题。'),
+])
+
+_NOTE = ("doc_id", "pos", "qtype", "question", "answer", "explanation")
+for _name, _reading, _parse in (("I5_parse_note_points", "points", N.note_points), ("I6_parse_note_sections", "sections", N.note_sections)):
+    _add(
+        _name, f"SELECT {', '.join(_NOTE)} FROM ({P.notes_sql()}) WHERE reading = '{_reading}'",
+        lambda s, d, parse=_parse, flag=f"as_{_reading}": parse(N.route(view(s, d, "notes")).where(flag)).select(*_NOTE),
+    )
+_add("I7_route_mode", P.readings_sql(), lambda s, d: N.route(view(s, d, "notes")).drop("text"))
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = view(spark, sf_dir, "notes").withColumn("text", F.concat("text", F.lit("\n&nbsp;"))).unionByName(_papers(spark, sf_dir).withColumn("doc_id", F.col("doc_id") + 10**12))
+    return M.import_documents(B.prepare(view(spark, sf_dir, "bank")), docs)
+
+
+_HASHED = r"md5(regexp_replace(concat(question, options, answer), '[\s\\{}()【】\[\]（）.,，。、;；:：]+', '', 'g'))"
+_add(
+    "I11_import",
+    f"""WITH q AS (SELECT DISTINCT doc_id, qtype, question, '' AS options, answer, false AS pending_review FROM ({P.notes_sql()})
+ UNION ALL SELECT doc_id, qtype, question, replace(options, '|', ''), answer, pending_review FROM ({P.items_sql()})),
+u AS (SELECT *, row_number() OVER (PARTITION BY {_HASHED} ORDER BY qtype) AS n FROM q)
+SELECT qtype, count(DISTINCT {_HASHED}) AS inserted, count(*) - count(DISTINCT {_HASHED}) AS merged, count(*) FILTER (pending_review) AS pending, count(*) AS total FROM u GROUP BY qtype""",
+    lambda s, d: B.import_summary(_imported(s, d)),
+)

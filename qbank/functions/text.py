@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +33,17 @@ KNOWN_COMMANDS = (
     "delta epsilon varepsilon zeta eta theta vartheta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi varphi chi psi "
     "omega Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega"
 ).split()
-# Named entities that occur in exam and web texts.
-ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "times": "×", "divide": "÷", "deg": "°", "plusmn": "±", "hellip": "…", "mdash": "—", "ndash": "–", "ldquo": "“", "rdquo": "”", "lsquo": "‘", "rsquo": "’", "middot": "·", "euro": "€"}
+# Named entities: first those that are common, as a lookup goes through a map from its beginning.
+COMMON_ENTITIES = {n: html5[f"{n};"] for n in "amp lt gt quot nbsp copy middot hellip mdash ndash ldquo rdquo lsquo rsquo times deg".split()}
+ENTITIES = {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
 
 ANCHOR = "【图:([^】]+)】"
 
 
 def _lookup(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(values.items())])
+    """A map out of two strings, which Catalyst folds into one literal."""
+    listed = lambda x: F.split(F.lit("\u0001".join(x)), "\u0001")
+    return F.map_from_arrays(listed(values), listed(values.values()))
 
 
 def strip(c: Column) -> Column:
@@ -77,7 +80,7 @@ def basename(c: Column) -> Column:
 
 
 def unescape_once(c: Column) -> Column:
-    """One round of entity decoding: named entities of ENTITIES, decimal and hexadecimal numbers; others stay."""
+    """One round of entity decoding: named entities with a semicolon, decimal and hexadecimal numbers; others stay."""
     tokens = F.regexp_extract_all(c, F.lit(r"(?s)(&#?[0-9A-Za-z]+;|[^&]+|&)"), F.lit(1))
 
     def number(x: Column) -> Column:
@@ -87,7 +90,8 @@ def unescape_once(c: Column) -> Column:
         n = F.when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), n)
         return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
-    one = lambda x: F.when(~x.rlike("^&.+;$"), x).otherwise(F.coalesce(number(x), F.try_element_at(_lookup(ENTITIES), F.regexp_extract(x, "^&(.+);$", 1)), x))
+    named = lambda n: F.coalesce(F.try_element_at(_lookup(COMMON_ENTITIES), n), F.try_element_at(_lookup(ENTITIES), n))
+    one = lambda x: F.when(~x.rlike("^&.+;$"), x).otherwise(F.coalesce(number(x), named(F.regexp_extract(x, "^&(.+);$", 1)), x))
     return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(tokens, one), "")).otherwise(c)
 
 

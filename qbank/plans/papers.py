@@ -6,11 +6,16 @@ import re
 
 
 def text_sql(template: str) -> str:
-    """An SQL string with {k} for a word taken from the digest of the document's text; line ends and backslashes by code."""
+    """An SQL string with {k} for a word taken from the digest of the document's text; line ends and backslashes by code.
+
+    A number that shall stay in braces has them doubled.
+    """
     parts = []
-    for piece in re.split(r"(\{\d+\}|\n|\\)", template):
+    for piece in re.split(r"(\{\{\d+\}\}|\{\d+\}|\n|\\)", template):
         if piece in ("\n", "\\"):
             parts.append(f"chr({ord(piece)})")
+        elif piece.startswith("{{"):
+            parts.append(f"'{piece[1:-1]}'")
         elif re.fullmatch(r"\{\d+\}", piece):
             parts.append(f"concat('w', substr(md5(coalesce(text, '')), {piece[1:-1]}, 4))")
         elif piece:
@@ -74,7 +79,25 @@ def by_layout(exprs: list[str], key: str = "doc_id") -> str:
     return f"CASE {key} % {len(exprs)} " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(exprs)) + " END"
 
 
-VIEWS = {"papers": f"select doc_id, {by_layout([text_sql(t) for t, _ in LAYOUTS])} as text from documents"}
+#: Notes and other texts, one for each remainder of doc_id by their number: text, readings (exam, points, sections), and the questions
+#: of its reading: reading, place, type, stem, answer, explanation.
+NOTES = (
+    (
+        "1、{1}【名词解释】\n{5}\n{9}\n2、{13}\n{17}\n单选题：\n{21} {25}\n3、{2}（单选）\n{6}", (False, True, False),
+        (
+            ("points", 1, "thinking", "名词解释：{1}", "{5}\n{9}", ""), ("points", 2, "essay", "简述{13}。", "{17}", ""), ("points", 3, "judge", "{2}", "对", "{6}"),
+            ("points", 4, "judge", "{21} {25}", "对", ""),
+        ),
+    ),
+    (
+        "第一章 {1}\n第一节、{5}\n{9}\n{13}\n第二节 {17}\n第二章 {21}\n{25}\n导论 如何{2}\n{6}", (False, False, True),
+        (("sections", 1, "essay", "简述{5}。", "{9}\n{13}", ""), ("sections", 2, "essay", "如何{2}", "{6}", "")),
+    ),
+    ("一、判断题\n1. {1} 与 {5}\n答案：错\n第一节 {9}", (True, False, False), (("exam", 1, "judge", "{1} 与 {5} 第一节 {9}", "错", ""),)),
+    ("1、{1} 与 {5} 相同____\n答案：{9}", (True, False, False), (("exam", 1, "blank", "{1} 与 {5} 相同____", "{9}", ""),)),
+)
+
+VIEWS = {"notes": f"select doc_id, {by_layout([text_sql(n[0]) for n in NOTES])} as text from documents", "papers": f"select doc_id, {by_layout([text_sql(t) for t, _ in LAYOUTS])} as text from documents"}
 
 
 def _value(x: object) -> str:
@@ -99,3 +122,12 @@ def items_sql() -> str:
 
 def blocks_sql() -> str:
     return _rows(BLOCKS, ("block", "n_lines", "first_line", "section", "topic"))
+
+
+def notes_sql() -> str:
+    """The questions of all notes."""
+    return _rows(tuple(n[2] for n in NOTES), ("reading", "pos", "qtype", "question", "answer", "explanation"))
+
+
+def readings_sql() -> str:
+    return _rows(tuple((n[1],) for n in NOTES), ("as_exam", "as_points", "as_sections"))

@@ -188,7 +188,9 @@ _add("H1_content_hash", f"SELECT id, content_hash FROM {_OWN}")(lambda s, d: _ba
 _UNESCAPE = "html"
 for _name, _char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", "\u00a0"), ("amp", "&")):
     _UNESCAPE = f"replace({_UNESCAPE}, '&{_name};', '{_char}')"
-_add("H2_html_unescape", f"SELECT page_id, md5({_UNESCAPE}) AS text_md5 FROM pages")(lambda s, d: view(s, d, "pages").select("page_id", F.md5(X.html_unescape(F.col("html"))).alias("text_md5")))
+_add("H2_html_unescape", f"SELECT page_id, md5(concat({_UNESCAPE}, ' é α≤ &none;')) AS text_md5 FROM pages")(
+    lambda s, d: view(s, d, "pages").select("page_id", F.md5(X.html_unescape(F.concat("html", F.lit(" &eacute; &amp;alpha;&le; &none;")))).alias("text_md5"))
+)
 _add("H3_fix_private_use", "SELECT doc_id, md5(replace(text, '', 'α')) AS text_md5 FROM noisy")(lambda s, d: view(s, d, "noisy").select("doc_id", F.md5(X.fix_private_use(F.col("text"))).alias("text_md5")))
 _add("H7_rule_clean", r"""SELECT doc_id, md5(replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^第\s*\d+\s*页\s*[/／]\s*共\s*\d+\s*页$')
  AND NOT regexp_matches(x, '^[-=—*_~]{5,}$')), chr(10)), '""" + "" + r"""', 'α')) AS text_md5 FROM noisy""")(lambda s, d: view(s, d, "noisy").select("doc_id", F.md5(X.rule_clean(F.col("text"))).alias("text_md5")))
