@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -17,10 +19,13 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 CONTEXT = 32
 #: Probability from which the classifier adds a span to the base ones.
 ADD_FROM = 0.9
+#: Hashed features of a span and of what stands around it, and the different spans that the classifier is fitted on at most.
+FEATURES, SAMPLE = 512, 4000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A match can only begin where digits begin, and takes whole runs of them; so a long run of digits costs one look at each.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?i)\b(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?([A-Za-z0-9_+/=-]{12,})|\b(AKIA[A-Z0-9]{12,})\b")
@@ -131,36 +136,56 @@ def estimate(counts: dict[tuple, int], rounds: int = 100) -> dict[tuple, float]:
     return dict(zip(keys, yes.tolist(), strict=True))
 
 
-def _inputs(keys: list[tuple]) -> np.ndarray:
-    """One-hot kind, kind x pattern vote, the other votes and the length bucket."""
-    x = np.zeros((len(keys), 38))
-    for i, (kind, *cast, size) in enumerate(keys):
+_WORD = re.compile(r"[^\W\d_]+")
+_KINDS_OF_CHARACTERS = str.maketrans({**dict.fromkeys("0123456789", "9"), **dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A")})
+_REPEATED = re.compile(r"(.)\1+")
+
+
+def features(text: str, start: int, kind: int, end: int) -> list[int]:
+    """Hashed features that no labeler votes on: the span's shape, the signs next to it and the words around it."""
+    before, after = text[max(0, start - CONTEXT) : start].lower(), text[end : end + CONTEXT].lower()
+    shape = _REPEATED.sub(r"\1", text[start : min(end, start + 64)].translate(_KINDS_OF_CHARACTERS))[:24]
+    near = _WORD.findall(before)[-2:] + [None] * 2
+    found = (f"shape {shape}", f"left {before[-1:]}", f"right {after[:1]}", f"before {near[0]} {near[1]}", *(f"word {w}" for w in near if w), *(f"next {w}" for w in _WORD.findall(after)[:1]))
+    return [zlib.crc32(f"{kind} {f}".encode()) % FEATURES for f in found]
+
+
+def _inputs(patterns: list[tuple], hashed: list[list[int]]) -> np.ndarray:
+    """One-hot kind, kind x pattern vote, the other votes and the length bucket, then the hashed features."""
+    x = np.zeros((len(patterns), 38 + FEATURES))
+    for i, ((kind, *cast, size), own) in enumerate(zip(patterns, hashed, strict=True)):
         x[i, kind] = 1
         x[i, 5 + 3 * kind + cast[0] + 1] = 1
         for j, v in enumerate(cast[1:]):
             x[i, 20 + 3 * j + v + 1] = 1
         x[i, 29 + size] = 1
         x[i, 37] = 1
+        x[i, [38 + f for f in own]] = 0.5
     return x
 
 
-def train(counts: dict[tuple, int], rounds: int = 500) -> dict[tuple, float]:
-    """The span classifier's probability for each pattern: logistic regression on the estimated labels, weighted by counts."""
-    target = estimate(counts)
-    keys = sorted(counts)
-    if not keys:
-        return {}
-    x, y = _inputs(keys), np.array([target[k] for k in keys])
-    n = np.array([counts[k] for k in keys], dtype=float) / sum(counts.values())
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        bend = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w))
-        step = np.linalg.solve(bend, x.T @ (n * (p - y)) + 1e-4 * w)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return dict(zip(keys, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
+class Classifier:
+    """Logistic regression over votes and hashed features, fitted on estimated labels."""
+
+    def __init__(self, patterns: list[tuple], hashed: list[list[int]], target: list[float], rounds: int = 100):
+        x, y = _inputs(patterns, hashed), np.array(target, dtype=float)
+        w = np.zeros(38 + FEATURES)
+        for _ in range(rounds if len(y) else 0):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            bend = (x * (p * (1 - p) / len(y))[:, None]).T @ x + 1e-4 * np.eye(len(w))
+            step = np.linalg.solve(bend, x.T @ (p - y) / len(y) + 1e-4 * w)
+            w -= np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-6:
+                break
+        self.weights, self.fitted, self._votes = w, len(y) > 0, {}
+
+    def __call__(self, pattern: tuple, hashed: list[int]) -> float:
+        if not self.fitted:
+            return 0.0
+        if pattern not in self._votes:
+            self._votes[pattern] = float(_inputs([pattern], [[]])[0] @ self.weights)
+        score = self._votes[pattern] + 0.5 * sum(self.weights[38 + f] for f in set(hashed))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
 
 
 def _count(texts: list) -> tuple[list, list]:
@@ -168,18 +193,35 @@ def _count(texts: list) -> tuple[list, list]:
     return [0] * len(seen), [[list(p) for p in seen], list(seen.values())]
 
 
-def fit(docs: DataFrame) -> dict[tuple, float]:
-    """Probabilities by pattern, from the candidates of all documents. There are at most 5 x 81 x 6 patterns to collect."""
-    rows = expand_rows(docs.select("text"), [], ["text"], _count, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    return train({tuple(r["pattern"]): r["n"] for r in rows})
+def _list_candidates(texts: list) -> tuple[list, list]:
+    rows = {}
+    for t in texts:
+        for s, k, e, b in candidates(t) if t else ():
+            around = zlib.crc32(f"{k}{t[max(0, s - CONTEXT) : min(e, s + 64) + CONTEXT]}".encode())
+            rows[around] = ([k, *cast_votes(t, s, k, e, b)], features(t, s, k, e))
+    return [0] * len(rows), [list(rows), [r[0] for r in rows.values()], [r[1] for r in rows.values()]]
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
+    """The span classifier: labels from the vote patterns of all documents, weights from `sample` different spans at most.
+
+    There are at most 5 x 81 x 6 patterns to collect. The sample holds the spans of least hash of what they are and stand in.
+    """
+    body = docs.select("text")
+    counted = expand_rows(body, [], ["text"], _count, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    known = estimate({tuple(r["pattern"]): r["n"] for r in counted})
+    listed = expand_rows(body, [], ["text"], _list_candidates, "h long, pattern array<int>, features array<int>")
+    rows = listed.groupBy("h").agg(F.min("pattern").alias("pattern"), F.min("features").alias("features")).orderBy("h").limit(sample).collect()
+    patterns = [tuple(r["pattern"]) for r in rows]
+    return Classifier(patterns, [r["features"] for r in rows], [known[p] for p in patterns])
 
 
-def spans_of(text: str, model: dict[tuple, float]) -> list[tuple[int, int, int, bool]]:
+def spans_of(text: str, model: Classifier) -> list[tuple[int, int, int, bool]]:
     """Base spans and those that the classifier adds, by start, then kind. An added span overlaps no other."""
     found = candidates(text)
     out = [c for c in found if c[3]]
     for s, k, e, b in found:
-        if not b and model.get((k, *cast_votes(text, s, k, e, b)), 0) >= ADD_FROM and not any(s < y and x < e for x, _, y, _ in out):
+        if not b and not any(s < y and x < e for x, _, y, _ in out) and model((k, *cast_votes(text, s, k, e, b)), features(text, s, k, e)) >= ADD_FROM:
             out.append((s, k, e, b))
     return sorted(out)
 
@@ -188,8 +230,9 @@ def find(docs: DataFrame) -> DataFrame:
     """docs with pii: array of (kind, start, end, base), code points and exclusive end, by start and then kind.
 
     docs needs text; every column stays (one named pii is replaced). A null text has no spans. base marks the spans of the base
-    patterns, which are always kept; the rest are those that the trained classifier adds. Two scans of the texts, no shuffle of
-    rows: the first counts vote patterns, from which the driver estimates the labelers' reliabilities, the second decides.
+    patterns, which are always kept; the rest are those that the trained classifier adds. Scans of the texts, no shuffle of
+    them: the first counts vote patterns, from which the driver estimates the labelers' reliabilities, and takes a sample of spans,
+    on which the span classifier is fitted; the second decides.
     """
     model = fit(docs)
 
