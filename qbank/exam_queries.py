@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qbank.functions import answers as A
 from qbank.functions import items as I
 from qbank.functions import latex as X
 from qbank.functions import replies as R
+from qbank.functions import text as T
 from qbank.operators import bank as B
 from qbank.operators import exams as E
 from qbank.operators import imports as M
@@ -153,6 +155,17 @@ _cases("H37_prompt_rows", lambda q, o, a: R.variant_prompt(F.lit("calc"), q, F.s
     ("{1}", "{5}", "{9}", '题型：calc\n题目：{1}\n选项：["{5}"]\n答案：{9}\n解析：\n请生成 3 道变式题。'),
 ])
 
+_cases("H14_latex_ok", T.latex_ok, [
+    ("\\frac{a}{b}{1}", True), ("{", False), ("a$ {1}", False), ("\\begin{x}", False), ("\\rhoé", True), ("\\fooé {1}", False), (" ", False), ("{1}", True),
+])
+_cases("H19_check_judge", lambda x, o: A.judge_value(x, F.split(o, "[|]")), [
+    (" √ ", "", "对"), ("A", "A. 错|B. 对", "错"), ("b", "A. 错误|B. 正确", "对"), ("C", "A. 错|B. 对", "C"), ("A", "A. {1}|B. 对", "A"), ("{1}", "", "{1}"), ("FALSE", "", "错"),
+])
+_cases("H20_check_calc_forms", lambda u, r: A.near(A.numbers(u), A.numbers(r)), [
+    ("8", "2^3", True), ("6.2832", "2*pi", True), ("6.2832", "2π", True), ("1.4142", "sqrt(2)", True), ("0.5", "\\frac{a}{b}", False), ("0.25", "\\frac{{1}}{{4}}", True), ("1", "1/0", False),
+    ("7", "2^3", False), ("1.5708", "π/2", True), ("2.4495", "√2*√3", True),
+])
+
 _NOTE = ("doc_id", "pos", "qtype", "question", "answer", "explanation")
 for _name, _reading, _parse in (("I5_parse_note_points", "points", N.note_points), ("I6_parse_note_sections", "sections", N.note_sections)):
     _add(

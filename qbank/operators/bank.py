@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +33,15 @@ def first_by_hash(bank: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def matching(bank: DataFrame, subject: str = "", qtype: str = "", keyword: str = "") -> DataFrame:
-    """Rows of a subject, a type in any spelling, and a keyword in stem or subject; '' asks for all."""
+    """Rows of a subject, a type in any spelling, and a keyword in stem, topic or subject; '' asks for all."""
     out = bank
     if subject:
         out = out.where(F.col("subject") == subject)
     if qtype:
         out = out.where(F.col("qtype") == normalize_qtype(F.lit(qtype)))
     if keyword:
-        out = out.where(F.col("question").ilike(f"%{keyword}%") | F.col("subject").ilike(f"%{keyword}%"))
+        fields = [F.coalesce(F.col(c), F.lit("")).ilike(f"%{keyword}%") for c in ("question", "topic", "subject") if c in bank.columns]
+        out = out.where(reduce(Column.__or__, fields))
     return out
 
 
@@ -78,11 +81,19 @@ def patch(bank: DataFrame, changes: DataFrame, columns: tuple[str, ...], trim: b
 
 
 def insert(bank: DataFrame, batch: DataFrame) -> DataFrame:
-    """Batch rows appended in the order of seq, with the ids that follow the bank's greatest."""
+    """Batch rows appended in the order of seq, with the ids that follow the bank's greatest.
+
+    Rows are numbered within stretches of seq, and stretches by how many rows come before them, so no task holds the batch.
+    """
+    parts = int(bank.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     top = bank.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    # The batch is one upload; its rows are numbered in one window, the bank's are only aggregated.
-    numbered = batch.withColumn("n", F.row_number().over(Window.orderBy("seq"))).crossJoin(F.broadcast(top))
-    return bank.unionByName(numbered.withColumn("id", F.col("top") + F.col("n")).select(*bank.columns))
+    ends = batch.agg(F.min("seq").alias("low"), F.ceil((F.max("seq") - F.min("seq") + 1) / parts).alias("width"))
+    dealt = batch.crossJoin(F.broadcast(ends)).withColumn("part", F.floor((F.col("seq") - F.col("low")) / F.col("width")))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("size"))
+    earlier = sizes.withColumn("earlier", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "earlier")
+    within = F.row_number().over(Window.partitionBy("part").orderBy("seq"))
+    numbered = dealt.withColumn("n", within).join(F.broadcast(earlier), "part").crossJoin(F.broadcast(top))
+    return bank.unionByName(numbered.withColumn("id", F.col("top") + F.col("earlier") + F.col("n")).select(*bank.columns))
 
 
 def subjects(bank: DataFrame) -> DataFrame:
@@ -97,11 +108,12 @@ def qtype_counts(bank: DataFrame) -> DataFrame:
     return dim.join(counts, "qtype", "left").select("pos", "qtype", qtype_label(F.col("qtype")).alias("label"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def stats(bank: DataFrame) -> DataFrame:
-    """Totals, by subject and by type, in one scan."""
+def stats(bank: DataFrame, records: DataFrame) -> DataFrame:
+    """Totals, by subject and by type, in one scan of the bank; the number of records with the totals, else 0."""
+    held = records.agg(F.count("*").alias("records"))
     return bank.groupingSets([[], ["subject"], ["qtype"]], "subject", "qtype").agg(
-        F.count("*").alias("n"), F.count_if("pending_review").alias("n_pending")
-    ).select("subject", "qtype", "n", "n_pending")
+        F.count("*").alias("n"), F.count_if("pending_review").alias("n_pending"), (F.grouping_id() == 3).alias("whole")
+    ).crossJoin(F.broadcast(held)).select("subject", "qtype", "n", "n_pending", F.when(F.col("whole"), F.col("records")).otherwise(0).alias("n_records"))
 
 
 def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:

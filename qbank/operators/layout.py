@@ -30,13 +30,14 @@ def orphan_files(anchored: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def image_stats(anchored: DataFrame, files: DataFrame) -> DataFrame:
-    """Questions, those with an image field and with an anchor, files missing and files nobody names."""
+    """Questions, those with an image field and with an anchor, files missing and files nobody names, and the first 50 of these."""
     own = anchored.agg(
         F.count("*").alias("total"), F.count("image").alias("with_field"), F.count_if(F.size(anchors(F.col("question"))) > 0).alias("with_anchor")
     )
-    gaps = missing_files(anchored, files).agg(F.count("*").alias("missing"))
-    rest = orphan_files(anchored, files).agg(F.count("*").alias("orphans"))
-    return own.crossJoin(gaps).crossJoin(rest)  # one row each
+    first = lambda names, name: names.orderBy("name").limit(50).agg(F.array_sort(F.collect_list("name")).alias(name))
+    gaps, rest = missing_files(anchored, files), orphan_files(anchored, files)
+    counts = own.crossJoin(gaps.agg(F.count("*").alias("missing"))).crossJoin(rest.agg(F.count("*").alias("orphans")))
+    return counts.crossJoin(first(gaps, "missing_first")).crossJoin(first(rest, "orphans_first"))  # one row each
 
 
 def clusters(boxes: DataFrame, gap: float = 25) -> DataFrame:
@@ -81,9 +82,15 @@ def attach_by_number(questions: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def pair_in_order(images: DataFrame, questions: DataFrame) -> DataFrame:
-    """The i-th image of a document with its i-th question; what has no partner is left out."""
-    nth = lambda order: F.row_number().over(Window.partitionBy("doc").orderBy(order))
-    return images.withColumn("nth", nth("event_id")).join(questions.withColumn("nth", nth("key")), ["doc", "nth"]).select("doc", "key", "fname")
+    """The i-th image of a document with its i-th question, by number; what has no partner is left out."""
+    return bind_in_order(images, questions).where("pending").drop("pending")
+
+
+def bind_in_order(images: DataFrame, questions: DataFrame) -> DataFrame:
+    """C4: as C5, but every image stays: one with a question makes that question wait for review (pending), the rest have no key."""
+    nth = lambda *order: F.row_number().over(Window.partitionBy("doc").orderBy(*order))
+    asked = questions.withColumn("nth", nth(F.col("key").try_cast("int"), "key")).select("doc", "key", "nth")
+    return images.withColumn("nth", nth("event_id")).join(asked, ["doc", "nth"], "left").select("doc", "key", "fname", F.col("key").isNotNull().alias("pending"))
 
 
 def rewrite_by_class(anchored: DataFrame, classes: DataFrame) -> DataFrame:

@@ -56,8 +56,10 @@ def _batch(spark, sf) -> DataFrame:
 _COLUMNS = ("id", "subject", "qtype", "question", "answer", "pending_review")
 _LIST = ", ".join(_COLUMNS)
 
-_add("A1_scan_bank", f"SELECT {_LIST}, 0 AS n_options FROM {_OWN}")(
-    lambda s, d: T.decode_lists(_bank(s, d).withColumn("options", F.lit(None).cast("string")), ["options"]).select(*_COLUMNS, F.size("options").alias("n_options"))
+_add("A1_scan_bank", f"SELECT {_LIST}, CASE id % 4 WHEN 0 THEN subject || '|' || course ELSE '' END AS options FROM {_OWN}")(
+    lambda s, d: T.decode_lists(
+        _bank(s, d).withColumn("options", F.expr("CASE id % 4 WHEN 0 THEN to_json(array(subject, course)) WHEN 1 THEN '' WHEN 2 THEN 'no list' END")), ["options"]
+    ).select(*_COLUMNS, F.array_join("options", "|").alias("options"))
 )
 _add("A3_cells_to_line", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' | ') AS line FROM documents")(
     lambda s, d: view(s, d, "documents").select("doc_id", T.cells_to_line(F.split("text", "\n")).alias("line"))
@@ -81,8 +83,8 @@ _add("B2_find_by_text", "SELECT question, min(id) AS id FROM bank WHERE question
 _add("B3_find_by_hash", f"SELECT content_hash, min(id) AS id FROM {_OWN} WHERE content_hash IN (SELECT content_hash FROM {_BATCH}) GROUP BY content_hash")(
     lambda s, d: B.first_by_hash(_bank(s, d), _batch(s, d))
 )
-_add("B4_list_questions", f"SELECT {_LIST} FROM {_OWN} WHERE subject = 'src0' AND qtype = 'multiple_choice' AND (question ILIKE '%the%' OR subject ILIKE '%the%')")(
-    lambda s, d: B.matching(_bank(s, d), "src0", "multi", "the").select(*_COLUMNS)
+_add("B4_list_questions", f"SELECT {_LIST} FROM {_OWN} WHERE subject LIKE 'src%' AND qtype = 'multiple_choice' AND (question ILIKE '%IN%' OR course ILIKE '%IN%' OR subject ILIKE '%IN%')")(
+    lambda s, d: B.matching(_bank(s, d).withColumn("topic", F.col("course")), "", "multi", "IN").select(*_COLUMNS)
 )
 _add("B6_list_pending", f"SELECT {_LIST} FROM {_OWN} WHERE pending_review ORDER BY id DESC LIMIT 50")(lambda s, d: B.page(B.pending(_bank(s, d)), 1, 50).select(*_COLUMNS))
 _add("B7_qtype_label", f"SELECT id, {_LABEL.format('qtype_raw')} AS raw_label, {_LABEL.format('qtype')} AS label FROM {_OWN}")(
@@ -90,8 +92,8 @@ _add("B7_qtype_label", f"SELECT id, {_LABEL.format('qtype_raw')} AS raw_label, {
 )
 _add("B8_normalize_qtype", f"SELECT id, {_NORMAL.format('qtype_raw')} AS qtype FROM bank")(lambda s, d: _bank(s, d).select("id", "qtype"))
 _add("B9_has_answer", "SELECT id, trim(answer) <> '' AND answer NOT LIKE '%（待补充答案）%' AS has_answer FROM bank")(lambda s, d: B.answered(_bank(s, d)).select("id", "has_answer"))
-_add("B10_delete_by_ids", f"SELECT {_LIST} FROM {_OWN} WHERE id NOT IN (SELECT question_id FROM submissions WHERE event_id % 3 = 0)")(
-    lambda s, d: B.without_ids(_bank(s, d), view(s, d, "submissions").where("event_id % 3 = 0").select(F.col("question_id").alias("id"))).select(*_COLUMNS)
+_add("B10_delete_by_ids", f"SELECT {_LIST} FROM {_OWN} WHERE id NOT IN (SELECT doc_id + 1 FROM labels WHERE quality = 0)")(
+    lambda s, d: B.without_ids(_bank(s, d), view(s, d, "labels").where("quality = 0").selectExpr("explode(array(doc_id + 1, -doc_id)) AS id")).select(*_COLUMNS)
 )
 _add("B11_basename", "SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE source_file END AS name FROM bank")(
     lambda s, d: view(s, d, "bank").select("id", X.basename(F.concat(F.when(F.col("id") % 3 == 0, F.lit("a/..")).when(F.col("id") % 3 == 1, F.lit("a\\b/")).otherwise(F.lit("")), "source_file")).alias("name"))
@@ -138,14 +140,19 @@ _DIM = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(QTYPES)) + "
 _add("D3_list_qtypes", f"SELECT pos, dim.qtype, {_LABEL.format('dim.qtype')} AS label, coalesce(n, 0) AS n FROM {_DIM} LEFT JOIN (SELECT qtype, count(*) AS n FROM {_OWN} WHERE subject = 'src0' GROUP BY qtype) c ON c.qtype = dim.qtype")(
     lambda s, d: B.qtype_counts(B.matching(_bank(s, d), "src0"))
 )
-_add("D4_stats", f"SELECT subject, qtype, count(*) AS n, count(*) FILTER (pending_review) AS n_pending FROM {_OWN} GROUP BY GROUPING SETS ((), (subject), (qtype))")(lambda s, d: B.stats(_bank(s, d)))
+_add("D4_stats", f"""SELECT subject, qtype, count(*) AS n, count(*) FILTER (pending_review) AS n_pending,
+ CASE WHEN grouping(subject, qtype) = 3 THEN (SELECT count(DISTINCT paper_id) FROM submissions) ELSE 0 END AS n_records FROM {_OWN} GROUP BY GROUPING SETS ((), (subject), (qtype))""")(
+    lambda s, d: B.stats(_bank(s, d), view(s, d, "submissions").select("paper_id").distinct())
+)
 _OUTCOME = f"(SELECT *, CASE WHEN content_hash IN (SELECT content_hash FROM {_OWN}) OR row_number() OVER (PARTITION BY content_hash ORDER BY seq) > 1 THEN 'merged' ELSE 'inserted' END AS outcome FROM {_BATCH})"
 _add("D5_import_summary", f"SELECT qtype, count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'merged') AS merged, count(*) FILTER (pending_review) AS pending, count(*) AS total FROM {_OUTCOME} GROUP BY qtype")(
     lambda s, d: B.import_summary(B.outcomes(_bank(s, d), _batch(s, d)))
 )
 _add("D8_image_stats", f"""SELECT (SELECT count(*) FROM anchored) AS total, (SELECT count(image) FROM anchored) AS with_field, (SELECT count(*) FROM anchored WHERE question LIKE '%【图:%】%') AS with_anchor,
- (SELECT count(*) FROM {_REFS} WHERE name NOT IN (SELECT name FROM files)) AS missing, (SELECT count(*) FROM files WHERE name NOT IN (SELECT name FROM {_REFS})) AS orphans""")(
-    lambda s, d: L.image_stats(view(s, d, "anchored"), view(s, d, "files"))
+ (SELECT count(*) FROM {_REFS} WHERE name NOT IN (SELECT name FROM files)) AS missing, (SELECT count(*) FROM files WHERE name NOT IN (SELECT name FROM {_REFS})) AS orphans,
+ (SELECT string_agg(name, ',' ORDER BY name) FROM (SELECT DISTINCT name FROM {_REFS} WHERE name NOT IN (SELECT name FROM files) ORDER BY name LIMIT 50)) AS missing_first,
+ (SELECT string_agg(name, ',' ORDER BY name) FROM (SELECT name FROM files WHERE name NOT IN (SELECT name FROM {_REFS}) ORDER BY name LIMIT 50)) AS orphans_first""")(
+    lambda s, d: L.image_stats(view(s, d, "anchored"), view(s, d, "files")).withColumns({c: F.array_join(c, ",") for c in ("missing_first", "orphans_first")})
 )
 _add("D9_kind_error_freq", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type")(lambda s, d: view(s, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n")))
 _add("D10_decorative_by_freq", "SELECT doc, fname AS image, count(DISTINCT page) AS n FROM marks WHERE fname IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT page) >= 2")(
@@ -284,11 +291,11 @@ def _keys(spark, sf) -> DataFrame:
 _add("C3_image_by_qnum", f"SELECT k.doc, k.key, coalesce(l.images, '') AS images, coalesce(l.n, 0) AS n FROM {_KEYS} k LEFT JOIN {_LISTS} l ON l.doc = k.doc AND l.key = k.key")(
     lambda s, d: L.attach_by_number(_keys(s, d), L.attribute(view(s, d, "marks"))).select("doc", "key", F.array_join("images", ",").alias("images"), F.size("images").cast("long").alias("n"))
 )
-_PAIRED = "SELECT i.doc, q.key, i.fname FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY event_id) AS nth FROM {0}) i JOIN (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY key) AS nth FROM {1}) q ON q.doc = i.doc AND q.nth = i.nth"
-_add("C4_image_sequential", _PAIRED.format(f"(SELECT * FROM {_NUMBERED} WHERE question IS NULL)", f"(SELECT k.* FROM {_KEYS} k ANTI JOIN {_LISTS} l ON l.doc = k.doc AND l.key = k.key)"))(
-    lambda s, d: (lambda images: L.pair_in_order(images.where("question IS NULL"), L.attach_by_number(_keys(s, d), images).where("size(images) = 0")))(L.attribute(view(s, d, "marks")))
+_PAIRED = "SELECT i.doc, q.key, i.fname{3} FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY event_id) AS nth FROM {0}) i {2} JOIN (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY try_cast(key AS INT), key) AS nth FROM {1}) q ON q.doc = i.doc AND q.nth = i.nth"
+_add("C4_image_sequential", _PAIRED.format(f"(SELECT * FROM {_NUMBERED} WHERE question IS NULL)", f"(SELECT k.* FROM {_KEYS} k ANTI JOIN {_LISTS} l ON l.doc = k.doc AND l.key = k.key)", "LEFT", ", q.key IS NOT NULL AS pending"))(
+    lambda s, d: (lambda images: L.bind_in_order(images.where("question IS NULL"), L.attach_by_number(_keys(s, d), images).where("size(images) = 0")))(L.attribute(view(s, d, "marks")))
 )
-_add("C5_image_zip", _PAIRED.format(_NUMBERED, _KEYS))(lambda s, d: L.pair_in_order(L.attribute(view(s, d, "marks")), _keys(s, d)))
+_add("C5_image_zip", _PAIRED.format(_NUMBERED, _KEYS, "", ""))(lambda s, d: L.pair_in_order(L.attribute(view(s, d, "marks")), _keys(s, d)))
 _CLASSES = "(SELECT name, n, CASE n % 3 WHEN 0 THEN 'formula' WHEN 1 THEN 'decorative' ELSE 'diagram' END AS kind FROM (SELECT name, cast(regexp_extract(name, '[0-9]+', 0) AS BIGINT) AS n FROM files))"
 _NAMED = "(SELECT *, regexp_extract(question, '【图:([^】]+)】', 1) AS name FROM anchored)"
 _add("C7_image_class_rewrite", f"SELECT a.id, CASE c.kind WHEN 'formula' THEN replace(question, concat('【图:', a.name, '】'), concat('$x_{{', c.n, '}}$')) WHEN 'decorative' THEN replace(question, concat('【图:', a.name, '】'), '') ELSE question END AS question FROM {_NAMED} a LEFT JOIN {_CLASSES} c ON c.name = a.name")(
@@ -352,6 +359,20 @@ _add("H20_check_calc", _ok(f"abs(({_U}) - ({_R})) <= greatest(5e-4 * greatest(ab
 _add("H21_check_blank", _ok(f"{_PARTS.format('u')} = {_PARTS.format('r')}", "('blank')"))(lambda s, d: _answered(s, d, "blank"))
 
 
+_add("D6_grade_rollup", f"""SELECT paper_id, 5 * count(*) FILTER (st = 'correct') AS score, count(*) FILTER (st = 'correct') AS n_correct, count(*) FILTER (st = 'wrong') AS n_wrong,
+ count(*) FILTER (st = 'pending') AS n_pending, CASE WHEN count(*) FILTER (st = 'pending') > 0 THEN 'pending' ELSE 'graded' END AS status
+ FROM (SELECT paper_id, {_STATUS} AS st FROM {_SUBMITTED}) GROUP BY paper_id""")(
+    lambda s, d: P.rollup(P.grade(_bank(s, d), view(s, d, "submissions")), points=5)
+)
+_add("E1_item_number", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, md5(list_extract(l, i)) AS line_md5 FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")(
+    lambda s, d: N.numbered(view(s, d, "documents")).select("doc_id", (F.col("pos") + 1).alias("n"), F.md5("line").alias("line_md5"))
+)
+_add("G3_upsert_batch", f"SELECT outcome, count(*) AS n, count(*) FILTER (pending_review) AS n_pending FROM {_OUTCOME} GROUP BY outcome")(
+    lambda s, d: B.outcomes(_bank(s, d), _batch(s, d)).groupBy("outcome").agg(F.count("*").alias("n"), F.count_if("pending_review").alias("n_pending"))
+)
+_add("G5_append_source", f"SELECT content_hash, files FROM ({_UPSERT})")(lambda s, d: _upsert(s, d).select("content_hash", "files"))
+
+
 def queries() -> dict[str, Query]:
     return {**_QUERIES, **exam_queries.QUERIES}
 

@@ -5,9 +5,3 @@ QTYPES = ("single_choice", "multiple_choice", "blank", "judge", "essay", "calc",
 QTYPE_LABELS = dict(zip(QTYPES, ("单选题", "多选题", "填空题", "判断题", "简答题", "计算题", "思考题"), strict=True))
 LEGACY_QTYPES = {"single": "single_choice", "multi": "multiple_choice", "multiple": "multiple_choice"}
 ANSWER_PLACEHOLDER = "（待补充答案）"
-
-QUESTIONS = (
-    "id long, subject string, course string, topic string, source_file string, doc_id long, page_no int, qtype string, question string, "
-    "options array<string>, steps array<string>, images array<string>, answer string, explanation string, formula string, "
-    "tables string, paper_files array<string>, content_hash string, pending_review boolean, created_at timestamp_ntz"
-)
