@@ -7,6 +7,8 @@ import re
 import zlib
 from array import array
 from bisect import bisect_right
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import xxhash
@@ -56,14 +58,14 @@ class Pieces:
         self.rank = {names[i]: r for r, i in enumerate(order)}
         self.names = [names[i] for i in order]
         self.byte_id = {int(names[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
-        self.bytes_of = [b""] * size
+        self.bytes_of = np.full(size, b"", dtype=object)
         for i in plain:
             self.bytes_of[i] = names[i].replace(SPACE, " ").encode()
         for b, i in self.byte_id.items():
             self.bytes_of[i] = bytes([b])
-        #: (ids, candidates after the last skip) of chunks, without skips and by the skips made; no key or seed is part of it.
-        self.whole: dict[str, tuple[bytes, int]] = {}
-        self.skipping: dict[tuple[str, tuple], tuple[bytes, int]] = {}
+        #: (ids, candidates after the last skip) of chunks; the name is the chunk, and where it was cut with skips, a \0 and a character
+        #: for each of them, whose code tells how many candidates passed before it. No key or seed is part of it.
+        self.known: dict[str, tuple[bytes, int]] = {}
         self.waits: dict[int, tuple[list[int], np.ndarray]] = {}
         #: What one run of merges can reach: no piece crosses from a word to the space before the next, a line end, or a mark of that kind.
         joined = {y for p in self.rank for x, y in zip(p, p[1:]) if x.isalnum()}
@@ -88,8 +90,8 @@ class Pieces:
         return self.waits[floor]
 
     def _merge_short(self, chunk: str, key: int | None, floor: int) -> tuple[list[str], tuple[int, ...], int]:
-        symbols, get, none = list(chunk), self.rank.get, len(self.names)
-        agenda = [get(a + b, none) for a, b in zip(chunk, chunk[1:])]
+        symbols, get, names, none = list(chunk), self.rank.get, self.names, len(self.names)
+        agenda = list(map(get, map(add, chunk, chunk[1:]), repeat(none)))
         bounds = self._bounds(floor)[0] if key is not None and floor else None
         due, passed, skips = bisect_right(bounds, key) if bounds else -1, 0, []
         while agenda and (r := min(agenda)) < none:
@@ -101,7 +103,7 @@ class Pieces:
                 agenda[i] = none
                 continue
             passed += 1
-            symbols[i] = piece = self.names[r]
+            symbols[i] = piece = names[r]
             del symbols[i + 1], agenda[i]
             if i < len(agenda):
                 agenda[i] = get(piece + symbols[i + 1], none)
@@ -139,36 +141,20 @@ class Pieces:
         return [s for s in symbols if s is not None], tuple(skips), passed
 
     def spell(self, symbols: list[str]) -> list[int]:
-        get, out = self.id_of.get, []
-        for s in symbols:
-            i = get(s)
-            if i is None:
-                out += [self.byte_id[b] for b in s.encode()]
-            else:
-                out.append(i)
-        return out
+        ids = list(map(self.id_of.get, symbols))
+        return ids if None not in ids else [i for s, own in zip(symbols, ids) for i in ([self.byte_id[b] for b in s.encode()] if own is None else [own])]
 
     def _chunk(self, raw: str, key: int | None, floor: int) -> tuple[bytes, int]:
-        """Ids of a chunk with the spaces before it, and the number of skips; marks that the text itself holds are spelt in bytes.
-
-        What is remembered is looked up by the skips that the key makes, so it gives what a new run would.
-        """
+        """Ids of a chunk with the spaces before it, and the number of skips; marks that the text itself holds are spelt in bytes."""
         if raw == "\0":
-            self.whole[raw] = got = np.array([self.byte_id[b] for b in SPACE.encode()], dtype="<u4").tobytes(), 0
+            self.known[raw] = got = np.array([self.byte_id[b] for b in SPACE.encode()], dtype="<u4").tobytes(), 0
             return got
-        if key is not None and floor and (got := self.whole.get(raw)) is not None:
-            bounds, draw, skips = self._bounds(floor)[0], key, ()
-            while got is not None:
-                if (wait := bisect_right(bounds, draw)) >= got[1]:
-                    return got[0], len(skips)
-                skips += (wait,)
-                got, draw = self.skipping.get((raw, skips)), _next(draw)
         symbols, skips, passed = self.merge(raw.replace(" ", SPACE), key, floor)
         ids = array("I", self.spell(symbols)).tobytes()
         if not skips:
-            self.whole[raw] = ids, passed
+            self.known[raw] = ids, passed
         elif len(skips) <= DEEP and len(raw) <= SHORT:
-            self.skipping[raw, skips] = ids, passed
+            self.known[raw + "\0" + "".join(map(chr, skips))] = ids, passed
         return ids, len(skips)
 
     def encode(self, text: str, seed: int | None = SEED, dropout: float = DROPOUT) -> tuple[np.ndarray, int]:
@@ -191,30 +177,41 @@ class Pieces:
     def _rest(self, text: str, seed: int | None, dropout: float, place: int = 0) -> tuple[np.ndarray, int]:
         if not text:
             return np.zeros(0, dtype="<u4"), 0
-        if len(self.whole) + len(self.skipping) > REMEMBERED:
-            self.whole.clear()
-            self.skipping.clear()
-        chunks, get, floor = self.chunks(text.replace(SPACE, "\0")), self.whole.get, int(dropout * 2**32)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        chunks, get, floor = self.chunks(text.replace(SPACE, "\0")), self.known.get, int(dropout * 2**32)
         if seed is None or not floor:
             ids = [got[0] if (got := get(c)) is not None else self._chunk(c, None, 0)[0] for c in chunks]
             return np.frombuffer(b"".join(ids), dtype="<u4"), 0
         start = np.uint64(xxhash.xxh64_intdigest(b"", seed & 0xFFFFFFFFFFFFFFFF))
         draws = mix(start + np.arange(place, place + len(chunks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        waits = np.searchsorted(self._bounds(floor)[1], draws, side="right").tolist()
+        bounds, table = self._bounds(floor)
         ids, skipped = [], 0
-        for i, (c, wait) in enumerate(zip(chunks, waits)):
-            if (got := get(c)) is not None and got[1] <= wait:
-                ids.append(got[0])
-            else:
-                made, k = self._chunk(c, int(draws[i]), floor)
+        for c, wait, draw in zip(chunks, np.searchsorted(table, draws, side="right").tolist(), draws.tolist()):
+            if (got := get(c)) is None:
+                made, k = self._chunk(c, draw, floor)
                 ids.append(made)
                 skipped += k
+                continue
+            if got[1] > wait:
+                # What is remembered is looked up by the skips that the draws make, so it gives what a new run would.
+                name, key, k = c + "\0", draw, 0
+                while got is not None and got[1] > wait:
+                    name += chr(wait)
+                    got, key, k = get(name), _next(key), k + 1
+                    wait = bisect_right(bounds, key)
+                if got is None:
+                    made, k = self._chunk(c, draw, floor)
+                    ids.append(made)
+                    skipped += k
+                    continue
+                skipped += k
+            ids.append(got[0])
         return np.frombuffer(b"".join(ids), dtype="<u4"), skipped
 
     def decode(self, ids) -> str:
         """The text: pieces joined, marks as spaces, without the first mark. The inverse of encode for every seed."""
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids])[1:].decode()
+        return b"".join(self.bytes_of[np.asarray(ids, dtype=np.int64)].tolist())[1:].decode()
 
 
 def _next(draw: int) -> int:
@@ -260,7 +257,7 @@ def round_trip(docs: DataFrame, model_path: str, seed: int = SEED, dropout: floa
         model, out = pieces(model_path), []
         for k, t in zip(keys, texts, strict=True):
             ids, skipped = model.encode(t or "", k if dropout > 0 else None, dropout)
-            out.append((len(ids), skipped, zlib.crc32(ids.tobytes()), model.decode(ids.tolist()) == (t or "")))
+            out.append((len(ids), skipped, zlib.crc32(ids.tobytes()), model.decode(ids) == (t or "")))
         return [list(c) for c in zip(*out, strict=True)] or [[]] * 4
 
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", F.lit(seed)).alias("_key"))
