@@ -153,25 +153,33 @@ def upsert(bank: DataFrame, batch: DataFrame) -> DataFrame:
 
     A later row replaces stem, answer and review flag if the stem changed (unless that would lose anchors) or the answer did;
     source files are collected in order; a row that waits for review makes the question wait. Rows that only repeat the row
-    before them change nothing but the files, so repeats are collapsed before the ordered fold.
+    before them change nothing but the files, so repeats are collapsed before the ordered fold. Where both have images (array),
+    these are united in order, those of the batch as file names. id is the bank's least, null where the question is new.
     """
-    rows = bank.select("content_hash", F.lit(0).alias("part"), F.col("id").alias("seq"), "question", "answer", "source_file", "pending_review").union(
-        batch.select("content_hash", F.lit(1), "seq", "question", "answer", "source_file", "pending_review")
+    own = ["question", "answer", "source_file", "pending_review"]
+    none = F.array().cast("array<string>")
+    images = "images" in bank.columns and "images" in batch.columns
+    old = F.coalesce("images", none) if images else none
+    new = F.coalesce(F.filter(F.transform("images", basename), lambda x: x.isNotNull()), none) if images else none
+    rows = bank.select("content_hash", F.lit(0).alias("part"), F.col("id").alias("seq"), *own, old.alias("images")).union(
+        batch.select("content_hash", F.lit(1), "seq", *own, new)
     )
-    same = ["content_hash", "question", "answer", "source_file", "pending_review", "part"]
+    same = ["content_hash", *own, "images", "part"]
     # Equal rows that alternate with others are kept at their first and last place: what lies between cannot tell.
     ends = rows.groupBy(same).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     ends = ends.withColumn("seq", F.explode(F.array_distinct(F.array("lo", "hi"))))
-    item = F.struct("part", "seq", "question", "answer", "pending_review", F.array("source_file").alias("files"))
+    item = F.struct("part", "seq", "question", "answer", "pending_review", F.array("source_file").alias("files"), "images")
     grouped = ends.groupBy("content_hash").agg(F.array_sort(F.collect_list(item)).alias("rows"))
     anchored = "contains({}.question, '【图:')"
     changed = f"((r.question <> s.question AND NOT ({anchored.format('s')} AND NOT {anchored.format('r')})) OR r.answer <> s.answer)"
     step = (
         f"(s, r) -> named_struct('part', r.part, 'seq', r.seq, 'question', if({changed}, r.question, s.question), 'answer', if({changed}, r.answer, s.answer), "
-        f"'pending_review', if({changed}, r.pending_review, s.pending_review OR r.pending_review), 'files', array_union(s.files, r.files))"
+        f"'pending_review', if({changed}, r.pending_review, s.pending_review OR r.pending_review), 'files', array_union(s.files, r.files), 'images', array_union(s.images, r.images))"
     )
-    folded = grouped.select("content_hash", F.expr(f"aggregate(slice(rows, 2, size(rows)), rows[0], {step})").alias("s"))
-    return folded.select("content_hash", "s.question", "s.answer", "s.pending_review", "s.files")
+    first = F.expr("if(rows[0].part = 0, rows[0].seq, NULL)").alias("id")
+    folded = grouped.select("content_hash", first, F.expr(f"aggregate(slice(rows, 2, size(rows)), rows[0], {step})").alias("s"))
+    out = folded.select("content_hash", "id", "s.question", "s.answer", "s.pending_review", "s.files", F.array_distinct("s.images").alias("images"))
+    return out if images else out.drop("images")
 
 
 def set_images(rows: DataFrame, patch: DataFrame) -> DataFrame:

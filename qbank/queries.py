@@ -183,8 +183,19 @@ k AS (SELECT *, sum(CASE WHEN q IS NULL OR q <> question OR a <> answer THEN 1 E
 m AS (SELECT content_hash, max(run) AS top, arg_max(question, [part, seq]) AS question, arg_max(answer, [part, seq]) AS answer FROM k GROUP BY content_hash)
 SELECT m.content_hash, m.question, m.answer, (SELECT bool_or(pending_review) FROM k WHERE k.content_hash = m.content_hash AND run = top) AS pending_review,
  (SELECT string_agg(source_file, ',' ORDER BY p, q2) FROM (SELECT source_file, min(part) AS p, min(part * 10000000000 + seq) AS q2 FROM k WHERE k.content_hash = m.content_hash GROUP BY source_file)) AS files FROM m"""
-_upsert = lambda s, d: B.upsert(_bank(s, d), _batch(s, d)).withColumn("files", F.array_join("files", ","))
+_upsert = lambda s, d: B.upsert(_bank(s, d), _batch(s, d)).drop("id").withColumn("files", F.array_join("files", ","))
 _add("G2_upsert_dedup", _UPSERT)(_upsert)
+_IMAGES = f"""WITH r AS (SELECT content_hash, id AS place, id, CASE WHEN id % 7 = 0 THEN concat('img', id % 210, '.png') END AS name FROM {_OWN} UNION ALL
+ SELECT content_hash, 20000000000 + 2 * seq, NULL, concat('img', seq % 9, '.png') FROM {_BATCH} UNION ALL
+ SELECT content_hash, 20000000001 + 2 * seq, NULL, concat('img', seq % 210, '.png') FROM {_BATCH}),
+f AS (SELECT content_hash, name, min(place) AS place, min(id) AS id FROM r GROUP BY content_hash, name)
+SELECT content_hash, coalesce(min(id), 0) AS id, coalesce(string_agg(name, ',' ORDER BY place), '') AS images FROM f GROUP BY content_hash"""
+_add("G2_upsert_images", _IMAGES)(
+    lambda s, d: B.upsert(
+        _bank(s, d).withColumn("images", F.expr("if(id % 7 = 0, array(concat('img', id % 210, '.png')), NULL)")),
+        _batch(s, d).withColumn("images", F.expr("array(concat('scan/', 'img', seq % 9, '.png'), concat('up', chr(92), 'img', seq % 210, '.png'))")),
+    ).select("content_hash", F.coalesce("id", F.lit(0)).alias("id"), F.array_join("images", ",").alias("images"))
+)
 _add("G4_image_union", "SELECT id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(question, '【图:([^】]+)】', 1), CASE WHEN image IS NULL THEN [] ELSE [image] END))), ',') AS images FROM anchored")(
     lambda s, d: view(s, d, "anchored").select("id", F.array_join(F.array_sort(F.array_union(X.anchors(F.col("question")), F.filter(F.array("image"), lambda x: x.isNotNull()))), ",").alias("images"))
 )

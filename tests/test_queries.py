@@ -89,6 +89,17 @@ def test_upsert_keeps_anchors_and_collects_files(spark):
     assert got["n"]["files"] == ["c.pdf"]
 
 
+def test_upsert_unites_images_as_file_names(spark):
+    columns = "content_hash string, question string, answer string, source_file string, pending_review boolean, images array<string>"
+    own = spark.createDataFrame([(7, "h", "q", "A", "one", False, ["b.png", "a.png"]), (8, "k", "p", "B", "one", False, None)], f"id long, {columns}")
+    batch = spark.createDataFrame(
+        [(1, "h", "q", "A", "two", False, ["x/a.png", "y\\c.png"]), (2, "k", "p", "B", "two", True, None), (3, "n", "r", "C", "two", False, ["z/d.png", "d.png", None])], f"seq long, {columns}"
+    )
+    got = {r["content_hash"]: (r["id"], r["images"], r["files"]) for r in bank.upsert(own, batch).collect()}
+    assert got == {"h": (7, ["b.png", "a.png", "c.png"], ["one", "two"]), "k": (8, [], ["one", "two"]), "n": (None, ["d.png"], ["two"])}
+    assert bank.upsert(own.limit(0), batch.limit(0)).count() == 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("﻿题".encode())
     (tmp_path / "b.PNG").write_bytes(b"\x89")
