@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_pstable, license_scan, near_dup_vectors, ngram_join, packing, pii, piece_dropout, quality, suffix_dedup, token_counts
+from . import (
+    ann_pstable, byte_bpe, license_scan, merkle, near_dup_vectors, ngram_join, packing, pii, piece_dropout, quality, suffix_dedup, token_counts, whitening,
+)
 
 #: Where the public tokenizers' files are; nothing of them is part of the library.
-WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORD_TOKENIZER, PIECE_MODEL, BYTE_RANKS = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,12 +74,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_documents(spark, sf_dir)).drop("text")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.manifest(_table(spark, sf_dir, "documents"), F.when(chosen, F.replace("text", F.lit("\n"), F.lit("")))).drop("siblings")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_vector_near_dups, op2_token_counts, op3_ngram_join, op4_license_scan, op5_piece_dropout, op6_pii,
-            op7_suffix_dedup, op8_ann_pstable, op9_packing, op10_quality,
+            op7_suffix_dedup, op8_ann_pstable, op9_packing, op10_quality, op11_merkle_manifest, op12_whitening, op13_byte_bpe,
         )
     }
 
@@ -164,5 +180,38 @@ FROM d LEFT JOIN s USING (doc_id) LEFT JOIN p USING (doc_id)
 """
 
 
+def _leaf_sql(text: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(concat(strlen(cast({c} AS VARCHAR)), ':', {c}), '-')" for c in (*merkle.COLUMNS[:-1], text)) + "))"
+
+
+#: The check sum of a decimal number, byte by byte and bit by bit, without its last inversion.
+_CRC = """list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(cast(doc_id AS VARCHAR)) + 1), lambda i: ascii(substr(cast(doc_id AS VARCHAR), i, 1))::BIGINT)),
+ lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"""
+
+_OP11 = f"""
+WITH RECURSIVE f AS (SELECT *, CASE WHEN {_CRC} % 2 = 1 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
+h AS (SELECT doc_id, coalesce(concat('+', source), '') AS src, {_leaf_sql('text')} AS leaf, {_leaf_sql('other')} AS changed FROM f),
+l AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS k FROM h),
+t AS (SELECT src, 0 AS lvl, pos, leaf AS node FROM l UNION ALL
+  SELECT src, lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY src) AS c FROM t) WHERE c > 1 GROUP BY src, lvl, pos // 3),
+s AS (SELECT *, row_number() OVER (ORDER BY src) - 1 AS place FROM (SELECT src, max(lvl) AS top, arg_max(node, lvl) AS subroot FROM t GROUP BY src)),
+u AS (SELECT 0 AS lvl, place AS pos, subroot AS node FROM s UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS c FROM u) WHERE c > 1 GROUP BY lvl, pos // 3),
+r AS (SELECT max(lvl) AS height, arg_max(node, lvl) AS root FROM u),
+w AS (SELECT k, src, lvl AS step, lvl, pos // (3 ** lvl)::BIGINT AS pos, false AS upper FROM (SELECT k, src, pos, unnest(range(top)) AS lvl FROM l JOIN s USING (src))
+  UNION ALL SELECT k, src, top + lvl, lvl, place // (3 ** lvl)::BIGINT, true FROM (SELECT k, src, top, place, unnest(range(height)) AS lvl FROM l JOIN s USING (src), r)),
+x AS (SELECT src, lvl, pos, node, false AS upper FROM t UNION ALL SELECT NULL, lvl, pos, node, true FROM u),
+p AS (SELECT w.k, w.step, coalesce(string_agg(node, '' ORDER BY x.pos) FILTER (x.pos < w.pos), '') AS before, coalesce(string_agg(node, '' ORDER BY x.pos) FILTER (x.pos > w.pos), '') AS after
+  FROM w LEFT JOIN x ON x.upper = w.upper AND x.lvl = w.lvl AND x.pos // 3 = w.pos // 3 AND (w.upper OR x.src = w.src) GROUP BY w.k, w.step),
+v AS (SELECT k, 0 AS step, changed AS node FROM l UNION ALL SELECT v.k, v.step + 1, sha256(concat(before, node, after)) FROM v JOIN p ON p.k = v.k AND p.step = v.step)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN s USING (src) JOIN (SELECT k, arg_max(node, step) AS folded_root FROM v GROUP BY k) USING (k)
+ LEFT JOIN (SELECT k, string_agg(concat(before, after), '' ORDER BY step) AS proof FROM p GROUP BY k) USING (k), r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vector_near_dups": _OP1, "op3_ngram_join": _OP3, "op4_license_scan": _license_sql(), "op7_suffix_dedup": _OP7}
+    return {
+        "op1_vector_near_dups": _OP1, "op3_ngram_join": _OP3, "op4_license_scan": _license_sql(), "op7_suffix_dedup": _OP7,
+        "op11_merkle_manifest": _OP11,
+    }
