@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qbank.functions.text import basename, content_hash, has_answer, normalize_qtype, qtype_label, strip
+from qbank.operators import ranks
 from qbank.schemas import QTYPES
 
 
@@ -81,19 +82,11 @@ def patch(bank: DataFrame, changes: DataFrame, columns: tuple[str, ...], trim: b
 
 
 def insert(bank: DataFrame, batch: DataFrame) -> DataFrame:
-    """Batch rows appended in the order of seq, with the ids that follow the bank's greatest.
-
-    Rows are numbered within stretches of seq, and stretches by how many rows come before them, so no task holds the batch.
-    """
-    parts = int(bank.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Batch rows appended in the order of seq, with the ids that follow the bank's greatest; numbered by stretches of seq, so
+    no task holds the batch, however its seq is spread."""
     top = bank.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    ends = batch.agg(F.min("seq").alias("low"), F.ceil((F.max("seq") - F.min("seq") + 1) / parts).alias("width"))
-    dealt = batch.crossJoin(F.broadcast(ends)).withColumn("part", F.floor((F.col("seq") - F.col("low")) / F.col("width")))
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("size"))
-    earlier = sizes.withColumn("earlier", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "earlier")
-    within = F.row_number().over(Window.partitionBy("part").orderBy("seq"))
-    numbered = dealt.withColumn("n", within).join(F.broadcast(earlier), "part").crossJoin(F.broadcast(top))
-    return bank.unionByName(numbered.withColumn("id", F.col("top") + F.col("earlier") + F.col("n")).select(*bank.columns))
+    rows = ranks.numbered(batch, "seq").crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("n"))
+    return bank.unionByName(rows.select(*bank.columns))
 
 
 def subjects(bank: DataFrame) -> DataFrame:
@@ -148,40 +141,6 @@ def import_summary(done: DataFrame) -> DataFrame:
     )
 
 
-def upsert(bank: DataFrame, batch: DataFrame) -> DataFrame:
-    """One row for each fingerprint after bank and batch are taken in order.
-
-    A later row replaces stem, answer and review flag if the stem changed (unless that would lose anchors) or the answer did;
-    source files are collected in order; a row that waits for review makes the question wait. Rows that only repeat the row
-    before them change nothing but the files, so repeats are collapsed before the ordered fold. Where both have images (array),
-    these are united in order, those of the batch as file names. id is the bank's least, null where the question is new.
-    """
-    own = ["question", "answer", "source_file", "pending_review"]
-    none = F.array().cast("array<string>")
-    images = "images" in bank.columns and "images" in batch.columns
-    old = F.coalesce("images", none) if images else none
-    new = F.coalesce(F.filter(F.transform("images", basename), lambda x: x.isNotNull()), none) if images else none
-    rows = bank.select("content_hash", F.lit(0).alias("part"), F.col("id").alias("seq"), *own, old.alias("images")).union(
-        batch.select("content_hash", F.lit(1), "seq", *own, new)
-    )
-    same = ["content_hash", *own, "images", "part"]
-    # Equal rows that alternate with others are kept at their first and last place: what lies between cannot tell.
-    ends = rows.groupBy(same).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    ends = ends.withColumn("seq", F.explode(F.array_distinct(F.array("lo", "hi"))))
-    item = F.struct("part", "seq", "question", "answer", "pending_review", F.array("source_file").alias("files"), "images")
-    grouped = ends.groupBy("content_hash").agg(F.array_sort(F.collect_list(item)).alias("rows"))
-    anchored = "contains({}.question, '【图:')"
-    changed = f"((r.question <> s.question AND NOT ({anchored.format('s')} AND NOT {anchored.format('r')})) OR r.answer <> s.answer)"
-    step = (
-        f"(s, r) -> named_struct('part', r.part, 'seq', r.seq, 'question', if({changed}, r.question, s.question), 'answer', if({changed}, r.answer, s.answer), "
-        f"'pending_review', if({changed}, r.pending_review, s.pending_review OR r.pending_review), 'files', array_union(s.files, r.files), 'images', array_union(s.images, r.images))"
-    )
-    first = F.expr("if(rows[0].part = 0, rows[0].seq, NULL)").alias("id")
-    folded = grouped.select("content_hash", first, F.expr(f"aggregate(slice(rows, 2, size(rows)), rows[0], {step})").alias("s"))
-    out = folded.select("content_hash", "id", "s.question", "s.answer", "s.pending_review", "s.files", F.array_distinct("s.images").alias("images"))
-    return out if images else out.drop("images")
-
-
 def set_images(rows: DataFrame, patch: DataFrame) -> DataFrame:
     """Rows whose id the patch names get its images, as file names; names that are no file name go."""
     names = F.filter(F.transform("images", basename), lambda x: x.isNotNull())

@@ -55,6 +55,19 @@ from events where event_type in ('signup', 'view')""",
     "incoming": """select id as seq, subject, course, qtype_raw, case when id % 3 = 0 then concat(question, '；') when id % 3 = 1 then question
  else concat(question, ' #', cast(id as string)) end as question, answer, 'batch2.txt' as source_file, id % 11 = 0 as pending_review
 from bank where id % 2 = 0""",
+    # A bank of full width, and a batch that brings each of its questions five times: with other punctuation, anchors, options,
+    # answers and explanations, and as a new question. Options are joined by bars.
+    "held": """select id, subject, course, case when id % 9 = 0 then 'unit 1' else '' end as topic, qtype_raw,
+ case when id % 6 = 0 then concat(question, ' 【图:img', cast(id % 20 as string), '.png】') else question end as question,
+ case when id % 3 = 0 then '' else concat(split_part(question, ' ', 2), '|', split_part(question, ' ', 3)) end as options, answer,
+ concat('why ', cast(id as string)) as explanation, source_file, pending_review from bank""",
+    "arriving": """select cast(k as bigint) * 1000000000 + id as seq, subject, course, concat('wave ', cast(k as string)) as topic, qtype_raw,
+ case when k = 4 then concat(question, ' #', cast(id as string)) when (id + k) % 4 = 0 then concat(question, ' 【图:scan', cast((id + k) % 9 as string), '.png】')
+   when (id + k) % 4 = 1 then concat(question, '；') else question end as question,
+ case when id % 3 = 0 then '' else concat(split_part(question, ' ', 2), case when k = 2 then '。|' else '|' end, split_part(question, ' ', 3)) end as options,
+ case when (id * 3 + k) % 7 = 0 then concat(answer, '。') else answer end as answer, concat('wave ', cast(k as string), ' why ', cast(id as string)) as explanation,
+ concat('batch', cast(k % 3 as string), '.txt') as source_file, (id * 5 + k) % 13 = 0 as pending_review
+from bank cross join (values (0), (1), (2), (3), (4)) as waves(k)""",
 }
 
 

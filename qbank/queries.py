@@ -15,6 +15,7 @@ from qbank.operators import layout as L
 from qbank.operators import lines as N
 from qbank.operators import papers as P
 from qbank.operators import search as S
+from qbank.operators import upsert as U
 from qbank.plans.fixtures import view, with_views
 from qbank.schemas import LEGACY_QTYPES, QTYPE_LABELS, QTYPES
 from qbank.sources import tables as T
@@ -176,22 +177,40 @@ _add("F3_reading_order", "SELECT doc, event_id, row_number() OVER (PARTITION BY
 _add("F4_caps", "SELECT id, len(string_split(question, ' ')[1:8]) AS n FROM bank")(lambda s, d: view(s, d, "bank").select("id", F.size(F.slice(F.split("question", " "), 1, 8)).cast("long").alias("n")))
 
 _add("G1_dedup_exact", "SELECT min(id) AS id, question FROM bank GROUP BY question")(lambda s, d: B.first_per_key(_bank(s, d).select("id", "question"), "question", "id"))
-_UPSERT = f"""WITH r AS (SELECT content_hash, 0 AS part, id AS seq, question, answer, source_file, pending_review FROM {_OWN} UNION ALL
- SELECT content_hash, 1, seq, question, answer, source_file, pending_review FROM {_BATCH}),
-l AS (SELECT *, lag(question) OVER w AS q, lag(answer) OVER w AS a FROM r WINDOW w AS (PARTITION BY content_hash ORDER BY part, seq)),
-k AS (SELECT *, sum(CASE WHEN q IS NULL OR q <> question OR a <> answer THEN 1 ELSE 0 END) OVER (PARTITION BY content_hash ORDER BY part, seq ROWS UNBOUNDED PRECEDING) AS run FROM l),
-m AS (SELECT content_hash, max(run) AS top, arg_max(question, [part, seq]) AS question, arg_max(answer, [part, seq]) AS answer FROM k GROUP BY content_hash)
-SELECT m.content_hash, m.question, m.answer, (SELECT bool_or(pending_review) FROM k WHERE k.content_hash = m.content_hash AND run = top) AS pending_review,
- (SELECT string_agg(source_file, ',' ORDER BY p, q2) FROM (SELECT source_file, min(part) AS p, min(part * 10000000000 + seq) AS q2 FROM k WHERE k.content_hash = m.content_hash GROUP BY source_file)) AS files FROM m"""
-_upsert = lambda s, d: B.upsert(_bank(s, d), _batch(s, d)).drop("id").withColumn("files", F.array_join("files", ","))
-_add("G2_upsert_dedup", _UPSERT)(_upsert)
+# The bank and batch of full width. The oracle folds each fingerprint's rows one after the other.
+_HASH_ALL = _HASH.format("question", "concat(replace(options, '|', ''), coalesce(answer, ''))")
+_HELD, _ARRIVING = (f"(SELECT *, {_NORMAL.format('qtype_raw')} AS qtype, {_HASH_ALL} AS content_hash FROM {t})" for t in ("held", "arriving"))
+_TURN = f"""r AS (SELECT content_hash, 0 AS part, id AS seq, id, question, answer, options, explanation, source_file, pending_review, subject, course, topic, qtype FROM {_HELD} UNION ALL
+ SELECT content_hash, 1, seq, NULL, question, answer, options, explanation, source_file, pending_review, subject, course, topic, qtype FROM {_ARRIVING}),
+l AS (SELECT content_hash, list({{'q': question, 'a': answer, 'o': options, 'x': explanation, 'p': pending_review}} ORDER BY part, seq) AS l, min(id) AS id, min(seq) FILTER (part = 1) AS first,
+ arg_min({{'s': subject, 'c': course, 't': topic, 'k': qtype}}, [part, seq]) AS b FROM r GROUP BY content_hash),
+s AS (SELECT content_hash, id, first, b, list_reduce(l, lambda s, r: CASE WHEN (r.q <> s.q AND NOT (contains(s.q, '【图:') AND NOT contains(r.q, '【图:'))) OR r.a <> s.a THEN r
+ ELSE struct_pack(q := s.q, a := s.a, o := s.o, x := s.x, p := s.p OR r.p) END) AS s FROM l),
+n AS (SELECT content_hash, (SELECT max(id) FROM bank) + row_number() OVER (ORDER BY first) AS id FROM s WHERE id IS NULL),
+f AS (SELECT content_hash, string_agg(source_file, ',' ORDER BY place) AS files FROM (SELECT content_hash, source_file, min([part, seq]) AS place FROM r GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT content_hash, coalesce(s.id, n.id) AS id, s.id IS NULL AS new, first, b, s, files FROM s LEFT JOIN n USING (content_hash) JOIN f USING (content_hash))"""
+
+
+def _wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = view(spark, sf_dir, name).withColumns({"qtype": X.normalize_qtype(F.col("qtype_raw")), "options": F.split("options", "[|]")})
+    return rows.withColumn("content_hash", X.content_hash(F.col("question"), F.col("answer"), F.col("options")))
+
+
+def _written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return U.upsert_batch(_wide(spark, sf_dir, "held"), _wide(spark, sf_dir, "arriving"))
+
+
+_add("G2_upsert_dedup", f"""WITH {_TURN} SELECT content_hash, id, b.s AS subject, b.c AS course, b.t AS topic, b.k AS qtype, s.q AS question, s.a AS answer, s.o AS options, s.x AS explanation,
+ s.p AS pending_review, files FROM m""")(
+    lambda s, d: _written(s, d)[0].drop("qtype_raw").withColumns({c: F.array_join(c, sep) for c, sep in (("files", ","), ("options", "|"))})
+)
 _IMAGES = f"""WITH r AS (SELECT content_hash, id AS place, id, CASE WHEN id % 7 = 0 THEN concat('img', id % 210, '.png') END AS name FROM {_OWN} UNION ALL
  SELECT content_hash, 20000000000 + 2 * seq, NULL, concat('img', seq % 9, '.png') FROM {_BATCH} UNION ALL
  SELECT content_hash, 20000000001 + 2 * seq, NULL, concat('img', seq % 210, '.png') FROM {_BATCH}),
 f AS (SELECT content_hash, name, min(place) AS place, min(id) AS id FROM r GROUP BY content_hash, name)
 SELECT content_hash, coalesce(min(id), 0) AS id, coalesce(string_agg(name, ',' ORDER BY place), '') AS images FROM f GROUP BY content_hash"""
 _add("G2_upsert_images", _IMAGES)(
-    lambda s, d: B.upsert(
+    lambda s, d: U.upsert(
         _bank(s, d).withColumn("images", F.expr("if(id % 7 = 0, array(concat('img', id % 210, '.png')), NULL)")),
         _batch(s, d).withColumn("images", F.expr("array(concat('scan/', 'img', seq % 9, '.png'), concat('up', chr(92), 'img', seq % 210, '.png'))")),
     ).select("content_hash", F.coalesce("id", F.lit(0)).alias("id"), F.array_join("images", ",").alias("images"))
@@ -378,10 +397,17 @@ _add("D6_grade_rollup", f"""SELECT paper_id, 5 * count(*) FILTER (st = 'correct'
 _add("E1_item_number", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, md5(list_extract(l, i)) AS line_md5 FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")(
     lambda s, d: N.numbered(view(s, d, "documents")).select("doc_id", (F.col("pos") + 1).alias("n"), F.md5("line").alias("line_md5"))
 )
-_add("G3_upsert_batch", f"SELECT outcome, count(*) AS n, count(*) FILTER (pending_review) AS n_pending FROM {_OUTCOME} GROUP BY outcome")(
-    lambda s, d: B.outcomes(_bank(s, d), _batch(s, d)).groupBy("outcome").agg(F.count("*").alias("n"), F.count_if("pending_review").alias("n_pending"))
+_add("G3_upsert_batch", f"WITH {_TURN} SELECT r.seq, m.id, CASE WHEN new AND r.seq = m.first THEN 'inserted' ELSE 'merged' END AS outcome FROM r JOIN m USING (content_hash) WHERE part = 1")(
+    lambda s, d: _written(s, d)[1]
+)
+_add("G5_append_source", f"""WITH a AS (SELECT content_hash, source_file, min(seq) AS seq FROM {_ARRIVING} WHERE source_file <> '' GROUP BY 1, 2),
+l AS (SELECT content_hash, list(source_file ORDER BY seq) AS files FROM a GROUP BY 1), p AS (SELECT content_hash, bool_or(pending_review) AS waits FROM {_ARRIVING} GROUP BY 1)
+ SELECT h.id, array_to_string(list_concat([h.source_file], list_filter(coalesce(files, []), lambda f: f <> h.source_file)), ',') AS files, h.pending_review OR coalesce(waits, false) AS pending_review
+ FROM {_HELD} h LEFT JOIN l USING (content_hash) LEFT JOIN p USING (content_hash)""")(
+    lambda s, d: U.append_sources(
+        _wide(s, d, "held").select("id", "content_hash", F.array("source_file").alias("files"), "pending_review"), _wide(s, d, "arriving")
+    ).select("id", F.array_join("files", ",").alias("files"), "pending_review")
 )
-_add("G5_append_source", f"SELECT content_hash, files FROM ({_UPSERT})")(lambda s, d: _upsert(s, d).select("content_hash", "files"))
 
 
 def queries() -> dict[str, Query]:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qbank.functions import answers, text
-from qbank.operators import bank, layout
+from qbank.operators import layout, upsert
 from qbank.plans.fixtures import TABLES
 from qbank.queries import oracle_sql, queries
 from qbank.sources import tables
@@ -84,7 +84,7 @@ def test_upsert_keeps_anchors_and_collects_files(spark):
     cols = "content_hash string, {} long, question string, answer string, source_file string, pending_review boolean"
     own = spark.createDataFrame([("h", 1, "q 【图:a】", "1", "a.pdf", False)], cols.format("id"))
     batch = spark.createDataFrame([("h", 1, "q.", "1", "b.pdf", True), ("h", 2, "q.", "1", "a.pdf", False), ("n", 3, "z", "", "c.pdf", False)], cols.format("seq"))
-    got = {r["content_hash"]: r for r in bank.upsert(own, batch).collect()}
+    got = {r["content_hash"]: r for r in upsert.upsert(own, batch).collect()}
     assert (got["h"]["question"], got["h"]["files"], got["h"]["pending_review"]) == ("q 【图:a】", ["a.pdf", "b.pdf"], True)
     assert got["n"]["files"] == ["c.pdf"]
 
@@ -95,9 +95,9 @@ def test_upsert_unites_images_as_file_names(spark):
     batch = spark.createDataFrame(
         [(1, "h", "q", "A", "two", False, ["x/a.png", "y\\c.png"]), (2, "k", "p", "B", "two", True, None), (3, "n", "r", "C", "two", False, ["z/d.png", "d.png", None])], f"seq long, {columns}"
     )
-    got = {r["content_hash"]: (r["id"], r["images"], r["files"]) for r in bank.upsert(own, batch).collect()}
+    got = {r["content_hash"]: (r["id"], r["images"], r["files"]) for r in upsert.upsert(own, batch).collect()}
     assert got == {"h": (7, ["b.png", "a.png", "c.png"], ["one", "two"]), "k": (8, [], ["one", "two"]), "n": (None, ["d.png"], ["two"])}
-    assert bank.upsert(own.limit(0), batch.limit(0)).count() == 0
+    assert upsert.upsert(own.limit(0), batch.limit(0)).count() == 0
 
 
 def test_sources(spark, tmp_path):
