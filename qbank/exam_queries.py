@@ -12,9 +12,7 @@ from qbank.functions import items as I
 from qbank.functions import latex as X
 from qbank.functions import replies as R
 from qbank.functions import text as T
-from qbank.operators import bank as B
 from qbank.operators import exams as E
-from qbank.operators import imports as M
 from qbank.operators import notes as N
 from qbank.plans import papers as P
 from qbank.plans.fixtures import view, with_views
@@ -48,7 +46,7 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.blocks(E.doc_lines(_papers(spark, sf_dir)))
+    return E.blocks(_papers(spark, sf_dir))
 
 
 def _joined(df: DataFrame) -> DataFrame:
@@ -68,14 +66,14 @@ _add(
     ).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("line").alias("line_md5")),
 )
 _add(
-    "I2_segment_blocks", P.blocks_sql(),
+    "I2_segment_blocks", f"SELECT * EXCLUDE (nth) FROM ({P.blocks_sql()})",
     lambda s, d: _blocks(s, d).groupBy("doc_id", "block").agg(
         F.count("*").alias("n_lines"), F.min_by("line", "pos").alias("first_line"), F.first("section").alias("section"), F.first("topic").alias("topic")
     ),
 )
 _add(
     "I3_block_to_question", f"SELECT doc_id, block, topic, qtype, question, options, given AS answer, explanation FROM ({P.items_sql()})",
-    lambda s, d: _joined(E.questions(_blocks(s, d))),
+    lambda s, d: _joined(E.items(_papers(s, d)).drop("qnum", "keyed")),
 )
 _add(
     "I4_parse_exam",
@@ -85,10 +83,7 @@ _add(
 )
 _add(
     "C2_answer_key_backfill", f"SELECT doc_id, qnum, qtype, question, answer FROM ({P.items_sql()}) WHERE given = '' AND answer <> ''",
-    lambda s, d: (lambda rows: E.backfill_answers(
-        E.questions(rows).join(E.item_numbers(rows), ["doc_id", "block"]), E.answer_keys(E.doc_lines(_papers(s, d)))
-    ).join(E.questions(rows).where("answer = ''").select("doc_id", "block"), ["doc_id", "block"], "left_semi").where("answer <> ''").select(
-        "doc_id", "qnum", "qtype", "question", "answer"))(_blocks(s, d)),
+    lambda s, d: E.backfill_answers(E.items(_papers(s, d)).where("answer = ''")).where("answer <> ''").select("doc_id", "qnum", "qtype", "question", "answer"),
 )
 _add(
     "E6_before_first_marker", f"SELECT doc_id, min(block) AS first_block FROM ({P.blocks_sql()}) GROUP BY doc_id",
@@ -172,20 +167,4 @@ for _name, _reading, _parse in (("I5_parse_note_points", "points", N.note_points
         _name, f"SELECT {', '.join(_NOTE)} FROM ({P.notes_sql()}) WHERE reading = '{_reading}'",
         lambda s, d, parse=_parse, flag=f"as_{_reading}": parse(N.route(view(s, d, "notes")).where(flag)).select(*_NOTE),
     )
-_add("I7_route_mode", P.readings_sql(), lambda s, d: N.route(view(s, d, "notes")).drop("text"))
-
-
-def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = view(spark, sf_dir, "notes").withColumn("text", F.concat("text", F.lit("\n&nbsp;"))).unionByName(_papers(spark, sf_dir).withColumn("doc_id", F.col("doc_id") + 10**12))
-    return M.import_documents(B.prepare(view(spark, sf_dir, "bank")), docs)
-
-
-_HASHED = r"md5(regexp_replace(concat(question, options, answer), '[\s\\{}()【】\[\]（）.,，。、;；:：]+', '', 'g'))"
-_add(
-    "I11_import",
-    f"""WITH q AS (SELECT DISTINCT doc_id, qtype, question, '' AS options, answer, false AS pending_review FROM ({P.notes_sql()})
- UNION ALL SELECT doc_id, qtype, question, replace(options, '|', ''), answer, pending_review FROM ({P.items_sql()})),
-u AS (SELECT *, row_number() OVER (PARTITION BY {_HASHED} ORDER BY qtype) AS n FROM q)
-SELECT qtype, count(DISTINCT {_HASHED}) AS inserted, count(*) - count(DISTINCT {_HASHED}) AS merged, count(*) FILTER (pending_review) AS pending, count(*) AS total FROM u GROUP BY qtype""",
-    lambda s, d: B.import_summary(_imported(s, d)),
-)
+_add("I7_route_mode", f"SELECT doc_id, as_exam, as_points, as_sections FROM ({P.readings_sql()})", lambda s, d: N.route(view(s, d, "notes")).drop("text", "sections_first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qbank.functions.text import anchors, latex_ok
+from qbank.functions.text import anchors, latex_ok, strip
 
 
 def attribute(marks: DataFrame) -> DataFrame:
@@ -73,36 +73,24 @@ def covers_page(width: Column, height: Column, page_width: Column, page_height:
     return (width >= share * page_width) & (height >= share * page_height)
 
 
-def attach_by_number(questions: DataFrame, images: DataFrame) -> DataFrame:
-    """Each question (doc, key) with the names of the images that carry its number, in order; an empty list without any."""
-    lists = images.where("question IS NOT NULL").groupBy("doc", F.col("question").alias("key")).agg(
-        F.array_sort(F.collect_list(F.struct("event_id", "fname"))).getField("fname").alias("images")
-    )
-    return questions.join(lists, ["doc", "key"], "left").withColumn("images", F.coalesce("images", F.array().cast("array<string>")))
-
-
 def pair_in_order(images: DataFrame, questions: DataFrame) -> DataFrame:
     """The i-th image of a document with its i-th question, by number; what has no partner is left out."""
-    return bind_in_order(images, questions).where("pending").drop("pending")
-
-
-def bind_in_order(images: DataFrame, questions: DataFrame) -> DataFrame:
-    """C4: as C5, but every image stays: one with a question makes that question wait for review (pending), the rest have no key."""
     nth = lambda *order: F.row_number().over(Window.partitionBy("doc").orderBy(*order))
     asked = questions.withColumn("nth", nth(F.col("key").try_cast("int"), "key")).select("doc", "key", "nth")
-    return images.withColumn("nth", nth("event_id")).join(asked, ["doc", "nth"], "left").select("doc", "key", "fname", F.col("key").isNotNull().alias("pending"))
+    return images.withColumn("nth", nth("event_id")).join(asked, ["doc", "nth"]).select("doc", "key", "fname")
 
 
-def rewrite_by_class(anchored: DataFrame, classes: DataFrame) -> DataFrame:
-    """Anchors of formulas as their LaTeX where that is valid, of decoration as nothing; other anchors stay."""
-    new = F.when((F.col("kind") == "formula") & latex_ok(F.col("latex")), F.concat(F.lit("$"), "latex", F.lit("$"))).when(F.col("kind") == "decorative", "")
+def rewrite_by_class(anchored: DataFrame, classes: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Anchors of formulas as their LaTeX where that is valid, of decoration as nothing; other anchors stay. keys tell rows apart."""
+    latex = strip(F.coalesce("latex", F.lit("")))
+    new = F.when((F.col("kind") == "formula") & latex_ok(latex), F.concat(F.lit("$"), latex, F.lit("$"))).when(F.col("kind") == "decorative", "")
     swaps = (
-        anchored.select("id", F.explode(F.array_distinct(anchors(F.col("question")))).alias("name")).join(classes, "name")
-        .select("id", F.concat(F.lit("【图:"), "name", F.lit("】")).alias("old"), new.alias("new")).where("new IS NOT NULL")
-        .groupBy("id").agg(F.collect_list(F.struct("old", "new")).alias("swaps"))
+        anchored.select(*keys, F.explode(F.array_distinct(anchors(F.col("question")))).alias("name")).join(classes, "name")
+        .select(*keys, F.concat(F.lit("【图:"), "name", F.lit("】")).alias("old"), new.alias("new")).where("new IS NOT NULL")
+        .groupBy(*keys).agg(F.collect_list(F.struct("old", "new")).alias("swaps"))
     )
     swapped = F.aggregate("swaps", F.col("question"), lambda text, swap: F.replace(text, swap.old, swap.new))
-    return anchored.join(swaps, "id", "left").withColumn("question", F.coalesce(swapped, "question")).drop("swaps")
+    return anchored.join(swaps, list(keys), "left").withColumn("question", F.coalesce(swapped, "question")).drop("swaps")
 
 
 def image_context(texts: DataFrame, width: int = 80) -> DataFrame:

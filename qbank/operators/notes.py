@@ -97,7 +97,7 @@ def note_sections(docs: DataFrame) -> DataFrame:
 
 
 def route(docs: DataFrame) -> DataFrame:
-    """Docs with as_exam, as_points and as_sections: which readings each document gets.
+    """Docs with as_exam, as_points and as_sections: which readings each document gets, and whether sections come before points.
 
     One with sections, few answers and no sign of an exam is notes; one with section heads or options is an exam; one with
     numbered entries and words of notes is numbered notes; all others are read as exams, and by sections where they have some.
@@ -108,13 +108,18 @@ def route(docs: DataFrame) -> DataFrame:
     notes = sections & (F.regexp_count(t, F.lit(r"(?Um)^\s*答案\s*[:：]")) < 20) & ~exam
     numbered = ~notes & ~exam & points & t.rlike("|".join(NOTE_WORDS))
     return docs.select(
-        "*", (~notes & ~numbered).alias("as_exam"), (points & (notes | numbered)).alias("as_points"), (sections & ~exam).alias("as_sections")
+        "*", (~notes & ~numbered).alias("as_exam"), (points & (notes | numbered)).alias("as_points"), (sections & ~exam).alias("as_sections"),
+        notes.alias("sections_first"),
     )
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
     """The questions of each document by the readings it gets (G6): doc_id, reading, pos, and the columns of a question."""
-    routed = route(docs)
+    return parse_routed(route(docs))
+
+
+def parse_routed(routed: DataFrame) -> DataFrame:
+    """parse_documents of what route gave; doc_id may be any key, a struct too."""
     empty = {"qnum": F.lit(None).cast("int"), "topic": F.lit(""), "options": F.array().cast("array<string>")}
     readings = (("exam", "as_exam", exams.parse_exam), ("points", "as_points", note_points), ("sections", "as_sections", note_sections))
     out = [parse(routed.where(flag)).withColumn("reading", F.lit(name)) for name, flag, parse in readings]

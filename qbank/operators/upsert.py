@@ -97,7 +97,7 @@ def _merged(bank: DataFrame, batch: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     out = text.join(first, "content_hash").join(lists, "content_hash", "left")
     return out.select(
-        "content_hash", "id", "first", *[f"base.{c}" for c in others], "question", "answer", *carried, "pending_review", *[F.coalesce(k, none).alias(k) for k, _ in kinds]
+        "content_hash", F.col("id").cast(bank.schema["id"].dataType).alias("id"), F.col("first").cast(batch.schema["seq"].dataType).alias("first"), *[f"base.{c}" for c in others], "question", "answer", *carried, "pending_review", *[F.coalesce(k, none).alias(k) for k, _ in kinds]
     )
 
 

@@ -93,11 +93,26 @@ NOTES = (
         "第一章 {1}\n第一节、{5}\n{9}\n{13}\n第二节 {17}\n第二章 {21}\n{25}\n导论 如何{2}\n{6}", (False, False, True),
         (("sections", 1, "essay", "简述{5}。", "{9}\n{13}", ""), ("sections", 2, "essay", "如何{2}", "{6}", "")),
     ),
+    (
+        "第一节 {1}\n{5}\n1、{9}\n{13}\n第二节\n{17}\n2、{21}", (False, True, True),
+        (
+            ("sections", 1, "essay", "简述{1}。", "{5}\n1、{9}\n{13}", ""), ("points", 1, "essay", "简述{9}。", "{13}\n第二节\n{17}", ""),
+            ("points", 2, "essay", "简述{21}。", "", ""),
+        ),
+    ),
     ("一、判断题\n1. {1} 与 {5}\n答案：错\n第一节 {9}", (True, False, False), (("exam", 1, "judge", "{1} 与 {5} 第一节 {9}", "错", ""),)),
     ("1、{1} 与 {5} 相同____\n答案：{9}", (True, False, False), (("exam", 1, "blank", "{1} 与 {5} 相同____", "{9}", ""),)),
 )
 
-VIEWS = {"notes": f"select doc_id, {by_layout([text_sql(n[0]) for n in NOTES])} as text from documents", "papers": f"select doc_id, {by_layout([text_sql(t) for t, _ in LAYOUTS])} as text from documents"}
+#: Pictures of the documents above (those of papers under doc_id + 10**12): without a number, with one of an item or with one that no
+#: item has; every sixth document's have none. And what is known of some of them.
+_SHOWN = """select event_id as place, concat('pic', cast(event_id as string), '.png') as name,
+ case when doc % 6 = 0 then null else case floor(event_id / 2) % 4 when 1 then '1' when 2 then '2' when 3 then '9' end end as key,
+ case when event_id % 2 = 0 then doc else doc + 1000000000000 end as doc_id from (select event_id, cast(floor(event_id / 3) as bigint) % (select count(*) from documents) as doc from events) as e"""
+_KNOWN = """select name, kind, latex from (select name, case place % 5 when 0 then 'formula' when 1 then 'decorative' when 2 then 'formula' end as kind,
+ case place % 5 when 0 then concat(' x_{', cast(place as string), '} ') when 2 then '{' end as latex from pictures) as p where kind is not null"""
+
+VIEWS = {"pictures": _SHOWN, "known": _KNOWN, "notes": f"select doc_id, {by_layout([text_sql(n[0]) for n in NOTES])} as text from documents", "papers": f"select doc_id, {by_layout([text_sql(t) for t, _ in LAYOUTS])} as text from documents"}
 
 
 def _value(x: object) -> str:
@@ -105,10 +120,11 @@ def _value(x: object) -> str:
 
 
 def _rows(tables: tuple, columns: tuple[str, ...]) -> str:
+    """The rows of all documents; nth is a row's place among those of its document, as they are listed."""
     found = []
     for i, rows in enumerate(tables):
-        for row in rows:
-            found.append("SELECT doc_id, " + ", ".join(f"{_value(v)} AS {c}" for v, c in zip(row, columns, strict=True)) + f" FROM documents WHERE doc_id % {len(tables)} = {i}")
+        for nth, row in enumerate(rows):
+            found.append(f"SELECT doc_id, {nth + 1} AS nth, " + ", ".join(f"{_value(v)} AS {c}" for v, c in zip(row, columns, strict=True)) + f" FROM documents WHERE doc_id % {len(tables)} = {i}")
     return "\nUNION ALL ".join(found)
 
 

@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qbank import exam_queries
+from qbank import exam_queries, import_queries
 from qbank.functions import answers as A
 from qbank.functions import text as X
 from qbank.operators import bank as B
+from qbank.operators import binding as K
 from qbank.operators import layout as L
 from qbank.operators import lines as N
 from qbank.operators import papers as P
 from qbank.operators import search as S
 from qbank.operators import upsert as U
 from qbank.plans.fixtures import view, with_views
+from qbank.plans.folds import fold_sql
 from qbank.schemas import LEGACY_QTYPES, QTYPE_LABELS, QTYPES
 from qbank.sources import tables as T
 
@@ -180,15 +182,7 @@ _add("G1_dedup_exact", "SELECT min(id) AS id, question FROM bank GROUP BY questi
 # The bank and batch of full width. The oracle folds each fingerprint's rows one after the other.
 _HASH_ALL = _HASH.format("question", "concat(replace(options, '|', ''), coalesce(answer, ''))")
 _HELD, _ARRIVING = (f"(SELECT *, {_NORMAL.format('qtype_raw')} AS qtype, {_HASH_ALL} AS content_hash FROM {t})" for t in ("held", "arriving"))
-_TURN = f"""r AS (SELECT content_hash, 0 AS part, id AS seq, id, question, answer, options, explanation, source_file, pending_review, subject, course, topic, qtype FROM {_HELD} UNION ALL
- SELECT content_hash, 1, seq, NULL, question, answer, options, explanation, source_file, pending_review, subject, course, topic, qtype FROM {_ARRIVING}),
-l AS (SELECT content_hash, list({{'q': question, 'a': answer, 'o': options, 'x': explanation, 'p': pending_review}} ORDER BY part, seq) AS l, min(id) AS id, min(seq) FILTER (part = 1) AS first,
- arg_min({{'s': subject, 'c': course, 't': topic, 'k': qtype}}, [part, seq]) AS b FROM r GROUP BY content_hash),
-s AS (SELECT content_hash, id, first, b, list_reduce(l, lambda s, r: CASE WHEN (r.q <> s.q AND NOT (contains(s.q, '【图:') AND NOT contains(r.q, '【图:'))) OR r.a <> s.a THEN r
- ELSE struct_pack(q := s.q, a := s.a, o := s.o, x := s.x, p := s.p OR r.p) END) AS s FROM l),
-n AS (SELECT content_hash, (SELECT max(id) FROM bank) + row_number() OVER (ORDER BY first) AS id FROM s WHERE id IS NULL),
-f AS (SELECT content_hash, string_agg(source_file, ',' ORDER BY place) AS files FROM (SELECT content_hash, source_file, min([part, seq]) AS place FROM r GROUP BY 1, 2) GROUP BY 1),
-m AS (SELECT content_hash, coalesce(s.id, n.id) AS id, s.id IS NULL AS new, first, b, s, files FROM s LEFT JOIN n USING (content_hash) JOIN f USING (content_hash))"""
+_TURN = fold_sql(_HELD, _ARRIVING)
 
 
 def _wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -311,19 +305,44 @@ _add("B15_set_images", "SELECT a.id, CASE WHEN i.seq IS NULL THEN coalesce(a.ima
 )
 _NUMBERED = "(SELECT doc, event_id, fname, question FROM (SELECT *, last_value(key IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page, y, kind, event_id ROWS UNBOUNDED PRECEDING) AS question FROM marks) WHERE kind = 1)"
 _KEYS = "(SELECT DISTINCT doc, key FROM marks WHERE kind = 0)"
-_LISTS = f"(SELECT doc, question AS key, string_agg(fname, ',' ORDER BY event_id) AS images, count(*) AS n FROM {_NUMBERED} WHERE question IS NOT NULL GROUP BY 1, 2)"
 
 
 def _keys(spark, sf) -> DataFrame:
     return view(spark, sf, "marks").where("kind = 0").select("doc", "key").distinct()
 
 
-_add("C3_image_by_qnum", f"SELECT k.doc, k.key, coalesce(l.images, '') AS images, coalesce(l.n, 0) AS n FROM {_KEYS} k LEFT JOIN {_LISTS} l ON l.doc = k.doc AND l.key = k.key")(
-    lambda s, d: L.attach_by_number(_keys(s, d), L.attribute(view(s, d, "marks"))).select("doc", "key", F.array_join("images", ",").alias("images"), F.size("images").cast("long").alias("n"))
-)
 _PAIRED = "SELECT i.doc, q.key, i.fname{3} FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY event_id) AS nth FROM {0}) i {2} JOIN (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY try_cast(key AS INT), key) AS nth FROM {1}) q ON q.doc = i.doc AND q.nth = i.nth"
-_add("C4_image_sequential", _PAIRED.format(f"(SELECT * FROM {_NUMBERED} WHERE question IS NULL)", f"(SELECT k.* FROM {_KEYS} k ANTI JOIN {_LISTS} l ON l.doc = k.doc AND l.key = k.key)", "LEFT", ", q.key IS NOT NULL AS pending"))(
-    lambda s, d: (lambda images: L.bind_in_order(images.where("question IS NULL"), L.attach_by_number(_keys(s, d), images).where("size(images) = 0")))(L.attribute(view(s, d, "marks")))
+# Every seventh image carries a number that no question has.
+_BINDING = f"""i AS (SELECT doc, event_id, fname, CASE WHEN event_id % 7 = 0 THEN '99' ELSE question END AS key FROM {_NUMBERED}),
+l AS (SELECT doc, key, string_agg(concat('【图:', fname, '】'), ' ' ORDER BY event_id) AS anchors, count(*) AS n, min(event_id) AS first FROM i WHERE key IS NOT NULL GROUP BY 1, 2),
+q AS (SELECT k.doc, k.key, concat_ws(' ', concat('item ', k.key), anchors) AS question, coalesce(n, 0) AS matched FROM {_KEYS} k LEFT JOIN l ON l.doc = k.doc AND l.key = k.key),
+w AS (SELECT doc, fname, row_number() OVER (PARTITION BY doc ORDER BY g, first, event_id) AS nth, doc IN (SELECT doc FROM l) AS takes FROM (
+  SELECT doc, fname, event_id, 0 AS g, 0 AS first FROM i WHERE key IS NULL UNION ALL SELECT i.doc, fname, event_id, 1, first FROM i JOIN l ON l.doc = i.doc AND l.key = i.key
+   WHERE NOT EXISTS (SELECT 1 FROM {_KEYS} k WHERE k.doc = i.doc AND k.key = i.key))),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY cast(key AS INT)) AS nth FROM q WHERE matched = 0),
+p AS (SELECT f.doc, f.key, w.fname, w.nth FROM f JOIN w ON w.doc = f.doc AND w.nth = f.nth AND takes)"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keys(spark, sf_dir).select("doc", F.col("key").cast("int").alias("qnum"), F.col("key").cast("int").alias("pos"), F.concat(F.lit("item "), "key").alias("question"), F.lit(False).alias("pending_review"))
+
+
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.when(F.col("event_id") % 7 == 0, "99").otherwise(F.col("question"))
+    return L.attribute(view(spark, sf_dir, "marks")).select("doc", F.col("event_id").alias("place"), F.col("fname").alias("name"), key.alias("key"))
+
+
+_add("C3_image_by_qnum", f"WITH {_BINDING} SELECT doc, key, question, matched FROM q")(
+    lambda s, d: K.bind_by_number(_asked(s, d), _shown(s, d), "doc").select("doc", F.col("qnum").cast("string").alias("key"), "question", F.col("matched").cast("long").alias("matched"))
+)
+_add("C4_image_sequential", f"WITH {_BINDING} SELECT q.doc, q.key, concat_ws(' ', q.question, '【图:' || p.fname || '】') AS question, p.fname IS NOT NULL AS pending_review FROM q LEFT JOIN p ON p.doc = q.doc AND p.key = q.key")(
+    lambda s, d: K.bind(_asked(s, d), _shown(s, d), "doc").questions.select("doc", F.col("qnum").cast("string").alias("key"), "question", "pending_review")
+)
+_add("C4_image_counts", f"""WITH {_BINDING}, d AS (SELECT doc FROM q UNION SELECT doc FROM w), o AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc = w.doc AND p.nth = w.nth))
+ SELECT doc, (SELECT coalesce(sum(matched), 0) FROM q WHERE q.doc = d.doc)::BIGINT AS certain, (SELECT count(*) FROM p WHERE p.doc = d.doc) AS uncertain, (SELECT count(*) FROM o WHERE o.doc = d.doc) AS leftover,
+  coalesce((SELECT string_agg(fname, ',' ORDER BY nth) FROM o WHERE o.doc = d.doc), '') AS names FROM d""")(
+    lambda s, d: (lambda b: b.counts.join(b.leftovers.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "name"))), lambda x: x["name"]), ",").alias("names")), "doc", "left").na.fill("", ["names"]))(
+        K.bind(_asked(s, d), _shown(s, d), "doc"))
 )
 _add("C5_image_zip", _PAIRED.format(_NUMBERED, _KEYS, "", ""))(lambda s, d: L.pair_in_order(L.attribute(view(s, d, "marks")), _keys(s, d)))
 _CLASSES = "(SELECT name, n, CASE n % 3 WHEN 0 THEN 'formula' WHEN 1 THEN 'decorative' ELSE 'diagram' END AS kind FROM (SELECT name, cast(regexp_extract(name, '[0-9]+', 0) AS BIGINT) AS n FROM files))"
@@ -411,8 +430,8 @@ l AS (SELECT content_hash, list(source_file ORDER BY seq) AS files FROM a GROUP
 
 
 def queries() -> dict[str, Query]:
-    return {**_QUERIES, **exam_queries.QUERIES}
+    return {**_QUERIES, **exam_queries.QUERIES, **import_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_SQL, **exam_queries.SQL}
+    return {**_SQL, **exam_queries.SQL, **import_queries.SQL}
