@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from html.entities import html5
 
@@ -33,9 +34,12 @@ KNOWN_COMMANDS = (
     "delta epsilon varepsilon zeta eta theta vartheta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi varphi chi psi "
     "omega Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega"
 ).split()
-# Named entities: first those that are common, as a lookup goes through a map from its beginning.
-COMMON_ENTITIES = {n: html5[f"{n};"] for n in "amp lt gt quot nbsp copy middot hellip mdash ndash ldquo rdquo lsquo rsquo times deg".split()}
-ENTITIES = {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
+# Named entities: first those that are common, as a lookup goes through a map from its beginning; all others by their first letter.
+COMMON_ENTITIES = {f"{n};": html5[f"{n};"] for n in "amp lt gt quot nbsp copy middot hellip mdash ndash ldquo rdquo lsquo rsquo times deg".split()}
+# Names that stand for a character without a semicolon too, the longest first.
+SHORT_ENTITIES = {n: html5[n] for n in sorted(html5, key=lambda n: (-len(n), n)) if not n.endswith(";")}
+# What a number from 128 to 159 stands for: that byte of Windows-1252, or itself where that has none.
+WINDOWS = {n: bytes([n]).decode("cp1252") if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(n) for n in range(0x80, 0xA0)}
 
 ANCHOR = "【图:([^】]+)】"
 
@@ -79,25 +83,53 @@ def basename(c: Column) -> Column:
     return F.when((strip(name) != "") & (name != ".") & ~F.contains(name, F.lit("..")), name)
 
 
-def unescape_once(c: Column) -> Column:
-    """One round of entity decoding: named entities with a semicolon, decimal and hexadecimal numbers; others stay."""
-    tokens = F.regexp_extract_all(c, F.lit(r"(?s)(&#?[0-9A-Za-z]+;|[^&]+|&)"), F.lit(1))
+def _entity_by_letter(name: Column) -> Column:
+    """The character of a name with a semicolon, looked up among those of its first letter."""
+    letters: dict[str, dict[str, str]] = {}
+    for n, c in html5.items():
+        if n.endswith(";"):
+            letters.setdefault(n[0], {})[n] = c
+    maps = F.from_json(F.lit(json.dumps(letters, ensure_ascii=False)), "map<string,map<string,string>>")  # folded into one literal
+    return F.try_element_at(F.try_element_at(maps, F.substring(name, 1, 1)), name)
 
-    def number(x: Column) -> Column:
-        n = F.when(x.rlike(r"^&#[0-9]{1,7};$"), F.regexp_extract(x, r"([0-9]+)", 1).cast("long")).when(
-            x.rlike(r"^&#[xX][0-9A-Fa-f]{1,6};$"), F.conv(F.regexp_extract(x, r"[xX]([0-9A-Fa-f]+)", 1), 16, 10).cast("long")
-        )
-        n = F.when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), n)
-        return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
-    named = lambda n: F.coalesce(F.try_element_at(_lookup(COMMON_ENTITIES), n), F.try_element_at(_lookup(ENTITIES), n))
-    one = lambda x: F.when(~x.rlike("^&.+;$"), x).otherwise(F.coalesce(number(x), named(F.regexp_extract(x, "^&(.+);$", 1)), x))
+def _entity_by_number(x: Column) -> Column:
+    """The character of &#n; or &#xn;: bytes of Windows-1252 from 128 to 159, a replacement character for 0, surrogates and what is
+    beyond Unicode, nothing for control characters and non-characters."""
+    digits = F.regexp_extract(x, "^&#0*([0-9]*)", 1)
+    hexes = F.regexp_extract(x, "^&#[xX]0*([0-9A-Fa-f]*)", 1)
+    n = F.when(x.rlike("^&#[xX]"), F.when(F.length(hexes) <= 6, F.conv(F.concat(F.lit("0"), hexes), 16, 10).cast("long"))).otherwise(
+        F.when(F.length(digits) <= 7, F.concat(F.lit("0"), digits).cast("long"))
+    )
+
+    def char(n: Column) -> Column:
+        lost = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        windows = F.substring(F.lit("".join(WINDOWS.values())), (n - 0x7F).cast("int"), F.lit(1))
+        nothing = n.between(1, 8) | (n == 0xB) | n.between(0xE, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        return F.when(lost, "\ufffd").when(n.between(0x80, 0x9F), windows).when(nothing, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    return let(n, char)
+
+
+def unescape_once(c: Column) -> Column:
+    """One round of entity decoding as HTML has it: names with a semicolon, the old names without one (the longest that the text
+    begins with), decimal and hexadecimal numbers with or without a semicolon; all else stays."""
+    tokens = F.regexp_extract_all(c, F.lit(r"(?s)(&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&)"), F.lit(1))
+
+    def named(x: Column) -> Column:
+        name = F.regexp_replace(x, "^&", "")
+        short = F.regexp_extract(name, f"^({'|'.join(SHORT_ENTITIES)})", 1)
+        begun = F.when(short != "", F.concat(F.try_element_at(_lookup(SHORT_ENTITIES), short), F.substring(name, F.length(short) + 1, F.length(name))))
+        whole = F.when(name.endswith(";"), F.coalesce(F.try_element_at(_lookup(COMMON_ENTITIES), name), _entity_by_letter(name)))
+        return F.coalesce(whole, begun, x)
+
+    one = lambda x: F.when(~x.rlike("^&."), x).when(x.rlike("^&#"), F.when(x.rlike("^&#([0-9]|[xX][0-9a-fA-F])"), _entity_by_number(x)).otherwise(x)).otherwise(named(x))
     return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(tokens, one), "")).otherwise(c)
 
 
 def html_unescape(c: Column) -> Column:
     """H2: at most two rounds."""
-    return unescape_once(unescape_once(c))
+    return F.when(F.contains(c, F.lit("&")), let(unescape_once(c), unescape_once)).otherwise(c)
 
 
 def fix_private_use(c: Column, latin1: bool = False) -> Column:
@@ -106,11 +138,13 @@ def fix_private_use(c: Column, latin1: bool = False) -> Column:
     return F.translate(c, "".join(table), "".join(table.values()))
 
 
-def rule_clean(c: Column) -> Column:
-    """H7: stripped lines without blank ones, page numbers and separators; entities and private-use characters decoded."""
+def rule_clean(c: Column, then: Callable[[Column], Column] | None = None) -> Column:
+    """H7: stripped lines without blank ones, page numbers and separators; entities and private-use characters decoded. then is what
+    is done at the end on request: latex.unicode_to_latex makes commands of symbols."""
     lines = F.transform(F.split(F.regexp_replace(html_unescape(c), "\r\n?", "\n"), "\n"), strip)
     keep = lambda x: (x != "") & ~x.rlike(r"^第\s*\d+\s*页\s*[/／]\s*共\s*\d+\s*页$") & ~x.rlike(r"^[-=—*_~]{5,}$")
-    return fix_private_use(F.array_join(F.filter(lines, keep), "\n"))
+    clean = fix_private_use(F.array_join(F.filter(lines, keep), "\n"))
+    return then(clean) if then else clean
 
 
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:

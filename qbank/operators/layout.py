@@ -56,6 +56,13 @@ def decorative(places: DataFrame, from_paragraphs: int = 5) -> DataFrame:
     return places.groupBy("doc", "image").agg(F.count_distinct("para").alias("n")).where(F.col("n") >= from_paragraphs)
 
 
+def kinds_and_errors(classes: DataFrame) -> DataFrame:
+    """How often each kind and each error text (blank ones aside) occurs among classified images, in one pass: what, value, n."""
+    pairs = F.explode(F.array(F.struct(F.lit("kind").alias("what"), F.col("kind").alias("value")), F.struct(F.lit("error").alias("what"), F.nullif("error", F.lit("")).alias("value"))))
+    rows = classes.select(pairs.alias("p")).select("p.*").where("what = 'kind' OR value IS NOT NULL")
+    return rows.groupBy("what", "value").agg(F.count("*").alias("n"))
+
+
 def image_kind(width: Column, height: Column, context: Column) -> Column:
     """H34."""
     shown = F.contains(context, F.lit("如图")) | F.contains(context, F.lit("图像"))

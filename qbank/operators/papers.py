@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qbank.functions.answers import check_answers
+from qbank.functions.answers import check_answers, references
 from qbank.functions.text import has_answer
 
 from .bank import sampled
@@ -43,18 +43,23 @@ def last_answers(submissions: DataFrame) -> DataFrame:
 
 
 def grade(bank: DataFrame, submissions: DataFrame) -> DataFrame:
-    """Status of each answer: pending without a stored answer or for open questions, else correct or wrong."""
-    items = last_answers(submissions).join(bank.select(F.col("id").alias("question_id"), "qtype", "answer"), "question_id")
-    open_ = ~has_answer(F.col("answer")) | F.col("qtype").isin("essay", "thinking")
-    checked = check_answers(items, "user_answer", "answer")
-    return checked.withColumn("status", F.when(open_, "pending").when(F.col("ok"), "correct").otherwise("wrong"))
+    """Status of each answer: pending without a stored answer or for open questions, else correct or wrong.
 
+    Stored answers are read once for each question, before the submissions multiply them.
+    """
+    own = references(bank.select(F.col("id").alias("question_id"), "qtype", "answer"), "answer")
+    own = own.withColumn("_open", ~has_answer(F.col("answer")) | F.col("qtype").isin("essay", "thinking"))
+    checked = check_answers(last_answers(submissions).join(own, "question_id"), "user_answer", "answer")
+    return checked.withColumn("status", F.when(F.col("_open"), "pending").when(F.col("ok"), "correct").otherwise("wrong")).drop("_open")
 
-def rollup(graded: DataFrame, points: int = 10) -> DataFrame:
-    """Points, counts and status of each record."""
+
+def rollup(graded: DataFrame, points: Column | int = 10) -> DataFrame:
+    """Points, counts and status of each record; points are a number, or a column with those of each item, whose sum is rounded
+    to two places, half to even."""
     is_ = lambda s: F.count_if(F.col("status") == s)
+    score = is_("correct") * points if isinstance(points, int) else F.bround(F.coalesce(F.sum(F.when(F.col("status") == "correct", points)), F.lit(0.0)), 2)
     return graded.groupBy("paper_id").agg(
-        (is_("correct") * points).alias("score"), is_("correct").alias("n_correct"), is_("wrong").alias("n_wrong"), is_("pending").alias("n_pending")
+        score.alias("score"), is_("correct").alias("n_correct"), is_("wrong").alias("n_wrong"), is_("pending").alias("n_pending")
     ).withColumn("status", F.when(F.col("n_pending") > 0, "pending").otherwise("graded"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from qbank import exam_queries, import_queries
 from qbank.functions import answers as A
@@ -21,6 +24,7 @@ from qbank.plans.fixtures import view, with_views
 from qbank.plans.folds import fold_sql
 from qbank.schemas import LEGACY_QTYPES, QTYPE_LABELS, QTYPES
 from qbank.sources import tables as T
+from qbank.sources.stage import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -157,7 +161,10 @@ _add("D8_image_stats", f"""SELECT (SELECT count(*) FROM anchored) AS total, (SEL
  (SELECT string_agg(name, ',' ORDER BY name) FROM (SELECT name FROM files WHERE name NOT IN (SELECT name FROM {_REFS}) ORDER BY name LIMIT 50)) AS orphans_first""")(
     lambda s, d: L.image_stats(view(s, d, "anchored"), view(s, d, "files")).withColumns({c: F.array_join(c, ",") for c in ("missing_first", "orphans_first")})
 )
-_add("D9_kind_error_freq", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type")(lambda s, d: view(s, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n")))
+_CLASSED = "(SELECT event_type AS kind, CASE event_id % 4 WHEN 1 THEN '' WHEN 2 THEN concat('timeout ', event_id % 7) WHEN 3 THEN concat('no reply: ', event_type) END AS error FROM events)"
+_add("D9_kind_error_freq", f"SELECT 'kind' AS what, kind AS value, count(*) AS n FROM {_CLASSED} GROUP BY kind UNION ALL SELECT 'error', error, count(*) FROM {_CLASSED} WHERE error <> '' GROUP BY error")(
+    lambda s, d: L.kinds_and_errors(view(s, d, "events").selectExpr("event_type AS kind", "CASE event_id % 4 WHEN 1 THEN '' WHEN 2 THEN concat('timeout ', event_id % 7) WHEN 3 THEN concat('no reply: ', event_type) END AS error"))
+)
 _add("D10_decorative_by_freq", "SELECT doc, fname AS image, count(DISTINCT page) AS n FROM marks WHERE fname IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT page) >= 2")(
     lambda s, d: L.decorative(view(s, d, "marks").where("fname IS NOT NULL").select("doc", F.col("fname").alias("image"), F.col("page").alias("para")), 2)
 )
@@ -219,8 +226,8 @@ _add("H1_content_hash", f"SELECT id, content_hash FROM {_OWN}")(lambda s, d: _ba
 _UNESCAPE = "html"
 for _name, _char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", "\u00a0"), ("amp", "&")):
     _UNESCAPE = f"replace({_UNESCAPE}, '&{_name};', '{_char}')"
-_add("H2_html_unescape", f"SELECT page_id, md5(concat({_UNESCAPE}, ' é α≤ &none;')) AS text_md5 FROM pages")(
-    lambda s, d: view(s, d, "pages").select("page_id", F.md5(X.html_unescape(F.concat("html", F.lit(" &eacute; &amp;alpha;&le; &none;")))).alias("text_md5"))
+_add("H2_html_unescape", f"SELECT page_id, md5(concat({_UNESCAPE}, ' é α≤ &none; © 2020 – <b �')) AS text_md5 FROM pages")(
+    lambda s, d: view(s, d, "pages").select("page_id", F.md5(X.html_unescape(F.concat("html", F.lit(" &eacute; &amp;alpha;&le; &none; &copy 2020 &#150; &ltb &#0;")))).alias("text_md5"))
 )
 _add("H3_fix_private_use", "SELECT doc_id, md5(replace(text, '', 'α')) AS text_md5 FROM noisy")(lambda s, d: view(s, d, "noisy").select("doc_id", F.md5(X.fix_private_use(F.col("text"))).alias("text_md5")))
 _add("H7_rule_clean", r"""SELECT doc_id, md5(replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^第\s*\d+\s*页\s*[/／]\s*共\s*\d+\s*页$')
@@ -408,10 +415,11 @@ _add("H20_check_calc", _ok(f"abs(({_U}) - ({_R})) <= greatest(5e-4 * greatest(ab
 _add("H21_check_blank", _ok(f"{_PARTS.format('u')} = {_PARTS.format('r')}", "('blank')"))(lambda s, d: _answered(s, d, "blank"))
 
 
-_add("D6_grade_rollup", f"""SELECT paper_id, 5 * count(*) FILTER (st = 'correct') AS score, count(*) FILTER (st = 'correct') AS n_correct, count(*) FILTER (st = 'wrong') AS n_wrong,
+# Items of 0.125 to 1.0 points, so that sums are exact and often half a hundredth.
+_add("D6_grade_rollup", f"""SELECT paper_id, round_even(coalesce(sum((question_id % 8 + 1) * 0.125::DOUBLE) FILTER (st = 'correct'), 0), 2)::DOUBLE AS score, count(*) FILTER (st = 'correct') AS n_correct, count(*) FILTER (st = 'wrong') AS n_wrong,
  count(*) FILTER (st = 'pending') AS n_pending, CASE WHEN count(*) FILTER (st = 'pending') > 0 THEN 'pending' ELSE 'graded' END AS status
- FROM (SELECT paper_id, {_STATUS} AS st FROM {_SUBMITTED}) GROUP BY paper_id""")(
-    lambda s, d: P.rollup(P.grade(_bank(s, d), view(s, d, "submissions")), points=5)
+ FROM (SELECT paper_id, question_id, {_STATUS} AS st FROM {_SUBMITTED}) GROUP BY paper_id""")(
+    lambda s, d: P.rollup(P.grade(_bank(s, d), view(s, d, "submissions")), (F.col("question_id") % 8 + 1) * F.lit(0.125))
 )
 _add("E1_item_number", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, md5(list_extract(l, i)) AS line_md5 FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")(
     lambda s, d: N.numbered(view(s, d, "documents")).select("doc_id", (F.col("pos") + 1).alias("n"), F.md5("line").alias("line_md5"))
@@ -429,6 +437,95 @@ l AS (SELECT content_hash, list(source_file ORDER BY seq) AS files FROM a GROUP
 )
 
 
+_BROKEN = rf"len(list_filter(regexp_extract_all(text, '\\([a-zA-Z]{{2,}})\s+[a-zA-Z]', 1), lambda x: lower(x) NOT IN ({_KNOWN})))"
+_add("H12_quality_commands", f"""SELECT doc_id, round(s / 100.0, 3)::DOUBLE AS score, s >= 30 AS fragmented, n::BIGINT AS n_reasons FROM (
+ SELECT doc_id, CASE WHEN trim(text) = '' THEN 100 ELSE least({_SCORE} + CASE WHEN {_BROKEN} >= 2 THEN 35 ELSE 0 END, 100) END AS s,
+  CASE WHEN trim(text) = '' THEN 1 ELSE ({_SINGLE} > 0.3)::INT + ({_PUA} >= 1)::INT + (len({_LINES}) > 5 AND {_CJK} < 0.25)::INT + ({_BROKEN} >= 2)::INT END AS n FROM latexed)""")(
+    lambda s, d: view(s, d, "latexed").select("doc_id", X.quality_score(F.col("text")).alias("q")).select("doc_id", "q.*")
+)
+
+
+# Sources and sinks, through folders of their own.
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@F.pandas_udf(BinaryType())
+def _gb18030(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t.encode("gb18030"))
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a line of a text file: in UTF-8, in GB18030, or with a byte that neither has."""
+    line = F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\u2424")))
+    rows = view(spark, sf_dir, "documents").select((F.col("doc_id") % 3).alias("enc"), line.alias("line"))
+    data = F.when(F.col("enc") == 0, F.encode("line", "UTF-8")).when(F.col("enc") == 1, _gb18030(F.concat(F.lit("题目"), "line"))).otherwise(F.concat(F.unhex(F.lit("FF")), F.encode("line", "UTF-8")))
+    rows.select("enc", data.cast("string").alias("value")).write.partitionBy("enc").option("maxRecordsPerFile", 200).text(path := _folder(spark, "texts"))
+    found = T.read_texts(spark, path).select("encoding", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    parts = F.split(F.regexp_replace("line", "^(题目|\ufffd)", ""), "\t", 2)
+    return found.select(parts[0].cast("long").alias("doc_id"), "encoding", F.md5(F.replace(parts[1], F.lit("\u2424"), F.lit("\n"))).alias("text_md5"))
+
+
+_add("A2_decode_text", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'gb18030' ELSE 'replaced' END AS encoding, md5(coalesce(text, '')) AS text_md5 FROM documents")(_encoded)
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of graded records as CSV, read again."""
+    graded = P.grade(_bank(spark, sf_dir), view(spark, sf_dir, "submissions")).join(_bank(spark, sf_dir).select(F.col("id").alias("question_id"), "question"), "question_id")
+    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("question_id"))
+    items = graded.select("paper_id", place.alias("n"), "question", F.col("answer").alias("correct_answer"), "user_answer", "status", F.when(F.col("status") == "correct", 10.0).otherwise(0.0).alias("score"), "comment")
+    T.export_csv(items, path := _folder(spark, "records"))
+    return T.read_exported(spark, path, "paper_id long").select("paper_id", "n", F.md5("question").alias("question_md5"), "correct_answer", "user_answer", "status", "score")
+
+
+_add("A4_export_csv", f"""SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY question_id) AS n, md5(question) AS question_md5, answer AS correct_answer, user_answer, st AS status, CASE st WHEN 'correct' THEN 10.0 ELSE 0.0 END::DOUBLE AS score
+ FROM (SELECT *, {_STATUS} AS st FROM (SELECT s.*, b.qtype, b.question, b.answer, trim(b.answer) AS r, trim(s.user_answer) AS u FROM (SELECT paper_id, question_id, arg_max(user_answer, event_id) AS user_answer FROM submissions GROUP BY 1, 2) s JOIN {_OWN} b ON b.id = s.question_id))""")(_exported)
+
+
+def _saved_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers as JSON files and one file that is no paper, read again."""
+    items = P.build(_bank(spark, sf_dir), _sections(spark, sf_dir))
+    papers = items.groupBy(F.concat(F.lit("P"), "paper").alias("id")).agg(
+        F.sum("score").alias("total_score"), F.array_sort(F.collect_list(F.struct("pos", "rank", F.col("id").alias("question_id"), "score"))).alias("questions")
+    )
+    T.write_papers(papers, path := _folder(spark, "papers"))
+    spark.range(1).select(F.lit("{no json").alias("value")).write.text(f"{path}/id=broken")
+    found = T.read_papers(spark, path, "total_score double, questions array<struct<pos:int,rank:int,question_id:bigint,score:double>>")
+    listed = T.list_papers(found).select("id", F.size("questions").cast("long").alias("question_count"), "total_score", F.array_join(F.transform("questions", lambda q: q["question_id"].cast("string")), ",").alias("ids"))
+    return listed.unionByName(found.where("damaged IS NOT NULL").select("id", F.lit(-1).cast("long").alias("question_count"), F.lit(0.0).alias("total_score"), F.lit("").alias("ids")))
+
+
+_add("A5_papers_json", f"SELECT concat('P', paper) AS id, count(*) AS question_count, sum(score) AS total_score, string_agg(cast(id AS VARCHAR), ',' ORDER BY pos, rank) AS ids FROM {_PICKED} GROUP BY paper UNION ALL SELECT 'broken', -1, 0, ''")(_saved_papers)
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in two batches, the first of them written twice."""
+    records = P.rollup(P.grade(_bank(spark, sf_dir), view(spark, sf_dir, "submissions")))
+    path = _folder(spark, "appended")
+    for batch, rows in (("one", records.where("status = 'pending'")), ("two", records.where("status <> 'pending'")), ("one", records.where("status = 'pending'"))):
+        T.append(rows, path, batch)
+    return T.read_appended(spark, path).select("paper_id", "score", "n_correct", "n_wrong", "n_pending", "status")
+
+
+_add("A6_append_records", f"""SELECT *, CASE WHEN n_pending > 0 THEN 'pending' ELSE 'graded' END AS status FROM (SELECT paper_id, 10 * count(*) FILTER (st = 'correct') AS score, count(*) FILTER (st = 'correct') AS n_correct,
+ count(*) FILTER (st = 'wrong') AS n_wrong, count(*) FILTER (st = 'pending') AS n_pending FROM (SELECT paper_id, {_STATUS} AS st FROM {_SUBMITTED}) GROUP BY paper_id)""")(_appended)
+
+
+def _image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the names in the table, those with odd numbers with another suffix than an image's; what is listed and what is referred to without a file."""
+    names = view(spark, sf_dir, "files").withColumn("odd", F.regexp_extract("name", "[0-9]+", 0).cast("long") % 2 == 1)
+    path = _folder(spark, "images")
+    for suffix, rows in (("png", names.where("NOT odd")), ("doc", names.where("odd"))):
+        rows.select("name", F.lit("x").alias("x")).write.mode("append").option("extension", suffix).partitionBy("name").csv(path)
+    listed = T.list_images(spark, path).select(F.regexp_extract("path", "name=([^/]+)", 1).alias("name"))
+    anchored = view(spark, sf_dir, "anchored")
+    return listed.withColumn("state", F.lit("listed")).unionByName(L.missing_files(anchored, listed).withColumn("state", F.lit("missing"))).unionByName(L.orphan_files(anchored, listed).withColumn("state", F.lit("orphan")))
+
+
+_LISTED = "(SELECT name FROM files WHERE cast(regexp_extract(name, '[0-9]+', 0) AS BIGINT) % 2 = 0)"
+_add("A9_list_images", f"SELECT name, 'listed' AS state FROM {_LISTED} UNION ALL SELECT name, 'missing' FROM {_REFS} WHERE name NOT IN (SELECT name FROM {_LISTED}) UNION ALL SELECT name, 'orphan' FROM {_LISTED} WHERE name NOT IN (SELECT name FROM {_REFS})")(_image_files)
+
+
 def queries() -> dict[str, Query]:
     return {**_QUERIES, **exam_queries.QUERIES, **import_queries.QUERIES}
 

@@ -1,13 +1,15 @@
 """Every query of the inventory against DuckDB on the smallest tables, and golden rows for rules that these cannot trigger."""
 
+import html
 import os
+from html.entities import html5
 
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from qbank.functions import answers, text
+from qbank.functions import answers, latex, text
 from qbank.operators import layout, upsert
 from qbank.plans.fixtures import TABLES
 from qbank.queries import oracle_sql, queries
@@ -40,7 +42,19 @@ def values(spark, cases, make):
 
 def test_unescape(spark):
     got = values(spark, [("|z|&gt;3 &lt; x",), ("&amp;lt;",), ("&#x5728; &#50;",), ("a & b &unknown; &#0; &",)], text.html_unescape)
-    assert got == ["|z|>3 < x", "<", "在 2", "a & b &unknown; &#0; &"]
+    assert got == ["|z|>3 < x", "<", "在 2", "a & b &unknown; \ufffd &"]
+
+
+def test_unescape_as_the_standard_library(spark):
+    cases = [f"a&{n}b" for n in html5] + [f"&{n.rstrip(';')}z; &{n.rstrip(';')} q" for n in html5]
+    cases += [f"&#{i};&#x{i:x}" for i in [*range(400), 0xD7FF, 0xD800, 0xE000, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0x1FFFF, 0x10FFFF, 0x110000, 10**30]]
+    cases += ["&#00065 ", "&;", "&#;", "&#x;", "&#a", "&notit;", "&ampamp;", "&copy 2020", "&lt<", "&é;", "a&\nb", "&" + "a" * 50 + ";", ""]
+    assert values(spark, [(c,) for c in cases], text.unescape_once) == list(map(html.unescape, cases))
+
+
+def test_cleaning_with_formulas(spark):
+    got = values(spark, [("第 1 页 / 共 2 页\r\n x &le; 1/2 \n-----\n\n½",)], lambda c: text.rule_clean(c, latex.unicode_to_latex))
+    assert got == ["x \\leq \\frac{1}{2}\n\\frac{1}{2}"]
 
 
 def test_fingerprint(spark):
@@ -100,16 +114,38 @@ def test_upsert_unites_images_as_file_names(spark):
     assert upsert.upsert(own.limit(0), batch.limit(0)).count() == 0
 
 
-def test_sources(spark, tmp_path):
-    (tmp_path / "a.txt").write_bytes("﻿题".encode())
-    (tmp_path / "b.PNG").write_bytes(b"\x89")
-    files = spark.read.format("binaryFile").load(str(tmp_path / "a.txt"))
-    assert [(r["text"], r["valid"]) for r in tables.decode_text(files).collect()] == [("题", True)]
-    assert [r["path"].rpartition("/")[2] for r in tables.list_images(spark, str(tmp_path)).collect()] == ["b.PNG"]
-    paper = spark.createDataFrame([("P2", 1), ("P1", 2)], "id string, n int")
-    paper.write.json(str(tmp_path / "papers"))
-    (tmp_path / "papers" / "broken.json").write_text("{no json\n")
-    assert [r["id"] for r in tables.read_json(spark, str(tmp_path / "papers"), "id string, n int").collect()] == ["P2", "P1"]
+def test_texts_and_images_as_files(spark, tmp_path):
+    texts = {"a.txt": "\ufeff题".encode(), "b.md": "题目é".encode("gb18030"), "c.text": b"ok \xff\xfe", "d.txt": b"", "e.pdf": b"no"}
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "deep").mkdir()
+    for name in ("b.PNG", "deep/c.jPeg", "png", "d.png.txt"):
+        (tmp_path / name).write_bytes(b"\x89")
+    got = {r["path"].rpartition("/")[2]: (r["text"], r["encoding"]) for r in tables.read_texts(spark, str(tmp_path)).where("path NOT LIKE '%png.txt'").collect()}
+    assert got == {"a.txt": ("题", "utf-8"), "b.md": ("题目é", "gb18030"), "c.text": ("ok \ufffd\ufffd", "replaced")}  # no row of an empty file
+    assert {r["path"].rpartition("/")[2] for r in tables.list_images(spark, str(tmp_path)).collect()} == {"b.PNG", "c.jPeg"}
+    nothing = spark.createDataFrame([("x", None)], "path string, content binary")
+    assert [tuple(r) for r in tables.decode_text(nothing).collect()] == [("x", None, None)]
+
+
+def test_papers_and_records(spark, tmp_path):
+    paper = spark.createDataFrame([("P2", 1, None), ("P1", 2, "x")], "id string, n int, title string")
     for _ in range(2):
-        tables.append(paper, str(tmp_path / "records"))
-    assert spark.read.parquet(str(tmp_path / "records")).count() == 4
+        tables.write_papers(paper, str(tmp_path / "papers"))
+    tables.write_papers(paper.where("id = 'P1'").withColumn("n", F.lit(3)), str(tmp_path / "papers"))
+    (tmp_path / "papers" / "id=P3").mkdir()
+    (tmp_path / "papers" / "id=P3" / "p.json").write_text("{no json\n")
+    found = tables.read_papers(spark, str(tmp_path / "papers"), "n int, title string")
+    assert [(r["id"], r["n"]) for r in tables.list_papers(found).collect()] == [("P2", 1), ("P1", 3)]
+    assert [(r["id"], r["damaged"].strip()) for r in found.where("damaged IS NOT NULL").collect()] == [("P3", "{no json")]
+    for batch in ("one", "two", "one"):
+        tables.append(paper, str(tmp_path / "records"), batch)
+    assert tables.read_appended(spark, str(tmp_path / "records")).count() == 4
+    items = spark.createDataFrame([("r/1", 2, 'a "b", c', "", " x", "wrong", 0.5, "说"), ("r/1", 1, "q\nq", "A", "B", "correct", 1.0, "")], "paper_id string, n int, question string, correct_answer string, user_answer string, status string, score double, comment string")
+    tables.export_csv(items, str(tmp_path / "csv"))
+    (file,) = (tmp_path / "csv").glob("*/*.csv")
+    assert file.read_text(encoding="utf-8-sig").splitlines()[0] == "题号,题目,标准答案,作答,状态,得分,点评" and file.read_bytes().startswith(b"\xef\xbb\xbf")
+    assert [tuple(r) for r in tables.read_exported(spark, str(tmp_path / "csv")).select(items.columns).orderBy("n").collect()] == [tuple(r) for r in items.orderBy("n").collect()]
+    tables.export_json(items.limit(1).select("paper_id", F.lit(None).cast("string").alias("title")), str(tmp_path / "json"))
+    (file,) = (tmp_path / "json").glob("*/*.json")
+    assert file.read_text().strip() == '{"title":null}'
