@@ -20,9 +20,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one of least doc_id."""
-    gone = ngram_join.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near-duplicates: the one of least doc_id; a null one only where no other is there.
+
+    Rows are told apart by their place in the files that docs is read from, not by doc_id, so that rows that repeat an id, or have
+    none, are documents of their own: of two copies one stays, and the next stage finds no copy to take out of the other.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = ngram_join.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    groups = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id")
+    kept = groups.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k")).select("k._row")
+    return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
