@@ -19,6 +19,8 @@ TABLES, CELLS, PER_BUCKET, FUNCTIONS = 2, 3, 600, 7
 CALIBRATION, RECALL = 128, 0.97
 #: Buckets of each table that a query visits first; the score of its k-th best there bounds what later visits return.
 FIRST = 3
+#: Chance that the buckets which a query visits of one table hold a neighbour as far off as its k-th best so far.
+COVERED = 0.95
 #: Rows of a bucket, or queries that visit it, that meet in one block at most.
 BLOCK = 2048
 
@@ -58,21 +60,25 @@ class Hashes:
         f = (self.lift(x, False) @ self.a + self.shift[:, None]) / self.width[:, None]
         return (np.clip(np.floor(f), 0, CELLS - 1).astype(np.int64) @ self.places).T
 
-    def order(self, x: np.ndarray, filled: list[np.ndarray], reach: float) -> list[np.ndarray]:
-        """For each table and query, its filled buckets in falling estimated success.
+    def order(self, x: np.ndarray, filled: list[np.ndarray], reach: np.ndarray | float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each table and query, its filled buckets in falling estimated success, and how many of them are worth a visit.
 
-        The difference of a neighbour's projection from the query's is Gaussian with deviation reach times |a| = reach here;
-        a bucket's success is the product over the functions of the chance of falling into its cells.
+        The difference of a neighbour's projection from the query's is Gaussian with deviation reach times |a| = reach here, one for
+        all queries or one for each; a bucket's success is the product over the functions of the chance of falling into its cells.
+        Worth a visit are as many as hold a neighbour with chance COVERED.
         """
+        reach = np.broadcast_to(np.asarray(reach, dtype=float), (len(x),))[:, None, None]
         f = self.lift(x, True) @ self.a + self.shift[:, None]
         out = []
         for t in range(TABLES):
             edges = np.concatenate([[-np.inf], np.arange(1, CELLS), [np.inf]])[None, :, None] * self.width[t][None, None]
             edges = np.where(np.isnan(edges), 0, edges)
-            below = 0.5 * (1 + _erf(np.clip((edges - f[t][:, None]) / (reach * math.sqrt(2)), -8, 8)))
+            below = 0.5 * (1 + _erf(np.clip((edges - f[t][:, None]) / (np.maximum(reach, 1e-12) * math.sqrt(2)), -8, 8)))
             chance = np.log(np.maximum(np.diff(below, axis=1), 1e-12))  # query, cell, function
             score = sum(chance[:, self.digits[filled[t], j], j] for j in range(self.functions))
-            out.append(filled[t][np.argsort(-score, axis=1, kind="stable")])
+            by = np.argsort(-score, axis=1, kind="stable")
+            held = np.cumsum(np.exp(np.take_along_axis(score, by, axis=1)), axis=1)
+            out.append((filled[t][by], (held < COVERED).sum(axis=1) + 1))
         return out
 
 
@@ -115,7 +121,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
 
     Every row is hashed into TABLES tables. A query visits the filled buckets in the order of their estimated success, as many
     as a calibration needs: CALIBRATION of the queries are answered by brute force over all rows, and the number of probes is
-    raised until `recall` of their true neighbours lie in a visited bucket. Rows and visits of a bucket meet in blocks of
+    raised until `recall` of their true neighbours lie in a visited bucket. These are the fewest: a query goes on until its buckets
+    hold what is as near as its own k-th best so far with chance COVERED in each table, and one that has not found k rows goes
+    through all buckets; so a query among few neighbours is not cut short by the others. Rows and visits of a bucket meet in blocks of
     bounded size, each block returns its k best for each query with exact scores, and the best k of all stay. The first
     visits of each query give a score that its k-th best reaches at least, and later blocks return nothing below it.
     """
@@ -172,7 +180,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     spot = {int(q): i for i, q in enumerate(some_ids)}
     first: dict[tuple[int, int], int] = {}
     for r in where:
-        at = int(np.flatnonzero(orders[r["tbl"]][spot[r["query_id"]]] == r["bucket"])[0])
+        at = int(np.flatnonzero(orders[r["tbl"]][0][spot[r["query_id"]]] == r["bucket"])[0])
         key = (r["query_id"], r["rank"])
         first[key] = min(first.get(key, 1 << 30), at)
     probes = max(map(len, filled))
@@ -181,16 +189,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         probes = int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))]) + 1
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The first buckets of each query, or, where it has a least score, those that this makes worth a visit, `probes` at least;
+        a query that has not found k rows yet (its least score is minus infinity) visits all."""
         for b in batches:
             for s in range(0, len(b), 64):
                 part = b.iloc[s : s + 64]
-                for t, own in enumerate(hashes.order(matrix(part["embedding"]), filled, reach)):
-                    own = own[:, :probes]
-                    yield pd.DataFrame({"tbl": t, "bucket": own.ravel(), "place": np.tile(np.arange(own.shape[1]), len(own))}).assign(
-                        vec_id=np.repeat(part["vec_id"].to_numpy(), own.shape[1]), embedding=np.repeat(part["embedding"].to_numpy(), own.shape[1])
-                    )
+                x, least, late = matrix(part["embedding"]), part["least"].to_numpy(dtype=float), bool(part["late"].iloc[0])
+                far = np.sqrt(np.maximum(top * top + (x * x).sum(axis=1) - 2 * least, 1e-12)) if late else reach
+                for t, (own, worth) in enumerate(hashes.order(x, filled, np.where(np.isfinite(far), far, 2 * top) if late else reach)):
+                    take = np.where(np.isneginf(least), own.shape[1], np.maximum(worth, probes)) if late else np.full(len(own), FIRST)
+                    take = np.minimum(take, own.shape[1])
+                    row = np.repeat(np.arange(len(own)), take)
+                    at = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
+                    yield pd.DataFrame({"tbl": t, "bucket": own[row, at], "vec_id": part["vec_id"].to_numpy()[row], "embedding": part["embedding"].to_numpy()[row], "least": least[row]})
+
+    def visits(some: DataFrame, late: bool) -> DataFrame:
+        return some.withColumn("late", F.lit(late)).mapInPandas(visit, "tbl int, bucket long, vec_id long, embedding array<float>, least double")
 
-    visits = asked.mapInPandas(visit, "tbl int, bucket long, place int, vec_id long, embedding array<float>")
     key = ["tbl", "bucket"]
     held = placed.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ms"))
 
@@ -213,7 +228,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         )
         return rows.union(asks).groupBy(*key, "i", "j").applyInPandas(block, _FOUND)
 
-    early = cut(_top(answer(visits.where(F.col("place") < FIRST).withColumn("least", F.lit(float("-inf")))), k))
+    none = F.lit(float("-inf"))
+    early = cut(_top(answer(visits(asked.withColumn("least", none), False)), k))
     least = early.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
-    late = answer(visits.where(F.col("place") >= FIRST).join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))))
+    late = answer(visits(asked.join(least, "vec_id", "left").withColumn("least", F.coalesce("least", none)), True))
     return _top(early.select("query_id", "vec_id", "score").union(late), k)

@@ -480,3 +480,23 @@ def test_types_pass_through(spark):
     out = license_scan.scan(df)
     assert [f.dataType for f in out.schema.fields[:4:2]] == [T.LongType(), T.TimestampType()]
     assert {r["doc_id"] for r in out.collect()} == {2**60 + 1, None}
+
+
+def test_lone_queries_among_groups_of_copies(spark):
+    """Most rows are copies, which the first bucket answers; the others need many buckets and get all their rows."""
+    rng = np.random.default_rng(12)
+    lone, groups = rng.normal(size=(60, 24)), rng.normal(size=(20, 24))
+    x = np.vstack([np.repeat(groups, 600, axis=0), lone]).astype(np.float32)
+    asked = [*range(0, 12_000, 20), *range(12_000, 12_060)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(6)
+    got = {}
+    for r in ann_pstable.search(df, df.where("vec_id % 20 = 0 OR vec_id >= 12000")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert all(len(got[q]) == 20 for q in asked)
+    scores = x[asked].astype(float) @ x.astype(float).T
+    found = []
+    for row, q in zip(scores, asked, strict=True):
+        row[q] = -np.inf
+        best = set(np.lexsort((np.arange(len(row)), -row))[:20].tolist())
+        found.append(len(best & got[q]) / 20)
+    assert np.mean(found[-60:]) >= 0.9 and np.mean(found) >= 0.9

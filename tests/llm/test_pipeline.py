@@ -31,3 +31,22 @@ def test_stages(spark, tmp_path):
     assert fourth.columns == docs.columns and {r["text"] for r in fourth.collect()} >= {"mail [EMAIL] now"}
     assert {r["doc_id"] for r in packing(spark, fourth, str(tmp_path)).collect()} == want
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(want)
+
+
+def test_rows_that_repeat_an_id_or_have_none(spark, tmp_path):
+    prose = corpus(8, 12)
+    long, other, third, fourth = (t for t in [prose[-1], prose[-2] + " " + prose[-3], prose[-4] + " " + prose[-5], prose[-6] + " own words"])
+    rows = [(1, long), (1, long), (None, long), (2, other), (2, third), (3, third), (None, fourth), (None, fourth), (None, None), (4, None), (4, "")]
+    frame(spark, [t for _, t in rows], [i for i, _ in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.near_dup_stage(spark, docs, str(tmp_path)).collect()
+    got = sorted(((r["doc_id"], r["text"]) for r in kept if r["text"]), key=repr)
+    assert got == sorted([(1, long), (2, other), (2, third), (None, fourth)], key=repr)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    tokens = {r["doc_id"]: r["doc_tokens"] for r in out.collect() if r["doc_id"] is not None}
+    assert tokens[1] > 500 and tokens[2] > 5
+
+
+def test_empty_table(spark, tmp_path):
+    frame(spark, ["x"]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
