@@ -168,3 +168,26 @@ for _name, _reading, _parse in (("I5_parse_note_points", "points", N.note_points
         lambda s, d, parse=_parse, flag=f"as_{_reading}": parse(N.route(view(s, d, "notes")).where(flag)).select(*_NOTE),
     )
 _add("I7_route_mode", f"SELECT doc_id, as_exam, as_points, as_sections FROM ({P.readings_sql()})", lambda s, d: N.route(view(s, d, "notes")).drop("text", "sections_first"))
+
+# Whole documents as exams: which block, section and topic each of their lines gets, as windows over the lines say it.
+_SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0]"
+_FLAGS = {
+    "topic": rf"^{_SPACE}*知识点{_SPACE}*[:：]", "section": f"^[{I.NUMERALS}]+、{_SPACE}*[（(]?{_SPACE}*({'|'.join(I.SECTION_WORDS)})", "head": rf"^{_SPACE}*[{I.NUMERALS}]+{_SPACE}*[、.．]{_SPACE}*\S",
+    "separator": "^[-=—]{5,}$", "numbered": rf"^{_SPACE}*(第{_SPACE}*\d+{_SPACE}*题|问{_SPACE}*\d{{0,3}}{_SPACE}*[:：]|【{_SPACE}*\d{{1,3}}{_SPACE}*[-－—]{_SPACE}*\d{{1,3}}{_SPACE}*】|\d{{1,3}}{_SPACE}*[.．、)）：:])",
+    "option": rf"^{_SPACE}*[（(]?{_SPACE}*[A-Ha-h]{_SPACE}*([.．、)）]|{_SPACE})", "answered": rf"^{_SPACE}*(\[?【?)?{_SPACE}*(答案|参考答案)", "sub": rf"^{_SPACE}*[（(]{_SPACE}*\d{{1,3}}{_SPACE}*[）)]",
+}
+_flag = lambda name: f"regexp_matches(line, '{_FLAGS[name]}')"
+_add(
+    "I2_document_blocks",
+    rf"""WITH x AS (SELECT doc_id, list_filter(string_split(replace(regexp_replace(coalesce(text, ''), '{_PAIR}', concat(chr(10), '\1'), 'g'), concat(chr(13), chr(10)), chr(10)), chr(10)),
+  lambda l: NOT regexp_matches(l, '^\s*第\s*\d+\s*页\s*/\s*共\s*\d+\s*页\s*$')) AS l FROM documents),
+n AS (SELECT doc_id, i - 1 AS pos, regexp_replace(list_extract(l, i), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM x)),
+f AS (SELECT *, NOT ({_flag('topic')} OR {_flag('section')} OR {_flag('head')} OR {_flag('separator')}) AS plain, {_flag('numbered')} AS numbered, {_flag('option')} AS option, {_flag('answered')} AS answered FROM n WHERE line <> ''),
+g AS (SELECT *, coalesce(pos - lag(pos) OVER w > 1, false) AS gap, coalesce(lag(plain) OVER w, false) AS open FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+h AS (SELECT *, plain AND (numbered OR NOT open OR (gap AND NOT option AND NOT answered)) AS hard FROM g),
+p AS (SELECT *, sum(hard::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM h),
+a AS (SELECT *, coalesce(sum((plain AND answered)::INT) OVER (PARTITION BY doc_id, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+b AS (SELECT *, sum((hard OR (plain AND gap AND answered AND NOT option AND before > 0))::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM a)
+SELECT doc_id, pos::BIGINT AS pos, block::BIGINT AS block, md5(line) AS line_md5, coalesce(NULL, '') AS topic FROM b WHERE plain""",
+    lambda s, d: E.blocks(view(s, d, "documents")).select("doc_id", F.col("pos").cast("long").alias("pos"), "block", F.md5("line").alias("line_md5"), "topic"),
+)

@@ -152,9 +152,8 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
-# Counts are single regular expressions over the whole text; those for lines begin at a line's start, so that they stay linear.
+# Counts are single regular expressions over the whole text; those for lines take the rest of the line along, so each counts once.
 LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
-_LINE_START = rf"(?:^|(?<=[{LINE_ENDS}]))"
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -188,12 +187,12 @@ def private_use_count(c: Column) -> Column:
 
 def line_count(c: Column) -> Column:
     """Lines that are not blank."""
-    return _count(c, rf"(?U){_LINE_START}[\s&&[^{LINE_ENDS}]]*+\S")
+    return _count(c, rf"(?U)[^\s{LINE_ENDS}][^{LINE_ENDS}]*")
 
 
 def cjk_line_count(c: Column) -> Column:
     """Lines with four CJK ideographs in a row."""
-    return _count(c, rf"{_LINE_START}[^{LINE_ENDS}]*?[\u4e00-\u9fff]{{4}}")
+    return _count(c, rf"[\u4e00-\u9fff]{{4}}[^{LINE_ENDS}]*")
 
 
 def cjk_line_ratio(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from qbank.plans import papers
@@ -74,9 +76,25 @@ from bank cross join (values (0), (1), (2), (3), (4)) as waves(k)""",
 VIEWS |= papers.VIEWS
 
 
+def _named(sql: str) -> set[str]:
+    """The views that sql names, and those that these name."""
+    found: set[str] = set()
+    todo = [sql]
+    while todo:
+        text = todo.pop()
+        new = {v for v in VIEWS if re.search(rf"\b{v}\b", text)} - found
+        found |= new
+        todo += [VIEWS[v] for v in new]
+    return found
+
+
 def with_views(sql: str) -> str:
-    """sql after the views it may name."""
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in VIEWS.items()) + "\n" + sql
+    """sql after the views that it needs."""
+    names = _named(sql)
+    held = ",\n".join(f"{name} AS ({body})" for name, body in VIEWS.items() if name in names)
+    if not held:
+        return sql
+    return f"WITH {held}\n{sql}"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
