@@ -66,21 +66,24 @@ def note_points(docs: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     kind = F.when(line.rlike(FACTS), "facts").when(line.rlike(ENTRY), "entry")
-    r = _parts(_lines(docs), kind)
-    entries = r.where(F.col("part.kind") == "entry").groupBy("doc_id", F.col("part.pos").alias("pos")).agg(
+    fact_lines = (F.col("part.kind") == "facts") & F.col("kind").isNull() & (F.length("line") <= LONGEST_FACT)
+    r = _parts(_lines(docs), kind).where((F.col("part.kind") == "entry") | fact_lines)
+    # An entry with its lines is one group, a fact is a group of its own.
+    late = F.when(F.col("part.kind") == "facts", 1).otherwise(0).alias("late")
+    groups = r.groupBy("doc_id", late, F.when(F.col("part.kind") == "facts", F.col("pos")).otherwise(F.col("part.pos")).alias("at")).agg(
         F.min_by("line", "pos").alias("head"), F.array_sort(F.collect_list(F.when(F.col("kind").isNull(), F.struct("pos", "line")))).alias("body")
-    ).select("doc_id", "pos", note_title(F.regexp_extract("head", ENTRY, 1)).alias("t"), F.array_join(F.transform("body", lambda b: b["line"]), "\n").alias("body")).where("t.title <> ''")
+    )
+    listed = F.col("late") == 1
+    groups = groups.select(
+        "doc_id", "late", F.col("at").alias("pos"), "head", note_title(F.regexp_extract("head", ENTRY, 1)).alias("t"), F.array_join(F.transform("body", lambda b: b["line"]), "\n").alias("body")
+    ).where(listed | (F.col("t.title") != ""))
     term, fact = F.contains("t.mark", F.lit("名词解释")), F.contains("t.mark", F.lit("单选"))
     title = F.col("t.title")
-    questions = entries.select(
-        "doc_id", F.lit(0).alias("late"), "pos", F.when(term, "thinking").when(fact, "judge").otherwise("essay").alias("qtype"),
-        F.when(term, F.concat(F.lit("名词解释："), title)).when(fact, title).otherwise(essay_question(title)).alias("question"),
-        F.when(~term & fact, "对").otherwise(F.col("body")).alias("answer"), F.when(~term & fact, F.col("body")).otherwise("").alias("explanation"),
-    )
-    facts = r.where((F.col("part.kind") == "facts") & F.col("kind").isNull() & (F.length("line") <= LONGEST_FACT)).select(
-        "doc_id", F.lit(1).alias("late"), "pos", F.lit("judge").alias("qtype"), line.alias("question"), F.lit("对").alias("answer"), F.lit("").alias("explanation")
-    )
-    return _finished(questions.unionByName(facts))
+    return _finished(groups.select(
+        "doc_id", "late", "pos", F.when(listed, "judge").when(term, "thinking").when(fact, "judge").otherwise("essay").alias("qtype"),
+        F.when(listed, F.col("head")).when(term, F.concat(F.lit("名词解释："), title)).when(fact, title).otherwise(essay_question(title)).alias("question"),
+        F.when(listed | (~term & fact), "对").otherwise(F.col("body")).alias("answer"), F.when(~listed & ~term & fact, F.col("body")).otherwise("").alias("explanation"),
+    ))
 
 
 def note_sections(docs: DataFrame) -> DataFrame:

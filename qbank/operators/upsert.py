@@ -78,8 +78,10 @@ def _merged(bank: DataFrame, batch: DataFrame) -> DataFrame:
     def side(rows: DataFrame, part: int, seq: str) -> DataFrame:
         files, names = _names(rows, images, part)
         text = [F.coalesce(c, F.lit("")).alias(c) for c in ("question", "answer")]
+        # As a new value, not the column itself: two sides that are dealt by fingerprint already would make a union that claims to be
+        # so too, which Spark 4.1.2 does not keep to when it coalesces the two sides differently.
         return rows.select(
-            "content_hash", F.lit(part).alias("part"), F.col(seq).alias("seq"), *text, F.coalesce("pending_review", F.lit(False)).alias("pending_review"),
+            F.concat("content_hash", F.lit("")).alias("content_hash"), F.lit(part).alias("part"), F.col(seq).alias("seq"), *text, F.coalesce("pending_review", F.lit(False)).alias("pending_review"),
             *carried, files.alias("files"), names.alias("images"), F.struct(F.lit(part), *others).alias("base"),
         )
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from qbank.operators import bank as B
 from qbank.operators import ranks, upsert
@@ -82,3 +83,13 @@ def test_numbers_whatever_the_order(spark):
     got = B.insert(bank, rows.withColumn("question", rows["seq"].cast("string"))).orderBy("id").collect()
     assert [r["id"] for r in got] == [7, *range(8, 15)] and got[-1]["question"] == str(10**15 + 1)
     assert ranks.numbered(rows.limit(0), "seq").count() == 0
+
+
+def test_sides_that_are_dealt_by_fingerprint_already(spark):
+    """As a union of them is not, whatever it claims."""
+    columns = "content_hash string, question string, answer string, source_file string, pending_review boolean"
+    rows = [(i, f"h{i % 50}", f"q{i % 50}", "a", f"f{i % 3}", False) for i in range(1, 3000)]
+    dealt = lambda df, key: df.repartition("content_hash").groupBy("content_hash").agg(*[F.first(c).alias(c) for c in ("question", "answer", "source_file", "pending_review")], F.min(key).alias(key))
+    own, new = dealt(spark.createDataFrame(rows[:40], f"id long, {columns}"), "id"), dealt(spark.createDataFrame(rows, f"seq long, {columns}"), "seq")
+    assert upsert.upsert(own, new).count() == 50
+    assert upsert.upsert(own, new).groupBy("content_hash").count().where("count > 1").count() == 0
