@@ -14,8 +14,8 @@ from ._common import IS_WORD, WORD_BYTES, add_columns, expand_rows, words
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Templates by label. A block that holds THRESHOLD of a template's distinct words carries its label. Blocks are the lines and,
-#: line ends ignored, all runs of as many words as the template has, divided by THRESHOLD: room for as many strange words.
+#: Templates by label. A block that holds THRESHOLD of a template's distinct words carries its label. Blocks are, line ends ignored,
+#: all runs of as many words as the template has, divided by THRESHOLD: room for as many strange words.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2.0",
     "mit": "released under the mit license",
@@ -124,10 +124,9 @@ def scan_text(text: str | None, index: Index) -> tuple:
         text = words(low)
         # What the whole text does not hold, no block of it does.
         if among := index.matches(set(text)):
-            blocks = [index.matches(set(words(line))) for line in low.split(b"\n") if any(w in line for w in index.postings)]
-            for found in [*blocks, index.passages(text, among)]:
-                labels.update(found)
-                score = max(score, *found.values(), 0.0)
+            found = index.passages(text, among)
+            labels.update(found)
+            score = max(score, *found.values(), 0.0)
     return (
         len(starts), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
     )
@@ -139,9 +138,9 @@ def scan(docs: DataFrame) -> DataFrame:
     docs needs text; every other column stays (those named as results are replaced). Words are runs of ASCII letters, digits and
     non-ASCII characters, A-Z lower-cased; a null text is empty: no words, no labels, score 0. n_base counts the places where
     the words of a base phrase stand one after another; first_word and last_word are their least and greatest first word.
-    labels adds to the base labels each template of which some block holds at least 0.8 of the distinct words. Blocks are the
-    lines, and all runs of words of 1.25 times the template's length whatever line ends they cross, so that a notice counts
-    however it is wrapped.
+    labels adds to the base labels each template of which some block holds at least 0.8 of the distinct words. Blocks are all
+    runs of words of 1.25 times the template's length whatever line ends they cross, so that a notice counts however it is
+    wrapped, and words scattered over a longer line are none.
     score is 1 for a text with a base phrase, else the greatest containment that reached 0.8, else 0.
 
     The templates are a fixed, short list, so their prefix index goes to every task and texts are joined to it without a shuffle.

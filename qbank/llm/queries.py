@@ -134,16 +134,17 @@ FROM documents LEFT JOIN c ON c.s = doc_id LEFT JOIN n ON n.a = doc_id
 
 def _license_sql() -> str:
     phrases = ", ".join(f"('{label}', {p.split()})" for p, label in license_scan.PHRASES.items())
-    templates = ", ".join(f"('{label}', {sorted(w.decode() for w in held)})" for label, held in license_scan.template_words().items())
+    index = license_scan.Index({})
+    needs = {label: need for label, _, need in index.templates}
+    templates = ", ".join(f"('{label}', {sorted(w.decode() for w in held)}, {index.spans[label]}, {needs[label]})" for label, held in license_scan.template_words().items())
     return f"""
-WITH w AS (SELECT doc_id, {_LOW} AS low, regexp_extract_all({_LOW}, {_WORDS}) AS w FROM documents),
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOW}, {_WORDS}) AS w FROM documents),
 p(label, phrase) AS (VALUES {phrases}),
-t(label, held) AS (VALUES {templates}),
+t(label, held, span, need) AS (VALUES {templates}),
 hits AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(phrase) - 1] = phrase)) - 1 AS place FROM w, p),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM hits GROUP BY doc_id),
-lines AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(line, {_WORDS})) AS b FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM w)),
-found AS (SELECT doc_id, label, max(len(list_intersect(held, b)) / len(held)) AS part FROM lines, t
-  WHERE len(list_intersect(held, b)) >= ceil({license_scan.THRESHOLD} * len(held) - 1e-9) GROUP BY 1, 2),
+places AS (SELECT doc_id, w, label, held, span, need, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(held, w[i]))) AS i FROM w, t WHERE len(list_intersect(held, w)) >= need),
+found AS (SELECT doc_id, label, max(len(list_intersect(held, w[i:i + span - 1])) / len(held)) AS part FROM places WHERE len(list_intersect(held, w[i:i + span - 1])) >= need GROUP BY 1, 2),
 named AS (SELECT doc_id, label, true AS is_base, 1.0 AS part FROM hits UNION ALL SELECT doc_id, label, false, part FROM found),
 agg AS (SELECT doc_id, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base), '') AS base_labels,
   string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(part) AS score FROM named GROUP BY doc_id)

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -376,10 +377,10 @@ def test_license_scan(spark):
         places = [(k, lab) for p, lab in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         base = {lab for _, lab in places}
         labels, score = set(base), 1.0 if base else 0.0
-        for line in low.split("\n"):
-            held = {x.encode() for x in WORD.findall(line)}
-            for lab, tw in templates.items():
-                if (c := len(held & tw) / len(tw)) >= 0.8 - 1e-9:
+        for lab, tw in templates.items():
+            span = math.ceil(len(license_scan.TEMPLATES[lab].replace(".", " ").replace("-", " ").split()) / 0.8 - 1e-9)
+            for k in range(len(w)):
+                if (c := len({x.encode() for x in w[k : k + span]} & tw) / len(tw)) >= 0.8 - 1e-9:
                     labels.add(lab)
                     score = max(score, c)
         r = got[i]
@@ -397,10 +398,12 @@ def test_license_scan_of_wrapped_notices(spark):
     grant = "\n".join(license_scan.TEMPLATES["mit-grant"].split())
     long = prose(rng, 20000) + " " + bsd.replace("\n", " ") + " " + prose(rng, 20000)
     apart = ("\n" + prose(rng, 5) + "\n").join(license_scan.TEMPLATES["mit-grant"].split())
-    texts = [bsd, prose(rng, 50) + "\n" + mpl + "\n" + prose(rng, 50), grant, long, apart]
+    # One long line that holds all words of the template, but far from each other.
+    scattered = prose(rng, 40).join([" released ", " under ", " the ", " mit ", " license ", ""])
+    texts = [bsd, prose(rng, 50) + "\n" + mpl + "\n" + prose(rng, 50), grant, long, apart, scattered]
     got = {r["doc_id"]: r for r in license_scan.scan(frame(spark, texts)).collect()}
-    assert [got[i]["labels"] for i in range(5)] == ["bsd-3-clause", "mpl-2.0", "mit-grant", "bsd-3-clause", ""]
-    assert [got[i]["score"] for i in range(5)] == [1, 1, 1, 1, 0]
+    assert [got[i]["labels"] for i in range(6)] == ["bsd-3-clause", "mpl-2.0", "mit-grant", "bsd-3-clause", "", ""]
+    assert [got[i]["score"] for i in range(6)] == [1, 1, 1, 1, 0, 0]
 
 
 def test_pii(spark, tmp_path):
