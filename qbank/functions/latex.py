@@ -8,29 +8,25 @@ from pyspark.sql import functions as F
 from .items import PAIR_NUMBER
 from .text import _lookup, fix_private_use, html_unescape, let, strip
 
-# Symbols and the commands that stand for them.
-COMMANDS = {
-    "∫": "int", "∮": "oint", "∯": "iiint", "∬": "iint", "∭": "idotsint", "∑": "sum", "∏": "prod", "∞": "infty", "∂": "partial", "∇": "nabla",
-    "√": "sqrt", "≠": "neq", "≈": "approx", "≡": "equiv", "≤": "leq", "≥": "geq", "∈": "in", "∉": "notin", "⊂": "subset", "⊃": "supset",
-    "∪": "cup", "∩": "cap", "∀": "forall", "∃": "exists", "→": "rightarrow", "←": "leftarrow", "⇒": "Rightarrow", "⇐": "Leftarrow",
-    "↔": "leftrightarrow", "·": "cdot", "×": "times", "÷": "div", "±": "pm", "∓": "mp", "⊕": "oplus", "⊗": "otimes",
+# Symbols and what stands for them in a formula.
+SYMBOL_COMMANDS = {
+    "∫": "\\int", "∮": "\\oint", "∯": "\\iiint", "∬": "\\iint", "∭": "\\idotsint", "∑": "\\sum", "∏": "\\prod", "∞": "\\infty",
+    "∂": "\\partial", "∇": "\\nabla", "√": "\\sqrt", "≠": "\\neq", "≈": "\\approx", "≡": "\\equiv", "≤": "\\leq", "≥": "\\geq", "∈": "\\in",
+    "∉": "\\notin", "⊂": "\\subset", "⊃": "\\supset", "∪": "\\cup", "∩": "\\cap", "∀": "\\forall", "∃": "\\exists", "→": "\\rightarrow",
+    "←": "\\leftarrow", "⇒": "\\Rightarrow", "⇐": "\\Leftarrow", "↔": "\\leftrightarrow", "·": "\\cdot", "×": "\\times", "÷": "\\div",
+    "±": "\\pm", "∓": "\\mp", "⊕": "\\oplus", "⊗": "\\otimes", "α": "\\alpha ", "β": "\\beta ", "γ": "\\gamma ", "δ": "\\delta ",
+    "ε": "\\epsilon ", "ζ": "\\zeta ", "η": "\\eta ", "θ": "\\theta ", "ι": "\\iota ", "κ": "\\kappa ", "λ": "\\lambda ", "μ": "\\mu ",
+    "ν": "\\nu ", "ξ": "\\xi ", "π": "\\pi ", "ρ": "\\rho ", "σ": "\\sigma ", "τ": "\\tau ", "υ": "\\upsilon ", "φ": "\\phi ",
+    "χ": "\\chi ", "ψ": "\\psi ", "ω": "\\omega ", "Γ": "\\Gamma ", "Δ": "\\Delta ", "Θ": "\\Theta ", "Λ": "\\Lambda ", "Ξ": "\\Xi ",
+    "Π": "\\Pi ", "Σ": "\\Sigma ", "Φ": "\\Phi ", "Ψ": "\\Psi ", "Ω": "\\Omega ", "½": "\\frac{1}{2}", "⅓": "\\frac{1}{3}",
+    "¼": "\\frac{1}{4}", "¾": "\\frac{3}{4}", "⁰": "^{0}", "¹": "^{1}", "²": "^{2}", "³": "^{3}", "⁴": "^{4}", "⁵": "^{5}", "⁶": "^{6}",
+    "⁷": "^{7}", "⁸": "^{8}", "⁹": "^{9}", "₀": "_{0}", "₁": "_{1}", "₂": "_{2}", "₃": "_{3}", "₄": "_{4}", "₅": "_{5}", "₆": "_{6}",
+    "₇": "_{7}", "₈": "_{8}", "₉": "_{9}",
 }
-GREEK = {
-    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "ι": "iota", "κ": "kappa",
-    "λ": "lambda", "μ": "mu", "ν": "nu", "ξ": "xi", "π": "pi", "ρ": "rho", "σ": "sigma", "τ": "tau", "υ": "upsilon", "φ": "phi", "χ": "chi",
-    "ψ": "psi", "ω": "omega", "Γ": "Gamma", "Δ": "Delta", "Θ": "Theta", "Λ": "Lambda", "Ξ": "Xi", "Π": "Pi", "Σ": "Sigma", "Φ": "Phi",
-    "Ψ": "Psi", "Ω": "Omega",
-}
-FRACTIONS = {"½": (1, 2), "⅓": (1, 3), "¼": (1, 4), "¾": (3, 4)}
-SUPERSCRIPTS, SUBSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹", "₀₁₂₃₄₅₆₇₈₉"
 
 # A command that ends with a letter is followed by this mark until it is known whether a letter or digit comes next.
 _END = "\u0002"
-SYMBOLS = (
-    {s: f"\\{c}{_END}" for s, c in COMMANDS.items()} | {s: f"\\{c} " for s, c in GREEK.items()}
-    | {s: f"\\frac{{{a}}}{{{b}}}" for s, (a, b) in FRACTIONS.items()}
-    | {s: f"^{{{i}}}" for i, s in enumerate(SUPERSCRIPTS)} | {s: f"_{{{i}}}" for i, s in enumerate(SUBSCRIPTS)}
-)
+SYMBOLS = {s: c + _END if c[-1].isalpha() else c for s, c in SYMBOL_COMMANDS.items()}
 # What is written plainly, and how a formula has it. A name is only taken where it is a word of its own and no command yet.
 _WORD = r"(?<![\\a-zA-Z])"
 REWRITES = (

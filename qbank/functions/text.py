@@ -28,12 +28,14 @@ PRIVATE_USE = {
 LATIN1_SYMBOLS = {"ò": "∫", "õ": "∐", "ö": "∑", "¥": "∞", "¹": "√", "º": "∝", "ù": "←", "ú": "→", "û": "↑", "ü": "↓", "ý": "↔", "þ": "⇐", "ÿ": "⇒"}
 # Commands that count as known, in lower case where only that matters.
 KNOWN_COMMANDS = (
-    "sin cos tan cot sec csc log ln exp lim gcd arg frac sqrt sum int iint iiint oint prod infty partial nabla to rightarrow "
-    "leftarrow leftrightarrow Rightarrow Leftarrow cdot cdots ldots times div pm mp neq leq geq approx equiv in notin subset "
-    "supset subseteq supseteq cup cap forall exists text quad qquad begin end left right big bigg bigl bigr alpha beta gamma "
-    "delta epsilon varepsilon zeta eta theta vartheta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi varphi chi psi "
-    "omega Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega"
-).split()
+    "sin", "cos", "tan", "cot", "sec", "csc", "log", "ln", "exp", "lim", "gcd", "arg", "frac", "sqrt", "sum", "int", "iint", "iiint",
+    "oint", "prod", "infty", "partial", "nabla", "to", "rightarrow", "leftarrow", "leftrightarrow", "Rightarrow", "Leftarrow", "cdot",
+    "cdots", "ldots", "times", "div", "pm", "mp", "neq", "leq", "geq", "approx", "equiv", "in", "notin", "subset", "supset", "subseteq",
+    "supseteq", "cup", "cap", "forall", "exists", "text", "quad", "qquad", "begin", "end", "left", "right", "big", "bigg", "bigl", "bigr",
+    "alpha", "beta", "gamma", "delta", "epsilon", "varepsilon", "zeta", "eta", "theta", "vartheta", "iota", "kappa", "lambda", "mu", "nu",
+    "xi", "pi", "rho", "sigma", "tau", "upsilon", "phi", "varphi", "chi", "psi", "omega", "Gamma", "Delta", "Theta", "Lambda", "Xi", "Pi",
+    "Sigma", "Upsilon", "Phi", "Psi", "Omega",
+)
 # Named entities: first those that are common, as a lookup goes through a map from its beginning; all others by their first letter.
 COMMON_ENTITIES = {f"{n};": html5[f"{n};"] for n in "amp lt gt quot nbsp copy middot hellip mdash ndash ldquo rdquo lsquo rsquo times deg".split()}
 # Names that stand for a character without a semicolon too, the longest first.
