@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import cut
+from ._common import cut, small_batches
 
 #: An entry c counts as the whole number floor(SCALE * c) + SHIFT.
 SCALE, SHIFT = 1024, 100_000
 #: Entries of this size and more count as not finite: sums of their squares have no place in a decimal of 38 digits.
 LARGEST = 2.0**30
-#: Rows that are centred and squared at once.
-ROWS = 1024
+#: Rows that are centred and squared at once, and rows that Arrow hands over at once: vectors of thousands of entries are large.
+ROWS, PER_BATCH = 1024, 2048
 
 
 @dataclass(frozen=True)
@@ -103,6 +103,7 @@ def _squares(vectors: DataFrame, column: str, centre: np.ndarray) -> DataFrame:
 
 
 def _fitted(vectors: DataFrame, column: str) -> DataFrame:
+    small_batches(vectors.sparkSession, PER_BATCH)
     return vectors.where(usable(column))
 
 
