@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, shuffle_parts
 from .near_dup_vectors import usable
 
 #: Hash tables; cells of a hash function (the outer two are open); rows of a bucket on average; hash functions at most.
@@ -204,7 +204,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                     yield pd.DataFrame({"tbl": t, "bucket": own[row, at], "vec_id": part["vec_id"].to_numpy()[row], "embedding": part["embedding"].to_numpy()[row], "least": least[row]})
 
     def visits(some: DataFrame, late: bool) -> DataFrame:
-        return some.withColumn("late", F.lit(late)).mapInPandas(visit, "tbl int, bucket long, vec_id long, embedding array<float>, least double")
+        # Dealt anew, as ordering the buckets is much work for few bytes and would else be put together into few tasks.
+        return some.withColumn("late", F.lit(late)).repartition(shuffle_parts(spark), "vec_id").mapInPandas(visit, "tbl int, bucket long, vec_id long, embedding array<float>, least double")
 
     key = ["tbl", "bucket"]
     held = placed.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ms"))
@@ -226,7 +227,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
             *key, F.explode(F.expr("sequence(0, ms - 1)")).alias("i"), F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("qs")).cast("int").alias("j"), "vec_id", "embedding",
             "least", F.lit(True).alias("asks"),
         )
-        return rows.union(asks).groupBy(*key, "i", "j").applyInPandas(block, _FOUND)
+        return rows.union(asks).repartition(shuffle_parts(spark), *key, "i", "j").groupBy(*key, "i", "j").applyInPandas(block, _FOUND)
 
     none = F.lit(float("-inf"))
     early = cut(_top(answer(visits(asked.withColumn("least", none), False)), k))
