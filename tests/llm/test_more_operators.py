@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import corpus, frame
 
-from qbank.llm import byte_bpe, merkle, whitening
+from qbank.llm import ann_pstable, byte_bpe, merkle, near_dup_vectors, whitening
 from qbank.llm.queries import op12_whitening, op13_byte_bpe, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -218,3 +218,21 @@ def test_byte_bpe_query(spark, library):
     for r in op13_byte_bpe(spark, SF).collect():
         ids = library.encode_ordinary(texts[r["doc_id"]] or "")
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_blocks_meet_in_one_place_without_broadcasts(spark):
+    """op1 and op8 where all joins are sort-merge joins, so that both sides of a block are dealt alike before they are united."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(120, 16))
+    x = np.vstack([base, base[:60] + rng.normal(size=(60, 16)) * 0.01, np.repeat(base[:1], 300, axis=0)])
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>, label int").repartition(5)
+    run = lambda: (
+        sorted(map(tuple, near_dup_vectors.near_duplicates(df).collect())), sorted(map(tuple, ann_pstable.search(df, df.where("vec_id % 20 = 0")).collect())),
+    )
+    want = run()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
