@@ -39,15 +39,6 @@ def _imported(spark: SparkSession, sf_dir: str) -> M.Imported:
 
 _HASHED = r"md5(regexp_replace(concat({0}, options, answer), '[\s\\{{}}()【】\[\]（）.,，。、;；:：]+', '', 'g'))"
 _KEY = _HASHED.format("question")
-_add(
-    "I11_import",
-    f"""WITH q AS (SELECT DISTINCT doc_id, qtype, question, '' AS options, answer, false AS pending_review FROM ({P.notes_sql()})
- UNION ALL SELECT doc_id, qtype, question, replace(options, '|', ''), answer, pending_review FROM ({P.items_sql()})),
-u AS (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY qtype) AS n FROM q)
-SELECT qtype, count(DISTINCT {_KEY}) AS inserted, count(*) - count(DISTINCT {_KEY}) AS merged, count(*) FILTER (pending_review) AS pending, count(*) AS total FROM u GROUP BY qtype""",
-    lambda s, d: M.summary(B.prepare(view(s, d, "bank")), _documents(s, d).drop("subject", "source_file")),
-)
-
 # The questions as the texts hold them; pictures by number, the rest in order; classes; equal stems; review; fingerprints.
 _BOUND = f"""q0 AS (SELECT doc_id, nth AS pos, CASE WHEN reading = 'exam' THEN 1 END AS qnum, '' AS topic, qtype, question, '' AS options, answer, explanation, false AS damaged FROM ({P.notes_sql()})
  UNION ALL SELECT doc_id + 1000000000000, nth, qnum, topic, qtype, question, options, answer, explanation, pending_review FROM ({P.items_sql()})),
@@ -71,6 +62,16 @@ found AS (SELECT doc_id, pos, doc_id::HUGEINT * 1000000000 + pos AS seq, CASE WH
  {_HASHED.format("regexp_replace(question, '【图:[^】]+】', '', 'g')").replace("options", "replace(options, '|', '')")} AS content_hash FROM q4 WHERE same = 1)"""
 _OWN = rf"""(SELECT id, subject, course, '' AS topic, CASE lower(trim(qtype_raw)) WHEN 'single' THEN 'single_choice' WHEN 'multi' THEN 'multiple_choice' ELSE lower(trim(qtype_raw)) END AS qtype, question, '' AS options, answer,
  '' AS explanation, source_file, pending_review, md5(regexp_replace(concat(regexp_replace(question, '【图:[^】]+】', '', 'g'), coalesce(answer, '')), '[\s\\{{}}()【】\[\]（）.,，。、;；:：]+', '', 'g')) AS content_hash FROM bank)""".replace("\\\\", "\\")
+# Of equal stems in a document the first counts; of each fingerprint that the bank lacks, the first in the order of documents.
+_add(
+    "I11_import",
+    f"""WITH q0 AS (SELECT doc_id, nth AS pos, qtype, question, '' AS options, answer, false AS pending_review FROM ({P.notes_sql()})
+ UNION ALL SELECT doc_id + 1000000000000, nth, qtype, question, replace(options, '|', ''), answer, pending_review FROM ({P.items_sql()})),
+q AS (SELECT *, {_KEY} AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, question ORDER BY pos) AS same FROM q0) WHERE same = 1),
+u AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id, pos) = 1 AND content_hash NOT IN (SELECT content_hash FROM {_OWN}) AS new FROM q)
+SELECT qtype, count(*) FILTER (new) AS inserted, count(*) FILTER (NOT new) AS merged, count(*) FILTER (pending_review) AS pending, count(*) AS total FROM u GROUP BY qtype""",
+    lambda s, d: M.summary(B.prepare(view(s, d, "bank")), _documents(s, d).drop("subject", "source_file")),
+)
 _LISTED = {"options": "|", "images": ",", "files": ","}
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import itertools
 
 import duckdb
 import pytest
@@ -32,3 +33,14 @@ def compared(spark, tmp_path):
 def test_entities_without_a_semicolon(spark, compared):
     htmls = ["<title>and&amp</title>", "&ampamp;lt; &amp;amp;lt;", "&notit; &notin; &Aacute", "&#38;#38;#38; &#x26 &#128;&#xD800;&#1;", None]
     compared("H2_html_unescape", pages=spark.createDataFrame([(i, "u", h) for i, h in enumerate(htmls)], "page_id long, url string, html string"))
+
+
+def test_import_of_equal_stems_in_a_document(spark, compared):
+    # The second document's notes ask for the same word twice, with two answers; the bank holds what the seventh's notes ask.
+    digest = lambda i: hashlib.md5(f"t{i}".encode()).hexdigest()
+    twice = next(f"t{i}" for i in itertools.count() if digest(i)[:4] == digest(i)[8:12])
+    word = lambda k: "w" + digest(1)[k - 1:k + 3]
+    docs = [(2, twice), (7, "t1"), (12, f"简述{word(21)}。")]
+    got = compared("I11_import", documents=spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long"))
+    essays = got[got["qtype"] == "essay"].iloc[0]
+    assert (essays["inserted"], essays["merged"]) == (7, 1)
