@@ -93,3 +93,18 @@ def test_sides_that_are_dealt_by_fingerprint_already(spark):
     own, new = dealt(spark.createDataFrame(rows[:40], f"id long, {columns}"), "id"), dealt(spark.createDataFrame(rows, f"seq long, {columns}"), "seq")
     assert upsert.upsert(own, new).count() == 50
     assert upsert.upsert(own, new).groupBy("content_hash").count().where("count > 1").count() == 0
+
+
+def test_rows_of_a_batch_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return text
+
+    rows = lambda name: spark.range(40).select(F.col("id").alias(name), F.concat(F.lit("q"), F.col("id") % 30).alias("question"), F.lit("a").alias("answer"), F.lit("f").alias("source_file"), F.lit(False).alias("pending_review"))
+    bank, batch = (r.withColumn("content_hash", F.md5("question")) for r in (rows("id").where("id < 20"), rows("seq").withColumn("question", counted("question"))))
+    after, done = upsert.upsert_batch(bank, batch)
+    assert (after.count(), done.count(), done.where("outcome = 'inserted'").count()) == (30, 40, 10)
+    assert made.value <= 80  # a row's text and its fingerprint, each once
