@@ -95,5 +95,5 @@ _add(
     "I11_import_images",
     f"""WITH {_BOUND}, d AS (SELECT doc_id FROM q0 UNION SELECT doc_id FROM rest) SELECT doc_id, (SELECT coalesce(sum(k), 0) FROM q1 WHERE q1.doc_id = d.doc_id)::BIGINT AS certain,
  (SELECT count(*) FROM given WHERE given.doc_id = d.doc_id) AS uncertain, (SELECT count(*) FROM rest WHERE rest.doc_id = d.doc_id AND NOT EXISTS (SELECT 1 FROM given g WHERE g.doc_id = rest.doc_id AND g.nth = rest.nth)) AS leftover FROM d""",
-    lambda s, d: _imported(s, d).counts,
+    lambda s, d: M.import_questions(_documents(s, d), view(s, d, "pictures"), view(s, d, "known"))[1],
 )

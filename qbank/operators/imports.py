@@ -38,10 +38,10 @@ def read_documents(docs: DataFrame) -> DataFrame:
     """
     text = latexize(T.fix_private_use(T.html_unescape(F.coalesce("text", F.lit("")))))
     given = [F.coalesce(F.nullif(T.strip(F.col(c)), F.lit("")), F.lit(v)).alias(c) if c in docs.columns else F.lit(v).alias(c) for c, v in GIVEN.items()]
-    # As an exploded array of one, so that the text is cleaned once and not again in every expression that reads it. What belongs to
-    # the document goes along in its key.
+    # As an exploded array of one, so that the text is cleaned once and not again in every expression that reads it, and staged, as
+    # each reading takes it from there. What belongs to the document goes along in its key.
     clean = N.route(docs.select(F.struct("doc_id", *given).alias("doc_id"), F.explode(F.array(text)).alias("text")))
-    clean = clean.withColumn("doc_id", F.struct("doc_id.*", "sections_first")).drop("sections_first")
+    clean = staged(clean.withColumn("doc_id", F.struct("doc_id.*", "sections_first")).drop("sections_first"))
     found = N.parse_routed(clean)
     late = F.when(F.col("reading") == "exam", 0).when((F.col("reading") == "sections") == F.col("doc_id.sections_first"), 1).otherwise(2)
     found = found.select("doc_id.*", late.alias("_late"), *[c for c in found.columns if c != "doc_id"])
