@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import os
 import re
 import unicodedata
 import zlib
@@ -26,8 +27,10 @@ PIECE = 512
 WINDOWS = 96
 #: What a group may leave free in all: enough for windows that are near-equal, not equal, and less than one window.
 SLACK = range(500, 1100)
-#: Words and white-space-free chunks whose ids a worker remembers; it forgets all when there are more.
-REMEMBERED = 600_000
+#: Bytes of words and white-space-free chunks, with their ids, that a worker remembers; it forgets those that were not met of late.
+REMEMBERED = 60_000_000
+#: What an entry takes besides its characters and ids: two objects and a place in the dictionary.
+ENTRY = 130
 
 
 class WordTokenizer:
@@ -38,6 +41,8 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        # A task has one core; threads of the library's own would each keep memory of their own in every worker.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -46,7 +51,10 @@ class WordTokenizer:
         vocabulary = self.whole.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        #: Chunks met of late, with about how many bytes they take, and those met before them.
         self.ids: dict[str, bytes] = {}
+        self.held = 0
+        self.before: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
         ids_of, plain = self.ids, [c for c in chunks if c.isalpha()]
@@ -87,9 +95,17 @@ class WordTokenizer:
         for c, f in zip(chunks, found, strict=True):
             if f and None in f:
                 new.update(dict.fromkeys([x for x, v in zip(c, f, strict=True) if v is None]))
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids.clear()
-        self._learn(list(new))
+        old, ids_of = self.before.get, self.ids
+        unknown = []
+        for x in new:
+            if (v := old(x)) is None:
+                unknown.append(x)
+            else:
+                ids_of[x] = v
+        self._learn(unknown)
+        self.held += sum(len(x) + len(ids_of[x]) + ENTRY for x in new)
+        if self.held > REMEMBERED // 2:
+            self.before, self.ids, self.held = ids_of, {}, 0  # `get` still reads what was met of late
         return [
             np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4") if c is None
             else np.frombuffer(b"".join(f if None not in f else [get(x) if v is None else v for x, v in zip(c, f, strict=True)]), dtype="<u4")
@@ -181,10 +197,14 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFr
             waiting.clear()
             load = 0
 
+        def lists(parts: tuple[np.ndarray, ...], kind: pa.DataType) -> pa.ListArray:
+            ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+            return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts)), type=kind)
+
         def batch() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+            columns = [lists(c, f.type) if f.name == "ids" else pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)]
             out.clear()
-            return made
+            return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
         for b in batches:
             coded = tok.encode_all([t or "" for t in b.column(1).to_pylist()])
@@ -192,7 +212,7 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFr
                 ids = np.append(own, np.uint32(END)).astype("<u4")
                 for start, length in cuts(len(ids)):
                     own = ids[start : start + length]
-                    row = (doc, start, length, zlib.crc32(own.tobytes()), len(ids), *([own.tolist()] if with_ids else []))
+                    row = (doc, start, length, zlib.crc32(own.tobytes()), len(ids), *([own.astype(np.int32)] if with_ids else []))
                     if length == CAPACITY:
                         out.append((*row[:5], sequence, 0, *row[5:]))
                         sequence += 1

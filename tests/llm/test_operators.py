@@ -351,6 +351,19 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), path).count() == 0
 
 
+def test_packing_remembers_by_bytes(monkeypatch):
+    """What a worker remembers is bounded in bytes, however long and however many its chunks are; forgetting changes no ids."""
+    monkeypatch.setattr(packing, "REMEMBERED", 400_000)
+    tok, rng = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), random.Random(5)
+    for _ in range(40):
+        texts = ["the first of " + " ".join("".join(rng.choices("abcdefgh12", k=rng.choice([4, 900]))) for _ in range(20)) for _ in range(2)]
+        for t, ids in zip(texts, tok.encode_all(texts), strict=True):
+            assert ids.tolist() == tok.whole.encode(t, add_special_tokens=False).ids
+        kept = [(c, v) for d in vars(tok).values() if isinstance(d, dict) for c, v in d.items()]
+        assert {"the", "first", "of"} <= {c for c, _ in kept}
+        assert sum(len(c) + len(v) for c, v in kept) < 600_000
+
+
 def test_differencing():
     rng = random.Random(1)
     for ways in (1, 2, 7, 40):
