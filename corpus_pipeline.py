@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qbank.llm import ngram_join, packing, pii, quality, suffix_dedup
-from qbank.llm._common import add_columns, cut
+from qbank.llm._common import cut
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -34,9 +34,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes strings of 400 bytes and passages of 50 words that start elsewhere too; a character cut in two goes as a whole."""
-    stripped = suffix_dedup.remove_passages(docs)
-    out = add_columns(stripped, ["kept", "text"], lambda kept, text: [[None if t is None else k.decode("utf-8", "ignore") for k, t in zip(kept, text, strict=True)]], "text string")
-    return _recounted(out.select(*docs.columns))
+    return _recounted(suffix_dedup.without_passages(docs).select(*docs.columns))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -339,5 +339,18 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     return add_columns(_with_ranges(docs, (LENGTH, PASSAGE)), ["text", _RANGES], both, _STRIPPED, drop=(_RANGES,))
 
 
+def without_passages(docs: DataFrame) -> DataFrame:
+    """docs with what remove_passages keeps as text, a character cut in two gone as a whole; a null text stays null.
+
+    Both in one call of Python: a second one would take a second worker for every task, each with memory of its own.
+    """
+    strip = _strip((LENGTH, 0), (PASSAGE, PASSAGE_WORDS))
+
+    def run(texts: list, ranges: list) -> list[list]:
+        return [[None if t is None else k.decode("utf-8", "ignore") for k, t in zip(strip(texts, ranges)[0], texts, strict=True)]]
+
+    return add_columns(_with_ranges(docs, (LENGTH, PASSAGE)), ["text", _RANGES], run, "text string", drop=(_RANGES,))
+
+
 def sha256_hex(kept) -> str:
     return hashlib.sha256(kept).hexdigest()

@@ -47,6 +47,15 @@ def test_rows_that_repeat_an_id_or_have_none(spark, tmp_path):
     assert tokens[1] > 500 and tokens[2] > 5
 
 
+def test_a_task_takes_one_python_worker(spark, tmp_path):
+    # Workers are taken in turn and kept, so two in one task doubled what every later stage held.
+    frame(spark, corpus(5, 30)).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "n-gram Jaccard join":
+            assert stage(spark, docs, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1, name
+
+
 def test_empty_table(spark, tmp_path):
     frame(spark, ["x"]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
