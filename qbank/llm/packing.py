@@ -88,14 +88,9 @@ class WordTokenizer:
         return text.split()
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        get = self.ids.get
         chunks = [self._chunks(t) for t in texts]
-        found = [c and list(map(get, c)) for c in chunks]
-        new: dict[str, None] = {}
-        for c, f in zip(chunks, found, strict=True):
-            if f and None in f:
-                new.update(dict.fromkeys([x for x, v in zip(c, f, strict=True) if v is None]))
-        old, ids_of = self.before.get, self.ids
+        ids_of, old = self.ids, self.before.get
+        new = set().union(*(c for c in chunks if c)).difference(ids_of)
         unknown = []
         for x in new:
             if (v := old(x)) is None:
@@ -103,18 +98,18 @@ class WordTokenizer:
             else:
                 ids_of[x] = v
         self._learn(unknown)
-        self.held += sum(len(x) + len(ids_of[x]) + ENTRY for x in new)
+        self.held += sum([len(x) + len(ids_of[x]) for x in new]) + len(new) * ENTRY
         if self.held > REMEMBERED // 2:
-            self.before, self.ids, self.held = ids_of, {}, 0  # `get` still reads what was met of late
+            self.before, self.ids, self.held = ids_of, {}, 0  # `ids_of` still has what this call needs
         return [
             np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4") if c is None
-            else np.frombuffer(b"".join(f if None not in f else [get(x) if v is None else v for x, v in zip(c, f, strict=True)]), dtype="<u4")
-            for t, c, f in zip(texts, chunks, found, strict=True)
+            else np.frombuffer(b"".join(map(ids_of.__getitem__, c)), dtype="<u4")
+            for t, c in zip(texts, chunks, strict=True)
         ]
 
 
 #: A full stop or comma beside another character that is neither letter, digit nor white space.
-_CLUSTER = re.compile(r"[.,](?![\s\w])(?!\Z)|[^\w\s][.,]|[.,]_|_[.,]")
+_CLUSTER = re.compile(r"[.,](?:(?![\s\w])(?!\Z)|(?=_)|(?<=[^\w\s].)|(?<=_.))")
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
