@@ -66,6 +66,7 @@ class Pieces:
         #: (ids, candidates after the last skip) of chunks; the name is the chunk, and where it was cut with skips, a \0 and a character
         #: for each of them, whose code tells how many candidates passed before it. No key or seed is part of it.
         self.known: dict[str, tuple[bytes, int]] = {}
+        self.pairs: tuple | None = None
         self.waits: dict[int, tuple[list[int], np.ndarray]] = {}
         #: What one run of merges can reach: no piece crosses from a word to the space before the next, a line end, or a mark of that kind.
         joined = {y for p in self.rank for x, y in zip(p, p[1:]) if x.isalnum()}
@@ -140,6 +141,115 @@ class Pieces:
                 heapq.heappush(agenda, (r, h, p))
         return [s for s in symbols if s is not None], tuple(skips), passed
 
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """For runs of merges in bulk: the rank of each character (or -1) and ids by rank. A table by open addressing tells pairs of ranks that form a piece."""
+        if self.pairs is None:
+            rank, n = self.rank, len(self.names)
+            found = {}
+            for p, r in rank.items():
+                for k in range(1, len(p)):
+                    a, b = rank.get(p[:k]), rank.get(p[k:])
+                    if a is not None and b is not None:
+                        found[a * (n + 1) + b] = r
+            keys = np.array(sorted(found), dtype=np.int64)
+            of_char = np.full(0x110000, -1, dtype=np.int32)
+            for p, r in rank.items():
+                if len(p) == 1:
+                    of_char[ord(p)] = r
+            slots = 1 << max(4, 2 + len(keys).bit_length())
+            self.hash_keys, self.hash_ranks = np.full(slots, -1, dtype=np.int64), np.zeros(slots, dtype=np.int32)
+            left, at = keys, self._slot(keys)
+            while len(left):
+                free = self.hash_keys[at] < 0
+                self.hash_keys[at[free]] = left[free]
+                out = self.hash_keys[at] != left
+                left, at = left[out], (at[out] + 1) % slots
+            at = self._find(keys)
+            self.hash_ranks[at] = [found[k] for k in keys.tolist()]
+            self.pairs = of_char, np.array([self.id_of[x] for x in self.names], dtype="<u4")
+        return self.pairs
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.hash_keys).bit_length())).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or a free one."""
+        at = self._slot(keys)
+        got = self.hash_keys[at]
+        todo = np.flatnonzero((got != keys) & (got >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) % len(self.hash_keys)
+            got = self.hash_keys[at[todo]]
+            todo = todo[(got != keys[todo]) & (got >= 0)]
+        return at
+
+    def _merge_all(self, chunks: list[str], draws: np.ndarray, floor: int) -> list[tuple[bytes, tuple[int, ...], int] | None]:
+        """(ids, skips, candidates after the last skip) of short chunks, each as merge and spell give it; None where a character is no piece.
+
+        The agendas of all chunks are columns of one matrix; each round takes the best candidate of every column.
+        """
+        of_char, id_of = self._table()
+        bounds, none, n = self._bounds(floor)[1], len(self.names) << 6, len(self.names)
+        out: list = [None] * len(chunks)
+        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        codes = of_char[np.frombuffer("".join(chunks).encode("utf-32-le"), dtype="<u4")]
+        begin = np.cumsum(sizes) - sizes
+        bad = np.zeros(len(chunks), dtype=bool)
+        bad[np.repeat(np.arange(len(chunks)), sizes)[codes < 0]] = True
+        order = np.argsort(sizes, kind="stable")
+        order = order[~bad[order]]
+
+        def candidate(a: np.ndarray, b: np.ndarray, i: np.ndarray) -> np.ndarray:
+            key = a.astype(np.int64) * (n + 1) + b
+            at = self._find(key)
+            return np.where((self.hash_keys[at] == key) & (a < n) & (b < n), (self.hash_ranks[at] << 6) | i, none).astype(np.int32)
+
+        for low in range(0, len(order), 4096):
+            mine = order[low : low + 4096]
+            w, size = len(mine), sizes[mine]
+            high = int(size.max()) + 2
+            # Symbols stand at 1 to size; before and after them is one that joins nothing.
+            place = np.arange(high, dtype=np.int32)[:, None]
+            inside = (place >= 1) & (place <= size)
+            sym = np.full((high, w), n, dtype=np.int32)
+            sym[inside] = codes[(begin[mine] + place - 1)[inside]]
+            agenda = np.full((high, w), none, dtype=np.int32)
+            agenda[:-1] = candidate(sym[:-1].ravel(), sym[1:].ravel(), np.repeat(place[:-1, 0], w)).reshape(high - 1, w)
+            after, before = np.repeat(place + 1, w, axis=1), np.repeat(place - 1, w, axis=1)
+            key = draws[mine].copy()
+            due, passed = np.searchsorted(bounds, key, side="right"), np.zeros(w, dtype=np.int64)
+            skips: dict[int, list[int]] = {}
+            lanes = np.arange(w)
+            while len(lanes):
+                best = (agenda if len(lanes) == w else agenda[:, lanes]).min(axis=0)
+                going = best < none
+                lanes, best = lanes[going], best[going]
+                i = best & 63
+                late = passed[lanes] == due[lanes]
+                if late.any():
+                    c = lanes[late]
+                    for x, d in zip(c.tolist(), due[c].tolist(), strict=True):
+                        skips.setdefault(x, []).append(d)
+                    key[c] = [_next(k) for k in key[c].tolist()]
+                    due[c], passed[c] = np.searchsorted(bounds, key[c], side="right"), 0
+                    agenda[i[late], c] = none
+                c, i, r = lanes[~late], i[~late], best[~late] >> 6
+                passed[c] += 1
+                j, h = after[i, c], before[i, c]
+                k = after[j, c]
+                sym[i, c], sym[j, c], agenda[j, c] = r, n, none
+                inside[j, c] = False
+                after[i, c], before[k, c] = k, i
+                agenda[i, c] = candidate(r, sym[k, c], i)
+                agenda[h, c] = candidate(sym[h, c], r, h)
+            held = inside.T
+            data, ends = id_of[sym.T[held]].tobytes(), np.cumsum(held.sum(axis=1)) * 4
+            at = 0
+            for x, (place_, end, p) in enumerate(zip(mine.tolist(), ends.tolist(), passed.tolist(), strict=True)):
+                out[place_] = data[at:end], tuple(skips.get(x, ())), p
+                at = end
+        return out
+
     def spell(self, symbols: list[str]) -> list[int]:
         ids = list(map(self.id_of.get, symbols))
         return ids if None not in ids else [i for s, own in zip(symbols, ids) for i in ([self.byte_id[b] for b in s.encode()] if own is None else [own])]
@@ -150,7 +260,9 @@ class Pieces:
             self.known[raw] = got = np.array([self.byte_id[b] for b in SPACE.encode()], dtype="<u4").tobytes(), 0
             return got
         symbols, skips, passed = self.merge(raw.replace(" ", SPACE), key, floor)
-        ids = array("I", self.spell(symbols)).tobytes()
+        return self._remember(raw, array("I", self.spell(symbols)).tobytes(), skips, passed)
+
+    def _remember(self, raw: str, ids: bytes, skips: tuple[int, ...], passed: int) -> tuple[bytes, int]:
         if not skips:
             self.known[raw] = ids, passed
         elif len(skips) <= DEEP and len(raw) <= SHORT:
@@ -174,40 +286,73 @@ class Pieces:
             return np.concatenate(ids), sum(g[1] for g in got)
         return self._rest(" " + text, seed, dropout)
 
+    def encode_all(self, texts: list[str], seeds: list[int | None], dropout: float = DROPOUT) -> list[tuple[np.ndarray, int]]:
+        """What encode gives for each text; the chunks of all texts that no memory holds are merged together."""
+        floor, out, waiting, n = int(dropout * 2**32), [], [], 0
+
+        def settle() -> None:
+            short = [(c, d) for *_, todo in waiting for _, c, d in todo if len(c) <= SHORT and c != "\0"]
+            made = iter(self._merge_all([c.replace(" ", SPACE) for c, _ in short], np.array([d for _, d in short], dtype=np.uint64), floor) if short else ())
+            for x, ids, skipped, todo in waiting:
+                for at, c, d in todo:
+                    got = next(made) if len(c) <= SHORT and c != "\0" else None
+                    ids[at], k = self._chunk(c, d, floor) if got is None else self._remember(c, *got)
+                    skipped += k
+                out[x] = np.frombuffer(b"".join(ids), dtype="<u4"), skipped
+            waiting.clear()
+
+        for x, (text, seed) in enumerate(zip(texts, seeds, strict=True)):
+            if not text or "\0" in text or seed is None or not floor:
+                out.append(self.encode(text, seed, dropout))
+                continue
+            out.append(None)
+            waiting.append((x, *self._look_up(" " + text, seed, floor)))
+            n += len(waiting[-1][-1])
+            if n > 1 << 16:
+                settle()
+                n = 0
+        settle()
+        return out
+
     def _rest(self, text: str, seed: int | None, dropout: float, place: int = 0) -> tuple[np.ndarray, int]:
         if not text:
             return np.zeros(0, dtype="<u4"), 0
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        chunks, get, floor = self.chunks(text.replace(SPACE, "\0")), self.known.get, int(dropout * 2**32)
+        floor = int(dropout * 2**32)
         if seed is None or not floor:
-            ids = [got[0] if (got := get(c)) is not None else self._chunk(c, None, 0)[0] for c in chunks]
+            get = self.known.get
+            ids = [got[0] if (got := get(c)) is not None else self._chunk(c, None, 0)[0] for c in self.chunks(text.replace(SPACE, "\0"))]
             return np.frombuffer(b"".join(ids), dtype="<u4"), 0
+        ids, skipped, todo = self._look_up(text, seed, floor, place)
+        for at, c, draw in todo:
+            ids[at], k = self._chunk(c, draw, floor)
+            skipped += k
+        return np.frombuffer(b"".join(ids), dtype="<u4"), skipped
+
+    def _look_up(self, text: str, seed: int, floor: int, place: int = 0) -> tuple[list, int, list[tuple[int, str, int]]]:
+        """The ids of each chunk that are remembered, the skips in them, and (place in the list, chunk, draw) of the others."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        chunks, get = self.chunks(text.replace(SPACE, "\0")), self.known.get
         start = np.uint64(xxhash.xxh64_intdigest(b"", seed & 0xFFFFFFFFFFFFFFFF))
         draws = mix(start + np.arange(place, place + len(chunks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         bounds, table = self._bounds(floor)
-        ids, skipped = [], 0
+        ids, skipped, todo = [], 0, []
         for c, wait, draw in zip(chunks, np.searchsorted(table, draws, side="right").tolist(), draws.tolist()):
-            if (got := get(c)) is None:
-                made, k = self._chunk(c, draw, floor)
-                ids.append(made)
-                skipped += k
-                continue
-            if got[1] > wait:
+            got, k = get(c), 0
+            if got is not None and got[1] > wait:
                 # What is remembered is looked up by the skips that the draws make, so it gives what a new run would.
-                name, key, k = c + "\0", draw, 0
+                name, key = c + "\0", draw
                 while got is not None and got[1] > wait:
                     name += chr(wait)
                     got, key, k = get(name), _next(key), k + 1
                     wait = bisect_right(bounds, key)
-                if got is None:
-                    made, k = self._chunk(c, draw, floor)
-                    ids.append(made)
-                    skipped += k
-                    continue
+            if got is None:
+                todo.append((len(ids), c, draw))
+                ids.append(b"")
+            else:
+                ids.append(got[0])
                 skipped += k
-            ids.append(got[0])
-        return np.frombuffer(b"".join(ids), dtype="<u4"), skipped
+        return ids, skipped, todo
 
     def decode(self, ids) -> str:
         """The text: pieces joined, marks as spaces, without the first mark. The inverse of encode for every seed."""
@@ -238,7 +383,7 @@ def encode(docs: DataFrame, model_path: str, seed: int = SEED, dropout: float =
 
     def run(keys: list, texts: list) -> list[list]:
         model = pieces(model_path)
-        got = [model.encode(t or "", k if dropout > 0 else None, dropout) for k, t in zip(keys, texts, strict=True)]
+        got = model.encode_all([t or "" for t in texts], keys if dropout > 0 else [None] * len(keys), dropout)
         return [[g[0].astype(np.int32) for g in got], [g[1] for g in got]]
 
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.lit(seed)))
@@ -255,8 +400,8 @@ def round_trip(docs: DataFrame, model_path: str, seed: int = SEED, dropout: floa
 
     def run(keys: list, texts: list) -> list[list]:
         model, out = pieces(model_path), []
-        for k, t in zip(keys, texts, strict=True):
-            ids, skipped = model.encode(t or "", k if dropout > 0 else None, dropout)
+        coded = model.encode_all([t or "" for t in texts], keys if dropout > 0 else [None] * len(keys), dropout)
+        for t, (ids, skipped) in zip(texts, coded, strict=True):
             out.append((len(ids), skipped, zlib.crc32(ids.tobytes()), model.decode(ids) == (t or "")))
         return [list(c) for c in zip(*out, strict=True)] or [[]] * 4
 

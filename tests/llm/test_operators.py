@@ -529,3 +529,19 @@ def test_lone_queries_among_groups_of_copies(spark):
         best = set(np.lexsort((np.arange(len(row)), -row))[:20].tolist())
         found.append(len(best & got[q]) / 20)
     assert np.mean(found[-60:]) >= 0.9 and np.mean(found) >= 0.9
+
+
+def test_dropout_of_many_texts_is_that_of_each(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng, texts = random.Random(8), ["", "a", " ", "▁x ▁", "a\0b", "日本語 text 𝔘", "x" * 300, "\n\n Straße, naïve..."]
+    texts += [" ".join("".join(rng.choices("abcdeénrst ,.", k=rng.randrange(1, 60))) for _ in range(20)) for _ in range(40)]
+    seeds = [rng.randrange(-(2**63), 2**63) for _ in texts]
+    one, many = piece_dropout.Pieces(path), piece_dropout.Pieces(path)
+    want = [one.encode(t, s, 0.1) for t, s in zip(texts, seeds, strict=True)]
+    for _ in range(2):
+        got = many.encode_all(texts, seeds, 0.1)
+        assert [(g[0].tolist(), g[1]) for g in got] == [(w[0].tolist(), w[1]) for w in want]
+    # Words are merged together, not one agenda after another.
+    fresh = piece_dropout.Pieces(path)
+    monkeypatch.setattr(fresh, "_merge_short", None)
+    assert fresh.encode_all(texts[8:], seeds[8:], 0.1)[0][0].tolist() == want[8][0].tolist()
