@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from array import array
 from bisect import bisect_right
 from itertools import repeat
 from operator import add
@@ -19,12 +18,16 @@ from ._common import add_columns, mix
 
 #: Share of candidate merges that are skipped, and the seed.
 DROPOUT, SEED = 0.1, 20240601
-#: Segmentations of chunks that a worker remembers (about 300 bytes each); it forgets all when there are more.
-REMEMBERED = 1_200_000
+#: Bytes, about, that what a worker remembers of chunks may take; it forgets all when it takes more.
+REMEMBERED = 200 << 20
 #: Most skips of a segmentation that is remembered; those with more seldom come again.
 DEEP = 2
-#: Longest chunk, in characters, whose agenda is a flat list.
+#: Longest chunk, in characters, whose agenda is a flat list, and that is remembered.
 SHORT = 48
+#: Chunks that are looked up together, about, and as many characters of whole texts; columns of one matrix of agendas (a power of two).
+TOGETHER, LETTERS, COLUMNS = 1 << 18, 1 << 22, 1 << 12
+#: Stand for candidates that pass before the first skip where nothing is skipped, and for candidates of a chunk not yet counted.
+NEVER, UNKNOWN = (1 << 21) - 1, 1 << 30
 SPACE = "▁"
 #: Marks that may end a word; a chunk ends between a letter or digit and those that no piece of the vocabulary joins to one.
 MARKS = ".,;:!?&()\"«»…"
@@ -42,6 +45,132 @@ def _waits(floor: int) -> list[int]:
     return out
 
 
+def _next(draw: int) -> int:
+    return xxhash.xxh64_intdigest(b"", draw)
+
+
+def _next_all(draws: np.ndarray) -> np.ndarray:
+    """_next of each draw: XXH64 of no bytes, seeded with it."""
+    x = draws + np.uint64(0x27D4EB2F165667C5)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x165667B19E3779F9)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def _draws(seeds: list[int], places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The draws of runs of chunks, one run after another: those of a seed from a place on."""
+    start = np.array([_next(s & 0xFFFFFFFFFFFFFFFF) for s in seeds], dtype=np.uint64)
+    return mix(np.repeat(start, counts) + _runs(places, counts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1 and so on of each run, one run after another."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Table:
+    """Longs of 0 and more and a number below 2**31 for each, by open addressing; at most a quarter is filled."""
+
+    def __init__(self):
+        self._clear(12)
+
+    def _clear(self, bits: int) -> None:
+        self.n, self.keys, self.values = 0, np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or a free one."""
+        at = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.keys).bit_length())).view(np.int64)
+        got = self.keys[at]
+        todo = np.flatnonzero((got != keys) & (got >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
+            got = self.keys[at[todo]]
+            todo = todo[(got != keys[todo]) & (got >= 0)]
+        return at
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        at = self._find(keys)
+        return np.where(self.keys[at] == keys, self.values[at], -1)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys that differ and are not there."""
+        if 4 * (self.n + len(keys)) > len(self.keys):
+            old = self.keys >= 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            self._clear(2 + len(keys).bit_length())
+        self.n += len(keys)
+        while len(keys):
+            at = self._find(keys)
+            self.keys[at] = keys
+            mine = self.keys[at] == keys
+            self.values[at[mine]] = values[mine]
+            keys, values = keys[~mine], values[~mine]
+
+
+class Memory(dict):
+    """Segmentations of chunks by the skips made, whatever the draws; as a dict, the node of each short chunk (a new one where missing).
+
+    A chunk's node is its segmentation without skips. From a node, the number of candidates that pass before one is skipped leads
+    to another. A node may be there before its segmentation is: its number of candidates is then UNKNOWN.
+    """
+
+    def __init__(self, size: int):
+        self.n, self.used, self.pool = 0, 0, np.zeros(1 << 16, dtype=np.uint16 if size <= 1 << 16 else np.uint32)
+        #: Candidates after the last skip, place in the pool, number of ids, and skips.
+        self.passed, self.start, self.size, self.skips = np.full(1 << 12, UNKNOWN, dtype=np.int32), *(np.zeros(1 << 12, dtype=t) for t in (np.int64, np.int32, np.int32))
+        self.children = Table()
+
+    def __missing__(self, chunk: str) -> int:
+        if len(chunk) > SHORT:
+            return -1
+        self[chunk] = n = self.n
+        self.n += 1
+        return n
+
+    def nbytes(self) -> int:
+        return 200 * len(self) + 20 * self.n + 12 * len(self.children.keys) + self.used * self.pool.itemsize
+
+    def fit(self) -> None:
+        """Makes room for all nodes."""
+        if self.n > len(self.passed):
+            more = max(self.n, 2 * len(self.passed)) - len(self.passed)
+            self.passed = np.concatenate([self.passed, np.full(more, UNKNOWN, dtype=np.int32)])
+            self.start, self.size, self.skips = (np.concatenate([x, np.zeros(more, dtype=x.dtype)]) for x in (self.start, self.size, self.skips))
+
+    def hold(self, ids: np.ndarray) -> int:
+        """Puts ids into the pool and gives their place."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool[:at], np.zeros(max(self.used, 2 * len(self.pool)) - at, dtype=self.pool.dtype)])
+        self.pool[at : self.used] = ids
+        return at
+
+    def path(self, node: np.ndarray, waits: np.ndarray, skips: np.ndarray) -> np.ndarray:
+        """The node that each node's waits lead to, as many of them as skips says; made where it is missing."""
+        node = node.copy()
+        for level in range(DEEP):
+            on = np.flatnonzero(skips > level)
+            keys = node[on] << 21 | waits[level, on]
+            known, back = np.unique(keys, return_inverse=True)
+            child = self.children.get(known)
+            new = np.flatnonzero(child < 0)
+            child[new] = np.arange(self.n, self.n + len(new))
+            self.n += len(new)
+            self.fit()
+            self.skips[child[new]] = level + 1
+            self.children.put(known[new], child[new])
+            node[on] = child[back]
+        return node
+
+    def learn(self, node: np.ndarray, passed: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self.passed[node], self.start[node], self.size[node] = passed, start, size
+
+
 class Pieces:
     """The pieces of a sentencepiece model of merge type with byte fallback; seeds make its segmentations vary."""
 
@@ -63,9 +192,7 @@ class Pieces:
             self.bytes_of[i] = names[i].replace(SPACE, " ").encode()
         for b, i in self.byte_id.items():
             self.bytes_of[i] = bytes([b])
-        #: (ids, candidates after the last skip) of chunks; the name is the chunk, and where it was cut with skips, a \0 and a character
-        #: for each of them, whose code tells how many candidates passed before it. No key or seed is part of it.
-        self.known: dict[str, tuple[bytes, int]] = {}
+        self.memory = self._forget()
         self.pairs: tuple | None = None
         self.waits: dict[int, tuple[list[int], np.ndarray]] = {}
         #: What one run of merges can reach: no piece crosses from a word to the space before the next, a line end, or a mark of that kind.
@@ -74,6 +201,14 @@ class Pieces:
         other = rf"[^ \n\0{marks}]*+"
         self.chunks = re.compile(rf"\n|\0| *[{marks}]*(?:{other}(?<![^\W_])[{marks}]+)*{other}" if marks != "\\\n" else rf"\n|\0| *{other}").findall
 
+    def _forget(self) -> Memory:
+        self.memory = memory = Memory(len(self.bytes_of))
+        # Marks and zeros that the text itself holds are spelt in bytes.
+        for name, data in (("\0", SPACE.encode()), ("\0\0", b"\0")):
+            ids = np.array([self.byte_id[b] for b in data])
+            memory.learn(np.array([memory[name]]), 0, memory.hold(ids), len(ids))
+        return memory
+
     def merge(self, chunk: str, key: int | None, floor: int) -> tuple[list[str], tuple[int, ...], int]:
         """The symbols of a chunk after the agenda is empty, the skips, and the number of candidates after the last skip.
 
@@ -141,8 +276,8 @@ class Pieces:
                 heapq.heappush(agenda, (r, h, p))
         return [s for s in symbols if s is not None], tuple(skips), passed
 
-    def _table(self) -> tuple[np.ndarray, np.ndarray]:
-        """For runs of merges in bulk: the rank of each character (or -1) and ids by rank. A table by open addressing tells pairs of ranks that form a piece."""
+    def _table(self) -> tuple[np.ndarray, np.ndarray, Table]:
+        """For runs of merges in bulk: the rank of each character (or -1), ids by rank, and the rank of the piece that a pair of ranks forms."""
         if self.pairs is None:
             rank, n = self.rank, len(self.names)
             found = {}
@@ -151,218 +286,210 @@ class Pieces:
                     a, b = rank.get(p[:k]), rank.get(p[k:])
                     if a is not None and b is not None:
                         found[a * (n + 1) + b] = r
-            keys = np.array(sorted(found), dtype=np.int64)
             of_char = np.full(0x110000, -1, dtype=np.int32)
             for p, r in rank.items():
                 if len(p) == 1:
                     of_char[ord(p)] = r
-            slots = 1 << max(4, 2 + len(keys).bit_length())
-            self.hash_keys, self.hash_ranks = np.full(slots, -1, dtype=np.int64), np.zeros(slots, dtype=np.int32)
-            left, at = keys, self._slot(keys)
-            while len(left):
-                free = self.hash_keys[at] < 0
-                self.hash_keys[at[free]] = left[free]
-                out = self.hash_keys[at] != left
-                left, at = left[out], (at[out] + 1) % slots
-            at = self._find(keys)
-            self.hash_ranks[at] = [found[k] for k in keys.tolist()]
-            self.pairs = of_char, np.array([self.id_of[x] for x in self.names], dtype="<u4")
+            table = Table()
+            table.put(np.fromiter(found, dtype=np.int64, count=len(found)), np.fromiter(found.values(), dtype=np.int32, count=len(found)))
+            self.pairs = of_char, np.array([self.id_of[x] for x in self.names]), table
         return self.pairs
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.hash_keys).bit_length())).astype(np.int64)
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, or a free one."""
-        at = self._slot(keys)
-        got = self.hash_keys[at]
-        todo = np.flatnonzero((got != keys) & (got >= 0))
-        while len(todo):
-            at[todo] = (at[todo] + 1) % len(self.hash_keys)
-            got = self.hash_keys[at[todo]]
-            todo = todo[(got != keys[todo]) & (got >= 0)]
-        return at
-
-    def _merge_all(self, chunks: list[str], draws: np.ndarray, floor: int) -> list[tuple[bytes, tuple[int, ...], int] | None]:
-        """(ids, skips, candidates after the last skip) of short chunks, each as merge and spell give it; None where a character is no piece.
+    def _merge_all(self, chunks: list[str], waits: np.ndarray, draws: np.ndarray, floor: int) -> tuple[np.ndarray, ...]:
+        """The ids of chunks as merge and spell give them, one chunk's after another's, and of each chunk: how many ids, candidates after the last skip, how many skips, and the first ones.
 
-        The agendas of all chunks are columns of one matrix; each round takes the best candidate of every column.
+        waits tells how many candidates pass before the first skip, which the draw also tells. The agendas of many short chunks
+        are columns of one matrix; each round takes the best candidate of every column.
         """
-        of_char, id_of = self._table()
-        bounds, none, n = self._bounds(floor)[1], len(self.names) << 6, len(self.names)
-        out: list = [None] * len(chunks)
-        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
-        codes = of_char[np.frombuffer("".join(chunks).encode("utf-32-le"), dtype="<u4")]
+        of_char, id_of, table = self._table()
+        none, n, m = len(self.names) << 6, len(self.names), len(chunks)
+        bounds = self._bounds(floor)[1]
+        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=m)
+        # Long ones and those with a character that is no piece are merged one by one.
+        alone = sizes > SHORT
+        codes = of_char[np.frombuffer("".join(c for c in chunks if len(c) <= SHORT).encode("utf-32-le"), dtype="<u4")]
+        sizes[alone] = 0
         begin = np.cumsum(sizes) - sizes
-        bad = np.zeros(len(chunks), dtype=bool)
-        bad[np.repeat(np.arange(len(chunks)), sizes)[codes < 0]] = True
+        alone[np.repeat(np.arange(m), sizes)[codes < 0]] = True
         order = np.argsort(sizes, kind="stable")
-        order = order[~bad[order]]
+        order = order[~alone[order]]
+        (count, passed, skips), first = np.zeros((3, m), dtype=np.int64), np.zeros((DEEP, m), dtype=np.int64)
+        made, blocks = [], []
 
         def candidate(a: np.ndarray, b: np.ndarray, i: np.ndarray) -> np.ndarray:
-            key = a.astype(np.int64) * (n + 1) + b
-            at = self._find(key)
-            return np.where((self.hash_keys[at] == key) & (a < n) & (b < n), (self.hash_ranks[at] << 6) | i, none).astype(np.int32)
-
-        for low in range(0, len(order), 4096):
-            mine = order[low : low + 4096]
-            w, size = len(mine), sizes[mine]
+            r = table.get(a.astype(np.int64) * (n + 1) + b)
+            return np.where(r >= 0, r << 6 | i, none)
+
+        for low in range(0, len(order), COLUMNS):
+            mine = order[low : low + COLUMNS]
+            bits = (len(mine) - 1).bit_length()
+            w, size = 1 << bits, np.zeros(1 << bits, dtype=np.int64)
+            size[: len(mine)] = sizes[mine]
             high = int(size.max()) + 2
-            # Symbols stand at 1 to size; before and after them is one that joins nothing.
-            place = np.arange(high, dtype=np.int32)[:, None]
+            # Symbols stand at 1 to size; before and after them is one that joins nothing. A place and a column are one number.
+            place = np.arange(high, dtype=np.int64)[:, None]
             inside = (place >= 1) & (place <= size)
             sym = np.full((high, w), n, dtype=np.int32)
-            sym[inside] = codes[(begin[mine] + place - 1)[inside]]
+            sym.T[inside.T] = codes[_runs(begin[mine], sizes[mine])]
             agenda = np.full((high, w), none, dtype=np.int32)
-            agenda[:-1] = candidate(sym[:-1].ravel(), sym[1:].ravel(), np.repeat(place[:-1, 0], w)).reshape(high - 1, w)
-            after, before = np.repeat(place + 1, w, axis=1), np.repeat(place - 1, w, axis=1)
-            key = draws[mine].copy()
-            due, passed = np.searchsorted(bounds, key, side="right"), np.zeros(w, dtype=np.int64)
-            skips: dict[int, list[int]] = {}
-            lanes = np.arange(w)
-            while len(lanes):
-                best = (agenda if len(lanes) == w else agenda[:, lanes]).min(axis=0)
-                going = best < none
-                lanes, best = lanes[going], best[going]
-                i = best & 63
-                late = passed[lanes] == due[lanes]
+            pair = np.flatnonzero(inside[:-1] & inside[1:])
+            flat, queue, held = sym.ravel(), agenda.ravel(), inside.ravel()
+            queue[pair] = candidate(flat[pair], flat[pair + w], pair >> bits)
+            after, before = np.arange(w, w * high + w), np.arange(-w, w * high - w)
+            key, due = draws[mine], waits[mine]
+            (gone, skipped), early = np.zeros((2, w), dtype=np.int64), np.zeros((DEEP, w), dtype=np.int64)
+            while True:
+                best = agenda.min(axis=0)
+                c = np.flatnonzero(best < none)
+                if not len(c):
+                    break
+                best = best[c]
+                late = gone[c] == due[c]
+                at = ((best & 63).astype(np.int64) << bits) + c
                 if late.any():
-                    c = lanes[late]
-                    for x, d in zip(c.tolist(), due[c].tolist(), strict=True):
-                        skips.setdefault(x, []).append(d)
-                    key[c] = [_next(k) for k in key[c].tolist()]
-                    due[c], passed[c] = np.searchsorted(bounds, key[c], side="right"), 0
-                    agenda[i[late], c] = none
-                c, i, r = lanes[~late], i[~late], best[~late] >> 6
-                passed[c] += 1
-                j, h = after[i, c], before[i, c]
-                k = after[j, c]
-                sym[i, c], sym[j, c], agenda[j, c] = r, n, none
-                inside[j, c] = False
-                after[i, c], before[k, c] = k, i
-                agenda[i, c] = candidate(r, sym[k, c], i)
-                agenda[h, c] = candidate(sym[h, c], r, h)
-            held = inside.T
-            data, ends = id_of[sym.T[held]].tobytes(), np.cumsum(held.sum(axis=1)) * 4
-            at = 0
-            for x, (place_, end, p) in enumerate(zip(mine.tolist(), ends.tolist(), passed.tolist(), strict=True)):
-                out[place_] = data[at:end], tuple(skips.get(x, ())), p
-                at = end
-        return out
+                    cut = c[late]
+                    for level in range(DEEP):
+                        x = cut[skipped[cut] == level]
+                        early[level, x] = due[x]
+                    skipped[cut] += 1
+                    key[cut] = _next_all(key[cut])
+                    due[cut], gone[cut] = np.searchsorted(bounds, key[cut], side="right"), 0
+                    queue[at[late]] = none
+                    c, at, best = c[~late], at[~late], best[~late]
+                gone[c] += 1
+                r, j, h = best >> 6, after[at], before[at]
+                k = after[j]
+                flat[at], flat[j], queue[j], held[j] = r, n, none, False
+                after[at], before[k] = k, at
+                left = np.concatenate([at, h])
+                queue[left] = candidate(flat[left], np.concatenate([flat[k], r]), left >> bits)
+            made.append(id_of[sym.T[inside.T]])
+            blocks.append(mine)
+            v = len(mine)
+            count[mine], passed[mine], skips[mine], first[:, mine] = inside.sum(axis=0)[:v], gone[:v], skipped[:v], early[:, :v]
+        for x in np.flatnonzero(alone).tolist():
+            symbols, cut, passed[x] = self.merge(chunks[x], int(draws[x]) if waits[x] < NEVER else None, floor)
+            made.append(np.array(self.spell(symbols), dtype=np.int64))
+            blocks.append([x])
+            count[x], skips[x], first[: len(cut), x] = len(made[-1]), len(cut), cut[:DEEP]
+        order = np.concatenate(blocks).astype(np.int64)
+        start = np.zeros(m, dtype=np.int64)
+        start[order] = np.cumsum(count[order]) - count[order]
+        return np.concatenate(made)[_runs(start, count)], count, passed, skips, first
 
     def spell(self, symbols: list[str]) -> list[int]:
         ids = list(map(self.id_of.get, symbols))
         return ids if None not in ids else [i for s, own in zip(symbols, ids) for i in ([self.byte_id[b] for b in s.encode()] if own is None else [own])]
 
-    def _chunk(self, raw: str, key: int | None, floor: int) -> tuple[bytes, int]:
-        """Ids of a chunk with the spaces before it, and the number of skips; marks that the text itself holds are spelt in bytes."""
-        if raw == "\0":
-            self.known[raw] = got = np.array([self.byte_id[b] for b in SPACE.encode()], dtype="<u4").tobytes(), 0
-            return got
-        symbols, skips, passed = self.merge(raw.replace(" ", SPACE), key, floor)
-        return self._remember(raw, array("I", self.spell(symbols)).tobytes(), skips, passed)
-
-    def _remember(self, raw: str, ids: bytes, skips: tuple[int, ...], passed: int) -> tuple[bytes, int]:
-        if not skips:
-            self.known[raw] = ids, passed
-        elif len(skips) <= DEEP and len(raw) <= SHORT:
-            self.known[raw + "\0" + "".join(map(chr, skips))] = ids, passed
-        return ids, len(skips)
+    def _parts(self, text: str) -> list[tuple[int, list[str]]]:
+        """The chunks of a text between those \0 that it holds, each list with the place of its first chunk's draw; \0 is a chunk that stands for a mark."""
+        parts = (" " + text).split("\0") if text else []
+        return [(i << 40, self.chunks(p.replace(SPACE, "\0"))) for i, p in enumerate(parts)]
 
     def encode(self, text: str, seed: int | None = SEED, dropout: float = DROPOUT) -> tuple[np.ndarray, int]:
-        """Ids of a text and the number of skipped merges; seed None gives the model's own segmentation.
+        """Ids of a text and the number of skipped merges, chunk by chunk and without memory; seed None gives the model's own segmentation.
 
         Every chunk has a draw of its own, made of the seed and its place in the text, so a word is cut anew each time.
         """
-        if not text:
-            return np.zeros(0, dtype="<u4"), 0
-        # \0 stands for a mark that the text holds (a text that holds \0 is rare and is spelt in bytes there).
-        if "\0" in text:
-            parts = text.split("\0")
-            got = [self.encode(p, seed, dropout) if i == 0 else self._rest(p, seed, dropout, i << 40) for i, p in enumerate(parts)]
-            zero = np.array([self.byte_id[0]], dtype="<u4")
-            first = got[0][0] if parts[0] else np.array([self.id_of[SPACE]], dtype="<u4")
-            ids = [first] + [x for g in got[1:] for x in (zero, g[0])]
-            return np.concatenate(ids), sum(g[1] for g in got)
-        return self._rest(" " + text, seed, dropout)
+        floor, ids, skipped = int(dropout * 2**32), [], 0
+        for place, chunks in self._parts(text):
+            ids += [self.byte_id[0]] if place else []
+            draws = [None] * len(chunks) if seed is None else _draws([seed], np.array([place]), np.array([len(chunks)])).tolist()
+            for c, draw in zip(chunks, draws, strict=True):
+                if c == "\0":
+                    ids += [self.byte_id[b] for b in SPACE.encode()]
+                    continue
+                symbols, cut, _ = self.merge(c.replace(" ", SPACE), draw, floor)
+                ids += self.spell(symbols)
+                skipped += len(cut)
+        return np.array(ids, dtype="<u4"), skipped
 
     def encode_all(self, texts: list[str], seeds: list[int | None], dropout: float = DROPOUT) -> list[tuple[np.ndarray, int]]:
-        """What encode gives for each text; the chunks of all texts that no memory holds are merged together."""
-        floor, out, waiting, n = int(dropout * 2**32), [], [], 0
+        """What encode gives for each text. Chunks are looked up in memory together, and those that it does not hold are merged together."""
+        floor, got, skipped = int(dropout * 2**32), [[] for _ in texts], [0] * len(texts)
+        chunks: list[str] = []
+        runs: list[tuple[int | None, int, int]] = []
+        ends: list[tuple[int, int]] = []
+        letters = 0
 
         def settle() -> None:
-            short = [(c, d) for *_, todo in waiting for _, c, d in todo if len(c) <= SHORT and c != "\0"]
-            made = iter(self._merge_all([c.replace(" ", SPACE) for c, _ in short], np.array([d for _, d in short], dtype=np.uint64), floor) if short else ())
-            for x, ids, skipped, todo in waiting:
-                for at, c, d in todo:
-                    got = next(made) if len(c) <= SHORT and c != "\0" else None
-                    ids[at], k = self._chunk(c, d, floor) if got is None else self._remember(c, *got)
-                    skipped += k
-                out[x] = np.frombuffer(b"".join(ids), dtype="<u4"), skipped
-            waiting.clear()
+            ids, bounds, skips = self._settle(chunks, runs, floor, np.array([e for _, e in ends], dtype=np.int64))
+            for (x, _), a, b, k in zip(ends, [0, *bounds], bounds, skips):
+                got[x].append(ids[a:b])
+                skipped[x] += k
+            chunks.clear(), runs.clear(), ends.clear()
 
         for x, (text, seed) in enumerate(zip(texts, seeds, strict=True)):
-            if not text or "\0" in text or seed is None or not floor:
-                out.append(self.encode(text, seed, dropout))
-                continue
-            out.append(None)
-            waiting.append((x, *self._look_up(" " + text, seed, floor)))
-            n += len(waiting[-1][-1])
-            if n > 1 << 16:
+            for place, found in self._parts(text):
+                if place:
+                    chunks.append("\0\0")
+                    runs.append((None, 0, 1))
+                # A long text goes on in the next lot.
+                for low in range(0, len(found), TOGETHER):
+                    some = found[low : low + TOGETHER]
+                    chunks += some
+                    runs.append((seed, place + low, len(some)))
+                    if len(chunks) >= TOGETHER:
+                        ends.append((x, len(chunks)))
+                        settle()
+            ends.append((x, len(chunks)))
+            letters += len(text)
+            if letters > LETTERS:
                 settle()
-                n = 0
+                letters = 0
         settle()
-        return out
-
-    def _rest(self, text: str, seed: int | None, dropout: float, place: int = 0) -> tuple[np.ndarray, int]:
-        if not text:
-            return np.zeros(0, dtype="<u4"), 0
-        floor = int(dropout * 2**32)
-        if seed is None or not floor:
-            get = self.known.get
-            ids = [got[0] if (got := get(c)) is not None else self._chunk(c, None, 0)[0] for c in self.chunks(text.replace(SPACE, "\0"))]
-            return np.frombuffer(b"".join(ids), dtype="<u4"), 0
-        ids, skipped, todo = self._look_up(text, seed, floor, place)
-        for at, c, draw in todo:
-            ids[at], k = self._chunk(c, draw, floor)
-            skipped += k
-        return np.frombuffer(b"".join(ids), dtype="<u4"), skipped
-
-    def _look_up(self, text: str, seed: int, floor: int, place: int = 0) -> tuple[list, int, list[tuple[int, str, int]]]:
-        """The ids of each chunk that are remembered, the skips in them, and (place in the list, chunk, draw) of the others."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        chunks, get = self.chunks(text.replace(SPACE, "\0")), self.known.get
-        start = np.uint64(xxhash.xxh64_intdigest(b"", seed & 0xFFFFFFFFFFFFFFFF))
-        draws = mix(start + np.arange(place, place + len(chunks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        bounds, table = self._bounds(floor)
-        ids, skipped, todo = [], 0, []
-        for c, wait, draw in zip(chunks, np.searchsorted(table, draws, side="right").tolist(), draws.tolist()):
-            got, k = get(c), 0
-            if got is not None and got[1] > wait:
-                # What is remembered is looked up by the skips that the draws make, so it gives what a new run would.
-                name, key = c + "\0", draw
-                while got is not None and got[1] > wait:
-                    name += chr(wait)
-                    got, key, k = get(name), _next(key), k + 1
-                    wait = bisect_right(bounds, key)
-            if got is None:
-                todo.append((len(ids), c, draw))
-                ids.append(b"")
-            else:
-                ids.append(got[0])
-                skipped += k
-        return ids, skipped, todo
+        return [(g[0] if len(g) == 1 else np.concatenate(g), k) for g, k in zip(got, skipped)]
+
+    def _settle(self, chunks: list[str], runs: list[tuple[int | None, int, int]], floor: int, ends: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+        """The ids of all chunks, and of the texts that end at ends, where their ids end and their number of skips.
+
+        runs has the seed (None: no skips), the place of the first draw and the number of chunks.
+        """
+        memory = self.memory if self.memory.nbytes() <= REMEMBERED else self._forget()
+        node = np.fromiter(map(memory.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        memory.fit()
+        bounds = self._bounds(floor)[1]
+        counts = np.array([n for *_, n in runs], dtype=np.int64)
+        draws = _draws([s or 0 for s, *_ in runs], np.array([p for _, p, _ in runs], dtype=np.int64), counts)
+        drawn = np.repeat(np.array([s is not None and floor > 0 for s, *_ in runs], dtype=bool), counts)
+        waits = np.where(drawn, np.searchsorted(bounds, draws, side="right"), NEVER)
+        root, todo = node.copy(), [np.flatnonzero(node < 0)]
+        # What is remembered is looked up by the skips that the draws make, so it gives what a new run would.
+        on = np.flatnonzero((node >= 0) & (waits < memory.passed[node]))
+        wait, key = waits[on], draws[on]
+        while len(on):
+            child = memory.children.get(node[on] << 21 | wait)
+            todo.append(on[child < 0])
+            held = child >= 0
+            on, key = on[held], _next_all(key[held])
+            node[on] = child[held]
+            wait = np.searchsorted(bounds, key, side="right")
+            more = wait < memory.passed[node[on]]
+            on, key, wait = on[more], key[more], wait[more]
+        todo = np.concatenate(todo)
+        start, size, skips = memory.start[node], memory.size[node], memory.skips[node].astype(np.int64)
+        kept = memory.used
+        if len(todo):
+            ids, count, passed, cut, first = self._merge_all([chunks[x].replace(" ", SPACE) for x in todo.tolist()], waits[todo], draws[todo], floor)
+            keep = (root[todo] >= 0) & (cut <= DEEP)
+            # What is remembered comes first in the pool, the rest is given and forgotten.
+            order = np.argsort(~keep, kind="stable")
+            at = memory.hold(ids[_runs((np.cumsum(count) - count)[order], count[order])])
+            place = np.empty(len(todo), dtype=np.int64)
+            place[order] = at + np.cumsum(count[order]) - count[order]
+            memory.learn(memory.path(root[todo[keep]], first[:, keep], cut[keep]), passed[keep], place[keep], count[keep])
+            start[todo], size[todo], skips[todo] = place, count, cut
+            kept = at + int(count[keep].sum())
+        ids = memory.pool[_runs(start, size.astype(np.int64))].astype("<u4")
+        memory.used = kept
+        total = [np.concatenate([[0], np.cumsum(x)])[ends].tolist() for x in (size, skips)]
+        return ids, total[0], np.diff(total[1], prepend=0).tolist()
 
     def decode(self, ids) -> str:
         """The text: pieces joined, marks as spaces, without the first mark. The inverse of encode for every seed."""
         return b"".join(self.bytes_of[np.asarray(ids, dtype=np.int64)].tolist())[1:].decode()
 
 
-def _next(draw: int) -> int:
-    return xxhash.xxh64_intdigest(b"", draw)
-
-
 _MODELS: dict[str, Pieces] = {}
 
 

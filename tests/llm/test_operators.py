@@ -545,3 +545,30 @@ def test_dropout_of_many_texts_is_that_of_each(monkeypatch):
     fresh = piece_dropout.Pieces(path)
     monkeypatch.setattr(fresh, "_merge_short", None)
     assert fresh.encode_all(texts[8:], seeds[8:], 0.1)[0][0].tolist() == want[8][0].tolist()
+
+
+def test_dropout_follows_the_skips_of_all_chunks_together(monkeypatch):
+    """No step of Python for a skip that is remembered, whether chunks come in one lot or in many; a worker's memory is bounded in bytes."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng, plain, calls = random.Random(9), piece_dropout._next, []
+    texts = [prose(rng, 300) for _ in range(20)] + ["", "\0", " \0\0▁a\0", "日本 \U0010ffff ퟿", "a" * 49 + " " + "b" * 48, "the cat sat.\n" * 400]
+    seeds = [None, *(rng.randrange(-(2**63), 2**63) for _ in texts[1:])]
+    one, many = piece_dropout.Pieces(path), piece_dropout.Pieces(path)
+    want = {d: [one.encode(t, s, d) for t, s in zip(texts, seeds, strict=True)] for d in (0.0, 0.1, 0.5)}
+
+    def same(model, d):
+        got = model.encode_all(texts, seeds, d)
+        return [(g[0].tolist(), g[1]) for g in got] == [(w[0].tolist(), w[1]) for w in want[d]]
+
+    assert same(many, 0.1) and same(many, 0.0) and same(many, 0.5)
+    words, own = ["the cat sat.\n" * 400] * 50, list(range(50))
+    many.encode_all(words, own)
+    monkeypatch.setattr(piece_dropout, "_next", lambda d: calls.append(d) or plain(d))
+    assert sum(k for _, k in many.encode_all(words, own)) > 5000 and len(calls) <= 50
+    draws = np.random.default_rng(9).integers(0, 2**64, 100, dtype=np.uint64)
+    assert piece_dropout._next_all(draws).tolist() == [plain(d) for d in draws.tolist()]
+    monkeypatch.setattr(piece_dropout, "TOGETHER", 101)
+    assert same(many, 0.1)
+    monkeypatch.setattr(piece_dropout, "REMEMBERED", 150_000)
+    small = piece_dropout.Pieces(path)
+    assert same(small, 0.1) and small.memory.nbytes() < 200_000 and same(small, 0.5)
