@@ -44,3 +44,19 @@ def test_import_of_equal_stems_in_a_document(spark, compared):
     got = compared("I11_import", documents=spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long"))
     essays = got[got["qtype"] == "essay"].iloc[0]
     assert (essays["inserted"], essays["merged"]) == (7, 1)
+
+
+def documents(spark, texts):
+    """Each text under every kind of noise, by doc_id % 5."""
+    docs = [(5 * i + k, t, "en", "s", len(t or "")) for i, t in enumerate(texts) for k in range(5)]
+    return spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+NOTHING = [None, "", " ", "\n \n", "\t", "\r\n", "\xa0", "\u3000"]
+
+
+def test_lines_of_odd_texts(spark, compared):
+    ends = [f"一二三四{e}x{e}{e} {e}一二三四 y" for e in ("\r", "\r\n", "\n", "\x0b", "\x0c", "\x1c", "\x1e", "\x1f", "\x85", "\u2028", "\u2029", "\t", "\u3000")]
+    half = "\n".join(["一二三四"] * 41 + ["x"] * 5079)  # 0.0080078125
+    got = compared("H11_cjk_line_ratio", documents=documents(spark, [*NOTHING, *ends, half])).set_index("doc_id")["ratio"]
+    assert (got[4], got[9], got[5 * len(NOTHING) + 4], got[got.index.max()]) == (0, 0, 0.666666667, 0.008007813)
