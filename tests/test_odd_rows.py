@@ -60,3 +60,16 @@ def test_lines_of_odd_texts(spark, compared):
     half = "\n".join(["一二三四"] * 41 + ["x"] * 5079)  # 0.0080078125
     got = compared("H11_cjk_line_ratio", documents=documents(spark, [*NOTHING, *ends, half])).set_index("doc_id")["ratio"]
     assert (got[4], got[9], got[5 * len(NOTHING) + 4], got[got.index.max()]) == (0, 0, 0.666666667, 0.008007813)
+
+
+def test_tokens_of_odd_texts(spark, compared):
+    spaces = [f"a{e}bc{e}{e}d 一{e}$" for e in ("\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u200b", "\u2028", "\u202f", "\u205f", "\u3000")]
+    half = " ".join(["x"] * 41 + ["yy"] * 5079)  # 0.0080078125
+    got = compared("H8_single_char_ratio", documents=documents(spark, [*NOTHING, *spaces, "\U00020000 a\U00020000", half])).set_index("doc_id")["ratio"]
+    assert (got[4], got[9], got[5 * len(NOTHING) + 4], got[got.index.max()]) == (0, 0, 0.4, 0.008007813)
+
+
+@pytest.mark.parametrize("name", ["D11_quality_profile", "H12_quality_score", "H12_quality_commands", "I12_ocr_choice"])
+def test_quality_of_odd_texts(spark, compared, name):
+    nothing = NOTHING[1:] if name == "D11_quality_profile" else NOTHING  # pandas makes doubles of counts among nulls
+    compared(name, documents=documents(spark, [*nothing, "a\xa0b", "a\x0bb", "a\rb", "x\u2028一二三四", "a\rb\rc\rd\re\rf\rlong line"]))
